@@ -38,12 +38,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_and_identify
+
+    return learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_verdicts
 
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_captures
+
+    return page_captures(table(spark, sf_dir, "pages"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -56,5 +68,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mpeg_ts, op2_quality_rules, op3_ngram_jaccard, op6_byte_bpe, op8_line_dedup, op10_mix_sources, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mpeg_ts, op2_quality_rules, op3_ngram_jaccard, op6_byte_bpe, op7_language_id, op8_line_dedup, op9_warc, op10_mix_sources, pipeline)}
 ORACLES: dict[str, str] = {}
