@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,19 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "part", F.sha2("candidate", 256).alias("candidate_sha256"), "length", "dictionary_share", "transitions", "probability", "is_secret")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -68,5 +82,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mpeg_ts, op2_quality_rules, op3_ngram_jaccard, op6_byte_bpe, op7_language_id, op8_line_dedup, op9_warc, op10_mix_sources, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mpeg_ts, op2_quality_rules, op3_ngram_jaccard, op4_secret_scan, op5_suffix_dedup, op6_byte_bpe, op7_language_id, op8_line_dedup, op9_warc, op10_mix_sources, pipeline)}
 ORACLES: dict[str, str] = {}
