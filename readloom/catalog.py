@@ -5,8 +5,402 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import bridge
+from .bridge import SQL_PATHS, SQL_SUPPLIERS, sql_alignments
+from .config import FilterConfig, ReassignConfig
+from .functions import scalar as S
+from .operators import align, coverage, em, inequality, lca, refilter, refstats
+from .plans import pipelines
 
+Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+PARTS = sql_alignments()
+SUPPLIERS = sql_alignments("l_suppkey")
+RANK_INDEX = 1  # of region and nation: an LCA has to reach the nation
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.filter_by_ani(bridge.alignments(spark, sf_dir), 90.0)
+
+
+# -- reads ------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {PARTS}
+SELECT reference, count(DISTINCT query_name) AS n_reads, count(*) AS n_alns, round(avg(len), 6) AS read_length_mean, round(avg(ani), 6) AS read_ani_mean,
+  cast(round_even(count(DISTINCT query_name) / 2600.0 * 1000000, 0) AS bigint) AS tax_abund_read
+FROM aln WHERE ani >= 90 GROUP BY reference HAVING count(DISTINCT query_name) >= 3""")
+def min_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _kept(spark, sf_dir).groupBy("reference").agg(F.countDistinct("query_name").alias("n_reads"), F.count(F.lit(1)).alias("n_alns"), F.avg("inferred_read_length").alias("read_length_mean"), F.avg("ani").alias("read_ani_mean"))
+    sized = per.join(bridge.part_references(spark, sf_dir), "reference")
+    out = sized.withColumn("tax_abund_read", S.half_even(S.ratio(F.col("n_reads"), F.col("reference_length")) * 1e6)).filter("n_reads >= 3")
+    return _rounded(out.select("reference", "n_reads", "n_alns", "read_length_mean", "read_ani_mean", "tax_abund_read"))
+
+
+@_query(f"WITH {PARTS} SELECT query_name, reference, nm, round(ani, 6) AS ani FROM aln WHERE ani >= 90")
+def aln_ani_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_kept(spark, sf_dir).select("query_name", "reference", "nm", "ani"))
+
+
+@_query(f"WITH {PARTS} SELECT reference, count(*) AS n_mapped FROM aln GROUP BY reference HAVING count(*) >= 25")
+def index_stats_min_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frequent = align.keep_frequent_references(bridge.alignments(spark, sf_dir), 25)
+    return align.index_stats(frequent)
+
+
+LENGTHS_SQL = "given AS (SELECT cast(s_suppkey AS varchar) AS reference, cast(500 + s_suppkey AS bigint) AS length FROM supplier WHERE s_suppkey % 3 <> 0)"
+
+
+def _given_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return bridge.table(spark, sf_dir, "supplier").filter(key % 3 != 0).select(key.cast("string").alias("reference"), (key + 500).cast("bigint").alias("length"))
+
+
+@_query(f"WITH {SQL_SUPPLIERS}, {LENGTHS_SQL} SELECT r.reference, r.reference_length AS bam_reference_length, coalesce(g.length, r.reference_length) AS reference_length FROM refs r LEFT JOIN given g USING (reference)")
+def ref_lengths_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = bridge.supplier_references(spark, sf_dir).select("reference", "bam_reference_length")
+    return align.with_lengths(refs, _given_lengths(spark, sf_dir), check=False)
+
+
+@_query(f"WITH {SQL_SUPPLIERS}, {LENGTHS_SQL} SELECT r.reference FROM refs r ANTI JOIN given g USING (reference)")
+def ref_lengths_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.missing_lengths(bridge.supplier_references(spark, sf_dir), _given_lengths(spark, sf_dir))
+
+
+SCORES_SQL = f"""{SUPPLIERS}, raw AS (
+  SELECT query_name AS query, reference, len, (len - nm) + 2 * nm - coalesce(xo, 0) * 5 - coalesce(xg, 0) * 2 AS s FROM aln WHERE ani >= 90 AND len >= 30),
+scores AS (SELECT query, reference, (s - min(s) OVER (PARTITION BY reference) + 1) / cast(len AS double) AS score FROM raw)"""
+BEST_SQL = f"{SCORES_SQL}, best AS (SELECT query, reference, max(score) AS score FROM scores GROUP BY query, reference)"
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.normalised_scores(bridge.alignments(spark, sf_dir, "l_suppkey"))
+
+
+@_query(f"WITH {SCORES_SQL} SELECT query, reference, round(score, 9) AS score FROM scores")
+def aln_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scores(spark, sf_dir), 9)
+
+
+@_query(f"WITH {BEST_SQL} SELECT query, reference, round(score, 9) AS score FROM best")
+def aln_best_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(align.best_per_pair(_scores(spark, sf_dir)), 9)
+
+
+@_query(f"""WITH {PARTS}, kept AS (SELECT *, as_score IS NULL AS bare FROM aln WHERE ani >= 90),
+modes AS (SELECT reference, len FROM (SELECT reference, len, row_number() OVER (PARTITION BY reference ORDER BY count(*) DESC, len) AS rn FROM kept GROUP BY reference, len) WHERE rn = 1)
+SELECT k.reference, count(DISTINCT query_name) AS n_reads, count(*) AS n_alns, round(avg(k.len), 6) AS read_length_mean, round(stddev_samp(k.len), 6) AS read_length_std,
+  min(k.len) AS read_length_min, max(k.len) AS read_length_max, cast(median(k.len) AS double) AS read_length_median, any_value(m.len) AS read_length_mode,
+  round(avg(k.len), 6) AS read_aligned_length,
+  CASE WHEN bool_or(bare) THEN NULL ELSE round(avg(as_score), 6) END AS read_aln_score,
+  CASE WHEN bool_or(mapping_quality = 255) THEN NULL ELSE round(avg(mapping_quality), 6) END AS mapping_quality,
+  CASE WHEN bool_or(bare) THEN NULL ELSE round(avg(nm), 6) END AS edit_distances,
+  CASE WHEN bool_or(bare) THEN NULL ELSE round(avg(ani), 6) END AS read_ani_mean,
+  CASE WHEN bool_or(bare) THEN NULL ELSE round(stddev_samp(ani), 6) END AS read_ani_std,
+  CASE WHEN bool_or(bare) THEN NULL ELSE round(median(ani), 6) END AS read_ani_median
+FROM kept k JOIN modes m USING (reference) GROUP BY k.reference""")
+def ref_read_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(refstats.read_stats(_kept(spark, sf_dir)).drop("gc_content"))
+
+
+@_query(f"WITH {PARTS} SELECT query_name AS read, count(*) AS count FROM aln WHERE ani >= 90 GROUP BY query_name")
+def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.read_hits(_kept(spark, sf_dir))
+
+
+@_query(f"""WITH {PARTS}, c AS (SELECT reference, len, count(*) AS n FROM aln WHERE ani >= 90 GROUP BY reference, len),
+f AS (SELECT reference, len, round(n / sum(n) OVER (PARTITION BY reference), 6) AS freq FROM c)
+SELECT reference, string_agg(cast(len AS varchar), ',' ORDER BY len) AS lengths, count(*) AS n_lengths, round(sum(freq), 4) AS total FROM f GROUP BY reference""")
+def read_length_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = align.read_length_frequencies(_kept(spark, sf_dir))
+    total = F.aggregate(F.transform("freq", lambda f: F.round(f, 6)), F.lit(0.0), lambda a, b: a + b)
+    return x.select("reference", F.array_join(F.col("length").cast("array<string>"), ",").alias("lengths"), F.size("length").cast("bigint").alias("n_lengths"), F.round(total, 4).alias("total"))
+
+
+@_query("""SELECT source, sum(length(text) - length(translate(text, 'GC', ''))) ::bigint AS gc, sum(length(text))::bigint AS bases,
+  round(sum(length(text) - length(translate(text, 'GC', ''))) / sum(length(text)) * 100, 6) AS gc_content FROM documents GROUP BY source""")
+def gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bridge.table(spark, sf_dir, "documents")
+    x = docs.groupBy("source").agg(F.sum(S.gc_count(F.col("text"))).alias("gc"), F.sum(F.length("text")).alias("bases"))
+    return _rounded(x.withColumn("gc_content", S.ratio(F.col("gc"), F.col("bases")) * 100))
+
+
+# -- coverage ---------------------------------------------------------------------------------------------------------
+
+SEGMENTS_SQL = f"""{PARTS}, kept AS (SELECT reference, reference_start AS s, reference_end AS e FROM aln WHERE ani >= 90),
+ends AS (SELECT reference, s AS pos, 1 AS d FROM kept UNION ALL SELECT reference, e, -1 FROM kept UNION ALL SELECT DISTINCT reference, 0, 0 FROM kept UNION ALL SELECT DISTINCT reference, 2600, 0 FROM kept),
+net AS (SELECT reference, pos, sum(d) AS d FROM ends GROUP BY reference, pos),
+swept AS (SELECT reference, pos AS a, lead(pos) OVER w AS b, sum(d) OVER w AS depth FROM net WINDOW w AS (PARTITION BY reference ORDER BY pos)),
+raw AS (SELECT reference, a, b, cast(depth AS bigint) AS depth FROM swept WHERE b > a),
+segs AS (SELECT reference, greatest(a, 0) AS a, least(b, 2600) AS b, depth, least(b, 2600) - greatest(a, 0) AS n FROM raw WHERE least(b, 2600) > greatest(a, 0))"""
+
+
+def _segments(spark: SparkSession, sf_dir: str, clipped: bool = True) -> DataFrame:
+    refs = bridge.part_references(spark, sf_dir)
+    segs = coverage.segments(_kept(spark, sf_dir), refs)
+    return coverage.clip(segs, refs) if clipped else segs
+
+
+@_query(f"WITH {SEGMENTS_SQL} SELECT reference, a AS seg_start, b AS seg_end, depth FROM segs")
+def coverage_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
+@_query(f"""WITH {PARTS}, iv AS (SELECT reference, reference_start AS s, reference_end AS e, max(reference_end) OVER (PARTITION BY reference ORDER BY reference_start, reference_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM aln WHERE ani >= 90),
+num AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY reference ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM iv)
+SELECT reference, min(s) AS "start", max(e) AS "end" FROM num GROUP BY reference, island""")
+def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.islands(_segments(spark, sf_dir, clipped=False))
+
+
+@_query(f"""WITH {SEGMENTS_SQL} SELECT reference, cast(sum(n) FILTER (depth > 0) AS bigint) AS bases_covered, round(sum(depth * n) / 2600.0, 6) AS coverage_mean,
+  round(sum(depth * n) / sum(n) FILTER (depth > 0), 6) AS coverage_covered_mean, round(sum(n) FILTER (depth > 0) / 2600.0, 6) AS breadth,
+  round(1 - exp(-sum(depth * n) / 2600.0), 6) AS exp_breadth,
+  round(least(1, (sum(n) FILTER (depth > 0) / 2600.0) / (1 - exp(-sum(depth * n) / 2600.0))), 6) AS breadth_exp_ratio,
+  round((sum(depth * depth * n) - cast(sum(depth * n) AS double) * sum(depth * n) / sum(n) FILTER (depth > 0)) / (sum(n) FILTER (depth > 0) - 1) / (sum(depth * n) / 2600.0), 6) AS d_i
+FROM segs GROUP BY reference""")
+def coverage_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = coverage.depth_stats(coverage.depth_histogram(_segments(spark, sf_dir)))
+    mean, breadth = F.col("depth_sum") / 2600, F.col("bases_covered") / 2600
+    expected = 1 - F.exp(-mean)
+    return _rounded(x.select("reference", "bases_covered", mean.alias("coverage_mean"), S.ratio(F.col("depth_sum"), F.col("bases_covered")).alias("coverage_covered_mean"), breadth.alias("breadth"), expected.alias("exp_breadth"), F.least(breadth / expected, F.lit(1.0)).alias("breadth_exp_ratio"), S.ratio(F.col("cov_var"), mean).alias("d_i")))
+
+
+TAD_SQL = f"""{SEGMENTS_SQL}, pos AS (SELECT reference, depth, unnest(range(n)) AS k FROM segs),
+q AS (SELECT reference, quantile_cont(depth, 0.1) AS lo, quantile_cont(depth, 0.9) AS hi FROM pos GROUP BY reference),
+tad AS (SELECT s.reference, sum(depth * n) FILTER (depth BETWEEN lo AND hi) AS t, sum(n) FILTER (depth BETWEEN lo AND hi) AS m FROM segs s JOIN q USING (reference) GROUP BY s.reference)"""
+
+
+@_query(f"WITH {TAD_SQL} SELECT reference, CASE WHEN t > 0 THEN round(t / m, 6) ELSE 0.0 END AS coverage_mean_trunc, CASE WHEN t > 0 THEN cast(m AS bigint) ELSE 0 END AS coverage_mean_trunc_len FROM tad")
+def coverage_tad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = coverage.depth_stats(coverage.depth_histogram(_segments(spark, sf_dir)))
+    return _rounded(x.select("reference", "coverage_mean_trunc", "coverage_mean_trunc_len"))
+
+
+@_query(f"""WITH {SEGMENTS_SQL}, lv AS (SELECT reference, round_even(sum(depth * n) / sum(n), 0) AS c FROM segs GROUP BY reference),
+low AS (SELECT s.reference, any_value(c) AS c, sum(n) AS total, sum(n) FILTER (depth <= c) AS m, sum(depth * n) FILTER (depth <= c) AS t FROM segs s JOIN lv USING (reference) GROUP BY s.reference)
+SELECT reference, round(CASE WHEN m IS NULL THEN 1.0 WHEN c <= 0 THEN 0.0 ELSE 1 - (m - t / c) / total END, 6) AS cov_evenness FROM low""")
+def coverage_evenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(coverage.depth_stats(coverage.depth_histogram(_segments(spark, sf_dir))).select("reference", "cov_evenness"))
+
+
+HIST_SQL = f"""{SEGMENTS_SQL}, cov AS (SELECT reference, unnest(range(a, b)) AS x FROM segs WHERE depth > 0),
+st AS (SELECT reference, count(*) AS n, max(x) - min(x) AS spread, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM cov GROUP BY reference),
+wd AS (SELECT reference, n, 2 * iqr / pow(n, 1.0 / 3) AS fd, spread / (log2(n) + 1) AS st FROM st),
+nb AS (SELECT reference, n, CASE WHEN (CASE WHEN fd > 0 THEN least(fd, st) ELSE st END) > 0 THEN cast(ceil(2600.0 / (CASE WHEN fd > 0 THEN least(fd, st) ELSE st END)) AS bigint) ELSE 1 END AS nb FROM wd),
+hist AS (SELECT c.reference, c.x * nb // 2600 AS bin, count(*) AS c, any_value(nb) AS nb, any_value(n) AS n FROM cov c JOIN nb USING (reference) GROUP BY c.reference, c.x * nb // 2600)"""
+
+
+def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    refs = bridge.part_references(spark, sf_dir)
+    isles = coverage.islands(_segments(spark, sf_dir))
+    bins = coverage.bin_counts(isles, refs)
+    return coverage.position_histogram(isles, bins), bins
+
+
+@_query(f"WITH {HIST_SQL} SELECT reference, cast(bin AS bigint) AS bin, c FROM hist")
+def position_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histogram(spark, sf_dir)[0]
+
+
+@_query(f"""WITH {HIST_SQL}, allbins AS (SELECT reference, nb, n, unnest(range(nb)) AS bin FROM (SELECT DISTINCT reference, nb, n FROM hist)),
+filled AS (SELECT a.reference, a.nb, a.n, coalesce(h.c, 0) AS c FROM allbins a LEFT JOIN hist h ON a.reference = h.reference AND a.bin = h.bin),
+cum AS (SELECT reference, nb, n, c, sum(c) OVER (PARTITION BY reference ORDER BY c, rowid_ ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, row_number() OVER () AS rowid_ FROM filled)),
+g AS (SELECT reference, any_value(nb) AS nb, any_value(n) AS n, -sum(CASE WHEN c > 0 THEN c / n * ln(c / n) ELSE 0 END) AS h, 1 - 2 * ((sum(run) / any_value(n) - 0.5) / any_value(nb)) AS gini FROM cum GROUP BY reference),
+k AS (SELECT *, n // nb AS q, n % nb AS r, nb - n % nb AS m FROM g),
+lim AS (SELECT *, -(m * CASE WHEN q > 0 THEN (q / n) * ln(q / n) ELSE 0 END + r * ((q + 1) / n) * ln((q + 1) / n)) AS hmax,
+  1 - 2 * (((q * m * (m + 1) / 2 + r * q * m + (q + 1) * r * (r + 1) / 2) / n - 0.5) / nb) AS gmin FROM k)
+SELECT reference, nb + 1 AS n_bins, round(h, 6) AS entropy, round(CASE WHEN n = 1 THEN 1 WHEN nb > 1 THEN h / hmax END, 6) AS norm_entropy, round(gini, 6) AS gini,
+  round(CASE WHEN abs(1 - 1.0 / nb - gmin) < 1e-12 THEN 0 ELSE (gini - gmin) / (1 - 1.0 / nb - gmin) END, 6) AS norm_gini FROM lim""")
+def entropy_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inequality.distribution_stats(*_histogram(spark, sf_dir)))
+
+
+@_query()
+def reference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(refstats.reference_stats(bridge.alignments(spark, sf_dir), bridge.part_references(spark, sf_dir)))
+
+
+FILTERED_SQL = f"""{SEGMENTS_SQL}, r AS (SELECT reference, count(DISTINCT query_name) AS n_reads, avg(len) AS l, CASE WHEN bool_or(as_score IS NULL) THEN NULL ELSE avg(ani) END AS a FROM aln WHERE ani >= 90 GROUP BY reference),
+c AS (SELECT reference, sum(depth * n) / 2600.0 AS mean, sum(n) FILTER (depth > 0) / 2600.0 AS breadth, sum(n) FILTER (depth > 0) AS bc, sum(depth * n) AS s1, sum(depth * depth * n) AS s2, round_even(sum(depth * n) / 2600.0, 0) AS lv FROM segs GROUP BY reference),
+ev AS (SELECT s.reference, CASE WHEN sum(n) FILTER (depth <= lv) IS NULL THEN 1.0 WHEN any_value(lv) <= 0 THEN 0.0 ELSE 1 - (sum(n) FILTER (depth <= lv) - sum(depth * n) FILTER (depth <= lv) / any_value(lv)) / sum(n) END AS e FROM segs s JOIN c USING (reference) GROUP BY s.reference),
+f AS (SELECT reference, n_reads, l, a, breadth, mean, least(1, breadth / (1 - exp(-mean))) AS ratio, sqrt((s2 - cast(s1 AS double) * s1 / bc) / (bc - 1)) / mean AS cv, e FROM r JOIN c USING (reference) JOIN ev USING (reference))"""
+FIXED = {"min_breadth": 0.15, "min_expected_breadth_ratio": 0.5, "min_coverage_evenness": 0.05, "min_coeff_var": 2.5, "min_norm_entropy": None, "min_norm_gini": None, "min_read_count": 5}
+CONDITIONS = "n_reads >= 5 AND l >= 30 AND a >= 90 AND ratio >= 0.5 AND breadth >= 0.15 AND {e} >= 0.05 AND cv <= 2.5"
+
+
+def _passing(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    config = FilterConfig(**options)
+    stats = refstats.reference_stats(bridge.alignments(spark, sf_dir), bridge.part_references(spark, sf_dir), config)
+    good = refilter.passing(stats, config, refilter.thresholds(stats, config))
+    return _rounded(good.select("reference", "n_reads", "breadth", "coverage_mean"))
+
+
+@_query(f"WITH {FILTERED_SQL} SELECT reference, n_reads, round(breadth, 6) AS breadth, round(mean, 6) AS coverage_mean FROM f WHERE {CONDITIONS.format(e='e')}")
+def ref_filter_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passing(spark, sf_dir, **FIXED)
+
+
+@_query(f"WITH {FILTERED_SQL} SELECT reference, n_reads, round(breadth, 6) AS breadth, round(mean, 6) AS coverage_mean FROM f WHERE {CONDITIONS.format(e='(CASE WHEN round_even(mean, 0) < 1 THEN 1 ELSE e END)')}")
+def ref_filter_low_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passing(spark, sf_dir, **FIXED, include_low_detection=True)
+
+
+@_query()
+def ref_filter_auto_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passing(spark, sf_dir, min_norm_entropy="auto", min_norm_gini="auto")
+
+
+# -- reassignment -----------------------------------------------------------------------------------------------------
+
+INIT_SQL = f"{BEST_SQL}, {SQL_SUPPLIERS}, e0 AS (SELECT query, reference, cast(reference_length AS double) AS slen, score / sum(score) OVER (PARTITION BY query) AS prob, count(*) OVER (PARTITION BY query) AS n_aln FROM best JOIN refs USING (reference))"
+
+
+def _pass_sql(k: int) -> str:
+    a, b = f"e{k - 1}", f"e{k}"
+    return f"""w{k} AS (SELECT reference, sum(prob) / any_value(slen) AS w FROM {a} GROUP BY reference),
+x{k} AS (SELECT query, reference, slen, prob * w / sum(prob * w) OVER (PARTITION BY query) AS prob, count(*) OVER (PARTITION BY query) AS n_aln FROM {a} JOIN w{k} USING (reference)),
+{b} AS (SELECT query, reference, slen, prob, n_aln FROM (SELECT *, max(prob) OVER (PARTITION BY query) AS top FROM x{k}) WHERE n_aln = 1 OR prob >= top * 0.9)"""
+
+
+def _em_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return em.initial(align.best_per_pair(_scores(spark, sf_dir)), bridge.supplier_references(spark, sf_dir))
+
+
+@_query(f"WITH {INIT_SQL} SELECT query, reference, round(prob, 9) AS prob, n_aln FROM e0")
+def em_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_em_start(spark, sf_dir).select("query", "reference", "prob", "n_aln"), 9)
+
+
+@_query(f"WITH {INIT_SQL}, {_pass_sql(1)} SELECT query, reference, round(prob, 9) AS prob FROM e1")
+def em_iter1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(em.unroll(_em_start(spark, sf_dir), 1, 0.9).select("query", "reference", "prob"), 9)
+
+
+@_query(f"WITH {INIT_SQL}, {_pass_sql(1)}, {_pass_sql(2)}, {_pass_sql(3)} SELECT query, reference, round(prob, 9) AS prob FROM e3")
+def em_iter3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(em.unroll(_em_start(spark, sf_dir), 3, 0.9).select("query", "reference", "prob"), 9)
+
+
+@_query()
+def em_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(em.resolve(_em_start(spark, sf_dir)).select("query", "reference", "prob", "iter", "n_aln"), 9)
+
+
+@_query()
+def em_survivor_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pipelines.reassign(bridge.alignments(spark, sf_dir, "l_suppkey"), bridge.supplier_references(spark, sf_dir).select("reference", "bam_reference_length"), ReassignConfig())
+    return out.alignments.select("query_name", "reference", "reference_start", "reference_end", "nm")
+
+
+# -- last common ancestors --------------------------------------------------------------------------------------------
+
+HITS_SQL = f"""{SUPPLIERS}, {SQL_PATHS}, {SQL_SUPPLIERS}, hits AS (SELECT DISTINCT query_name AS read, p.* FROM aln JOIN paths p USING (reference)),
+per AS (SELECT read, count(*) AS n_paths, count(DISTINCT n1) AS d1, count(DISTINCT n2) AS d2, count(DISTINCT n3) AS d3, min(n1) AS n1, min(n2) AS n2, min(n3) AS n3 FROM hits GROUP BY read),
+lca AS (SELECT read, n_paths, CASE WHEN d3 = 1 THEN 4 WHEN d2 = 1 THEN 3 WHEN d1 = 1 THEN 2 ELSE 1 END AS depth, n1, n2, n3 FROM per),
+cnt AS (SELECT CASE WHEN n_paths = 1 THEN 'unique' ELSE 'lca' END AS kind, depth, CASE WHEN depth >= 2 THEN n1 END AS n1, CASE WHEN depth >= 3 THEN n2 END AS n2, CASE WHEN depth >= 4 THEN n3 END AS n3, count(*) AS reads FROM lca WHERE depth > 2 GROUP BY ALL),
+uw AS (SELECT c.n1, c.n2, c.n3, p.reference, c.reads AS w, cast(round_even(c.reads / cast(r.reference_length AS double) * 1000000, 0) AS bigint) AS nw FROM cnt c JOIN paths p ON c.n3 = p.n3 JOIN refs r USING (reference) WHERE kind = 'unique')"""
+UP_SQL = """SELECT 'root' AS node, 'root' AS tax_path, sum(w) AS n_reads, sum(nw) AS abundance FROM {x} UNION ALL
+SELECT n1, 'root;' || n1, sum(w), sum(nw) FROM {x} GROUP BY n1 UNION ALL
+SELECT n2, 'root;' || n1 || ';' || n2, sum(w), sum(nw) FROM {x} WHERE n3 IS NOT NULL GROUP BY n1, n2"""
+LIKELY_SQL = f"""{HITS_SQL}, up AS ({UP_SQL.format(x='uw')}),
+like_ AS (SELECT u.n2 AS node, u.reference, cast(c.n_reads + u.w AS double) AS likelihood FROM uw u JOIN up c ON c.node = u.n2 WHERE u.n2 IN (SELECT n2 FROM cnt WHERE kind = 'lca')),
+best AS (SELECT node, reference, likelihood FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY likelihood DESC, reference) AS rn FROM like_) WHERE rn = 1)"""
+SUMMARY_SQL = f"""{LIKELY_SQL}, lw AS (SELECT n1, n2, CAST(NULL AS varchar) AS n3, reads AS w, CASE WHEN b.reference IS NULL THEN reads ELSE cast(round_even(1000000.0 * reads / r.reference_length, 0) AS bigint) END AS nw
+  FROM cnt c LEFT JOIN best b ON b.node = c.n2 LEFT JOIN refs r ON r.reference = b.reference WHERE kind = 'lca'),
+both_ AS (SELECT n1, n2, n3, w, nw FROM uw UNION ALL SELECT n1, n2, n3, w, nw FROM lw)"""
+
+
+def _lca_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return bridge.alignments(spark, sf_dir, "l_suppkey"), bridge.supplier_paths(spark, sf_dir)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lca.path_counts(lca.classify(lca.read_lca(*_lca_inputs(spark, sf_dir)), RANK_INDEX))
+
+
+def _weights(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    return lca.unique_weights(counts, bridge.supplier_references(spark, sf_dir), 1e6)
+
+
+@_query(f"WITH {SQL_PATHS} SELECT reference, n0 || ';' || n1 || ';' || n2 || ';' || n3 AS tax_path FROM paths")
+def tax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.supplier_paths(spark, sf_dir).select("reference", F.array_join("path", ";").alias("tax_path"))
+
+
+@_query(f"WITH {SQL_PATHS} SELECT DISTINCT n0 AS source, n1 AS target FROM paths UNION SELECT n1, n2 FROM paths UNION SELECT n2, n3 FROM paths")
+def tax_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lca.edges(bridge.supplier_paths(spark, sf_dir))
+
+
+@_query(f"WITH {HITS_SQL} SELECT read, n_paths, 'root' || CASE WHEN depth >= 2 THEN ';' || n1 ELSE '' END || CASE WHEN depth >= 3 THEN ';' || n2 ELSE '' END || CASE WHEN depth >= 4 THEN ';' || n3 ELSE '' END AS tax_path FROM lca")
+def read_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lca.read_lca(*_lca_inputs(spark, sf_dir))
+    return x.select("read", F.col("n_paths").cast("bigint").alias("n_paths"), F.array_join("path", ";").alias("tax_path"))
+
+
+@_query(f"WITH {HITS_SQL}, up AS ({UP_SQL.format(x='uw')}) SELECT node AS name, cast(n_reads AS bigint) AS n_reads, cast(abundance AS bigint) AS abundance, tax_path FROM up")
+def tax_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lca.roll_up(_weights(spark, sf_dir, _counts(spark, sf_dir)))
+    return x.select(F.col("node").alias("name"), "n_reads", "abundance", F.array_join("prefix", ";").alias("tax_path"))
+
+
+@_query(f"WITH {LIKELY_SQL} SELECT node, reference, likelihood FROM best")
+def lca_best_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counts(spark, sf_dir)
+    nodes = counts.filter("kind = 'lca'").select(F.element_at("path", -1).alias("node"))
+    return lca.best_continuation(lca.continuations(_weights(spark, sf_dir, counts), nodes))
+
+
+@_query(f"WITH {LIKELY_SQL} SELECT node, reference, likelihood, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY likelihood DESC, reference) AS place FROM like_) WHERE place <= 10")
+def lca_top_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counts(spark, sf_dir)
+    nodes = counts.filter("kind = 'lca'").select(F.element_at("path", -1).alias("node"))
+    return lca.top_continuations(lca.continuations(_weights(spark, sf_dir, counts), nodes))
+
+
+@_query(f"WITH {SUMMARY_SQL} SELECT n1, n2, w AS weight, nw AS norm_weight FROM lw")
+def lca_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counts(spark, sf_dir)
+    lengths = bridge.supplier_references(spark, sf_dir)
+    x = lca.lca_weights(counts, _weights(spark, sf_dir, counts), lengths, RANK_INDEX, 1e6)
+    return x.select(F.col("path")[1].alias("n1"), F.col("path")[2].alias("n2"), "weight", "norm_weight")
+
+
+@_query(f"WITH {SUMMARY_SQL}, up2 AS ({UP_SQL.format(x='both_')}) SELECT node AS name, cast(n_reads AS bigint) AS n_reads, cast(abundance AS bigint) AS abundance, tax_path FROM up2 WHERE n_reads > 0")
+def lca_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alns, paths = _lca_inputs(spark, sf_dir)
+    return pipelines.lca_from_paths(alns, paths, bridge.supplier_references(spark, sf_dir), RANK_INDEX)
+
+
+TAD_STATS_SQL = """ts AS (SELECT cast(s_suppkey AS varchar) AS reference, 12 AS s_reads, cast(4 + s_suppkey % 5 AS bigint) AS s_tad, 900.0 AS s_len FROM supplier WHERE s_suppkey % 2 = 0),
+tw AS (SELECT u.n1, u.n2, u.n3, CASE WHEN t.s_tad IS NULL THEN u.w WHEN u.w <= s_reads AND u.w > s_tad THEN s_tad ELSE 0 END AS w,
+  CASE WHEN t.s_tad IS NULL THEN u.nw WHEN u.w <= s_reads AND u.w > s_tad THEN cast(round_even(s_tad / s_len * 1000000, 0) AS bigint) ELSE 0 END AS nw FROM uw u LEFT JOIN ts t USING (reference))"""
+
+
+@_query(f"WITH {HITS_SQL}, {TAD_STATS_SQL}, up AS ({UP_SQL.format(x='tw')}) SELECT node AS name, cast(n_reads AS bigint) AS n_reads, cast(abundance AS bigint) AS abundance, tax_path FROM up WHERE n_reads > 0")
+def lca_summary_tad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    stats = bridge.table(spark, sf_dir, "supplier").filter(key % 2 == 0).select(key.cast("string").alias("reference"), F.lit(12).alias("n_reads"), (key % 5 + 4).cast("bigint").alias("n_reads_tad"), F.lit(900.0).alias("coverage_mean_trunc_len"))
+    weights = lca.unique_weights(_counts(spark, sf_dir), bridge.supplier_references(spark, sf_dir), 1e6, stats)
+    x = lca.roll_up(weights).filter("n_reads > 0")
+    return x.select(F.col("node").alias("name"), "n_reads", "abundance", F.array_join("prefix", ";").alias("tax_path"))
+
