@@ -99,7 +99,7 @@ def depth_stats(hist: DataFrame, trim_min: int = 10, trim_max: int = 90) -> Data
     evenness = F.when(F.col("low_n").isNull(), 1.0).when(F.col("level") <= 0, 0.0).otherwise(1 - (F.col("low_n") - F.col("low_sum") / F.nullif(F.col("level"), F.lit(0.0))) / F.col("vector_length"))
     return out.select(
         "reference", "vector_length", "depth_sum", "bases_covered",
-        F.greatest(variance, F.lit(0.0)).alias("cov_var"),
+        F.when(variance < 0, 0.0).otherwise(variance).alias("cov_var"),
         F.when(some, F.col("tad_sum") / F.col("tad_n")).otherwise(0.0).alias("coverage_mean_trunc"),
         F.when(some, F.col("tad_n")).otherwise(0).cast("bigint").alias("coverage_mean_trunc_len"),
         evenness.alias("cov_evenness"),

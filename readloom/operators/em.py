@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-BY_QUERY = Window.partitionBy("query")
+def _by_query() -> WindowSpec:
+    return Window.partitionBy("query")
 
 
 def initial(scores: DataFrame, lengths: DataFrame) -> DataFrame:
     """query, reference, slen, prob (scores scaled to 1 per query), iter, n_aln. lengths: reference, reference_length."""
     sized = scores.join(lengths.select("reference", F.col("reference_length").cast("double").alias("slen")), "reference")
-    return sized.select("query", "reference", "slen", (F.col("score") / F.sum("score").over(BY_QUERY)).alias("prob"), F.lit(0).alias("iter"), F.count(F.lit(1)).over(BY_QUERY).alias("n_aln"))
+    return sized.select("query", "reference", "slen", (F.col("score") / F.sum("score").over(_by_query())).alias("prob"), F.lit(0).alias("iter"), F.count(F.lit(1)).over(_by_query()).alias("n_aln"))
 
 
 def step(state: DataFrame) -> DataFrame:
@@ -25,12 +26,12 @@ def step(state: DataFrame) -> DataFrame:
     """
     weights = state.groupBy("reference").agg((F.sum("prob") / F.first("slen")).alias("weight"))
     weighed = state.join(weights, "reference").withColumn("new", F.col("prob") * F.col("weight"))
-    return weighed.select("query", "reference", "slen", (F.col("new") / F.sum("new").over(BY_QUERY)).alias("prob"), "iter", F.count(F.lit(1)).over(BY_QUERY).alias("n_aln"))
+    return weighed.select("query", "reference", "slen", (F.col("new") / F.sum("new").over(_by_query())).alias("prob"), "iter", F.count(F.lit(1)).over(_by_query()).alias("n_aln"))
 
 
 def with_verdict(state: DataFrame, scale: float, number: int) -> DataFrame:
     """stays: whether the alignment is its query's only one or near enough to the most probable."""
-    near = F.col("prob") >= F.max("prob").over(BY_QUERY) * scale
+    near = F.col("prob") >= F.max("prob").over(_by_query()) * scale
     stays = (F.col("n_aln") == 1) | near
     return state.withColumn("stays", stays).withColumn("iter", F.when((F.col("n_aln") > 1) & near, number).otherwise(F.col("iter")))
 
@@ -57,7 +58,7 @@ def resolve(state: DataFrame, iters: int = 25, scale: float = 0.9, report: Calla
             report(number, removed)
         state = now.filter("stays").drop("stays")
         if not multi or not removed or 0 < iters <= number:
-            return state.withColumn("n_aln", F.count(F.lit(1)).over(BY_QUERY))
+            return state.withColumn("n_aln", F.count(F.lit(1)).over(_by_query()))
 
 
 def frequent_survivors(state: DataFrame, min_read_count: int) -> DataFrame:
