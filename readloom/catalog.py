@@ -13,6 +13,7 @@ from .config import FilterConfig, ReassignConfig
 from .functions import scalar as S
 from .operators import align, coverage, em, inequality, lca, refilter, refstats
 from .plans import pipelines
+from .session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,7 +212,7 @@ hist AS (SELECT c.reference, c.x * nb // 2600 AS bin, count(*) AS c, any_value(n
 
 def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     refs = bridge.part_references(spark, sf_dir)
-    isles = coverage.islands(_segments(spark, sf_dir))
+    isles = coverage.clip_islands(coverage.islands(_segments(spark, sf_dir, clipped=False)), refs)
     bins = coverage.bin_counts(isles, refs)
     return coverage.position_histogram(isles, bins), bins
 
@@ -250,6 +251,8 @@ CONDITIONS = "n_reads >= 5 AND l >= 30 AND a >= 90 AND ratio >= 0.5 AND breadth
 def _passing(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     config = FilterConfig(**options)
     stats = refstats.reference_stats(bridge.alignments(spark, sf_dir), bridge.part_references(spark, sf_dir), config)
+    if config.min_norm_entropy == "auto":
+        stats = cut(stats)  # read twice: for the curve and for the verdict
     good = refilter.passing(stats, config, refilter.thresholds(stats, config))
     return _rounded(good.select("reference", "n_reads", "breadth", "coverage_mean"))
 

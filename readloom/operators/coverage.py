@@ -15,8 +15,8 @@ TILE = 1 << 18
 
 
 def segments(alignments: DataFrame, references: DataFrame, tile: int = TILE) -> DataFrame:
-    """reference, seg_start, seg_end, depth: stretches of equal depth from 0 to the end of the reference (or of the
-    last alignment past it). A stretch may be cut in equal parts where tiles meet."""
+    """reference, tile, seg_start, seg_end, depth: stretches of equal depth from 0 to the end of the reference (or of
+    the last alignment past it). A stretch may be cut in equal parts where tiles meet."""
     ends = alignments.select("reference", F.greatest(F.col("reference_start"), F.lit(0)).alias("s"), F.greatest(F.col("reference_end"), F.lit(0)).alias("e")).filter("e > s")
     steps = ends.select("reference", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("x")).select("reference", "x.*")
     # Tiles have to begin and end somewhere even where no alignment does.
@@ -31,6 +31,7 @@ def segments(alignments: DataFrame, references: DataFrame, tile: int = TILE) ->
     within = Window.partitionBy("reference", "tile").orderBy("pos")
     swept = deltas.join(carried, ["reference", "tile"]).select(
         "reference",
+        "tile",
         F.col("pos").alias("seg_start"),
         F.coalesce(F.lead("pos").over(within), F.col("next_tile") * tile).alias("seg_end"),
         (F.sum("delta").over(within) + F.col("carry")).alias("depth"),
@@ -55,11 +56,16 @@ def depth_histogram(segs: DataFrame) -> DataFrame:
 def islands(segs: DataFrame) -> DataFrame:
     """reference, start, end of the maximal covered stretches: the alignments' intervals merged, book-ended ones too.
 
-    Covered stretches that touch are joined within a block of positions first; only what is left, one row for each
-    island and block, is ordered by reference.
+    Covered stretches that touch are joined within a tile first, where the sweep has them together already; only what
+    is left, one row for each island and tile, is ordered by reference.
     """
-    covered = segs.filter("depth > 0").withColumn("block", F.floor(F.col("seg_start") / TILE))
-    return _joined(_joined(covered, ["reference", "block"], "seg_start", "seg_end"), ["reference"], "start", "end")
+    return _joined(_joined(segs.filter("depth > 0"), ["reference", "tile"], "seg_start", "seg_end"), ["reference"], "start", "end")
+
+
+def clip_islands(isles: DataFrame, references: DataFrame, trim: int = 0) -> DataFrame:
+    """The parts of islands within the reference less ``trim`` bases at both ends, as ``clip`` cuts segments."""
+    cut = clip(isles.select("reference", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.lit(1).alias("depth")), references, trim)
+    return cut.select("reference", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
 
 
 def _joined(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -43,8 +43,9 @@ def coverage_stats(alignments: DataFrame, references: DataFrame, config: FilterC
     raw = coverage.segments(alignments, references)
     segs = coverage.clip(raw, references, config.trim_ends)
     depth = coverage.depth_stats(coverage.depth_histogram(segs), config.trim_min, config.trim_max)
-    merged = coverage.merged_interval_stats(coverage.islands(raw))
-    isles = coverage.islands(segs)
+    whole = coverage.islands(raw)
+    merged = coverage.merged_interval_stats(whole)
+    isles = coverage.clip_islands(whole, references, config.trim_ends)
     bins = coverage.bin_counts(isles, references, config.bin_rule)
     spread = inequality.distribution_stats(coverage.position_histogram(isles, bins), bins)
     return depth.join(merged, "reference", "left").join(spread, "reference", "left")
