@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, gram_hashes, sliding_min
+from .kernels import U, gram_hashes, mix64, sliding_min
 from .runtime import Scratch, prepare
 
 LENGTH = 100
@@ -40,7 +40,7 @@ HOT = 100_000
 HOT_HASHES = 1_000_000
 #: Text in a bucket, and strings expected in a range.
 BUCKET_BYTES = 8 << 20
-RANGE_STRINGS = 1_000_000
+RANGE_STRINGS = 150_000
 #: Windows looked at together within one hash; more are handled in several passes.
 WINDOWS = 1_000_000
 CHUNK = 1 << 15
@@ -58,7 +58,8 @@ def window_minima(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[
     pad = np.full(grams - 1, U(0xFFFFFFFFFFFFFFFF))
     inverse = ~np.concatenate([~pad, least, ~pad])
     greatest = np.concatenate([~sliding_min(inverse[at : at + CHUNK + grams - 1], grams) for at in range(0, len(h), CHUNK)])
-    return least, h[greatest[: len(h)] == h]
+    # Least hashes are small: mixed again they spread evenly over the ranges.
+    return mix64(least), mix64(h[greatest[: len(h)] == h])
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -131,9 +132,11 @@ def _repeated(table: pa.Table, hot: int) -> pa.Table:
     h, owner = np.concatenate([many, h]), np.concatenate([np.full(len(many), -1), owner])
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
-    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(h) else np.empty(0, int)
+    if not len(h):
+        return pa.table({"bucket": pa.array([], pa.int64()), "flags": pa.array([], pa.binary())})
+    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     ends = np.append(at[1:], len(owner))
-    blobs = [_pack(h[a:b]) for a, b in zip(at, ends, strict=True) if b > a]
+    blobs = [_pack(h[a:b]) for a, b in zip(at, ends, strict=True)]
     return pa.table({"bucket": pa.array(owner[at], pa.int64()), "flags": pa.array(blobs, pa.binary())})
 
 
