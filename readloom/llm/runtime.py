@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -53,11 +55,17 @@ class Scratch:
     @classmethod
     def table(cls, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet in the shared folder and read it back."""
-        spark = df.sparkSession
+        spark, schema = df.sparkSession, df.schema
         path = f"{scratch_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         cls._made.append((spark, path))
-        return spark.read.schema(df.schema).parquet(path)
+        # The plan that made the table is done: its shuffle files go once nothing refers to it.
+        del df
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+        return spark.read.schema(schema).parquet(path)
 
     @classmethod
     def release(cls) -> None:

@@ -421,14 +421,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
     hot = max(hot, total // HOT_HASHES)
     ready = ready.withColumn("th", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("id", "th"), F.lit(buckets)))
     found = ready.filter(F.octet_length("text") >= LENGTH).select("bucket", "text").mapInArrow(lambda b: _occurrences(b, ranges), "range bigint, blob binary")
-    flags = found.groupBy("range").applyInArrow(lambda t: _repeated(t, hot), "bucket bigint, flags binary")
-    flags = Scratch.table(flags, "suffix-flags")
+    flags = Scratch.table(found.groupBy("range").applyInArrow(lambda t: _repeated(t, hot), "bucket bigint, flags binary"), "suffix-flags")
     # No more than HOT_HASHES hashes can occur so often: the list is bounded.
     many = [_unpack(bytes(r[0]), "u8")[0] for r in flags.filter("bucket < 0").select("flags").collect()]
     many = np.unique(np.concatenate(many)) if many else np.empty(0, U)
     flags = flags.filter("bucket >= 0")
-    runs = ready.select("bucket", "id", "th", "text").groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(lambda d, f: _bucket_run(d, f, ranges, many), "range bigint, bucket bigint, blob binary")
-    runs = Scratch.table(runs, "suffix-runs")
+    bucketed = ready.select("bucket", "id", "th", "text").groupBy("bucket")
+    runs = Scratch.table(bucketed.cogroup(flags.groupBy("bucket")).applyInArrow(lambda d, f: _bucket_run(d, f, ranges, many), "range bigint, bucket bigint, blob binary"), "suffix-runs")
     removals = runs.filter("range >= 0").groupBy("range").applyInArrow(_merged, "bucket bigint, blob binary")
     removals = removals.unionByName(runs.filter("range < 0").select("bucket", "blob"))
     out = ready.groupBy("bucket").cogroup(removals.groupBy("bucket")).applyInArrow(lambda d, r: _final(d, r, with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
