@@ -1,7 +1,8 @@
 """Near-duplicate lines by an exact set-similarity join (DataFrame functions only).
 
 A line is the set of its words. Words are ordered by rarity in the corpus; two lines with Jaccard similarity of at
-least t share a word within the first n - ceil(t n) + 1 words of each, so only these prefixes are joined. Length,
+least t share k words within the first n - ceil(t n) + k words of each, so only these prefixes are joined (k grows from
+1 to 4 with the length of the lines). Length,
 positional and bitmap filters cut the candidates, and the words themselves decide. Of a pair the later line goes
 (order: doc_id, then hash of the text, then line number); of equal lines all but the first go.
 
@@ -29,12 +30,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def word_classes(docs: DataFrame, text: str = "text") -> Column:
-    """Array literal: for each hash bucket of words, a logarithmic class of how often they occur in all texts."""
-    words = docs.select(F.explode(F.split(F.col(text), SPACES)).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
+    """Array literal: for each hash bucket of words, a logarithmic class of how often they occur in all texts.
+
+    Texts are cut at blanks only, which is quick; words beside another kind of white space count as one with it.
+    """
+    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
     classes = words.select("b", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("c"))
     rows = {r[0]: r[1] for r in classes.collect()}  # at most BUCKETS rows
     return F.split(F.lit(",".join(str(rows.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
@@ -49,6 +53,10 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, SPACES), lambda w: w != F.lit("")))
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
+
+
 def _line_id() -> Column:
     return F.xxhash64("doc_id", "th", "line_no")
 
@@ -58,15 +66,24 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent) - F.lit(1e-9))
 
 
+def _shared_least(n: Column) -> Column:
+    """Words that two like lines must share in their prefixes; long lines get prefixes longer by as many words less one."""
+    return F.when(n >= 120, 4).when(n >= 80, 3).when(n >= 40, 2).otherwise(1)
+
+
 def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
     """One row per distinct line: its first place, number of words, bitmap, and the hashed rarest words in order."""
     classes = word_classes(docs, text)
-    key = lambda w: F.shiftleft(F.get(classes, _bucket(w)).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
-    lines = _lines(docs, text).withColumn("keys", F.sort_array(F.transform(_words(F.col("line")), key)))
-    lines = lines.filter(F.size("keys") > 0)
+    # Lines without a word are left out before the keys are made: a filter on the keys would make them twice.
+    lines = _lines(docs, text).withColumn("trimmed", _trimmed(F.col("line"))).filter(F.length("trimmed") > 0)
+    words = F.when(F.col("trimmed").rlike("[\t\x0b\x0c\r]"), F.split("trimmed", SPACES)).otherwise(F.split("trimmed", " "))
+    hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rarity = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    key = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    lines = lines.withColumn("keys", F.sort_array(F.transform(hashes, key)))
     n = F.size("keys")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+    prefix = F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + _shared_least(n))
     signed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.struct("doc_id", "th", "line_no").alias("place"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
     # Equal lines agree in all but the place, so partial aggregation leaves one row for each of them in a task.
     firsts = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
@@ -74,7 +91,7 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
 
 
 def candidate_pairs(signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs of line ids that share a prefix word and pass the length, positional and bitmap filters."""
+    """lid1, lid2, hits: pairs of lines that share enough prefix words and pass the length, positional and bitmap filters."""
     entries = signatures.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "w"))
     a, b = entries.alias("a"), entries.alias("b")
     n1, n2 = F.col("a.n"), F.col("b.n")
@@ -83,33 +100,54 @@ def candidate_pairs(signatures: DataFrame, percent: int) -> DataFrame:
         (F.col("a.lid") < F.col("b.lid"))
         & (n1 * 100 >= n2 * percent)
         & (n2 * 100 >= n1 * percent)
-        & (F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need)
+        # what may be shared before this word, and from it on
+        & (F.least("a.pos", "b.pos") + F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need)
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
     )
-    return a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.lid").alias("lid1"), F.col("b.lid").alias("lid2")).distinct()
-
-
-def similar_pairs(docs: DataFrame, pairs: DataFrame, percent: int, text: str = "text") -> DataFrame:
-    """Verified pairs: the places first and later, by the words themselves. pairs: a written table."""
-    ids = pairs.select(F.explode(F.array("lid1", "lid2")).alias("lid")).distinct()
-    ids = Scratch.table(ids, "line-ids")
+    shared = a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.lid").alias("lid1"), F.col("b.lid").alias("lid2"), _shared_least(F.least(n1, n2)).alias("least"))
+    return shared.groupBy("lid1", "lid2").agg(F.count(F.lit(1)).alias("hits"), F.max("least").alias("least")).filter("hits >= least").drop("least")
+
+
+def later_lines(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, percent: int, text: str = "text") -> DataFrame:
+    """lid of every line that is like an earlier one. signatures and pairs: written tables.
+
+    One such line is enough, so each line is first compared with the candidate that shares most prefix words; only
+    lines that this leaves open are compared with all their candidates.
+    """
+    places = signatures.select("lid", F.struct("doc_id", "th", "line_no").alias("place"))
+    one = places.select(F.col("lid").alias("lid1"), F.col("place").alias("p1"))
+    two = places.select(F.col("lid").alias("lid2"), F.col("place").alias("p2"))
+    placed = pairs.join(one, "lid1").join(two, "lid2")
+    before = F.col("p1") < F.col("p2")
+    candidates = placed.select(F.when(before, F.col("lid2")).otherwise(F.col("lid1")).alias("later"), F.struct((-F.col("hits")).alias("hits"), F.when(before, F.col("lid1")).otherwise(F.col("lid2")).alias("lid")).alias("earlier"))
+    candidates = Scratch.table(candidates, "line-candidates")
+    first = candidates.groupBy("later").agg(F.min("earlier").alias("earlier")).select("later", F.col("earlier.lid").alias("earlier"))
+    found = _verified(docs, Scratch.table(first, "line-first"), percent, text)
+    rest = candidates.join(found, "later", "left_anti").select("later", F.col("earlier.lid").alias("earlier"))
+    more = _verified(docs, Scratch.table(rest, "line-rest"), percent, text)
+    return found.unionByName(more).select(F.col("later").alias("lid"))
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, percent: int, text: str) -> DataFrame:
+    """later: the lines that are like their candidate, by the words themselves. candidates: a written table."""
+    ids = Scratch.table(candidates.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct(), "line-ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     lines = _lines(docs, text).withColumn("lid", _line_id()).join(ids, "lid", "left_semi")
-    lines = Scratch.table(lines.select("lid", F.struct("doc_id", "th", "line_no").alias("place"), _words(F.col("line")).alias("words")).dropDuplicates(["lid", "place"]), "line-words")
-    one = lines.select(F.col("lid").alias("lid1"), F.col("place").alias("p1"), F.col("words").alias("w1"))
-    two = lines.select(F.col("lid").alias("lid2"), F.col("place").alias("p2"), F.col("words").alias("w2"))
-    both = pairs.join(one, "lid1").join(two, "lid2")
-    shared = F.size(F.array_intersect("w1", "w2"))
-    alike = both.filter(shared * 100 >= (F.size("w1") + F.size("w2") - shared) * percent)
-    return alike.select(F.least("p1", "p2").alias("first"), F.greatest("p1", "p2").alias("later"))
+    lines = Scratch.table(lines.select("lid", "line"), "line-texts")
+    one = lines.select(F.col("lid").alias("later"), F.col("line").alias("l1"))
+    two = lines.select(F.col("lid").alias("earlier"), F.col("line").alias("l2"))
+    both = candidates.join(one, "later").join(two, "earlier").select("later", _words(F.col("l1")).alias("w1"), _words(F.col("l2")).alias("w2"))
+    counted = both.select("later", (F.size("w1") + F.size("w2")).alias("n"), F.size(F.array_intersect("w1", "w2")).alias("shared"))
+    alike = counted.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent)
+    return Scratch.table(alike.select("later").distinct(), "line-later")
 
 
 def kept_lines(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, th, lines: the numbers (from 0) of the lines with a word that stay; documents without any are missing."""
     signatures = Scratch.table(line_signatures(docs, percent, text), "line-signatures")
     pairs = Scratch.table(candidate_pairs(signatures, percent), "line-pairs")
-    later = similar_pairs(docs, pairs, percent, text).select("later.*").withColumn("lid", _line_id()).select("lid").distinct()
+    later = later_lines(docs, signatures, pairs, percent, text)
     stay = signatures.select("doc_id", "th", "line_no", "lid").join(later, "lid", "left_anti")
     # All lines of one document: bounded by its own length.
     return stay.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
@@ -119,7 +157,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, kept_lines_sha256 (of the kept lines' numbers, by commas)."""
     small = docs.select("doc_id", "text")
     kept = kept_lines(small, percent).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.size("lines").alias("n_kept"), F.sha2(F.array_join(F.col("lines").cast("array<string>"), ","), 256).alias("sha"))
-    with_word = F.size(F.filter(F.split("text", "\n"), lambda line: F.length(F.regexp_replace(line, SPACES, "")) > 0))
+    with_word = F.size(F.filter(F.split("text", "\n"), lambda line: F.length(_trimmed(line)) > 0))
     rows = small.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(with_word, F.lit(0)).alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
@@ -133,7 +171,7 @@ def dedup_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias("__line_id"), F.col("th").alias("__line_th"), F.col("lines").alias("__line_kept"))
     joined = docs.withColumn("__line_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("__line_hash") == F.col("__line_th")), "left")
     lines = F.split("text", "\n")
-    numbered = F.transform(lines, lambda line, i: F.when(F.length(F.regexp_replace(line, SPACES, "")) == 0, i))
+    numbered = F.transform(lines, lambda line, i: F.when(F.length(_trimmed(line)) == 0, i))
     blank = F.filter(numbered, lambda i: i.isNotNull())
     joined = joined.withColumn("__line_all", lines).withColumn("__line_blank", blank)
     wordless = F.size("__line_all") == F.size("__line_blank")
