@@ -1,10 +1,14 @@
 """Near-duplicate lines by an exact set-similarity join (DataFrame functions only).
 
-A line is the set of its words. Words are ordered by rarity in the corpus; two lines with Jaccard similarity of at
-least t share k words within the first n - ceil(t n) + k words of each, so only these prefixes are joined (k grows from
-1 to 4 with the length of the lines). Length,
-positional and bitmap filters cut the candidates, and the words themselves decide. Of a pair the later line goes
-(order: doc_id, then hash of the text, then line number); of equal lines all but the first go.
+A line is the set of its words; lines with equal sets count as one, placed where the first of them stands. Words are
+ordered by rarity in the corpus; two lines with Jaccard similarity of at least t share a word within the first
+n - ceil(t n) + 1 words of each, so only these prefixes are joined. Length, positional and bitmap filters are part of
+the join's condition, so what comes out are nearly only like lines, and the words themselves decide. Of a pair the
+later line goes (order: doc_id, then hash of the text, then line number).
+
+A line needs one earlier like line to go, not all of them. So each line is first compared with the earliest line under
+three of its prefix words (those of least hash, which like lines mostly agree in). That settles nearly all lines of
+large groups of variants; in the join proper only pairs with an unsettled later line are candidates.
 
 Rarity comes from a table of word counts by hash bucket, of fixed size whatever the vocabulary: any order of the words
 gives right results, a rare word that shares a bucket with a frequent one only makes a prefix less selective.
@@ -19,14 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, free_prefix
 
 #: Of the table of word counts.
-BUCKETS = 1 << 16
-#: Lines known to be in candidate pairs are looked for by a broadcast of their 8-byte ids up to this number, and by a
-#: shuffle join beyond.
+BUCKETS = 1 << 18
+#: Prefix words of a line under which it is compared with the earliest line first.
+HEADS = 3
+#: From this many words on a line's bitmap has 128 bits in place of 64.
+WIDE = 96
+#: Small tables of line numbers and places are broadcast up to this number of rows, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
+PLACE = ("doc_id", "th", "line_no")
 
 
 def _bucket(word: Column) -> Column:
@@ -57,8 +65,9 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
 
 
-def _line_id() -> Column:
-    return F.xxhash64("doc_id", "th", "line_no")
+def _small(df: DataFrame) -> DataFrame:
+    """df (read from written tables) with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -66,89 +75,124 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent) - F.lit(1e-9))
 
 
-def _shared_least(n: Column) -> Column:
-    """Words that two like lines must share in their prefixes; long lines get prefixes longer by as many words less one."""
-    return F.when(n >= 120, 4).when(n >= 80, 3).when(n >= 40, 2).otherwise(1)
+def _parity(keys: Column) -> Column:
+    """64 bits: for each value of the lowest six bits, whether an odd number of keys has it."""
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one(k)))
 
 
 def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
-    """One row per distinct line: its first place, number of words, bitmap, and the hashed rarest words in order."""
+    """One row per distinct set of words: its first place, number of words n, bitmap (b0, b1), rarest words as hashes.
+
+    The bits of long lines are dealt to b0 and b1 by a seventh bit; b0 xor b1 is the bitmap of 64 bits of any line.
+    """
     classes = word_classes(docs, text)
     # Lines without a word are left out before the keys are made: a filter on the keys would make them twice.
     lines = _lines(docs, text).withColumn("trimmed", _trimmed(F.col("line"))).filter(F.length("trimmed") > 0)
     words = F.when(F.col("trimmed").rlike("[\t\x0b\x0c\r]"), F.split("trimmed", SPACES)).otherwise(F.split("trimmed", " "))
     hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     rarity = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    key = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-    lines = lines.withColumn("keys", F.sort_array(F.transform(hashes, key)))
+    key = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    lines = lines.select(*PLACE, F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + _shared_least(n))
-    signed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.struct("doc_id", "th", "line_no").alias("place"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
-    # Equal lines agree in all but the place, so partial aggregation leaves one row for each of them in a task.
-    firsts = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return firsts.select("place.*", "n", "bits", "prefix").withColumn("lid", _line_id())
-
-
-def candidate_pairs(signatures: DataFrame, percent: int) -> DataFrame:
-    """lid1, lid2, hits: pairs of lines that share enough prefix words and pass the length, positional and bitmap filters."""
-    entries = signatures.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "w"))
-    a, b = entries.alias("a"), entries.alias("b")
-    n1, n2 = F.col("a.n"), F.col("b.n")
-    need = _needed(n1, n2, percent)
-    close = (
-        (F.col("a.lid") < F.col("b.lid"))
-        & (n1 * 100 >= n2 * percent)
+    # hash() of the key is an even 32-bit name for the word; a shared name of unlike words only adds a candidate.
+    prefix = F.transform(F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda k: F.hash(k))
+    high = F.when(n >= WIDE, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    signed = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64("keys", F.lit(1)).alias("h2"), F.struct(*PLACE).alias("place"), n.alias("n"), _parity(F.col("keys")).alias("b0"), high.alias("b1"), prefix.alias("prefix"))
+    # Equal sets agree in all but the place, so partial aggregation leaves one row for each of them in a task.
+    rest = ("n", "b0", "b1", "prefix")
+    firsts = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in rest])
+    return firsts.select(F.monotonically_increasing_id().alias("lid"), "place.*", "n", F.col("b0").bitwiseXOR(F.col("b1")).alias("b0"), "b1", "prefix")
+
+
+def _close(a, b, percent: int) -> Column:
+    """Length and bitmap filters for two lines; a and b give the columns n, b0, b1 of each."""
+    n1, n2 = a("n"), b("n")
+    differ = n1 + n2 - 2 * _needed(n1, n2, percent)
+    d0, d1 = a("b0").bitwiseXOR(b("b0")), a("b1").bitwiseXOR(b("b1"))
+    return (
+        (n1 * 100 >= n2 * percent)
         & (n2 * 100 >= n1 * percent)
+        & (F.bit_count(d0.bitwiseXOR(d1)) <= differ)
+        & ((F.least(n1, n2) < WIDE) | (F.bit_count(d0) + F.bit_count(d1) <= differ))
+    )
+
+
+def head_pairs(signatures: DataFrame, percent: int) -> DataFrame:
+    """lid1, lid2: each line and the earliest line under some of its prefix words, if the filters let them pass."""
+    words = F.explode(F.slice(F.sort_array(F.array_distinct("prefix")), 1, HEADS)).alias("w")
+    entries = signatures.select(words, "lid", "n", "b0", "b1", "doc_id", "line_no")
+    heads = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line_no", "lid", "n", "b0", "b1")).alias("head"), F.max("lid").alias("l1"), F.min("lid").alias("l2")).filter("l1 <> l2").select("w", "head")
+    close = _close(lambda c: F.col(f"e.{c}"), lambda c: F.col(f"h.head.{c}"), percent)
+    met = entries.alias("e").join(heads.alias("h"), (F.col("e.w") == F.col("h.w")) & (F.col("e.lid") != F.col("h.head.lid")) & close)
+    return met.select(F.col("e.lid").alias("lid1"), F.col("h.head.lid").alias("lid2")).distinct()
+
+
+def candidate_pairs(signatures: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """lid1, lid2: pairs of lines, not both settled, that share a prefix word and pass all filters."""
+    known = signatures.join(settled.withColumn("known", F.lit(True)), "lid", "left")
+    entries = known.select("lid", "n", "b0", "b1", F.col("known").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    n1, n2 = a("n"), b("n")
+    # Of the smaller set a shorter prefix is enough, as the larger one's need is at least its own size's.
+    inner = lambda x: x("pos") <= x("n") - F.ceil(x("n") * 2 * percent / (100 + percent) - F.lit(1e-9))
+    shared = (
+        (a("lid") < b("lid"))
+        & (a("open") | b("open"))
+        & (F.when(n1 <= n2, inner(a)).otherwise(F.lit(False)) | F.when(n2 <= n1, inner(b)).otherwise(F.lit(False)))
         # what may be shared before this word, and from it on
-        & (F.least("a.pos", "b.pos") + F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
+        & (F.least(a("pos"), b("pos")) + F.least(n1 - a("pos"), n2 - b("pos")) >= _needed(n1, n2, percent))
+        & _close(a, b, percent)
     )
-    shared = a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.lid").alias("lid1"), F.col("b.lid").alias("lid2"), _shared_least(F.least(n1, n2)).alias("least"))
-    return shared.groupBy("lid1", "lid2").agg(F.count(F.lit(1)).alias("hits"), F.max("least").alias("least")).filter("hits >= least").drop("least")
+    found = entries.alias("a").join(entries.alias("b"), (a("w") == b("w")) & shared)
+    return found.select(a("lid").alias("lid1"), b("lid").alias("lid2")).distinct()
 
 
-def later_lines(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, percent: int, text: str = "text") -> DataFrame:
-    """lid of every line that is like an earlier one. signatures and pairs: written tables.
+def _settled(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, percent: int, text: str, known: DataFrame | None = None) -> DataFrame:
+    """lid of the later line of each pair (a written table) whose lines are alike by the words themselves.
 
-    One such line is enough, so each line is first compared with the candidate that shares most prefix words; only
-    lines that this leaves open are compared with all their candidates.
+    Pairs whose later line is in known (a written table) are passed over.
     """
-    places = signatures.select("lid", F.struct("doc_id", "th", "line_no").alias("place"))
-    one = places.select(F.col("lid").alias("lid1"), F.col("place").alias("p1"))
-    two = places.select(F.col("lid").alias("lid2"), F.col("place").alias("p2"))
-    placed = pairs.join(one, "lid1").join(two, "lid2")
+    # Few lines are in pairs, so the shuffles here move line numbers, and the texts of these lines only.
+    ids = Scratch.table(pairs.select(F.explode(F.array("lid1", "lid2")).alias("lid")).distinct(), "line-ids")
+    places = Scratch.table(signatures.join(_small(ids), "lid", "left_semi").select("lid", F.struct(*PLACE).alias("p")), "line-places")
+    one = places.select(F.col("lid").alias("lid1"), F.col("p").alias("p1"))
+    two = places.select(F.col("lid").alias("lid2"), F.col("p").alias("p2"))
     before = F.col("p1") < F.col("p2")
-    candidates = placed.select(F.when(before, F.col("lid2")).otherwise(F.col("lid1")).alias("later"), F.struct((-F.col("hits")).alias("hits"), F.when(before, F.col("lid1")).otherwise(F.col("lid2")).alias("lid")).alias("earlier"))
-    candidates = Scratch.table(candidates, "line-candidates")
-    first = candidates.groupBy("later").agg(F.min("earlier").alias("earlier")).select("later", F.col("earlier.lid").alias("earlier"))
-    found = _verified(docs, Scratch.table(first, "line-first"), percent, text)
-    rest = candidates.join(found, "later", "left_anti").select("later", F.col("earlier.lid").alias("earlier"))
-    more = _verified(docs, Scratch.table(rest, "line-rest"), percent, text)
-    return found.unionByName(more).select(F.col("later").alias("lid"))
-
-
-def _verified(docs: DataFrame, candidates: DataFrame, percent: int, text: str) -> DataFrame:
-    """later: the lines that are like their candidate, by the words themselves. candidates: a written table."""
-    ids = Scratch.table(candidates.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct(), "line-ids")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    lines = _lines(docs, text).withColumn("lid", _line_id()).join(ids, "lid", "left_semi")
-    lines = Scratch.table(lines.select("lid", "line"), "line-texts")
-    one = lines.select(F.col("lid").alias("later"), F.col("line").alias("l1"))
-    two = lines.select(F.col("lid").alias("earlier"), F.col("line").alias("l2"))
-    both = candidates.join(one, "later").join(two, "earlier").select("later", _words(F.col("l1")).alias("w1"), _words(F.col("l2")).alias("w2"))
-    counted = both.select("later", (F.size("w1") + F.size("w2")).alias("n"), F.size(F.array_intersect("w1", "w2")).alias("shared"))
+    ordered = pairs.join(one, "lid1").join(two, "lid2").select(F.when(before, F.col("lid2")).otherwise(F.col("lid1")).alias("later"), F.when(before, F.col("lid1")).otherwise(F.col("lid2")).alias("earlier"))
+    if known is not None:
+        ordered = Scratch.table(ordered.join(known.select(F.col("lid").alias("later")), "later", "left_anti"), "line-open-pairs")
+        places = places.join(ordered.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct(), "lid", "left_semi")
+    # Only documents with such a line are cut into lines again.
+    places = Scratch.table(places.select("lid", *[F.col(f"p.{c}").alias(f"p_{c}") for c in PLACE]), "line-sought")
+    hint = F.broadcast if places.count() <= BROADCAST_ROWS else (lambda df: df)
+    of_doc = hint(places.select("p_doc_id", "p_th").distinct())
+    some = docs.select("doc_id", F.col(text).alias("text")).join(of_doc, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.xxhash64("text") == F.col("p_th")), "left_semi")
+    lines = _lines(some.distinct(), "text").join(hint(places), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("th") == F.col("p_th")) & (F.col("line_no") == F.col("p_line_no")))
+    texts = Scratch.table(lines.select("lid", "line"), "line-texts")
+    both = ordered.join(texts.select(F.col("lid").alias("later"), F.col("line").alias("l1")), "later").join(texts.select(F.col("lid").alias("earlier"), F.col("line").alias("l2")), "earlier")
+    sets = both.select("later", _words(F.col("l1")).alias("w1"), _words(F.col("l2")).alias("w2"))
+    counted = sets.select("later", (F.size("w1") + F.size("w2")).alias("n"), F.size(F.array_intersect("w1", "w2")).alias("shared"))
     alike = counted.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent)
-    return Scratch.table(alike.select("later").distinct(), "line-later")
+    return Scratch.table(alike.select(F.col("later").alias("lid")).distinct(), "line-settled")
+
+
+def later_lines(docs: DataFrame, signatures: DataFrame, percent: int, text: str = "text") -> DataFrame:
+    """lid of every line that is like an earlier one. signatures: a written table."""
+    with Scratch.scope(keep=1):
+        heads = Scratch.table(head_pairs(signatures, percent), "line-heads")
+        first = _settled(docs, signatures, heads, percent, text)
+    with Scratch.scope(keep=1):
+        pairs = Scratch.table(candidate_pairs(signatures, _small(first), percent), "line-pairs")
+        more = _settled(docs, signatures, pairs, percent, text, first)
+    return first.unionByName(more)
 
 
 def kept_lines(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, th, lines: the numbers (from 0) of the lines with a word that stay; documents without any are missing."""
     signatures = Scratch.table(line_signatures(docs, percent, text), "line-signatures")
-    pairs = Scratch.table(candidate_pairs(signatures, percent), "line-pairs")
-    later = later_lines(docs, signatures, pairs, percent, text)
-    stay = signatures.select("doc_id", "th", "line_no", "lid").join(later, "lid", "left_anti")
+    later = later_lines(docs, signatures, percent, text)
+    stay = signatures.select(*PLACE, "lid").join(_small(later), "lid", "left_anti")
     # All lines of one document: bounded by its own length.
     return stay.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
 
@@ -168,14 +212,15 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
 def dedup_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the later ones of like lines; a document that had lines with words and loses them all goes."""
     kept = kept_lines(docs.select("doc_id", "text"), percent)
-    kept = kept.select(F.col("doc_id").alias("__line_id"), F.col("th").alias("__line_th"), F.col("lines").alias("__line_kept"))
-    joined = docs.withColumn("__line_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("__line_hash") == F.col("__line_th")), "left")
+    own = free_prefix(docs.columns)
+    kept = kept.select(F.col("doc_id").alias(f"{own}id"), F.col("th").alias(f"{own}th"), F.col("lines").alias(f"{own}kept"))
+    joined = docs.withColumn(f"{own}hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}th")), "left")
     lines = F.split("text", "\n")
     numbered = F.transform(lines, lambda line, i: F.when(F.length(_trimmed(line)) == 0, i))
     blank = F.filter(numbered, lambda i: i.isNotNull())
-    joined = joined.withColumn("__line_all", lines).withColumn("__line_blank", blank)
-    wordless = F.size("__line_all") == F.size("__line_blank")
-    order = F.array_sort(F.concat(F.coalesce("__line_kept", F.array().cast("array<int>")), "__line_blank"))
-    text = F.array_join(F.transform(order, lambda i: F.get(F.col("__line_all"), i)), "\n")
-    stays = joined.filter(F.col("text").isNull() | wordless | F.col("__line_kept").isNotNull())
-    return stays.withColumn("text", F.when(F.col("text").isNull() | (F.size(order) == F.size("__line_all")), F.col("text")).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = joined.withColumn(f"{own}all", lines).withColumn(f"{own}blank", blank)
+    wordless = F.size(f"{own}all") == F.size(f"{own}blank")
+    order = F.array_sort(F.concat(F.coalesce(f"{own}kept", F.array().cast("array<int>")), f"{own}blank"))
+    text = F.array_join(F.transform(order, lambda i: F.get(F.col(f"{own}all"), i)), "\n")
+    stays = joined.filter(F.col("text").isNull() | wordless | F.col(f"{own}kept").isNotNull())
+    return stays.withColumn("text", F.when(F.col("text").isNull() | (F.size(order) == F.size(f"{own}all")), F.col("text")).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

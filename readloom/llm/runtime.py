@@ -6,9 +6,10 @@ import atexit
 import gc
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,12 @@ BATCH_ROWS = 2000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder
+    of its own; on a cluster that is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="readloom-")
         atexit.register(shutil.rmtree, local, True)
         folder = f"file://{local}"
@@ -48,35 +52,80 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written under the shared folder to cut lineage; a lost executor costs no recomputation of them."""
+    """Tables written under the shared folder to cut lineage; a lost executor costs no recomputation of them.
 
-    _made: list[tuple[SparkSession, str]] = []
+    A table lives until its operator drops it (when a later table holds what was made of it), until the ``scope`` in
+    which it was made ends, or until the driver's process ends.
+    """
+
+    _alive: dict[str, SparkSession] = {}
+    _scopes: list[list[str]] = []
 
     @classmethod
     def table(cls, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet in the shared folder and read it back."""
         spark, schema = df.sparkSession, df.schema
         path = f"{scratch_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
+        cls._alive[path] = spark
+        if cls._scopes:
+            cls._scopes[-1].append(path)
         df.write.option("compression", "zstd").parquet(path)
-        cls._made.append((spark, path))
-        # The plan that made the table is done: its shuffle files go once nothing refers to it.
+        # The shuffle files of finished steps go once nothing refers to their plans.
         del df
-        for _ in range(2):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
-        return spark.read.schema(schema).parquet(path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        out = spark.read.schema(schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    @classmethod
+    def drop(cls, *tables: DataFrame) -> None:
+        """Delete tables that no plan still to be run reads."""
+        for table in tables:
+            cls._delete(table._scratch_path)
 
     @classmethod
-    def release(cls) -> None:
-        """Delete every table made so far. Call it only when all results that read them have been written."""
-        while cls._made:
-            spark, path = cls._made.pop()
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    @contextmanager
+    def scope(cls, keep: int = 0) -> Iterator[None]:
+        """Delete the tables made inside at the end, but for the ``keep`` last ones: write other results inside."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            made = cls._scopes.pop()
+            if cls._scopes and keep:
+                cls._scopes[-1].extend(made[-keep:])
+            for path in made[:-keep] if keep else made:
+                cls._delete(path)
+
+    @classmethod
+    def _delete(cls, path: str) -> None:
+        spark = cls._alive.pop(path, None)
+        if spark is None:
+            return
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    @classmethod
+    def _at_exit(cls) -> None:
+        for path in list(cls._alive):
+            try:
+                cls._delete(path)
+            except Exception:  # noqa: BLE001  the session is gone already
+                return
+
+
+atexit.register(Scratch._at_exit)
 
 
 def buckets_for(rows: int, least: int = 16) -> int:
     """A power of two near the square root of rows: so many buckets hold about as many rows each."""
     return max(least, 1 << max(0, round(rows**0.5) - 1).bit_length())
+
+
+def free_prefix(columns: list[str], wish: str = "__own_") -> str:
+    """A prefix for working columns that no column of a table starts with (in any case of letters)."""
+    while any(c.lower().startswith(wish) for c in columns):
+        wish = f"_{wish}"
+    return wish
