@@ -6,36 +6,30 @@ stage's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import bpe, linededup, lshforest, mixing, quality
-from readloom.llm.runtime import Scratch, scratch_dir
+from readloom.llm.runtime import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules reject go."""
-    Scratch.release()
     return quality.filter_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier line go; a document that loses all its lines goes."""
-    Scratch.release()
     return linededup.dedup_documents(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id stays."""
-    Scratch.release()
     return lshforest.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix takes it."""
-    Scratch.release()
     # The mix looks at source and size only; rows that share a doc_id share nothing else, so they are told apart by size.
     taken = mixing.mix(docs).filter("passes > 0").groupBy("doc_id", "size").agg(F.max("passes").alias("passes"))
     sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
@@ -46,7 +40,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
-    Scratch.release()
     return bpe.encode_documents(docs)
 
 
@@ -66,8 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between two stages the rows rest as Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{scratch_dir(spark)}/readloom-stage-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        with Scratch.scope(keep=1):
+            docs = Scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
