@@ -20,6 +20,8 @@ empty table gives an empty result; input columns may have any names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,13 @@ from .runtime import Scratch, free_prefix
 BUCKETS = 1 << 18
 #: Prefix words of a line under which it is compared with the earliest line first.
 HEADS = 3
-#: From this many words on a line's bitmap has 128 bits in place of 64.
-WIDE = 96
+#: From this many words on a line's bitmap has 256 bits in place of 64.
+WIDE = 48
 #: Small tables of line numbers and places are broadcast up to this number of rows, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 PLACE = ("doc_id", "th", "line_no")
+BITS = ("b0", "b1", "b2", "b3")
 
 
 def _bucket(word: Column) -> Column:
@@ -54,15 +57,17 @@ def word_classes(docs: DataFrame, text: str = "text") -> Column:
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, th (hash of the text), line_no, line."""
-    return docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    # The hash is made before the lines are: beside the generator it would be made for each line.
+    cut = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.split(F.col(text), "\n").alias("lines"))
+    return cut.select("doc_id", "th", F.posexplode("lines").alias("line_no", "line"))
 
 
 def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, SPACES), lambda w: w != F.lit("")))
 
 
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -82,14 +87,14 @@ def _parity(keys: Column) -> Column:
 
 
 def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
-    """One row per distinct set of words: its first place, number of words n, bitmap (b0, b1), rarest words as hashes.
+    """One row per distinct set of words: its first place, number of words n, bitmap b0 to b3, rarest words as hashes.
 
-    The bits of long lines are dealt to b0 and b1 by a seventh bit; b0 xor b1 is the bitmap of 64 bits of any line.
+    The 256 bits of long lines fold (by exclusive or of the four) into the 64 bits that short lines have in b0.
     """
     classes = word_classes(docs, text)
     # Lines without a word are left out before the keys are made: a filter on the keys would make them twice.
-    lines = _lines(docs, text).withColumn("trimmed", _trimmed(F.col("line"))).filter(F.length("trimmed") > 0)
-    words = F.when(F.col("trimmed").rlike("[\t\x0b\x0c\r]"), F.split("trimmed", SPACES)).otherwise(F.split("trimmed", " "))
+    lines = _lines(docs, text).filter(_has_word(F.col("line")))
+    words = F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split("line", SPACES)).otherwise(F.split("line", " "))
     hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     rarity = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
     key = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
@@ -97,48 +102,51 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     n = F.size("keys")
     # hash() of the key is an even 32-bit name for the word; a shared name of unlike words only adds a candidate.
     prefix = F.transform(F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda k: F.hash(k))
-    high = F.when(n >= WIDE, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    signed = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64("keys", F.lit(1)).alias("h2"), F.struct(*PLACE).alias("place"), n.alias("n"), _parity(F.col("keys")).alias("b0"), high.alias("b1"), prefix.alias("prefix"))
+    quarter = lambda j: _parity(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == j))
+    bits = [F.when(n >= WIDE, quarter(0)).otherwise(_parity(F.col("keys"))).alias("b0"), *[F.when(n >= WIDE, quarter(j)).otherwise(F.lit(0).cast("long")).alias(f"b{j}") for j in (1, 2, 3)]]
+    signed = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64("keys", F.lit(1)).alias("h2"), F.struct(*PLACE).alias("place"), n.alias("n"), *bits, prefix.alias("prefix"))
     # Equal sets agree in all but the place, so partial aggregation leaves one row for each of them in a task.
-    rest = ("n", "b0", "b1", "prefix")
-    firsts = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in rest])
-    return firsts.select(F.monotonically_increasing_id().alias("lid"), "place.*", "n", F.col("b0").bitwiseXOR(F.col("b1")).alias("b0"), "b1", "prefix")
+    firsts = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", *BITS, "prefix")])
+    return firsts.select(F.monotonically_increasing_id().alias("lid"), "place.*", "n", *BITS, "prefix")
 
 
 def _close(a, b, percent: int) -> Column:
-    """Length and bitmap filters for two lines; a and b give the columns n, b0, b1 of each."""
+    """Length and bitmap filters for two lines; a and b give the columns n, b0 to b3 of each."""
     n1, n2 = a("n"), b("n")
     differ = n1 + n2 - 2 * _needed(n1, n2, percent)
-    d0, d1 = a("b0").bitwiseXOR(b("b0")), a("b1").bitwiseXOR(b("b1"))
+    d = [a(c).bitwiseXOR(b(c)) for c in BITS]
     return (
         (n1 * 100 >= n2 * percent)
         & (n2 * 100 >= n1 * percent)
-        & (F.bit_count(d0.bitwiseXOR(d1)) <= differ)
-        & ((F.least(n1, n2) < WIDE) | (F.bit_count(d0) + F.bit_count(d1) <= differ))
+        & (F.bit_count(reduce(Column.bitwiseXOR, d)) <= differ)
+        & ((F.least(n1, n2) < WIDE) | (sum((F.bit_count(x) for x in d[1:]), F.bit_count(d[0])) <= differ))
     )
 
 
 def head_pairs(signatures: DataFrame, percent: int) -> DataFrame:
     """lid1, lid2: each line and the earliest line under some of its prefix words, if the filters let them pass."""
     words = F.explode(F.slice(F.sort_array(F.array_distinct("prefix")), 1, HEADS)).alias("w")
-    entries = signatures.select(words, "lid", "n", "b0", "b1", "doc_id", "line_no")
-    heads = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line_no", "lid", "n", "b0", "b1")).alias("head"), F.max("lid").alias("l1"), F.min("lid").alias("l2")).filter("l1 <> l2").select("w", "head")
+    entries = signatures.select(words, "lid", "n", *BITS, "doc_id", "line_no")
+    heads = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line_no", "lid", "n", *BITS)).alias("head"), F.max("lid").alias("l1"), F.min("lid").alias("l2")).filter("l1 <> l2").select("w", "head")
     close = _close(lambda c: F.col(f"e.{c}"), lambda c: F.col(f"h.head.{c}"), percent)
     met = entries.alias("e").join(heads.alias("h"), (F.col("e.w") == F.col("h.w")) & (F.col("e.lid") != F.col("h.head.lid")) & close)
     return met.select(F.col("e.lid").alias("lid1"), F.col("h.head.lid").alias("lid2")).distinct()
 
 
 def candidate_pairs(signatures: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """lid1, lid2: pairs of lines, not both settled, that share a prefix word and pass all filters."""
+    """lid1, lid2: pairs of lines, the later one not settled, that share a prefix word and pass all filters.
+
+    Lines of one doc_id stay in either order here; the full place orders them.
+    """
     known = signatures.join(settled.withColumn("known", F.lit(True)), "lid", "left")
-    entries = known.select("lid", "n", "b0", "b1", F.col("known").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"))
+    entries = known.select("lid", "doc_id", "n", *BITS, F.col("known").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     n1, n2 = a("n"), b("n")
     # Of the smaller set a shorter prefix is enough, as the larger one's need is at least its own size's.
     inner = lambda x: x("pos") <= x("n") - F.ceil(x("n") * 2 * percent / (100 + percent) - F.lit(1e-9))
     shared = (
         (a("lid") < b("lid"))
-        & (a("open") | b("open"))
+        & ((b("open") & F.coalesce(a("doc_id") <= b("doc_id"), F.lit(True))) | (a("open") & F.coalesce(b("doc_id") <= a("doc_id"), F.lit(True))))
         & (F.when(n1 <= n2, inner(a)).otherwise(F.lit(False)) | F.when(n2 <= n1, inner(b)).otherwise(F.lit(False)))
         # what may be shared before this word, and from it on
         & (F.least(a("pos"), b("pos")) + F.least(n1 - a("pos"), n2 - b("pos")) >= _needed(n1, n2, percent))
@@ -168,8 +176,8 @@ def _settled(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, percent:
     hint = F.broadcast if places.count() <= BROADCAST_ROWS else (lambda df: df)
     of_doc = hint(places.select("p_doc_id", "p_th").distinct())
     some = docs.select("doc_id", F.col(text).alias("text")).join(of_doc, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.xxhash64("text") == F.col("p_th")), "left_semi")
-    lines = _lines(some.distinct(), "text").join(hint(places), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("th") == F.col("p_th")) & (F.col("line_no") == F.col("p_line_no")))
-    texts = Scratch.table(lines.select("lid", "line"), "line-texts")
+    lines = _lines(some, "text").join(hint(places), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("th") == F.col("p_th")) & (F.col("line_no") == F.col("p_line_no")))
+    texts = Scratch.table(lines.select("lid", "line").dropDuplicates(["lid"]), "line-texts")
     both = ordered.join(texts.select(F.col("lid").alias("later"), F.col("line").alias("l1")), "later").join(texts.select(F.col("lid").alias("earlier"), F.col("line").alias("l2")), "earlier")
     sets = both.select("later", _words(F.col("l1")).alias("w1"), _words(F.col("l2")).alias("w2"))
     counted = sets.select("later", (F.size("w1") + F.size("w2")).alias("n"), F.size(F.array_intersect("w1", "w2")).alias("shared"))
@@ -201,7 +209,7 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, kept_lines_sha256 (of the kept lines' numbers, by commas)."""
     small = docs.select("doc_id", "text")
     kept = kept_lines(small, percent).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.size("lines").alias("n_kept"), F.sha2(F.array_join(F.col("lines").cast("array<string>"), ","), 256).alias("sha"))
-    with_word = F.size(F.filter(F.split("text", "\n"), lambda line: F.length(_trimmed(line)) > 0))
+    with_word = F.size(F.filter(F.split("text", "\n"), _has_word))
     rows = small.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(with_word, F.lit(0)).alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
@@ -216,7 +224,7 @@ def dedup_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias(f"{own}id"), F.col("th").alias(f"{own}th"), F.col("lines").alias(f"{own}kept"))
     joined = docs.withColumn(f"{own}hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}th")), "left")
     lines = F.split("text", "\n")
-    numbered = F.transform(lines, lambda line, i: F.when(F.length(_trimmed(line)) == 0, i))
+    numbered = F.transform(lines, lambda line, i: F.when(~_has_word(line), i))
     blank = F.filter(numbered, lambda i: i.isNotNull())
     joined = joined.withColumn(f"{own}all", lines).withColumn(f"{own}blank", blank)
     wordless = F.size(f"{own}all") == F.size(f"{own}blank")
