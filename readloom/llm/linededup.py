@@ -75,11 +75,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _needed(a: Column, b: Column, percent: int) -> Column:
-    """Least overlap of sets of sizes a and b with the similarity asked for."""
-    return F.ceil((a + b) * percent / (100 + percent) - F.lit(1e-9))
-
-
 def _parity(keys: Column) -> Column:
     """64 bits: for each value of the lowest six bits, whether an odd number of keys has it."""
     one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
@@ -110,16 +105,18 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     return firsts.select(F.monotonically_increasing_id().alias("lid"), "place.*", "n", *BITS, "prefix")
 
 
-def _close(a, b, percent: int) -> Column:
-    """Length and bitmap filters for two lines; a and b give the columns n, b0 to b3 of each."""
-    n1, n2 = a("n"), b("n")
-    differ = n1 + n2 - 2 * _needed(n1, n2, percent)
+def _close(n1: Column, n2: Column, a, b, percent: int) -> Column:
+    """Length and bitmap filters for two lines of n1 and n2 words; a and b give the columns b0 to b3 of each.
+
+    Sets of similarity t differ in at most (n1 + n2)(1 - t)/(1 + t) words, and bitmaps in no more bits than words.
+    """
+    differ = (n1 + n2) * (100 - percent)
     d = [a(c).bitwiseXOR(b(c)) for c in BITS]
     return (
         (n1 * 100 >= n2 * percent)
         & (n2 * 100 >= n1 * percent)
-        & (F.bit_count(reduce(Column.bitwiseXOR, d)) <= differ)
-        & ((F.least(n1, n2) < WIDE) | (sum((F.bit_count(x) for x in d[1:]), F.bit_count(d[0])) <= differ))
+        & (F.bit_count(reduce(Column.bitwiseXOR, d)) * (100 + percent) <= differ)
+        & ((F.least(n1, n2) < WIDE) | (sum((F.bit_count(x) for x in d[1:]), F.bit_count(d[0])) * (100 + percent) <= differ))
     )
 
 
@@ -128,7 +125,7 @@ def head_pairs(signatures: DataFrame, percent: int) -> DataFrame:
     words = F.explode(F.slice(F.sort_array(F.array_distinct("prefix")), 1, HEADS)).alias("w")
     entries = signatures.select(words, "lid", "n", *BITS, "doc_id", "line_no")
     heads = entries.groupBy("w").agg(F.min(F.struct("doc_id", "line_no", "lid", "n", *BITS)).alias("head"), F.max("lid").alias("l1"), F.min("lid").alias("l2")).filter("l1 <> l2").select("w", "head")
-    close = _close(lambda c: F.col(f"e.{c}"), lambda c: F.col(f"h.head.{c}"), percent)
+    close = _close(F.col("e.n"), F.col("h.head.n"), lambda c: F.col(f"e.{c}"), lambda c: F.col(f"h.head.{c}"), percent)
     met = entries.alias("e").join(heads.alias("h"), (F.col("e.w") == F.col("h.w")) & (F.col("e.lid") != F.col("h.head.lid")) & close)
     return met.select(F.col("e.lid").alias("lid1"), F.col("h.head.lid").alias("lid2")).distinct()
 
@@ -139,18 +136,23 @@ def candidate_pairs(signatures: DataFrame, settled: DataFrame, percent: int) ->
     Lines of one doc_id stay in either order here; the full place orders them.
     """
     known = signatures.join(settled.withColumn("known", F.lit(True)), "lid", "left")
-    entries = known.select("lid", "doc_id", "n", *BITS, F.col("known").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"))
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    n1, n2 = a("n"), b("n")
+    entries = known.select("lid", "doc_id", *BITS, F.col("n").cast("long").alias("n"), F.col("known").isNull().cast("long").alias("open"), F.posexplode("prefix").alias("pos", "w"))
     # Of the smaller set a shorter prefix is enough, as the larger one's need is at least its own size's.
-    inner = lambda x: x("pos") <= x("n") - F.ceil(x("n") * 2 * percent / (100 + percent) - F.lit(1e-9))
+    inner = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - F.lit(1e-9))
+    entries = entries.select("w", "lid", "doc_id", *BITS, (F.shiftleft("n", 32) + F.col("pos") * 4 + inner.cast("long") * 2 + F.col("open")).alias("meta"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    n = lambda x: F.shiftright(x("meta"), 32)
+    pos = lambda x: F.shiftright(x("meta"), 2).bitwiseAND(F.lit((1 << 30) - 1))
+    flag = lambda x, bit: x("meta").bitwiseAND(F.lit(bit)) != 0
+    n1, n2 = n(a), n(b)
+    # The cheapest and the most selective conditions come first.
     shared = (
         (a("lid") < b("lid"))
-        & ((b("open") & F.coalesce(a("doc_id") <= b("doc_id"), F.lit(True))) | (a("open") & F.coalesce(b("doc_id") <= a("doc_id"), F.lit(True))))
-        & (F.when(n1 <= n2, inner(a)).otherwise(F.lit(False)) | F.when(n2 <= n1, inner(b)).otherwise(F.lit(False)))
+        & _close(n1, n2, a, b, percent)
+        & (((n1 <= n2) & flag(a, 2)) | ((n2 <= n1) & flag(b, 2)))
         # what may be shared before this word, and from it on
-        & (F.least(a("pos"), b("pos")) + F.least(n1 - a("pos"), n2 - b("pos")) >= _needed(n1, n2, percent))
-        & _close(a, b, percent)
+        & ((F.least(pos(a), pos(b)) + F.least(n1 - pos(a), n2 - pos(b))) * (100 + percent) >= (n1 + n2) * percent)
+        & ((flag(b, 1) & F.coalesce(a("doc_id") <= b("doc_id"), F.lit(True))) | (flag(a, 1) & F.coalesce(b("doc_id") <= a("doc_id"), F.lit(True))))
     )
     found = entries.alias("a").join(entries.alias("b"), (a("w") == b("w")) & shared)
     return found.select(a("lid").alias("lid1"), b("lid").alias("lid2")).distinct()
