@@ -7,7 +7,7 @@ the join's condition, so what comes out are nearly only like lines, and the word
 later line goes (order: doc_id, then hash of the text, then line number).
 
 A line needs one earlier like line to go, not all of them. So each line is first compared with the earliest line under
-three of its prefix words (those of least hash, which like lines mostly agree in). That settles nearly all lines of
+some of its prefix words (those of least hash, which like lines mostly agree in). That settles nearly all lines of
 large groups of variants; in the join proper only pairs with an unsettled later line are candidates.
 
 Rarity comes from a table of word counts by hash bucket, of fixed size whatever the vocabulary: any order of the words
@@ -41,7 +41,7 @@ BITS = ("b0", "b1", "b2", "b3")
 
 
 def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def word_classes(docs: DataFrame, text: str = "text") -> Column:
@@ -90,10 +90,11 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     # Lines without a word are left out before the keys are made: a filter on the keys would make them twice.
     lines = _lines(docs, text).filter(_has_word(F.col("line")))
     words = F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split("line", SPACES)).otherwise(F.split("line", " "))
-    hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rarity = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    key = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    lines = lines.select(*PLACE, F.sort_array(F.transform(hashes, key)).alias("keys"))
+    # A key begins with the word's class and goes on with 56 bits of its hash. None is null, so they sort as plain numbers.
+    rarity = lambda w: F.coalesce(F.get(classes, _bucket(w)), F.lit(0)).cast("long")
+    key = lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    keys = F.array_remove(F.array_distinct(F.transform(words, key)), key(F.lit("")))
+    lines = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
     n = F.size("keys")
     # hash() of the key is an even 32-bit name for the word; a shared name of unlike words only adds a candidate.
     prefix = F.transform(F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda k: F.hash(k))
