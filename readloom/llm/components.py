@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of a node, then the smaller ones, under the least of them; the number of
     rounds grows with the logarithm of the size of a component. Only minima are aggregated, so a hub's edges are never
-    together. Null ends and loops are left out.
+    together; joins meet one row per node on one side, so a hub can be split. Null ends and loops are left out.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     now = Scratch.table(now, "edges")
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = Scratch.table(small.filter("u > v").distinct(), "edges")
+        before, now = now, Scratch.table(small.filter("u > v").distinct(), "edges")
+        Scratch.drop(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 U = np.uint64
@@ -53,6 +55,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+#: Bytes of a text that are hashed at once.
+CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -61,6 +65,16 @@ def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words (runs without ASCII white space), in order."""
     if not text:
         return np.empty(0, U)
+    if len(text) > CHUNK:
+        # Long texts are cut at white space, so the tables of powers stay small (unless one word is longer still).
+        cut = next((i for i in range(CHUNK, len(text)) if SPACE[text[i]]), len(text))
+        if cut < len(text):
+            parts = []
+            while len(text) > cut:
+                parts.append(word_hashes(text[:cut]))
+                text = text[cut:]
+                cut = next((i for i in range(CHUNK, len(text)) if SPACE[text[i]]), len(text))
+            return np.concatenate([*parts, word_hashes(text)])
     data = np.frombuffer(text, np.uint8)
     space = SPACE[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
@@ -73,18 +87,21 @@ def word_hashes(text: bytes) -> np.ndarray:
     return mix64((total[ends] - total[starts]) * inverses[starts] ^ mix64((ends - starts).astype(U)))
 
 
-_cache: dict[str, np.ndarray] = {}
+def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (MULT, pow(MULT, -1, 1 << 64)):
+        x = np.full(size, U(base))
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+_cached = lru_cache(1)(_make_powers)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _cache or len(_cache["p"]) < n:
-        size = 1 << max(16, n.bit_length())
-        inverse = pow(MULT, -1, 1 << 64)
-        for name, base in (("p", MULT), ("q", inverse)):
-            x = np.full(size, U(base))
-            x[0] = 1
-            _cache[name] = np.cumprod(x)
-    return _cache["p"], _cache["q"]
+    """MULT and its inverse to the powers 0 to n - 1 at least; only tables of ordinary size are kept."""
+    return _cached(2 * CHUNK) if n <= 2 * CHUNK else _make_powers(n)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
