@@ -65,10 +65,7 @@ class Scratch:
     def table(cls, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet in the shared folder and read it back."""
         spark, schema = df.sparkSession, df.schema
-        path = f"{scratch_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
-        cls._alive[path] = spark
-        if cls._scopes:
-            cls._scopes[-1].append(path)
+        path = cls.folder(spark, name)
         df.write.option("compression", "zstd").parquet(path)
         # The shuffle files of finished steps go once nothing refers to their plans.
         del df
@@ -78,6 +75,15 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    @classmethod
+    def folder(cls, spark: SparkSession, name: str) -> str:
+        """A new path in the shared folder that lives as long as a table."""
+        path = f"{scratch_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
+        cls._alive[path] = spark
+        if cls._scopes:
+            cls._scopes[-1].append(path)
+        return path
+
     @classmethod
     def drop(cls, *tables: DataFrame) -> None:
         """Delete tables that no plan still to be run reads."""

@@ -1,14 +1,16 @@
 """WARC archives: write captures, read records back, and assemble transactions.
 
 A capture is a request, a response (or, where an equal payload is stored elsewhere, a revisit) and a metadata record;
-request and metadata name the record they belong to in WARC-Concurrent-To. Archives are gzip members, one per record,
-so that members side by side are a .warc.gz file. They rest as rows (archive, member number, bytes) of a Parquet table
-in the shared folder, which every executor can read; ``read_records`` takes such rows or whole files.
+request and metadata name the record they belong to in WARC-Concurrent-To. Archives are gzip files of whole records,
+each begun by a warcinfo record. Spark's text writer writes them, so they can lie in any store that Spark reaches: a
+record is a row, and the empty lines after it are the writer's line separator. A file holds a bounded number of
+captures; ``read_archives`` and ``read_records`` take these or any other files of WARC records, gzip members or plain.
 
 Defined cases: a null payload counts as empty; payloads of any size are one record; equal payloads under the least
-size are all stored; rows that repeat a key become captures of their own with equal identifiers, of which the assembly
-shows one; records without a partner give a capture with nulls (requests and metadata alone are left out); damaged
-members and unknown record types are skipped; an empty table gives an empty result; extra columns are ignored.
+size are all stored; rows that repeat a key with another payload or address are captures of their own, and wholly equal
+rows give equal captures, as many as there are rows; a null key is a capture without key, lower than any other;
+records without a partner give a capture with nulls (requests and metadata alone are left out); damaged records and
+unknown record types are skipped; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,111 +21,139 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, prepare
+from .runtime import BATCH_ROWS, Scratch, prepare
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of members put in one row's neighbourhood: an archive is closed once it holds as many.
-ARCHIVE_BYTES = 64 << 20
+#: Of one file.
+CAPTURES = 2000
+#: Tables of shared payloads are broadcast up to this number of rows, and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+END = "\r\n\r\n"
 
 
-def record_id(kind: str, key: object) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{kind}:{key}'.encode()).digest())}>"
+def record_id(kind: str, *identity: object) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr((kind, *identity)).encode()).digest())}>"
 
 
-def write_record(kind: str, headers: dict[str, object], block: bytes) -> bytes:
-    """One record as a gzip member."""
+def record(kind: str, headers: dict[str, object], block: bytes) -> bytes:
+    """One record without the two empty lines after it."""
     lines = [VERSION, f"WARC-Type: {kind}".encode()]
     lines += [f"{k}: {str(v).replace(chr(13), ' ').replace(chr(10), ' ')}".encode() for k, v in headers.items() if v is not None]
     lines.append(b"Content-Length: %d" % len(block))
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block
 
 
-def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record of gzip members side by side; a damaged rest is left."""
+def unpacked(data: bytes) -> bytes:
+    """The plain bytes of gzip members side by side, as far as they are whole; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
     while data:
         unpacker = zlib.decompressobj(31)
         try:
-            plain = unpacker.decompress(data)
+            parts.append(unpacker.decompress(data))
         except zlib.error:
-            return
-        if not unpacker.eof:
-            return
+            break
         data = unpacker.unused_data
-        head, found, rest = plain.partition(b"\r\n\r\n")
-        lines = head.split(b"\r\n")
-        if not found or not lines[0].startswith(b"WARC/"):
-            continue
+    return b"".join(parts)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each whole record; after damage the next record is looked for."""
+    plain, at = unpacked(data), 0
+    while (at := plain.find(b"WARC/", at)) != -1:
+        head_end = plain.find(b"\r\n\r\n", at)
+        if head_end == -1:
+            return
+        lines = plain[at:head_end].split(b"\r\n")
         headers = {}
         for line in lines[1:]:
             name, _, value = line.partition(b":")
             headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
         length = headers.get("content-length", "")
-        if length.isdigit() and len(rest) >= int(length):
-            yield headers, rest[: int(length)]
+        start = head_end + 4
+        if not length.isdigit() or start + int(length) > len(plain):
+            at += 5
+            continue
+        at = start + int(length)
+        yield headers, plain[start:at]
 
 
 def http_payload(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-MEMBERS = "archive string, member bigint, data binary"
-
-
-def write_archives(captures: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Archive members of all captures: request, response or revisit, metadata.
+def write_archives(captures: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> str:
+    """Write all captures (request, response or revisit, metadata) as WARC files and return their folder.
 
     Of equal payloads of REVISIT_BYTES or more the one with the largest key is the response that the others revisit.
     """
-    prepare(captures.sparkSession)
+    spark = captures.sparkSession
+    prepare(spark)
     data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     ready = captures.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), data.alias("data"))
-    stored = ready.filter(F.octet_length("data") >= REVISIT_BYTES).select(F.sha1("data").alias("digest"), F.octet_length("data").alias("n"), "k")
-    keeper = stored.groupBy("digest", "n").agg(F.max("k").alias("keeper"), F.min("k").alias("least")).filter("least < keeper")
-    # Only pages that revisit another one are looked up; pages are few bytes here (key and digest).
-    revisits = stored.join(keeper, ["digest", "n"]).filter("k < keeper").select(F.col("k").alias("revisit_key"), "keeper").distinct()
-    marked = ready.join(revisits, F.col("k") == F.col("revisit_key"), "left").select("k", "u", "data", "keeper")
+    ready = ready.withColumn("digest", F.sha1("data")).withColumn("n", F.octet_length("data"))
+    # The keeper of a payload is a row, so a key that another payload repeats is no keeper of it.
+    row = F.struct(F.col("k"), F.coalesce("u", F.lit("")).alias("u"))
+    keepers = ready.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.max(row).alias("keeper"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    keepers = Scratch.table(keepers, "warc-keepers")
+    keepers = F.broadcast(keepers) if keepers.count() <= BROADCAST_ROWS else keepers
+    marked = ready.join(keepers, ["digest", "n"], "left").withColumn("own", row)
+    away = F.col("keeper").isNotNull() & (F.col("keeper.k").isNotNull()) & (F.col("own") < F.col("keeper"))
+    marked = marked.select("k", "u", "data", "digest", F.when(away, F.col("keeper.k")).alias("keeper"), F.col("keeper.u").alias("keeper_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, size, number = None, 0, 0
+        number = 0
         for batch in batches:
             rows = []
-            for k, u, body, keeper_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if name is None or size >= ARCHIVE_BYTES:
-                    name, size, number = f"capture-{k}", 0, 0
-                for member in capture_members(k, u, body, keeper_):
-                    rows.append((f"{name}.warc.gz", number, member))
-                    number += 1
-                    size += len(member)
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["archive", "member", "data"])
+            for capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number % CAPTURES == 0:
+                    rows.append(information(f"{TaskContext.get().partitionId()}-{number // CAPTURES}"))
+                rows += capture_records(*capture)
+                number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["data"])
+
+    folder = Scratch.folder(spark, "warc")
+    # A file holds its warcinfo record and so many captures of three records; bytes pass the text writer as they are.
+    texts = marked.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
+    writer = texts.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    writer.option("maxRecordsPerFile", 3 * CAPTURES + 1).text(folder)
+    return folder
 
-    return marked.mapInArrow(run, MEMBERS)
 
+def information(name: str) -> bytes:
+    block = b"software: readloom\r\nformat: WARC File Format 1.1\r\n"
+    return record("warcinfo", {"WARC-Record-ID": record_id("warcinfo", name), "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, block)
 
-def capture_members(key: int, url: str | None, body: bytes, keeper: int | None) -> list[bytes]:
+
+def capture_records(key: int | None, url: str | None, body: bytes, digest: str, keeper: int | None = None, keeper_url: str | None = None) -> list[bytes]:
     """The three records of one capture."""
     target = url or f"urn:page:{key}"
-    response = record_id("response", key)
-    digest = hashlib.sha1(body).hexdigest()
+    main = record_id("response", key, url or "", digest)
     common = {"WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": target}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
-    own = {"WARC-Record-ID": response, **common, "WARC-Payload-Digest": f"sha1:{digest}", "X-Capture-Key": key, "Content-Type": "application/http; msgtype=response"}
+    own = {"WARC-Record-ID": main, **common, "WARC-Payload-Digest": f"sha1:{digest}", "X-Capture-Key": key, "Content-Type": "application/http; msgtype=response"}
     if keeper is None:
-        main = write_record("response", own, head + body)
+        stored = record("response", own, head + body)
     else:
-        own |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id("response", keeper), "X-Refers-To-Key": keeper, "X-Payload-Length": len(body)}
-        main = write_record("revisit", own, head)
+        own |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id("response", keeper, keeper_url, digest), "X-Refers-To-Key": keeper, "X-Payload-Length": len(body)}
+        stored = record("revisit", own, head)
     get = f"GET {target} HTTP/1.1\r\nHost: archive\r\n\r\n".encode()
-    request = write_record("request", {"WARC-Record-ID": record_id("request", key), **common, "WARC-Concurrent-To": response, "Content-Type": "application/http; msgtype=request"}, get)
-    metadata = write_record("metadata", {"WARC-Record-ID": record_id("metadata", key), **common, "WARC-Concurrent-To": response, "Content-Type": "application/warc-fields"}, f"payloadBytes: {len(body)}\r\n".encode())
-    return [request, main, metadata]
+    request = record("request", {"WARC-Record-ID": record_id("request", main), **common, "WARC-Concurrent-To": main, "Content-Type": "application/http; msgtype=request"}, get)
+    metadata = record("metadata", {"WARC-Record-ID": record_id("metadata", main), **common, "WARC-Concurrent-To": main, "Content-Type": "application/warc-fields"}, f"payloadBytes: {len(body)}\r\n".encode())
+    return [request, stored, metadata]
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """data: the bytes of each WARC file of a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select(F.col("content").alias("data"))
 
 
 RECORDS = (
@@ -132,20 +162,24 @@ RECORDS = (
 )
 
 
-def read_records(members: DataFrame, with_blocks: bool = True) -> DataFrame:
-    """The records of archive members (column ``data``: one or more gzip members)."""
-    prepare(members.sparkSession)
+def read_records(files: DataFrame, with_blocks: bool = True) -> DataFrame:
+    """The records of WARC files (column ``data``: gzip members or plain records)."""
+    prepare(files.sparkSession)
     fields = [c.split() for c in RECORDS.split(", ")]
     schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[t]) for n, t in fields])
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     def number(x: str | None) -> int | None:
         return int(x) if x is not None and x.lstrip("-").isdigit() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for data in batch.column(0).to_pylist():
-                for h, block in parse_members(data or b""):
+                rows = []
+                for h, block in parse_records(data or b""):
                     kind = h.get("warc-type", "")
                     if kind not in ("request", "response", "revisit", "metadata"):
                         continue
@@ -157,10 +191,12 @@ def read_records(members: DataFrame, with_blocks: bool = True) -> DataFrame:
                     else:
                         size, digest = len(block), None
                     rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), number(h.get("x-capture-key")), number(h.get("x-refers-to-key")), size, digest, block if with_blocks else None))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    if len(rows) >= BATCH_ROWS:
+                        yield batch_of(rows)
+                        rows = []
+                yield batch_of(rows)
 
-    return members.select(F.col("data").cast("binary")).mapInArrow(run, RECORDS)
+    return files.select(F.col("data").cast("binary")).mapInArrow(run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -168,6 +204,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records join through the identifier that they are concurrent to. Of several requests or metadata records of one
     capture the one with the least identifier is shown and all are counted, so no capture gathers a group of any size.
+    Captures with one identifier (those of equal rows) come out as often as they were written.
     """
     main = F.col("type").isin("response", "revisit")
     key = F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to"))
@@ -177,15 +214,17 @@ def assemble(records: DataFrame) -> DataFrame:
         part(main).alias("response"),
         part(F.col("type") == "request").alias("request"),
         part(F.col("type") == "metadata").alias("metadata"),
+        F.count(F.when(main, 1)).alias("times"),
         F.count(F.when(F.col("type") == "request", 1)).alias("n_requests"),
         F.count(F.when(F.col("type") == "metadata", 1)).alias("n_metadata"),
     )
-    return grouped.filter(F.col("response").isNotNull()).withColumnRenamed("capture", "record_id")
+    each = lambda c: F.ceil(F.col(c) / F.col("times")).cast("long").alias(c)
+    written = grouped.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return written.select(F.col("capture").alias("record_id"), "response", "request", "metadata", each("n_requests"), each("n_metadata"))
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
     """Write pages as archives, read them back, assemble the captures: one row per page."""
-    archives = Scratch.table(write_archives(pages), "warc")
-    captures = assemble(read_records(archives, with_blocks=False))
+    captures = assemble(read_records(read_archives(pages.sparkSession, write_archives(pages)), with_blocks=False))
     r = "response."
     return captures.select(F.col(r + "capture_key").alias("page_id"), F.col(r + "payload_bytes").alias("payload_bytes"), F.col(r + "payload_digest").alias("payload_digest"), F.col(r + "type").alias("record_type"), F.col(r + "refers_to_key").alias("refers_to"), F.col(r + "url").alias("url"), "n_requests", "n_metadata", F.col("metadata.payload_bytes").alias("metadata_bytes"))

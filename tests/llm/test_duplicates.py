@@ -34,6 +34,13 @@ def test_kernels():
     assert len(shingle_hashes(word_hashes(b"a b c"), 5)) == 1 and not len(shingle_hashes(word_hashes(b" "), 5))
 
 
+def test_long_texts_hash_in_parts(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000)).encode() + b"\n" + b"x" * 500
+    want = word_hashes(text).tolist()
+    monkeypatch.setattr("readloom.llm.kernels.CHUNK", 200)
+    assert word_hashes(text).tolist() == want and len(want) == 3001
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -64,15 +71,71 @@ def near_brute(rows):
     return {i: (find(i), links[i]) for i in sets}
 
 
-@pytest.mark.parametrize("block", [lshforest.BLOCK, 300])
-def test_near_duplicates(spark, monkeypatch, block):
-    monkeypatch.setattr(lshforest, "BLOCK", block)
+@pytest.mark.parametrize("limits", [{}, {"GRAMS": 300, "SETS": 3, "SIGNATURES": 2, "BROADCAST_ROWS": 0}])
+def test_near_duplicates(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(lshforest, name, value)
     rows = corpus.documents()
-    got = {r.doc_id: (r.class_id, r.n_links) for r in lshforest.near_duplicates(corpus.frame(spark, rows)).collect()}
+    # rows that repeat count as one document
+    got = {r.doc_id: (r.class_id, r.n_links) for r in lshforest.near_duplicates(corpus.frame(spark, [*rows, rows[0], rows[0], rows[41], rows[48]])).collect()}
     want = near_brute(rows)
     assert got == want and max(v[1] for v in want.values()) >= 5
 
 
+def variants(seed, groups=12, size=9, similar=(0.8, 1.0)):
+    """Groups of texts at all similarities around the threshold, by words exchanged in a row."""
+    rng, out = np.random.default_rng(seed), []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 10_000, 150)]
+        for v in range(size):
+            words = list(base)
+            n = int(rng.integers(0, 16))
+            at = int(rng.integers(0, 150 - n))
+            words[at : at + n] = [f"v{v}x{k}g{g}" for k in range(n)]
+            out.append((g * 100 + v, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("shape", [{}, {"trees": 8, "depth": 6}, {"trees": 16, "depth": 3}])
+def test_recall_of_links(spark, shape):
+    rows = variants(3)
+    want = near_brute(rows)
+    got = {r.doc_id: r.n_links for r in lshforest.near_duplicates(corpus.frame(spark, rows), **shape).collect()}
+    assert all(got[i] <= n for i, (_, n) in want.items())
+    assert sum(got.values()) >= 0.95 * sum(n for _, n in want.values()) > 100
+
+
+def test_leaves_know_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    sigs = [(i, rng.integers(0, 3, 12).astype(">u2").tobytes()) for i in range(60)]
+    df = spark.createDataFrame(sigs, "id long, sig binary").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keep the many small ranges
+    try:
+        got = {(r.id, r.tree): r.matched for r in lshforest.trie_leaves(df, 3, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for t in range(3):
+        labels = {i: s[8 * t : 8 * t + 8] for i, s in sigs}
+        for i, x in labels.items():
+            best = max(next((k for k in range(4) if x[2 * k : 2 * k + 2] != y[2 * k : 2 * k + 2]), 4) for j, y in labels.items() if j != i)
+            assert got.get((i, t), 0) == (best if best >= lshforest.LEAST else got.get((i, t), 0))
+
+
+def test_rows_and_links_of_blocks():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert lshforest.overlaps(sets, sets, 7).tolist() == want
+    assert lshforest.overlaps(sets[:9], sets[9:], 7).tolist() == [row[9:] for row in want[:9]]
+    whole = lshforest.verify(list(range(30)), [1] * 30, [0] * 30, sets, 0.45)
+    split = [lshforest.verify(list(range(30)), [1] * 30, [1] * 9 + [2] * 21, sets, 0.45), lshforest.verify(list(range(9)), [1] * 9, [0] * 9, sets[:9], 0.45), lshforest.verify(list(range(9, 30)), [1] * 21, [0] * 21, sets[9:], 0.45)]
+    counts = defaultdict(int)
+    for part in split:
+        for i, _, n, _ in part:
+            counts[i] += n
+    assert dict(counts) == {i: n for i, _, n, _ in whole} and counts
+
+
 def test_one_of_each_class_stays(spark):
     docs = corpus.awkward(spark)
     want = near_brute(corpus.documents())
@@ -84,9 +147,12 @@ def test_one_of_each_class_stays(spark):
     assert lshforest.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_recall_bound():
-    d = lshforest.matched_depth(16, 8, 0.8, 0.995)
-    assert 1 - (1 - 0.8**d) ** 16 >= 0.995 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+def test_level_follows_the_pairs_at_hand():
+    level = lambda agree: lshforest.matched_level(agree, 16, 8, 0.8, 0.998, 0.99)
+    assert lshforest.found_at(0.8, 6) >= 0.99 > lshforest.found_at(0.8, 7)
+    assert level({}) == 6 and level({126: 50}) == 6 and level({40: 10**6}) == 6
+    # many pairs near the threshold need a shorter prefix
+    assert level({103: 50}) == 5
 
 
 def repeats_brute(rows):
@@ -103,9 +169,10 @@ def repeats_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffixdedup.HOT, 3])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "fan"), [(suffixdedup.HOT, 256), (3, 2)])
+def test_repeats(spark, monkeypatch, hot, fan):
     monkeypatch.setattr(suffixdedup, "WINDOWS", 500)
+    monkeypatch.setattr(suffixdedup, "FANIN", fan)
     rows = corpus.documents()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(corpus.frame(spark, rows), hot=hot).collect()}
     assert got == repeats_brute(rows)

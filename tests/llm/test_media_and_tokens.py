@@ -36,6 +36,49 @@ def test_damage_is_counted():
     assert mpegts.demux(b"").n_packets == 0 and mpegts.demux(b"\x47" * 50).n_packets == 0
 
 
+def packets(pid, section, counter=0):
+    """A section in as many packets as it takes."""
+    data, out, first = b"\0" + section, [], True
+    while data:
+        out.append((bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 0xFF, 0x10 | counter]) + data[:184]).ljust(188, b"\xff"))
+        data, first, counter = data[184:], False, counter + 1 & 15
+    return out
+
+
+def program_map(n, number=1, now=1):
+    body = b"\xe1\x00\xf0\x00" + b"".join(bytes([6, 0xE0 | (0x200 + i) >> 8, (0x200 + i) & 0xFF, 0xF0, 0]) for i in range(n))
+    head = bytes([2, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 0xFF, 0, number, 0xC0 | now, 0, 0]) + body
+    return head + mpegts.crc32_mpeg(head).to_bytes(4, "big")
+
+
+def test_tables_over_several_packets():
+    pat = mpegts.mux(b"")[:188]
+    section = program_map(60)
+    assert len(section) == 316
+    whole = packets(mpegts.PMT_PID, section)
+    ts = mpegts.demux(pat + b"".join(whole))
+    assert len(whole) == 2 and len(ts.streams) == 60 and not ts.bad_tables and not ts.continuity_errors
+    # other packets between, a packet sent twice, a gap, a table that holds later, two sections in one packet
+    assert len(mpegts.demux(pat + whole[0] + pat + whole[1]).streams) == 60
+    assert mpegts.demux(pat + whole[0] + whole[0] + whole[1]).duplicates == 1
+    lost = packets(mpegts.PMT_PID, program_map(100))
+    lost = mpegts.demux(pat + lost[0] + lost[2])
+    assert not lost.streams and lost.continuity_errors == 1 and lost.bad_tables == 1
+    assert not mpegts.demux(pat + b"".join(packets(mpegts.PMT_PID, program_map(3, now=0)))).streams
+    assert len(mpegts.demux(pat + b"".join(packets(mpegts.PMT_PID, program_map(3) + program_map(5)))).streams) == 5
+
+
+def test_announced_discontinuity():
+    media = mpegts.mux(b"q" * 9000)
+    units = [i for i in range(0, len(media), 188) if media[i + 1] & 0x40 and media[i + 2] == 0 and media[i + 1] & 0x1F == 1]
+    jumped = bytearray(media)
+    for i in range(units[1], len(media), 188):
+        jumped[i + 3] = jumped[i + 3] & 0xF0 | (jumped[i + 3] + 5) & 15
+    assert mpegts.demux(bytes(jumped)).continuity_errors == 1
+    jumped[units[1] + 5] |= 0x80
+    assert mpegts.demux(bytes(jumped)).continuity_errors == 0
+
+
 def test_text_columns(spark):
     docs = corpus.awkward(spark)
     rows = mpegts.text_round_trip(docs).collect()

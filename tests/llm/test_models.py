@@ -1,7 +1,9 @@
 """Quality rules (2), secret scan (4), language identification (7), mixing (10)."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import corpus
@@ -39,6 +41,50 @@ def test_quality_counts(spark):
     assert quality.filter_quality(docs.limit(0)).count() == 0 and quality.assess_quality(docs.limit(0)).count() == 0
 
 
+def naive_posteriors(patterns, rules, rounds=200):
+    """The label model document by document, in plain Python: what the counted, vectorised fit has to agree with."""
+    docs = [p for p, n in patterns.items() for _ in range(n)]
+    start = {c: dict(zip("01-", quality.START[c], strict=True)) for c in (0, 1)}
+    chances = [[dict(start[c]) for c in (0, 1)] for _ in range(rules)]
+    prior, hold = 0.85, max(1.0, 0.02 * len(docs))
+
+    def good(p):
+        x = [1 - prior, prior]
+        for r, v in enumerate(p):
+            x = [x[c] * chances[r][c][v] for c in (0, 1)]
+        return x[1] / sum(x)
+
+    for _ in range(rounds):
+        g = [good(p) for p in docs]
+        for r in range(rules):
+            for c in (0, 1):
+                mass = {v: hold * start[c][v] for v in "01-"}
+                for p, x in zip(docs, g, strict=True):
+                    mass[p[r]] += x if c else 1 - x
+                chances[r][c] = {v: m / sum(mass.values()) for v, m in mass.items()}
+        prior = min(0.99, max(0.01, (sum(g) + hold * 0.85) / (len(docs) + hold)))
+    return {p: good(p) for p in patterns}
+
+
+def test_posteriors_against_documents_one_by_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    rows = quality.assess_quality(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    votes = {i: quality.pattern(quality.RULES, quality.measure((t or "").encode())) for i, t in texts.items()}
+    want = naive_posteriors(Counter(votes[r.doc_id] for r in rows), len(quality.RULES))
+    for r in rows:
+        assert r.posterior == pytest.approx(want[votes[r.doc_id]], abs=1e-4)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "plain words of a text that goes on and on for a while " * 6, "a", "b", "c") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__quality_text` string, votes string, `odd name.x` string")
+    kept = quality.filter_quality(docs)
+    assert kept.columns == docs.columns
+    assert quality.assess_quality(docs).count() == 4
+
+
 def test_symbols_without_words():
     assert quality.measure(b" \n") == (0,) * len(quality.COUNTS)
 
@@ -82,6 +128,24 @@ def test_language_cases(spark):
     assert langid.learn_and_identify(corpus.awkward(spark)).count() == corpus.awkward(spark).count()
 
 
+def test_nearest_centroid_by_hand(spark):
+    rng = random.Random(8)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    rows = [(i, text("abcdefg" if i % 3 else "tuvwxyz"), "one" if i % 3 else "two") for i in range(60)] + [(99, text("cdeftu"), None), (None, text("abc"), "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.training_sample(docs))
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert got[None].held_out is False
+    for i, t, _ in rows:
+        # cosines one by one, in plain Python
+        v = [math.log1p(c) * w for c, w in zip(langid.counts(t).tolist(), model.idf.tolist(), strict=True)]
+        norm = math.sqrt(sum(x * x for x in v))
+        best = max((sum(a * b for a, b in zip(v, c.tolist(), strict=True)) / norm, -int(o)) for c, o in zip(model.centroids, model.owner, strict=True))
+        assert got[i].lang_pred == model.languages[-best[1]]
+        if i is not None:
+            assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_rejection_by_distance():
     rng = random.Random(2)
     text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
@@ -99,6 +163,47 @@ def test_secrets(spark):
     assert found.filter(F.col("candidate").startswith("AKIA") & F.col("is_secret")).select("doc_id").distinct().count() == keys
 
 
+def planted_findings(seed, n=400):
+    """Texts with secrets and look-alikes in much the same surroundings, and what was planted."""
+    rng = random.Random(seed)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    names = ["customer", "invoice", "handler", "factory", "builder", "request", "session", "manager", "provider", "context"]
+    prose = lambda n: " ".join(rng.choice(names + ["the", "and", "with", "from", "into"]) for _ in range(n))
+    rows, truth = [], {}
+    for i in range(n):
+        if i % 2:
+            value = rng.choice([draw(alnum, 32), draw(alnum + "+/", 40), "eyJ" + draw(alnum, 17) + "." + draw(alnum, 30)])
+        else:
+            value = rng.choice(["".join(x.capitalize() for x in rng.sample(names, 3)), "/".join(["srv", *rng.sample(names, 3)]), draw("0123456789", 20), "-".join(rng.sample(names, 3)), draw("ab", 24)])
+        before = rng.choice(["token =", "key:", "value", "see", "password:", "id"])
+        rows.append((i, f"{prose(12)} {before} {value} {prose(12)}"))
+        truth[i, value] = float(i % 2)
+    return rows, truth
+
+
+def test_forest_on_independent_labels(spark):
+    rows, truth = planted_findings(11)
+    docs = corpus.frame(spark, rows)
+    known = spark.createDataFrame([(i, c, y) for (i, c), y in truth.items()], "known_id long, known string, label double")
+    found = secretscan.findings(docs, secretscan.frequent_words(docs))
+    labelled = found.join(known, (F.col("doc_id") == F.col("known_id")) & (F.col("candidate") == F.col("known"))).drop("known_id", "known")
+    assert labelled.count() >= 0.95 * len(truth)
+    scored = secretscan.scan(docs, labelled).filter(secretscan.held_out()).collect()
+    pairs = [(truth[r.doc_id, r.candidate], r.is_secret) for r in scored if (r.doc_id, r.candidate) in truth]
+    hits = sum(y and p for y, p in pairs)
+    flagged, real = sum(p for _, p in pairs), sum(y for y, _ in pairs)
+    assert real > 30 and hits >= 0.9 * real and hits >= 0.9 * flagged
+    assert len(pairs) - real > 30  # what the forest took away
+
+
+def test_secret_ties_and_repeats(spark):
+    rows = [(5, "x token= a8f3k2j9d7s6h4g5 a8f3k2j9d7s6h4g5"), (5, "x token= a8f3k2j9d7s6h4g5 a8f3k2j9d7s6h4g5"), (None, "token= a8f3k2j9d7s6h4g5")]
+    found = secretscan.scan(corpus.frame(spark, rows)).collect()
+    assert len(found) == 5 and sum(r.doc_id is None for r in found) == 1
+    assert len({(r.word_no, r.probability) for r in found if r.doc_id == 5}) == 2
+
+
 def test_secret_cases(spark):
     docs = corpus.awkward(spark)
     assert secretscan.scan(docs.limit(0)).count() == 0
@@ -158,6 +263,27 @@ def test_mix_cases(spark):
     assert [(r.size, r.taken, r.target) for r in empty] == [(0, 0, 0.0)] * 2
 
 
+def test_mix_order(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 30))), rng.choice("abc")) for i in range(120)]
+    rows += [(7, "one two three", "a"), (7, "four five six seven", "a"), (None, "null id", "b"), (None, "null id", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    picked = mixing.mix(docs).collect()
+    order = mixing.mix_documents(docs.withColumn("__own_h", F.lit(1)).withColumn("size", F.lit("x")))
+    assert order.columns == ["doc_id", "text", "source", "__own_h", "size"]
+    served = order.collect()
+    want = Counter()
+    for r in picked:
+        want[r.doc_id, r.source, r.size] += r.passes
+    assert Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in served) == +want
+    # the rows of a source come pass after pass, and the first ones by virtual finish time
+    finish = {(r.doc_id, r.source, r.size): r.finish_time for r in picked}
+    firsts = list(dict.fromkeys((r.doc_id, r.source, len(WORD.findall(r.text))) for r in served))
+    for s in "abc":
+        times = [finish[x] for x in firsts if x[1] == s]
+        assert times == sorted(times)
+
+
 def test_word_count_matches(spark):
     rows = corpus.documents()
     got = {r[0]: r[1] for r in corpus.frame(spark, rows).select("doc_id", mixing.word_count(F.col("text"))).collect()}

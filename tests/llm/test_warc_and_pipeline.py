@@ -1,9 +1,13 @@
 """WARC captures (9) and the pipeline."""
 
 import hashlib
+import random
+from collections import Counter
 
 import corpus
 import pytest
+from test_duplicates import lines_brute, near_brute, tokens
+from test_models import base_counts, naive_posteriors
 
 from readloom.llm import linededup, lshforest, mixing, quality, warc
 from readloom.llm.queries import QUERIES
@@ -31,26 +35,56 @@ def test_captures(spark):
         assert r.n_requests == 1 and r.n_metadata == 1
 
 
-def test_records_and_transactions(spark):
-    archive = warc.write_archives(pages(spark))
-    whole = b"".join(bytes(r.data) for r in archive.orderBy("archive", "member").collect())
-    plain = list(warc.parse_members(whole))
-    assert len(plain) == 33 and {h["warc-type"] for h, _ in plain} == {"request", "response", "revisit", "metadata"}
-    damaged = list(warc.parse_members(whole[:-7]))
-    assert len(damaged) == 32
-    files = spark.createDataFrame([(whole,), (None,), (b"junk",)], "data binary")
-    captures = warc.assemble(warc.read_records(files))
-    one = captures.filter("response.capture_key = 2").first()
-    assert captures.count() == 11 and one.request.block.startswith(b"GET http://b") and b"payloadBytes: 1" in one.metadata.block
+def test_records_and_transactions(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CAPTURES", 4)
+    folder = warc.write_archives(pages(spark).coalesce(1))
+    files = warc.read_archives(spark, folder)
+    archives = [bytes(r.data) for r in files.collect()]
+    assert len(archives) == 3
+    for data in archives:
+        kinds = [h["warc-type"] for h, _ in warc.parse_records(data)]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1 and len(kinds) in (13, 10)
+    whole = b"".join(archives)
+    plain = list(warc.parse_records(whole))
+    assert len(plain) == 36 and {h["warc-type"] for h, _ in plain} == {"warcinfo", "request", "response", "revisit", "metadata"}
+    ids = [h["warc-record-id"] for h, _ in plain]
+    assert len(set(ids)) == len(ids)
+    assert all(h["warc-refers-to"] in ids for h, _ in plain if h["warc-type"] == "revisit")
+    # damage: a cut file loses its last record, a broken length only its own record
+    assert len(list(warc.parse_records(whole[:-20]))) >= 23
+    bare = b"\r\n\r\n".join(warc.capture_records(k, None, b"z", "d")[1] for k in (1, 2, 3))
+    assert [h["x-capture-key"] for h, _ in warc.parse_records(bare.replace(b"Content-Length", b"Content-Lengtt", 1))] == ["2", "3"]
+    made = spark.createDataFrame([(whole,), (None,), (b"junk",), (bare,)], "data binary")
+    captures = warc.assemble(warc.read_records(made))
+    one = captures.filter("response.capture_key = 2 and response.url = 'http://b'").first()
+    assert captures.count() == 14 and one.request.block.startswith(b"GET http://b") and b"payloadBytes: 1" in one.metadata.block
     assert warc.http_payload(bytes(one.response.block)) == b"y"
-    alone = warc.read_records(files).filter("type <> 'request'")
-    assert warc.assemble(alone).filter("request is null and n_requests = 0").count() == 11
+    alone = warc.read_records(made).filter("type <> 'request'")
+    assert warc.assemble(alone).filter("request is null and n_requests = 0").count() == 14
 
 
 def test_empty_and_repeated_pages(spark):
     df = pages(spark)
     assert warc.page_captures(df.limit(0)).count() == 0
-    assert warc.page_captures(df.union(df.filter("page_id = 2"))).count() == 11
+    twice = warc.page_captures(df.union(df.filter("page_id = 2"))).collect()
+    assert len(twice) == 12 and [r.n_requests for r in twice if r.page_id == 2] == [1, 1]
+
+
+def test_one_key_for_two_payloads_and_no_key(spark):
+    one, two = "p" * 1200, "q" * 1300
+    rows = [(5, "http://a", one), (5, "http://a", two), (9, "http://b", one), (None, "http://c", two), (None, "http://d", "x"), (None, "http://d", "x")]
+    df = spark.createDataFrame([(*r, "t", "d") for r in rows], SCHEMA)
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.page_captures(df).collect()))
+    assert got == [(0, 1, "response", 0), (0, 1, "response", 0), (0, 1300, "revisit", 5), (5, 1200, "revisit", 9), (5, 1300, "response", 0), (9, 1200, "response", 0)]
+    stored = [b for data in warc.read_archives(spark, warc.write_archives(df)).collect() for h, b in warc.parse_records(bytes(data.data)) if h["warc-type"] == "response"]
+    assert {warc.http_payload(b).decode() for b in stored} == {one, two, "x"}
+
+
+def test_any_bytes(spark):
+    data = bytes(range(256)) * 9 + b"\r\n\r\nWARC/1.1 \xff"
+    df = spark.createDataFrame([(1, "u", data)], "page_id long, url string, html binary")
+    r = warc.page_captures(df).first()
+    assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
 
 
 def test_stages_against_operators(spark):
@@ -82,6 +116,63 @@ def test_stages_against_operators(spark):
     assert len(five) == len(four) and all(r.n_tokens > 0 for r in five)
 
 
+def naive_mix(rows):
+    """(doc_id, text, source) rows in the order of service, one by one in plain Python."""
+    size = {r: len(tokens(r[1])) for r in rows}
+    sources = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+    total = sum(size.values())
+    weight = {s: 1 + i % 3 for i, s in enumerate(sources)}
+    whole = {s: sum(n for r, n in size.items() if r[2] == s) for s in sources}
+    items = []
+    for s in sources:
+        done = 0
+        for h, r in sorted((hashlib.md5(f"17:{r[0]}:{r[1]}".encode()).hexdigest(), r) for r in rows if r[2] == s):
+            done += size[r]
+            items += [((k * whole[s] + done) / weight[s], h, k, r) for k in range(3) if size[r]]
+    out, used = [], 0
+    for *_, r in sorted(items, key=lambda x: x[:3]):
+        used += size[r]
+        if used > total:
+            break
+        out.append(r)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole run on a small corpus of its own documents, against plain Python from end to end."""
+    import tiktoken
+
+    import corpus_pipeline as cp
+    from readloom.llm import bpe
+
+    rng = random.Random(21)
+    texts = [corpus.words(rng, rng.randrange(60, 90), 4000) + "\n" + corpus.words(rng, rng.randrange(8, 30), 4000) for _ in range(40)]
+    texts += [texts[0], texts[1] + " more", texts[2].split("\n")[0] + "\n" + corpus.words(rng, 20, 4000), "short text", "", None, "again and again " * 60]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    votes = {r[0]: quality.pattern(quality.RULES, quality.measure((r[1] or "").encode())) for r in rows}
+    posterior = naive_posteriors(Counter(votes.values()), len(quality.RULES))
+    kept = []
+    for i, t, _, s, _ in rows:
+        n = base_counts(t)
+        if n[0] >= 50 and 2 * n[4] <= n[0] and posterior[votes[i]] >= 0.5:
+            kept.append((i, t, s))
+    lines, gone = lines_brute([r[:2] for r in kept])
+    deduped = []
+    for i, t, s in kept:
+        own = [x[1] for x in lines if x[0] == i]
+        if not own or any((i, j) not in gone for j in own):
+            deduped.append((i, "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone), s))
+    classes = near_brute([r[:2] for r in deduped])
+    single = [r for r in deduped if r[0] not in classes or classes[r[0]][0] == r[0]]
+    mixed = naive_mix(single)
+    assert len(rows) > len(kept) >= len(deduped) >= len(single) > 30 and len(mixed) > len(set(mixed))
+    own = bpe.encoder(*bpe.vocabulary())
+    library = tiktoken.Encoding("t", pat_str=bpe.vocabulary()[1], mergeable_ranks=own.ranks, special_tokens={})
+    want = Counter((i, hashlib.sha256(",".join(map(str, library.encode_ordinary(t))).encode()).hexdigest()) for i, t, _ in mixed)
+    assert Counter((r.doc_id, r.ids_sha256) for r in cp.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_run(spark):
     import corpus_pipeline as cp
 
