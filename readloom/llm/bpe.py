@@ -16,10 +16,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +168,8 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
     return _encoders[path, pattern]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    bpe = encoder(path, pattern)
+def _encoded(batches: Iterator[pa.RecordBatch], name: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    bpe = encoder(SparkFiles.get(name), pattern)
     names = bpe.names
     for batch in batches:
         counts, id_digests, byte_digests, ids_out = [], [], [], []
@@ -187,10 +189,15 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_id
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every document; the ids are decoded again for the last."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every document; the ids are decoded again for the last.
+
+    The rank file lies on the driver and is shipped to the executors.
+    """
     prepare(docs.sparkSession)
     if path is None or pattern is None:
         known = vocabulary()
         path, pattern = path or known[0], pattern or known[1]
+    docs.sparkSession.sparkContext.addFile(path)
+    name = Path(path).name
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _encoded(b, path, pattern, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _encoded(b, name, pattern, with_ids), schema)

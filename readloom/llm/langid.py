@@ -7,7 +7,8 @@ nearly all of them is marked as rejected (its nearest language is still named).
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; very long texts are counted whole; ties
 go to the first language in code-point order; without any labelled text every text is ``und``; equal texts get equal
-predictions; lang, source and doc_id are no inputs of a prediction; extra columns are ignored.
+predictions; a null doc_id is never learned from and not held out; lang, source and doc_id are no inputs of a
+prediction; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return ready.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

@@ -7,8 +7,9 @@ how arbitrary bytes are stored losslessly.
 
 Defined cases: null counts as empty; an empty text is padded to 64 zero bytes, so every stream has an access unit;
 very long payloads become more access units; bytes out of sync are skipped and counted; duplicate packets are dropped;
-a gap in a continuity counter is counted and ends the packet under way; tables with a bad CRC are ignored and
-counted; extra columns are kept out of the result.
+a gap in a continuity counter is counted and ends the packet under way, unless the stream announces it; tables may
+span packets and follow one another, those with a bad CRC or a gap are ignored and counted, and those that do not hold
+yet are passed over; extra columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -154,19 +155,17 @@ class TransportStream:
 
 
 @lru_cache(4096)
-def _parse_section(data: bytes, table: int) -> tuple[tuple[int, int], ...] | None:
-    """(program, PMT PID) of an association table or (PID, type) of a map table; None if damaged."""
-    start = 1 + data[0] if data else 1
-    if len(data) < start + 12 or data[start] != table:
-        return None
-    length = struct.unpack_from(">H", data, start + 1)[0] & 0xFFF
-    section = data[start : start + 3 + length]
-    if len(section) < 3 + length or length < 9 or crc32_mpeg(section) != 0:
+def _parse_section(section: bytes) -> tuple[int, bool, tuple[tuple[int, int], ...]] | None:
+    """Table, whether it holds now, and (program, PMT PID) of an association table or (PID, type) of a map table.
+
+    None if damaged; other tables have no entries.
+    """
+    if len(section) < 12 or crc32_mpeg(section) != 0:
         return None
-    out, at, end = [], 8, len(section) - 4
+    table, out, at, end = section[0], [], 8, len(section) - 4
     if table == 2:
         at += 4 + (struct.unpack_from(">H", section, 10)[0] & 0xFFF)
-    while at + (4 if table == 0 else 5) <= end:
+    while table in (0, 2) and at + (4 if table == 0 else 5) <= end:
         if table == 0:
             number, pid = struct.unpack_from(">HH", section, at)
             out.append((number, pid & 0x1FFF))
@@ -175,7 +174,52 @@ def _parse_section(data: bytes, table: int) -> tuple[tuple[int, int], ...] | Non
             kind, pid, info = struct.unpack_from(">BHH", section, at)
             out.append((pid & 0x1FFF, kind))
             at += 5 + (info & 0xFFF)
-    return tuple(out)
+    return table, bool(section[5] & 1), tuple(out)
+
+
+@dataclass
+class _Sections:
+    """Sections of one PID: they begin at a pointer, follow one another and go on in the packets that come next."""
+
+    counter: int = -1
+    last: bytes = b""
+    rest: bytes | None = None
+
+    def feed(self, ts: TransportStream, start: bool, counter: int, body: bytes, jump: bool) -> Iterator[bytes]:
+        if counter == self.counter and body == self.last and not jump:
+            ts.duplicates += 1
+            return
+        if self.counter >= 0 and counter != self.counter + 1 & 15 and not jump:
+            ts.continuity_errors += 1
+            self._lose(ts)
+        self.counter, self.last = counter, body
+        if start:
+            begin = 1 + body[0]
+            if self.rest is not None:
+                self.rest += body[1:begin]
+                yield from self._whole(ts)
+                self._lose(ts)
+            self.rest = body[begin:]
+        elif self.rest is not None:
+            self.rest += body
+        else:
+            return
+        yield from self._whole(ts)
+
+    def _whole(self, ts: TransportStream) -> Iterator[bytes]:
+        while self.rest:
+            if self.rest[0] == 0xFF:  # stuffing up to the next pointer
+                self.rest = None
+                return
+            if len(self.rest) < 3 or len(self.rest) < (size := 3 + (struct.unpack_from(">H", self.rest, 1)[0] & 0xFFF)):
+                return
+            yield self.rest[:size]
+            self.rest = self.rest[size:]
+
+    def _lose(self, ts: TransportStream) -> None:
+        if self.rest:
+            ts.bad_tables += 1
+        self.rest = None
 
 
 def _ticks(b: bytes) -> int:
@@ -211,6 +255,7 @@ def demux(media: bytes) -> TransportStream:
     ts = TransportStream()
     open_streams: dict[int, _Stream] = {}
     maps: set[int] = set()
+    tables: dict[int, _Sections] = {}
     at, end = 0, len(media)
     while at < end:
         if end - at < PACKET or media[at] != SYNC or (at + PACKET < end and media[at + PACKET] != SYNC):
@@ -227,10 +272,11 @@ def demux(media: bytes) -> TransportStream:
         offset, begin = at, at + 4
         at += PACKET
         ts.n_packets += 1
-        random_access = False
+        random_access = jump = False
         if control & 0x20:
             size = media[begin]
             if size:
+                jump = bool(media[begin + 1] & 0x80)  # a discontinuity that the sender announces
                 random_access = bool(media[begin + 1] & 0x40)
                 ts.clocks += media[begin + 1] >> 4 & 1
             begin += 1 + size
@@ -238,26 +284,29 @@ def demux(media: bytes) -> TransportStream:
             continue
         body = media[begin:at]
         if pid == 0 or pid in maps:
-            if head & 0x4000:
-                found = _parse_section(body, 0 if pid == 0 else 2)
+            wanted = 0 if pid == 0 else 2
+            for section in tables.setdefault(pid, _Sections()).feed(ts, bool(head & 0x4000), control & 15, body, jump):
+                found = _parse_section(section)
                 if found is None:
                     ts.bad_tables += 1
+                elif found[0] != wanted or not found[1]:
+                    continue  # another table, or one that will hold later
                 elif pid == 0:
-                    ts.programs.update((n, p) for n, p in found if n)
-                    maps.update(p for n, p in found if n)
+                    ts.programs.update((n, p) for n, p in found[2] if n)
+                    maps.update(p for n, p in found[2] if n)
                 else:
-                    ts.streams.update(found)
-                    for p, _ in found:
+                    ts.streams.update(found[2])
+                    for p, _ in found[2]:
                         open_streams.setdefault(p, _Stream())
             continue
         s = open_streams.get(pid)
         if s is None:
             continue
         counter = control & 15
-        if s.counter == counter and s.last == body:
+        if s.counter == counter and s.last == body and not jump:
             ts.duplicates += 1
             continue
-        if s.counter >= 0 and counter != s.counter + 1 & 15:
+        if s.counter >= 0 and counter != s.counter + 1 & 15 and not jump:
             ts.continuity_errors += 1
             if not head & 0x4000:
                 _finish(ts, pid, s)

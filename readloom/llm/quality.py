@@ -5,8 +5,8 @@ counted by pattern (a bounded number: 3 ** number of rules), expectation-maximis
 often each rule votes what on good and on bad documents, and the posterior probability of "good" decides.
 
 Defined cases: a null or empty text has no words and fails the base rules; very long texts are measured whole; an
-empty table gives an empty result; equal texts get equal verdicts; extra columns are kept by ``filter_quality``, and
-its own working columns carry a prefix that no input column may share by accident.
+empty table gives an empty result; equal texts get equal verdicts; rows may repeat; ``filter_quality`` keeps all columns,
+which travel as one nested value, so they may have any names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from .runtime import Scratch, prepare
 
@@ -27,7 +28,8 @@ from .runtime import Scratch, prepare
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps_words", "n_digits", "n_marked_words")
-PREFIX = "__quality_"
+#: With which words of running text end, letters and digits aside.
+USUAL = b".,;:!?\"')]}"
 
 
 def measure(text: bytes | None) -> tuple[int, ...]:
@@ -43,7 +45,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     lines = [line for line in text.split(b"\n") if line.strip()]
     caps = sum(map(bytes.isupper, words))
     digits = len(text) - len(text.translate(None, b"0123456789"))
-    marked = sum(w[-1] in b"*#$%&!|<>~^=" for w in words)
+    marked = sum(w[-1] < 0x80 and not w[-1:].isalnum() and w[-1] not in USUAL for w in words)
     return (len(words), points - spaces, symbols, len(lines) - len(set(lines)), _repeated(words), len(lines), caps, digits, marked)
 
 
@@ -155,54 +157,49 @@ def fit(patterns: dict[str, int], n_rules: int, prior: float = 0.85, strength: f
     return LabelModel(p, tuple((tuple(map(float, t[0])), tuple(map(float, t[1]))) for t in table))
 
 
-def _measured(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], prefix: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(prefix + "text")).to_pylist()
-        figures = [measure(t) for t in texts]
-        columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name != prefix + "text"}
-        for i, name in enumerate(COUNTS):
-            columns[prefix + name] = pa.array([x[i] for x in figures], pa.int64())
-        columns[prefix + "votes"] = pa.array([pattern(rules, x) for x in figures], pa.string())
-        yield pa.RecordBatch.from_pydict(columns)
+def with_figures(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (the columns of docs, or those to keep, nested), the figures and the vote pattern of each row."""
+    prepare(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    ready = docs.select(row.alias("row"), F.col(text).cast("binary").alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            figures = [measure(t) for t in batch.column(1).to_pylist()]
+            counts = [pa.array([x[i] for x in figures], pa.int64()) for i in range(len(COUNTS))]
+            votes = pa.array([pattern(rules, x) for x in figures], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, votes], ["row", *COUNTS, "votes"])
 
-def with_figures(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with the figures and the vote pattern of each row, in columns that begin with PREFIX."""
-    prepare(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += "".join(f", `{PREFIX}{name}` bigint" for name in COUNTS) + f", `{PREFIX}votes` string"
-    ready = docs.withColumn(PREFIX + "text", F.col(text).cast("binary"))
-    return ready.mapInArrow(lambda batches: _measured(batches, rules, PREFIX), schema)
+    schema = StructType([ready.schema["row"]])
+    for name in COUNTS:
+        schema = schema.add(name, LongType())
+    return ready.mapInArrow(run, schema.add("votes", StringType()))
 
 
 def judge(figures: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> tuple[DataFrame, LabelModel]:
     """Fit the label model on all rows of a figures table; add posterior, base_failed and kept."""
-    counts = {r[0]: r[1] for r in figures.groupBy(PREFIX + "votes").count().collect()}  # at most 3 ** rules rows
+    counts = {r[0]: r[1] for r in figures.groupBy("votes").count().collect()}  # at most 3 ** rules rows
     model = fit(counts, len(rules))
     values = sorted((k, model.posterior(k)) for k in counts)
-    posterior = F.lit(0.0)
     if values:
-        table = figures.sparkSession.createDataFrame(values, f"`{PREFIX}votes` string, `{PREFIX}posterior` double")
-        figures = figures.join(F.broadcast(table), PREFIX + "votes", "left")
-        posterior = F.col(PREFIX + "posterior")
-    words, repeated = F.col(PREFIX + "n_words"), F.col(PREFIX + "n_repeat_words")
+        table = figures.sparkSession.createDataFrame(values, "votes string, posterior double")
+        figures = figures.join(F.broadcast(table), "votes", "left")
+    else:
+        figures = figures.withColumn("posterior", F.lit(0.0))
+    words, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (words < min_words) | (repeated * 100 > words * max_repeat_percent)
-    out = figures.withColumn("posterior", posterior).withColumn("base_failed", failed)
+    out = figures.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)), model
 
 
 def assess_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """doc_id, the figures, base_failed, posterior and kept of every document."""
-    figures = Scratch.table(with_figures(docs.select("doc_id", "text").select("doc_id", F.col("text").alias("__t")), rules, "__t").drop("__t"), "quality")
+    figures = Scratch.table(with_figures(docs, rules, keep=["doc_id"]), "quality")
     out, _ = judge(figures, rules, threshold)
-    return out.select("doc_id", *(F.col(PREFIX + c).alias(c) for c in COUNTS), "base_failed", "posterior", "kept")
+    return out.select("row.doc_id", *COUNTS, "base_failed", "posterior", "kept")
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    figures = Scratch.table(with_figures(docs, rules), "quality-docs")
-    names = [f.name for f in docs.schema]
-    renamed = figures.select([F.col(f"`{n}`") for n in names] + [F.col(PREFIX + c) for c in (*COUNTS, "votes")])
-    marked = renamed.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias(PREFIX + "row"), *[PREFIX + c for c in (*COUNTS, "votes")])
-    out, _ = judge(marked, rules, threshold)
-    return out.filter("kept").select(F.col(PREFIX + "row.*"))
+    out, _ = judge(Scratch.table(with_figures(docs, rules), "quality-docs"), rules, threshold)
+    return out.filter("kept").select("row.*")

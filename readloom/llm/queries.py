@@ -73,7 +73,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "finish_time")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +119,19 @@ SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN keepe
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to, coalesce(nullif(url, ''), 'urn:page:' || page_id) AS url, 1 AS n_requests, 1 AS n_metadata, 16 + length(cast(n AS varchar)) AS metadata_bytes
 FROM p LEFT JOIN k ON k.h = p.h"""
 
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": NEAR_SQL, "op8_line_dedup": LINES_SQL, "op9_warc": WARC_SQL}
+#: Weighted fair queueing over the whole table by running sums.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  md5('17:' || coalesce(cast(doc_id AS varchar), '') || ':' || coalesce(text, '')) AS h FROM documents),
+src AS (SELECT source, sum(size)::bigint AS ss, sum(sum(size)) OVER () AS budget, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1.0 AS weight FROM d GROUP BY source),
+rk AS (SELECT *, 3.0 * ss AS cap, 3.0 * ss / weight AS ratio FROM src),
+lv AS (SELECT *, (budget - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM rk WINDOW b AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT source, ss, weight::double AS weight, budget, least(cap, coalesce(weight * max(CASE WHEN level <= ratio THEN level END) OVER (), cap))::double AS target FROM lv),
+qu AS (SELECT row_number() OVER () AS id, d.*, ss, weight, target, budget, (sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING))::double AS finish
+  FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source),
+it AS (SELECT id, size, h, k, budget, (k * ss + finish) / weight AS vft FROM qu, (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0),
+sv AS (SELECT id, budget, sum(size) OVER (ORDER BY vft, h, k ROWS UNBOUNDED PRECEDING) AS upto FROM it),
+tk AS (SELECT id, count(*) AS passes FROM sv WHERE upto <= budget GROUP BY id)
+SELECT doc_id, size::bigint AS size, source, ss AS source_size, target, finish / weight AS finish_time, coalesce(passes, 0)::integer AS passes, (coalesce(passes, 0) * size)::bigint AS taken FROM qu LEFT JOIN tk USING (id)"""
+
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": NEAR_SQL, "op8_line_dedup": LINES_SQL, "op9_warc": WARC_SQL, "op10_mix_sources": MIX_SQL}

@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives (DataFrame functions and the JVM's forest only).
 
-A candidate is a run of 16 or more letters, digits and ``+ / _ -`` inside a word. Its features are its length, the
+A candidate is a run of 16 or more letters, digits and ``+ / _ ~ -`` inside a word, with any dotted parts of eight or
+more that follow (as in signed tokens). Its features are its length, the
 transitions between classes of its characters, how much of it frequent words of the corpus cover, path marks around it
 and the neighbouring words. A random forest, trained on labelled findings, says how probable a secret is.
 
@@ -23,12 +24,12 @@ from .runtime import Scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: A candidate, and the least length of a word that can hold one.
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = r"[A-Za-z0-9+/_~-]{16,}(?:\.[A-Za-z0-9+/_~-]{8,})*={0,2}"
 LEAST = 16
 #: Words that point to a secret beside them.
 HINTS = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)"
-#: Frequent words in the dictionary, findings of each label in a training sample.
-DICTIONARY = 250
+#: Words in the dictionary (the most frequent ones of the corpus), findings of each label in a training sample.
+DICTIONARY = 500
 SAMPLE = 4000
 FEATURES = (
     "length", "digit_share", "upper_share", "lower_share", "transitions", "case_changes", "distinct_share", "vowel_share",
@@ -37,8 +38,8 @@ FEATURES = (
 
 
 def frequent_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
-    """The n most frequent words of 3 to 12 letters, counted over all texts."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w").between(3, 12))
+    """The n most frequent words of 3 to 12 letters a to z, counted over all texts (candidates have no other letters)."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.col("w").rlike("^[a-z]{3,12}$"))
     return [r[0] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n).collect()]
 
 

@@ -41,6 +41,8 @@ HOT_HASHES = 1_000_000
 #: Text in a bucket, and strings expected in a range.
 BUCKET_BYTES = 8 << 20
 RANGE_STRINGS = 150_000
+#: Runs merged at once.
+FANIN = 256
 #: Windows looked at together within one hash; more are handled in several passes.
 WINDOWS = 1_000_000
 CHUNK = 1 << 15
@@ -264,15 +266,17 @@ def _strings(text: bytes, hashes: np.ndarray, hot: np.ndarray) -> Iterator[tuple
             yield v.tobytes() + text[a : b + LENGTH - 1], a
 
 
-ORDER = np.dtype([("id", "<i8"), ("th", "<i8"), ("start", "<u8"), ("doc", "<u4")])
+ORDER = np.dtype([("id", "<i8"), ("th", "<i8"), ("start", "<u8"), ("bucket", "<u4"), ("doc", "<u4")])
+RUNS = "range bigint, unit bigint, blob binary"
 
 
 def _bucket_run(docs: pa.Table, flags: pa.Table, ranges: int, hot: np.ndarray) -> pa.Table:
     """One bucket's run, cut by range; strings that the bucket itself has earlier are settled here.
 
-    Rows (range, bucket, blob) hold a run, rows with range -1 the settled removals (document number, start, end).
+    Rows (range, unit, blob) hold a run of this bucket, rows with range -1 its settled removals (document number, start,
+    end).
     """
-    kinds, buckets, blobs = [], [], []
+    rows_out: list[tuple[int, int, bytes]] = []
     if docs.num_rows and flags.num_rows:
         bucket = docs.column("bucket")[0].as_py()
         hashes = np.unique(np.concatenate([_unpack(b, "u8")[0] for b in flags.column("flags").to_pylist()]))
@@ -291,59 +295,93 @@ def _bucket_run(docs: pa.Table, flags: pa.Table, ranges: int, hot: np.ndarray) -
             else:
                 kept.append(e)
         if settled:
-            kinds.append(-1)
-            buckets.append(bucket)
-            blobs.append(_pack(np.array(settled, np.int64)))
-        if kept:
-            first = np.frombuffer(b"".join([e[0][:8] for e in kept]), ">u8").astype(U)
-            to = _range_of(first, ranges)
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
-                part = kept[a:b]
-                order = np.array([(e[3], e[4], e[2], e[1]) for e in part], ORDER)
-                kinds.append(int(to[a]))
-                buckets.append(bucket)
-                blobs.append(_pack(*front_code([e[0] for e in part]), order))
-    return pa.table({"range": pa.array(kinds, pa.int64()), "bucket": pa.array(buckets, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            rows_out.append((-1, bucket, _pack(np.array(settled, np.int64))))
+        order = np.array([(e[3], e[4], e[2], bucket, e[1]) for e in kept], ORDER)
+        rows_out += _cut_run([e[0] for e in kept], order, ranges, bucket)
+    return _rows(rows_out)
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+    return pa.table({"range": pa.array(columns[0], pa.int64()), "unit": pa.array(columns[1], pa.int64()), "blob": pa.array(columns[2], pa.binary())})
+
+
+def _cut_run(strings: list[bytes], order: np.ndarray, ranges: int, unit: int) -> list[tuple[int, int, bytes]]:
+    """A sorted run as front-coded pieces by range."""
+    if not strings:
+        return []
+    to = _range_of(np.frombuffer(b"".join([s[:8] for s in strings]), ">u8").astype(U), ranges)
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    return [(int(to[a]), unit, _pack(*front_code(strings[a:b]), order[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True)]
 
 
 # -- merge ------------------------------------------------------------------------------------------------------------
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """Removals (bucket, blob of document number, start, end) that the merge of one range's runs finds."""
-    buckets = table.column("bucket").to_pylist()
+class _Removals:
+    """Removals (document number, start, end) by bucket."""
+
+    def __init__(self):
+        self.by_bucket: dict[int, list[tuple[int, int, int]]] = {}
+
+    def add(self, place: np.void, start: int, end: int) -> None:
+        self.by_bucket.setdefault(int(place["bucket"]), []).append((int(place["doc"]), start, end))
+
+    def rows(self) -> list[tuple[int, int, bytes]]:
+        return [(-1, k, _pack(np.array(v, np.int64))) for k, v in sorted(self.by_bucket.items())]
+
+
+def _distinct(table: pa.Table, removals: _Removals) -> Iterator[tuple[int, bytes, np.void]]:
+    """(prefix shared with the string before, string, its earliest place) of the merged runs; later equal ones go."""
     runs, orders = [], []
     for blob in table.column("blob").to_pylist():
         shared, lengths, rests, order = _unpack(blob, "u4", "u4", None, None)
         runs.append(decode_run(shared, lengths, rests))
         orders.append(np.frombuffer(order, ORDER))
     cursor = [0] * len(runs)
-    gone: dict[int, list[tuple[int, int, int]]] = {}
+    last = None
+    for known, s, run in LoserTree(runs):
+        place = orders[run][cursor[run]]
+        cursor[run] += 1
+        if last is not None and known == len(s) == len(last[1]):
+            one, two = last[2], place
+            key = lambda x: (x["id"], x["th"], x["start"])
+            if key(two) < key(one):
+                one, two = two, one
+            if key(one) != key(two):
+                removals.add(two, int(two["start"]), int(two["start"]) + len(s) - 8)
+            last = (last[0], s, one)
+            continue
+        if last is not None:
+            yield last
+        last = (known, s, place)
+    if last is not None:
+        yield last
+
 
-    def remove(place: tuple, start: int, end: int) -> None:
-        gone.setdefault(place[3], []).append((place[4], start, end))
+def _merge_level(table: pa.Table, ranges: int, unit: int) -> pa.Table:
+    """The runs of some units in one range as one run, cut by finer ranges. Of equal strings only the earliest goes on, so
+    a string that is everywhere is one entry of each run, and those get fewer from level to level."""
+    removals = _Removals()
+    strings, places = [], []
+    for _, s, place in _distinct(table, removals):
+        strings.append(s)
+        places.append(place)
+    return _rows(removals.rows() + _cut_run(strings, np.array(places, ORDER), ranges, unit))
 
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Removals (rows with range -1) that the last merge of one range's runs finds."""
+    removals = _Removals()
     group: list[list] = []  # [string, its earliest place]
-    for known, s, run in LoserTree(runs):
-        x = orders[run][cursor[run]]
-        cursor[run] += 1
-        place = (int(x["id"]), int(x["th"]), int(x["start"]), buckets[run], int(x["doc"]))
+    for known, s, place in _distinct(table, removals):
         if group and known < 8:
-            _settle(group, remove)
+            _settle(group, removals.add)
             group.clear()
-        if group and known == len(s) == len(group[-1][0]):
-            old = group[-1][1]
-            first, later = (old, place) if old[:3] < place[:3] else (place, old)
-            group[-1][1] = first
-            if first[:2] != later[:2] or first[2] != later[2]:
-                remove(later, later[2], later[2] + len(s) - 8)
-        else:
-            group.append([s, place])
+        group.append([s, place])
     if group:
-        _settle(group, remove)
-    keys = sorted(gone)
-    return pa.table({"bucket": pa.array(keys, pa.int64()), "blob": pa.array([_pack(np.array(gone[k], np.int64)) for k in keys], pa.binary())})
+        _settle(group, removals.add)
+    return _rows(removals.rows())
 
 
 def _settle(group: list[list], remove) -> None:
@@ -354,12 +392,12 @@ def _settle(group: list[list], remove) -> None:
         n = len(s) - 8 - LENGTH + 1
         if n == 1 or s.find(s[8 : 8 + GRAM], 9) < 0 and s.find(s[-GRAM:]) == len(s) - GRAM and len({s[8 + p : 8 + p + LENGTH] for p in range(n)}) == n:
             return
-    group.sort(key=lambda g: g[1][:3])
+    group.sort(key=lambda g: (g[1]["id"], g[1]["th"], g[1]["start"]))
     passes = -(-windows // WINDOWS)
     for k in range(passes):
         seen: set[bytes] = set()
         for s, place in group:
-            start, runs = place[2], []
+            start, runs = int(place["start"]), []
             for p in range(len(s) - 8 - LENGTH + 1):
                 window = s[8 + p : 8 + p + LENGTH]
                 if passes > 1 and hash(window) % passes != k:
@@ -410,6 +448,11 @@ def _final(docs: pa.Table, removals: pa.Table, with_text: bool) -> pa.Table:
     return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "n_bytes": pa.array(columns[1], pa.int64()), "n_removed": pa.array(columns[2], pa.int64()), "n_spans": pa.array(columns[3], pa.int64()), "kept_sha256": pa.array(columns[4], pa.string()), "kept": pa.array(columns[5], pa.binary())})
 
 
+def _level(runs: DataFrame, finer: int) -> DataFrame:
+    grouped = runs.filter("range >= 0").withColumn("unit", F.floor(F.col("unit") / FANIN)).groupBy("range", "unit")
+    return grouped.applyInArrow(lambda key, t: _merge_level(t, finer, key[1].as_py()), RUNS)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that are left) of every document."""
     prepare(docs.sparkSession)
@@ -427,8 +470,23 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
     many = np.unique(np.concatenate(many)) if many else np.empty(0, U)
     flags = flags.filter("bucket >= 0")
     bucketed = ready.select("bucket", "id", "th", "text").groupBy("bucket")
-    runs = Scratch.table(bucketed.cogroup(flags.groupBy("bucket")).applyInArrow(lambda d, f: _bucket_run(d, f, ranges, many), "range bigint, bucket bigint, blob binary"), "suffix-runs")
-    removals = runs.filter("range >= 0").groupBy("range").applyInArrow(_merged, "bucket bigint, blob binary")
-    removals = removals.unionByName(runs.filter("range < 0").select("bucket", "blob"))
+    # Fan-in is bounded: where there are more units than that, groups of them are merged first, in coarser ranges, so a
+    # task always sees about as many strings and a run is never cut into crumbs.
+    units, levels = buckets, 0
+    while units > FANIN:
+        units, levels = -(-units // FANIN), levels + 1
+    now = max(1, -(-ranges // FANIN**levels))
+    coarse = now
+    runs = Scratch.table(bucketed.cogroup(flags.groupBy("bucket")).applyInArrow(lambda d, f: _bucket_run(d, f, coarse, many), RUNS), "suffix-runs")
+    settled = [runs.filter("range < 0")]
+    for _ in range(levels):
+        now *= FANIN
+        runs = Scratch.table(_level(runs, now), "suffix-runs")
+        settled.append(runs.filter("range < 0"))
+    settled.append(runs.filter("range >= 0").groupBy("range").applyInArrow(_merged, RUNS))
+    removals = settled[0]
+    for more in settled[1:]:
+        removals = removals.unionByName(more)
+    removals = removals.select(F.col("unit").alias("bucket"), "blob")
     out = ready.groupBy("bucket").cogroup(removals.groupBy("bucket")).applyInArrow(lambda d, r: _final(d, r, with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
