@@ -7,7 +7,6 @@ stage's docs. All but the last return the columns of docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from readloom.llm import bpe, linededup, lshforest, mixing, quality
 from readloom.llm.runtime import Scratch
@@ -29,13 +28,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document appears as often as the mix takes it."""
-    # The mix looks at source and size only; rows that share a doc_id share nothing else, so they are told apart by size.
-    taken = mixing.mix(docs).filter("passes > 0").groupBy("doc_id", "size").agg(F.max("passes").alias("passes"))
-    sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__taken_size"), F.col("passes").alias("__passes"))
-    hit = sized.join(taken, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__size") == F.col("__taken_size")))
-    return hit.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    """Each document appears as often as the mix takes it, in the order of service."""
+    return mixing.mix_documents(docs)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +45,18 @@ STAGES = [
     ("byte_level_bpe", byte_level_bpe),
 ]
 
-#: Label models, near-duplicate classes and token ids have no SQL form; tests/llm compare with brute force.
+#: Label models and token ids have no SQL form; tests/llm compare a run with plain Python from end to end.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between two stages the rows rest as Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         with Scratch.scope(keep=1):
             docs = Scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            Scratch.drop(last)
+        last = docs
     return docs
