@@ -52,6 +52,33 @@ def supplier_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("s_suppkey").cast("string").alias("reference"), F.array(F.lit("root"), "r_name", "n_name", F.col("s_suppkey").cast("string")).alias("path"))
 
 
+def ordered_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as references of a header."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("reference"), F.col("s_suppkey").cast("int").alias("header_order"))
+
+
+def taxonomy_dump(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accessions (reference, taxid), nodes (taxid, parent, rank) and names (taxid, name), as a taxonomy dump has them.
+
+    Suppliers are species of their nation (genus), which stands in two clades, one within the other, of its region.
+    """
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    row = lambda taxid, parent, rank, name: F.struct(F.expr(taxid).cast("bigint").alias("taxid"), F.expr(parent).cast("bigint").alias("parent"), F.lit(rank).alias("rank"), F.expr(name).alias("name"))
+    nations = [("n_nationkey + 100", "n_regionkey + 10", "clade", "concat('outer ', n_name)"), ("n_nationkey + 200", "n_nationkey + 100", "clade", "concat('inner ', n_name)"), ("n_nationkey + 300", "n_nationkey + 200", "genus", "n_name")]
+    rows = [
+        spark.range(1).select(row("1", "1", "no rank", "'root'").alias("x")),
+        r.select(row("r_regionkey + 10", "1", "superkingdom", "r_name").alias("x")),
+        n.select(F.explode(F.array(*[row(*f) for f in nations])).alias("x")),
+        s.select(row("s_suppkey + 10000", "s_nationkey + 300", "species", "s_name").alias("x")),
+    ]
+    dump = rows[0]
+    for more in rows[1:]:
+        dump = dump.unionByName(more)
+    dump = dump.select("x.*")
+    accessions = s.select(F.col("s_suppkey").cast("string").alias("reference"), (F.col("s_suppkey") + 10000).cast("bigint").alias("taxid"))
+    return accessions, dump.select("taxid", "parent", "rank"), dump.select("taxid", "name")
+
+
 #: The same views in DuckDB.
 SQL_ALIGNMENTS = """aln AS (
   SELECT cast(l_orderkey AS varchar) AS query_name, cast({reference} AS varchar) AS reference,
@@ -73,3 +100,7 @@ SQL_SUPPLIERS = "refs AS (SELECT cast(s_suppkey AS varchar) AS reference, cast(1
 SQL_PATHS = """paths AS (
   SELECT cast(s_suppkey AS varchar) AS reference, 'root' AS n0, r_name AS n1, n_name AS n2, cast(s_suppkey AS varchar) AS n3
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+SQL_DUMP = """dump AS (SELECT 1 AS taxid, 1 AS parent, 'no rank' AS rank, 'root' AS name UNION ALL SELECT r_regionkey + 10, 1, 'superkingdom', r_name FROM region
+  UNION ALL SELECT n_nationkey + 100, n_regionkey + 10, 'clade', 'outer ' || n_name FROM nation UNION ALL SELECT n_nationkey + 200, n_nationkey + 100, 'clade', 'inner ' || n_name FROM nation
+  UNION ALL SELECT n_nationkey + 300, n_nationkey + 200, 'genus', n_name FROM nation UNION ALL SELECT s_suppkey + 10000, s_nationkey + 300, 'species', s_name FROM supplier),
+nodes AS (SELECT taxid, parent, rank FROM dump), names AS (SELECT taxid, name FROM dump)"""

@@ -13,7 +13,9 @@ from .config import FilterConfig, ReassignConfig
 from .functions import scalar as S
 from .operators import align, coverage, em, inequality, lca, refilter, refstats
 from .plans import pipelines
+from .schema import REF_STATS
 from .session import cut
+from .sources import taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,9 +187,10 @@ def coverage_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(x.select("reference", "bases_covered", mean.alias("coverage_mean"), S.ratio(F.col("depth_sum"), F.col("bases_covered")).alias("coverage_covered_mean"), breadth.alias("breadth"), expected.alias("exp_breadth"), F.least(breadth / expected, F.lit(1.0)).alias("breadth_exp_ratio"), S.ratio(F.col("cov_var"), mean).alias("d_i")))
 
 
-TAD_SQL = f"""{SEGMENTS_SQL}, pos AS (SELECT reference, depth, unnest(range(n)) AS k FROM segs),
+TAD_PART = """pos AS (SELECT reference, depth, unnest(range(n)) AS k FROM segs),
 q AS (SELECT reference, quantile_cont(depth, 0.1) AS lo, quantile_cont(depth, 0.9) AS hi FROM pos GROUP BY reference),
 tad AS (SELECT s.reference, sum(depth * n) FILTER (depth BETWEEN lo AND hi) AS t, sum(n) FILTER (depth BETWEEN lo AND hi) AS m FROM segs s JOIN q USING (reference) GROUP BY s.reference)"""
+TAD_SQL = f"{SEGMENTS_SQL}, {TAD_PART}"
 
 
 @_query(f"WITH {TAD_SQL} SELECT reference, CASE WHEN t > 0 THEN round(t / m, 6) ELSE 0.0 END AS coverage_mean_trunc, CASE WHEN t > 0 THEN cast(m AS bigint) ELSE 0 END AS coverage_mean_trunc_len FROM tad")
@@ -203,11 +206,12 @@ def coverage_evenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(coverage.depth_stats(coverage.depth_histogram(_segments(spark, sf_dir))).select("reference", "cov_evenness"))
 
 
-HIST_SQL = f"""{SEGMENTS_SQL}, cov AS (SELECT reference, unnest(range(a, b)) AS x FROM segs WHERE depth > 0),
+HIST_PART = """cov AS (SELECT reference, unnest(range(a, b)) AS x FROM segs WHERE depth > 0),
 st AS (SELECT reference, count(*) AS n, max(x) - min(x) AS spread, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM cov GROUP BY reference),
 wd AS (SELECT reference, n, 2 * iqr / pow(n, 1.0 / 3) AS fd, spread / (log2(n) + 1) AS st FROM st),
 nb AS (SELECT reference, n, CASE WHEN (CASE WHEN fd > 0 THEN least(fd, st) ELSE st END) > 0 THEN cast(ceil(2600.0 / (CASE WHEN fd > 0 THEN least(fd, st) ELSE st END)) AS bigint) ELSE 1 END AS nb FROM wd),
 hist AS (SELECT c.reference, c.x * nb // 2600 AS bin, count(*) AS c, any_value(nb) AS nb, any_value(n) AS n FROM cov c JOIN nb USING (reference) GROUP BY c.reference, c.x * nb // 2600)"""
+HIST_SQL = f"{SEGMENTS_SQL}, {HIST_PART}"
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -222,20 +226,45 @@ def position_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _histogram(spark, sf_dir)[0]
 
 
-@_query(f"""WITH {HIST_SQL}, allbins AS (SELECT reference, nb, n, unnest(range(nb)) AS bin FROM (SELECT DISTINCT reference, nb, n FROM hist)),
+GINI_PART = """allbins AS (SELECT reference, nb, n, unnest(range(nb)) AS bin FROM (SELECT DISTINCT reference, nb, n FROM hist)),
 filled AS (SELECT a.reference, a.nb, a.n, coalesce(h.c, 0) AS c FROM allbins a LEFT JOIN hist h ON a.reference = h.reference AND a.bin = h.bin),
 cum AS (SELECT reference, nb, n, c, sum(c) OVER (PARTITION BY reference ORDER BY c, rowid_ ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, row_number() OVER () AS rowid_ FROM filled)),
 g AS (SELECT reference, any_value(nb) AS nb, any_value(n) AS n, -sum(CASE WHEN c > 0 THEN c / n * ln(c / n) ELSE 0 END) AS h, 1 - 2 * ((sum(run) / any_value(n) - 0.5) / any_value(nb)) AS gini FROM cum GROUP BY reference),
 k AS (SELECT *, n // nb AS q, n % nb AS r, nb - n % nb AS m FROM g),
 lim AS (SELECT *, -(m * CASE WHEN q > 0 THEN (q / n) * ln(q / n) ELSE 0 END + r * ((q + 1) / n) * ln((q + 1) / n)) AS hmax,
-  1 - 2 * (((q * m * (m + 1) / 2 + r * q * m + (q + 1) * r * (r + 1) / 2) / n - 0.5) / nb) AS gmin FROM k)
-SELECT reference, nb + 1 AS n_bins, round(h, 6) AS entropy, round(CASE WHEN n = 1 THEN 1 WHEN nb > 1 THEN h / hmax END, 6) AS norm_entropy, round(gini, 6) AS gini,
-  round(CASE WHEN abs(1 - 1.0 / nb - gmin) < 1e-12 THEN 0 ELSE (gini - gmin) / (1 - 1.0 / nb - gmin) END, 6) AS norm_gini FROM lim""")
+  1 - 2 * (((q * m * (m + 1) / 2 + r * q * m + (q + 1) * r * (r + 1) / 2) / n - 0.5) / nb) AS gmin FROM k),
+spread AS (SELECT reference, nb + 1 AS n_bins, h AS entropy, CASE WHEN n = 1 THEN 1 WHEN nb > 1 THEN h / hmax END AS norm_entropy, gini,
+  CASE WHEN abs(1 - 1.0 / nb - gmin) < 1e-12 THEN 0 ELSE (gini - gmin) / (1 - 1.0 / nb - gmin) END AS norm_gini FROM lim)"""
+
+
+@_query(f"""WITH {HIST_SQL}, {GINI_PART}
+SELECT reference, n_bins, round(entropy, 6) AS entropy, round(norm_entropy, 6) AS norm_entropy, round(gini, 6) AS gini, round(norm_gini, 6) AS norm_gini FROM spread""")
 def entropy_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(inequality.distribution_stats(*_histogram(spark, sf_dir)))
 
 
-@_query()
+STATS_SQL = f"""{SEGMENTS_SQL}, {TAD_PART}, {HIST_PART}, {GINI_PART},
+iv AS (SELECT reference, s, e, max(e) OVER (PARTITION BY reference ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM kept),
+isl AS (SELECT reference, s, e, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY reference ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM iv),
+mi AS (SELECT reference, max(n) AS longest, avg(n) AS mean FROM (SELECT reference, max(e) - min(s) AS n FROM isl GROUP BY reference, island) GROUP BY reference),
+rd AS (SELECT reference, count(DISTINCT query_name) AS n_reads, count(*) AS n_alns, avg(len) AS l, stddev_samp(len) AS lsd, min(len) AS lmin, max(len) AS lmax, median(len)::double AS lmed,
+  bool_or(as_score IS NULL) AS bare, avg(as_score) AS sc, CASE WHEN bool_or(mapping_quality = 255) THEN NULL ELSE avg(mapping_quality) END AS mq, avg(nm) AS ed, avg(ani) AS a, stddev_samp(ani) AS asd, median(ani) AS amed FROM aln WHERE ani >= 90 GROUP BY reference),
+md AS (SELECT reference, len FROM (SELECT reference, len, row_number() OVER (PARTITION BY reference ORDER BY count(*) DESC, len) AS rn FROM aln WHERE ani >= 90 GROUP BY reference, len) WHERE rn = 1),
+cs AS (SELECT reference, sum(depth * n)::double AS s1, sum(depth * depth * n)::double AS s2, (sum(n) FILTER (depth > 0))::bigint AS bc, round_even(sum(depth * n) / 2600.0, 0) AS lv FROM segs GROUP BY reference),
+el AS (SELECT s.reference, CASE WHEN sum(n) FILTER (depth <= lv) IS NULL THEN 1.0 WHEN any_value(lv) <= 0 THEN 0.0 ELSE 1 - (sum(n) FILTER (depth <= lv) - sum(depth * n) FILTER (depth <= lv) / any_value(lv)) / sum(n) END AS e FROM segs s JOIN cs USING (reference) GROUP BY s.reference),
+j1 AS (SELECT *, s1 / 2600 AS mean_, CASE WHEN bc > 1 THEN greatest(0, (s2 - s1 * s1 / bc) / (bc - 1)) END AS var, CASE WHEN t > 0 THEN t / m ELSE 0.0 END AS tr, CASE WHEN t > 0 THEN m::bigint ELSE 0 END AS trn
+  FROM rd JOIN md USING (reference) JOIN cs USING (reference) JOIN el USING (reference) JOIN tad USING (reference) JOIN spread USING (reference) JOIN mi USING (reference)),
+j2 AS (SELECT *, CASE WHEN trn > 0 AND tr > 0 THEN round_even(2600 * tr / l, 0)::bigint ELSE 0 END AS nt FROM j1),
+stats AS (SELECT reference, n_reads, n_alns, l AS read_length_mean, lsd AS read_length_std, lmin AS read_length_min, lmax AS read_length_max, lmed AS read_length_median, len AS read_length_mode, NULL::double AS gc_content,
+  l AS read_aligned_length, CASE WHEN NOT bare THEN sc END AS read_aln_score, mq AS mapping_quality, CASE WHEN NOT bare THEN ed END AS edit_distances, CASE WHEN NOT bare THEN a END AS read_ani_mean, CASE WHEN NOT bare THEN asd END AS read_ani_std,
+  CASE WHEN NOT bare THEN amed END AS read_ani_median, bc AS bases_covered, longest AS max_covered_bases, mean AS mean_covered_bases, mean_ AS coverage_mean, tr AS coverage_mean_trunc, trn AS coverage_mean_trunc_len, s1 / bc AS coverage_covered_mean,
+  2600::bigint AS reference_length, 2600::bigint AS bam_reference_length, bc / 2600.0 AS breadth, 1 - exp(-mean_) AS exp_breadth, least(1, (bc / 2600.0) / (1 - exp(-mean_))) AS breadth_exp_ratio, n_bins, bc * 1000 / 2600.0 AS site_density,
+  entropy, norm_entropy, gini, norm_gini, sqrt(var) / mean_ AS c_v, var / mean_ AS d_i, e AS cov_evenness, round_even(n_reads / 2600.0 * 1000000, 0)::bigint AS tax_abund_read, round_even(n_alns / 2600.0 * 1000000, 0)::bigint AS tax_abund_aln,
+  CASE WHEN trn > 0 AND tr > 0 THEN round_even(nt / trn::double * 1000000, 0)::bigint ELSE 0 END AS tax_abund_tad, nt AS n_reads_tad FROM j2)"""
+_WHOLE = ("reference", "n_reads", "n_alns", "read_length_min", "read_length_max", "read_length_mode", "bases_covered", "max_covered_bases", "coverage_mean_trunc_len", "reference_length", "bam_reference_length", "n_bins", "tax_abund_read", "tax_abund_aln", "tax_abund_tad", "n_reads_tad")
+
+
+@_query(f"WITH {STATS_SQL} SELECT {', '.join(c if c in _WHOLE else f'round({c}, 6) AS {c}' for c in REF_STATS)} FROM stats")
 def reference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(refstats.reference_stats(bridge.alignments(spark, sf_dir), bridge.part_references(spark, sf_dir)))
 
@@ -267,7 +296,24 @@ def ref_filter_low_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passing(spark, sf_dir, **FIXED, include_low_detection=True)
 
 
-@_query()
+_AUTO = FilterConfig(min_norm_entropy="auto", min_norm_gini="auto")
+#: The curve has 11 points at most; the scan over them is the recursive part.
+KNEE_SQL = f"""{STATS_SQL}, cv AS (SELECT round_even(norm_gini, 1) AS x, avg(norm_entropy) AS y FROM stats WHERE norm_gini IS NOT NULL GROUP BY 1),
+pt AS (SELECT x, y, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS u, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS v FROM cv WHERE y IS NOT NULL),
+ds AS (SELECT a.i, a.n, b.v - a.u AS d, 1.0 / (a.n - 1) AS step FROM pt a JOIN pt b ON b.i = a.n - 1 - a.i),
+nx AS (SELECT i, n, step, d, lag(d) OVER (ORDER BY i) AS d0, lead(d) OVER (ORDER BY i) AS d2 FROM ds),
+mk AS (SELECT *, i < n - 1 AND d0 <= d AND d >= d2 AND (d0 < d OR d2 < d) AS top, i < n - 1 AND d0 >= d AND d <= d2 AND d < d0 AS low FROM nx WHERE i > 0),
+sc(i, cand, thr, found) AS (SELECT 0::bigint, NULL::bigint, NULL::double, NULL::bigint UNION ALL
+  SELECT i, cand, CASE WHEN hit THEN NULL ELSE thr END, CASE WHEN hit THEN cand ELSE found END FROM (
+    SELECT i, cand, thr, found, coalesce(i > cand AND d < thr, false) AS hit FROM (
+      SELECT m.i, m.d, s.found, CASE WHEN top THEN m.i ELSE s.cand END AS cand, CASE WHEN top THEN d - step WHEN low AND s.thr IS NOT NULL THEN 0.0 WHEN low THEN NULL ELSE s.thr END AS thr FROM sc s JOIN mk m ON m.i = s.i + 1))),
+lm AS (SELECT round(y, 3) AS e, round(x, 3) AS g FROM pt JOIN (SELECT found FROM sc ORDER BY i DESC LIMIT 1) f ON pt.i = pt.n - 1 - f.found)"""
+
+
+@_query(f"""WITH RECURSIVE {KNEE_SQL} SELECT reference, n_reads, round(breadth, 6) AS breadth, round(coverage_mean, 6) AS coverage_mean FROM stats
+WHERE n_reads >= {_AUTO.min_read_count} AND read_length_mean >= {_AUTO.min_read_length} AND read_ani_mean >= {_AUTO.min_avg_read_ani} AND breadth_exp_ratio >= {_AUTO.min_expected_breadth_ratio} AND breadth >= {_AUTO.min_breadth}
+  AND cov_evenness >= {_AUTO.min_coverage_evenness} AND c_v <= {_AUTO.min_coeff_var if _AUTO.min_coeff_var < float('inf') else '1e308'} AND coverage_mean >= {_AUTO.min_coverage_mean}
+  AND (NOT EXISTS (SELECT * FROM lm) OR (norm_entropy >= (SELECT e FROM lm) AND norm_gini <= (SELECT g FROM lm)))""")
 def ref_filter_auto_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passing(spark, sf_dir, min_norm_entropy="auto", min_norm_gini="auto")
 
@@ -303,12 +349,30 @@ def em_iter3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(em.unroll(_em_start(spark, sf_dir), 3, 0.9).select("query", "reference", "prob"), 9)
 
 
-@_query()
+def _resolve_sql(init: str) -> str:
+    """All passes as one recursive query: each row set is the state after a pass, done after the last one."""
+    return f"""{init}, em AS (SELECT 0 AS pass, false AS done, query, reference, slen, prob, 0 AS iter, n_aln FROM e0 UNION ALL
+  SELECT pass, multi = 0 OR removed = 0 OR pass >= 25, query, reference, slen, prob, iter, n_aln FROM (
+    SELECT *, count(*) FILTER (n_aln > 1) OVER () AS multi, count(*) FILTER (NOT stays) OVER () AS removed FROM (
+      SELECT *, n_aln = 1 OR near AS stays FROM (
+        SELECT pass, query, reference, slen, prob, n_aln, near, CASE WHEN n_aln > 1 AND near THEN pass ELSE iter END AS iter FROM (
+          SELECT *, prob >= max(prob) OVER (PARTITION BY query) * 0.9 AS near FROM (
+            SELECT pass + 1 AS pass, query, reference, slen, iter, prob * w / sum(prob * w) OVER (PARTITION BY query) AS prob, count(*) OVER (PARTITION BY query) AS n_aln FROM (
+              SELECT *, sum(prob) OVER (PARTITION BY reference) / slen AS w FROM em WHERE NOT done)))))) WHERE stays),
+last AS (SELECT * FROM em WHERE pass = (SELECT max(pass) FROM em))"""
+
+
+@_query(f"WITH RECURSIVE {_resolve_sql(INIT_SQL)} SELECT query, reference, round(prob, 9) AS prob, iter, count(*) OVER (PARTITION BY query) AS n_aln FROM last")
 def em_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(em.resolve(_em_start(spark, sf_dir)).select("query", "reference", "prob", "iter", "n_aln"), 9)
 
 
-@_query()
+_FREQUENT = ReassignConfig().min_read_count
+SURVIVE_SQL = _resolve_sql(INIT_SQL.replace("FROM aln WHERE ani >= 90", f"FROM aln SEMI JOIN (SELECT reference FROM aln GROUP BY reference HAVING count(*) >= {_FREQUENT}) f USING (reference) WHERE ani >= 90"))
+
+
+@_query(f"""WITH RECURSIVE {SURVIVE_SQL}, pairs AS (SELECT query, reference FROM last SEMI JOIN (SELECT reference FROM last GROUP BY reference HAVING count(*) >= {_FREQUENT}) f USING (reference))
+SELECT query_name, aln.reference, reference_start, reference_end, nm FROM aln SEMI JOIN pairs p ON aln.query_name = p.query AND aln.reference = p.reference""")
 def em_survivor_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pipelines.reassign(bridge.alignments(spark, sf_dir, "l_suppkey"), bridge.supplier_references(spark, sf_dir).select("reference", "bam_reference_length"), ReassignConfig())
     return out.alignments.select("query_name", "reference", "reference_start", "reference_end", "nm")
@@ -349,6 +413,24 @@ def tax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.supplier_paths(spark, sf_dir).select("reference", F.array_join("path", ";").alias("tax_path"))
 
 
+DUMP_SQL = f"""{bridge.SQL_DUMP}, up AS (SELECT s_suppkey + 10000 AS taxid, s_suppkey + 10000 AS at, 0 AS depth FROM supplier UNION ALL SELECT u.taxid, n.parent, depth + 1 FROM up u JOIN nodes n ON n.taxid = u.at WHERE n.parent <> n.taxid),
+rk AS (SELECT u.taxid, rank, min(depth) AS depth, arg_max(name, depth) AS name FROM up u JOIN nodes n ON n.taxid = u.at JOIN names m ON m.taxid = u.at WHERE rank <> 'no rank' GROUP BY u.taxid, rank)"""
+
+
+@_query(f"WITH RECURSIVE {DUMP_SQL} SELECT taxid::bigint AS taxid, string_agg(rank || '=' || name, ';' ORDER BY depth) AS lineage FROM rk GROUP BY taxid")
+def tax_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accessions, nodes, names = bridge.taxonomy_dump(spark, sf_dir)
+    x = taxonomy.lineages(accessions.select("taxid"), nodes, names)
+    return x.select("taxid", F.array_join(F.transform(F.map_entries("lineage"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("lineage"))
+
+
+@_query(f"""WITH RECURSIVE {DUMP_SQL} SELECT (taxid - 10000)::varchar AS reference, 'root;' || max(name) FILTER (rank = 'superkingdom') || ';' || max(name) FILTER (rank = 'clade') || ';' || max(name) FILTER (rank = 'genus') || ';'
+  || max(name) FILTER (rank = 'species') || ';' || (taxid - 10000) AS tax_path FROM rk GROUP BY taxid""")
+def tax_paths_from_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(taxonomy.reference_lineages(bridge.ordered_suppliers(spark, sf_dir), *bridge.taxonomy_dump(spark, sf_dir)))
+    return lca.paths_from_lineages(found, taxonomy.rank_template(found)).select("reference", F.array_join("path", ";").alias("tax_path"))
+
+
 @_query(f"WITH {SQL_PATHS} SELECT DISTINCT n0 AS source, n1 AS target FROM paths UNION SELECT n1, n2 FROM paths UNION SELECT n2, n3 FROM paths")
 def tax_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lca.edges(bridge.supplier_paths(spark, sf_dir))

@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .config import FilterConfig, LcaConfig, ReassignConfig, parse_size
 from .plans import pipelines
 from .sources import bam, sinks, taxonomy
@@ -14,13 +15,15 @@ from .sources import bam, sinks, taxonomy
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="readloom", description=__doc__)
+    top.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
+    top.add_argument("--debug", action="store_true", help="log what Spark does")
     sub = top.add_subparsers(dest="action", required=True)
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--bam", required=True, help="alignment file")
     shared.add_argument("-p", "--prefix", help="prefix of the outputs")
     shared.add_argument("-r", "--reference-lengths", help="table of reference lengths")
     shared.add_argument("-t", "--threads", type=int, default=1, help="local threads, where no cluster is configured")
-    shared.add_argument("-m", "--sort-memory", default="1G", help="accepted for compatibility: Spark spills by itself")
+    shared.add_argument("-m", "--sort-memory", default="1G", help="no effect: Spark sorts within its executors' memory and spills")
     shared.add_argument("--tmp-dir", help="folder for checkpoints, shared by driver and executors")
 
     def number(p: argparse.ArgumentParser, flags: str, dest: str, default: object, kind=float) -> None:
@@ -31,13 +34,13 @@ def parser() -> argparse.ArgumentParser:
     for flags, dest, kind in (("-i --iters", "iters", int), ("-s --scale", "scale", float), ("-A --min-read-ani", "min_read_ani", float), ("-l --min-read-length", "min_read_length", int), ("-L --max-read-length", "max_read_length", float), ("-n --min-read-count", "min_read_count", int), ("--match-reward", "match_reward", int), ("--mismatch-penalty", "mismatch_penalty", int), ("--gap-open-penalty", "gap_open_penalty", int), ("--gap-extension-penalty", "gap_extension_penalty", int)):
         number(r, flags, dest, getattr(d, dest), kind)
     r.add_argument("-o", "--out-bam", nargs="?", const="")
-    r.add_argument("-M", "--max-memory", help="accepted for compatibility")
+    r.add_argument("-M", "--max-memory", help="no effect: each pass is spilled and checkpointed by Spark")
     f = sub.add_parser("filter", parents=[shared])
     d = FilterConfig()
     for flags, dest, kind in (("-A --min-read-ani", "min_read_ani", float), ("-l --min-read-length", "min_read_length", int), ("-L --max-read-length", "max_read_length", float), ("-n --min-read-count", "min_read_count", int), ("-b --min-expected-breadth-ratio", "min_expected_breadth_ratio", float), ("-e --min-normalized-entropy", "min_norm_entropy", str), ("-g --min-normalized-gini", "min_norm_gini", str), ("-B --min-breadth", "min_breadth", float), ("-a --min-avg-read-ani", "min_avg_read_ani", float), ("-c --min-coverage-evenness", "min_coverage_evenness", float), ("-V --min-coeff-var", "min_coeff_var", float), ("-C --min-coverage-mean", "min_coverage_mean", float), ("--reference-trim-length", "trim_ends", int), ("--trim-min", "trim_min", int), ("--trim-max", "trim_max", int)):
         number(f, flags, dest, getattr(d, dest), kind)
     f.add_argument("--include-low-detection", action="store_true")
-    f.add_argument("--low-memory", action="store_true", help="accepted for compatibility")
+    f.add_argument("--low-memory", action="store_true", help="no effect: alignments are never held in memory, so there is no other way to go")
     for name in ("stats", "stats-filtered", "bam-filtered", "read-length-freqs", "read-hits-count", "knee-plot", "coverage-plots"):
         f.add_argument(f"--{name}", nargs="?", const="", help="default name if none is given")
     for p in (r, f):
@@ -65,6 +68,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     names = sinks.output_names(args.bam, args.prefix)
     spark = SparkSession.getActiveSession() or SparkSession.builder.master(f"local[{args.threads}]").appName("readloom").getOrCreate()
+    if args.debug:
+        spark.sparkContext.setLogLevel("INFO")
     if args.tmp_dir:
         spark.sparkContext.setCheckpointDir(args.tmp_dir)
     bam.register(spark)

@@ -15,8 +15,8 @@ TILE = 1 << 18
 
 
 def segments(alignments: DataFrame, references: DataFrame, tile: int = TILE) -> DataFrame:
-    """reference, tile, seg_start, seg_end, depth: stretches of equal depth from 0 to the end of the reference (or of
-    the last alignment past it). A stretch may be cut in equal parts where tiles meet."""
+    """reference, tile, seg_start, seg_end, depth, edge: stretches of equal depth from 0 to the end of the reference (or
+    of the last alignment past it). A stretch may be cut in equal parts where tiles meet; edge: it reaches such a place."""
     ends = alignments.select("reference", F.greatest(F.col("reference_start"), F.lit(0)).alias("s"), F.greatest(F.col("reference_end"), F.lit(0)).alias("e")).filter("e > s")
     steps = ends.select("reference", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("x")).select("reference", "x.*")
     # Tiles have to begin and end somewhere even where no alignment does.
@@ -36,7 +36,8 @@ def segments(alignments: DataFrame, references: DataFrame, tile: int = TILE) ->
         F.coalesce(F.lead("pos").over(within), F.col("next_tile") * tile).alias("seg_end"),
         (F.sum("delta").over(within) + F.col("carry")).alias("depth"),
     )
-    return swept.filter("seg_end is not null and seg_end > seg_start")
+    edge = (F.col("seg_start") % tile == 0) | (F.col("seg_end") % tile == 0)
+    return swept.filter("seg_end is not null and seg_end > seg_start").withColumn("edge", edge)
 
 
 def clip(segs: DataFrame, references: DataFrame, trim: int = 0) -> DataFrame:
@@ -56,10 +57,12 @@ def depth_histogram(segs: DataFrame) -> DataFrame:
 def islands(segs: DataFrame) -> DataFrame:
     """reference, start, end of the maximal covered stretches: the alignments' intervals merged, book-ended ones too.
 
-    Covered stretches that touch are joined within a tile first, where the sweep has them together already; only what
-    is left, one row for each island and tile, is ordered by reference.
+    Covered stretches that touch are joined within a tile, where the sweep has them together already. Only stretches
+    that reach an edge of their tile, two for each tile at most, are then ordered by reference.
     """
-    return _joined(_joined(segs.filter("depth > 0"), ["reference", "tile"], "seg_start", "seg_end"), ["reference"], "start", "end")
+    parts = _joined(segs.filter("depth > 0"), ["reference", "tile"], "seg_start", "seg_end", F.bool_or("edge").alias("edge"))
+    across = _joined(parts.filter("edge"), ["reference"], "start", "end")
+    return parts.filter("not edge").select("reference", "start", "end").unionByName(across.select("reference", "start", "end"))
 
 
 def clip_islands(isles: DataFrame, references: DataFrame, trim: int = 0) -> DataFrame:
@@ -68,11 +71,11 @@ def clip_islands(isles: DataFrame, references: DataFrame, trim: int = 0) -> Data
     return cut.select("reference", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
 
 
-def _joined(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def _joined(rows: DataFrame, keys: list[str], start: str, end: str, *more: Column) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(start)
     opens = F.coalesce(F.col(start) > F.lag(end).over(order), F.lit(True)).cast("int")
     numbered = rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"))
+    out = numbered.groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), *more)
     return out.drop("island")
 
 
@@ -112,11 +115,19 @@ def depth_stats(hist: DataFrame, trim_min: int = 10, trim_max: int = 90) -> Data
     )
 
 
-def covered_ranks(isles: DataFrame) -> DataFrame:
-    """Islands with the ranks [lo, hi) of their positions among all covered ones, and their number n_obs."""
-    order = Window.partitionBy("reference").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = isles.withColumn("hi", F.sum(F.col("end") - F.col("start")).over(order))
-    return ranked.withColumn("lo", F.col("hi") - (F.col("end") - F.col("start"))).withColumn("n_obs", F.max("hi").over(Window.partitionBy("reference")))
+def covered_ranks(isles: DataFrame, tile: int = TILE) -> DataFrame:
+    """Islands with the ranks [lo, hi) of their positions among all covered ones, and their number n_obs.
+
+    Running lengths are counted within tiles (by an island's start); a second running count goes over the tiles' sums.
+    """
+    placed = isles.withColumn("tile", F.floor(F.col("start") / tile))
+    n = F.col("end") - F.col("start")
+    sums = placed.groupBy("reference", "tile").agg(F.sum(n).alias("s"))
+    before = Window.partitionBy("reference").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("reference", "tile", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carry"), F.sum("s").over(Window.partitionBy("reference")).alias("n_obs"))
+    order = Window.partitionBy("reference", "tile").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("run", F.sum(n).over(order)).join(carried, ["reference", "tile"]).withColumn("hi", F.col("carry") + F.col("run"))
+    return ranked.withColumn("lo", F.col("hi") - n).drop("tile", "run", "carry")
 
 
 def _at_rank(k: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Tables of one row per reference are broadcast up to this number of rows.
+BROADCAST_ROWS = 1_000_000
+
+
 def _by_query() -> WindowSpec:
     return Window.partitionBy("query")
 
@@ -43,22 +47,57 @@ def unroll(state: DataFrame, passes: int, scale: float) -> DataFrame:
     return state
 
 
+def _weights(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """reference, slen, weight for the next pass, and the counts of the pass that rows come from.
+
+    Alignments that this pass settles weigh as much as they have (fresh counts them); scaled by the next pass they have
+    a mass of 1 each, which is in fixed from then on.
+    """
+    per = rows.groupBy("reference").agg(
+        F.first("slen").alias("slen"), F.sum(F.when(F.col("stays"), F.col("prob")).otherwise(0.0)).alias("active"), F.lit(0.0).alias("fixed"),
+        F.count(F.when(F.col("stays") & (F.col("n_stay") == 1), 1)).cast("double").alias("fresh"),
+        F.count(F.when(F.col("n_aln") > 1, 1)).alias("multi"), F.count(F.when(~F.col("stays"), 1)).alias("removed"),
+    )
+    if before is not None:
+        none, zero = F.lit(0).cast("bigint"), F.lit(0.0)
+        old = before.select("reference", "slen", zero.alias("active"), (F.col("fixed") + F.col("fresh")).alias("fixed"), zero.alias("fresh"), none.alias("multi"), none.alias("removed"))
+        per = per.unionByName(old).groupBy("reference").agg(F.first("slen").alias("slen"), *[F.sum(c).alias(c) for c in ("active", "fixed", "fresh", "multi", "removed")])
+    return cut(per.withColumn("weight", (F.col("active") + F.col("fixed")) / F.col("slen")))
+
+
 def resolve(state: DataFrame, iters: int = 25, scale: float = 0.9, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """Passes until nothing is removed, all queries are unique, or ``iters`` passes are done (0: no limit).
 
-    A pass that finds every query unique ends the loop before any removal. Each pass is checkpointed: the plan does
-    not grow and a lost executor costs no more than the pass under way.
+    A pass that finds every query unique ends the loop before any removal. Alignments that are their query's only one
+    are settled: they leave the loop, and their mass stays in the weights. What is left stays partitioned by query;
+    the weights, one row per reference, are broadcast if they are few and joined by a shuffle if not. Each pass is
+    checkpointed: the plan does not grow and a lost executor costs no more than the pass under way.
     """
+    n_stay = F.count(F.when(F.col("stays"), 1)).over(_by_query())
+    now = cut(state.withColumn("stays", F.lit(True)).withColumn("n_stay", n_stay))
+    done = [now.filter("n_stay = 1")]
+    weights = _weights(now, None)
+    small = weights.count() <= BROADCAST_ROWS
     number = 0
     while True:
         number += 1
-        now = cut(with_verdict(step(state), scale, number))
-        multi, removed = now.agg(F.count(F.when(F.col("n_aln") > 1, 1)), F.count(F.when(~F.col("stays"), 1))).first()
+        active = now.filter("stays and n_stay > 1").select("query", "reference", "slen", "prob", "iter", F.col("n_stay").alias("n_aln"))
+        known = weights.select("reference", "weight")
+        weighed = active.join(F.broadcast(known) if small else known, "reference").withColumn("new", F.col("prob") * F.col("weight"))
+        stepped = weighed.select("query", "reference", "slen", (F.col("new") / F.sum("new").over(_by_query())).alias("prob"), "iter", "n_aln")
+        now = cut(with_verdict(stepped, scale, number).withColumn("n_stay", n_stay))
+        weights = _weights(now, weights)
+        multi, removed = weights.agg(F.sum("multi"), F.sum("removed")).first()
         if report:
-            report(number, removed)
-        state = now.filter("stays").drop("stays")
+            report(number, removed or 0)
         if not multi or not removed or 0 < iters <= number:
-            return state.withColumn("n_aln", F.count(F.lit(1)).over(_by_query()))
+            break
+        # Another pass would scale what a query has left to 1.
+        done.append(now.filter("stays and n_stay = 1").withColumn("prob", F.lit(1.0)))
+    out = now.filter("stays")
+    for part in done:
+        out = out.unionByName(part)
+    return out.select("query", "reference", "slen", "prob", "iter", F.col("n_stay").alias("n_aln"))
 
 
 def frequent_survivors(state: DataFrame, min_read_count: int) -> DataFrame:

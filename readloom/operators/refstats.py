@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FilterConfig
 from ..functions import scalar as S
 from ..schema import REF_STATS
+from ..session import cut
 from . import coverage, inequality
 
 
@@ -40,7 +41,8 @@ def read_stats(alignments: DataFrame) -> DataFrame:
 
 def coverage_stats(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
     """Depth, intervals, bins and inequality of each reference (bam_reference_length known) that has alignments."""
-    raw = coverage.segments(alignments, references)
+    # One sweep serves depth, intervals and bins.
+    raw = cut(coverage.segments(alignments, references))
     segs = coverage.clip(raw, references, config.trim_ends)
     depth = coverage.depth_stats(coverage.depth_histogram(segs), config.trim_min, config.trim_max)
     whole = coverage.islands(raw)

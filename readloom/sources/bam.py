@@ -2,10 +2,10 @@
 
 ``register(spark)`` makes ``spark.read.format("bam").load(path)`` and ``df.write.format("bam").save(path)`` work on
 folders that driver and executors share. ``read_binary`` reads files by Spark's own reader from any store, one file
-per task.
+per task. A path may be one file or a folder of them, which is how large results are written (``layout`` ``files``).
 
-A file is cut at compressed blocks. The first record of a cut is found by checking where a chain of plausible records
-begins, so no one reads the file in sequence.
+A file is cut by bytes. Each task finds the first compressed block after its cut, and the first record by checking
+where a chain of plausible records begins, so no one reads the file in sequence.
 """
 
 from __future__ import annotations
@@ -73,13 +73,26 @@ def read_blocks(file, start: int) -> Iterator[tuple[int, bytes]]:
         start += len(head) + len(rest)
 
 
-def block_offsets(file) -> Iterator[int]:
-    """Offsets of all blocks, from their heads alone."""
-    at = 0
-    while len(head := file.read(BLOCK_HEAD)) == BLOCK_HEAD:
-        yield at
-        at += block_size(head)
-        file.seek(at)
+def next_block(file, start: int, end: int, chain: int = 3) -> int | None:
+    """Offset of the first block that begins in [start, end): one that leads to further blocks or the file's end."""
+    file.seek(start)
+    window = file.read(max(0, min(end - start, 1 << 16)) + BLOCK_HEAD)
+    at = window.find(b"\x1f\x8b\x08\x04")
+    while at != -1 and start + at < end:
+        place, n = start + at, 0
+        while n < chain:
+            file.seek(place)
+            head = file.read(BLOCK_HEAD)
+            if not head:
+                n = chain
+            elif len(head) < BLOCK_HEAD or head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"BC":
+                break
+            else:
+                place, n = place + block_size(head), n + 1
+        if n == chain:
+            return start + at
+        at = window.find(b"\x1f\x8b\x08\x04", at + 1)
+    return None
 
 
 # -- header -----------------------------------------------------------------------------------------------------------
@@ -259,6 +272,13 @@ def records_of(file, start: int, inside: int | None, end: int, n_refs: int) -> I
 # -- data source ------------------------------------------------------------------------------------------------------
 
 
+def files_of(path: str) -> list[str]:
+    """The alignment files of a path: the file itself, or those of a folder in the order of their names."""
+    if not os.path.isdir(path):
+        return [path]
+    return [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".bam")]
+
+
 class _Split(InputPartition):
     def __init__(self, path: str, start: int, inside: int | None, end: int):
         super().__init__((path, start, inside, end))
@@ -266,13 +286,15 @@ class _Split(InputPartition):
 
 
 class BamReader(DataSourceReader):
+    """Options: splitBytes; mode (FAILFAST, DROP or PERMISSIVE: what happens to records without an NM tag); raw (false
+    leaves out the encoded record, which only the writer needs)."""
+
     def __init__(self, options: dict):
         self.path = options["path"].removeprefix("file://")
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.mode = options.get("mode", "FAILFAST").upper()
+        self.raw = options.get("raw", "true").lower() == "true"
         self.wanted: set[str] | None = None
-        _, references, self.first = read_header(self.path)
-        self.names = [name for name, _ in references]
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -283,27 +305,44 @@ class BamReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        starts = [self.first[0]]
-        with open(self.path, "rb") as f:
-            for offset in block_offsets(f):
-                if offset - starts[-1] >= self.split_bytes:
-                    starts.append(offset)
-        ends = [*starts[1:], os.path.getsize(self.path)]
-        return [_Split(self.path, a, self.first[1] if i == 0 else None, b) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
-
-    def read(self, split: _Split) -> Iterator[tuple]:
-        keep = None if self.wanted is None else {i for i, n in enumerate(self.names) if n in self.wanted}
+        out = []
+        for path in files_of(self.path):
+            first, size = read_header(path)[2], os.path.getsize(path)
+            starts = [first[0], *range(first[0] + self.split_bytes, size, self.split_bytes)]
+            out += [_Split(path, a, first[1] if i == 0 else None, b) for i, (a, b) in enumerate(zip(starts, [*starts[1:], size], strict=True))]
+        return out
+
+    def read(self, split: _Split) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ALIGNMENT.split(", "))])
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         with open(split.path, "rb") as f:
-            for raw in records_of(f, split.start, split.inside, split.end, len(self.names)):
+            names = [n for n, _ in read_header(split.path)[1]]
+            keep = None if self.wanted is None else {i for i, n in enumerate(names) if n in self.wanted}
+            start = split.start if split.inside is not None else next_block(f, split.start, split.end)
+            if start is None:
+                return
+            for raw in records_of(f, start, split.inside, split.end, len(names)):
                 if keep is not None and struct.unpack_from("<i", raw)[0] not in keep:
                     continue
-                row = parse_record(raw, self.names)
+                row = parse_record(raw, names)
                 if row[11] is None and row[1] is not None:
                     if self.mode == "FAILFAST":
                         raise BamError(f"record {row[0]} has no NM tag; option mode DROP leaves such records out")
                     if self.mode == "DROP":
                         continue
-                yield row
+                rows.append(row if self.raw else (*row[:-1], None))
+                if len(rows) == 5000:
+                    yield batch()
+        yield batch()
 
 
 class _Part(WriterCommitMessage):
@@ -313,13 +352,15 @@ class _Part(WriterCommitMessage):
 
 class BamWriter(DataSourceWriter):
     """Writes the ``raw`` records under a header of the surviving references (option ``references``, JSON list), taken
-    from the file in option ``header``. Parts are compressed blocks, which the commit strings together in order."""
+    from the file in option ``header``. With ``layout`` ``file`` parts are compressed blocks, which the commit strings
+    together in order; with ``files`` each task writes a whole file into the folder, and nothing passes the driver."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         if os.path.exists(self.path) and not overwrite:
             raise BamError(f"{self.path} exists")
-        self.text, self.references, _ = read_header(options["header"].removeprefix("file://"))
+        self.whole = options.get("layout", "file") == "files"
+        self.text, self.references, _ = read_header(files_of(options["header"].removeprefix("file://"))[0])
         self.keep = json.loads(options["references"]) if "references" in options else [n for n, _ in self.references]
         self.order = options.get("order", "unsorted")
 
@@ -333,8 +374,13 @@ class BamWriter(DataSourceWriter):
             number[i] = -1
             if name in kept:
                 number[i], new = new, new + 1
-        path = f"{self.path}.part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        attempt = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        path = f"{self.path}/.{attempt}" if self.whole else f"{self.path}.{attempt}"
+        if self.whole:
+            os.makedirs(self.path, exist_ok=True)
         with open(path, "wb") as f:
+            if self.whole:
+                f.write(self._header())
             pending, size = [], 0
             for row in rows:
                 raw = bytearray(row["raw"])
@@ -346,12 +392,23 @@ class BamWriter(DataSourceWriter):
                     f.write(pack_blocks(b"".join(pending)))
                     pending, size = [], 0
             f.write(pack_blocks(b"".join(pending)))
+            if self.whole:
+                f.write(END_BLOCK)
         return _Part(context.partitionId(), path)
 
-    def commit(self, messages: list) -> None:
+    def _header(self) -> bytes:
         kept = set(self.keep)
+        return pack_blocks(header_bytes(reduced_header(self.text, self.keep, self.order), [r for r in self.references if r[0] in kept]))
+
+    def commit(self, messages: list) -> None:
+        if self.whole:  # parts get their names only now, so a failed attempt leaves no file that counts
+            for old in files_of(self.path) if os.path.isdir(self.path) else []:
+                os.unlink(old)
+            for part in (m for m in messages if m):
+                os.replace(part.path, f"{self.path}/part-{part.number:06d}.bam")
+            return
         with open(self.path, "wb") as out:
-            out.write(pack_blocks(header_bytes(reduced_header(self.text, self.keep, self.order), [r for r in self.references if r[0] in kept])))
+            out.write(self._header())
             for part in sorted((m for m in messages if m), key=lambda m: m.number):
                 with open(part.path, "rb") as f:
                     while chunk := f.read(8 << 20):
@@ -388,7 +445,7 @@ def register(spark: SparkSession) -> None:
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """The header's references."""
-    _, references, _ = read_header(path.removeprefix("file://"))
+    _, references, _ = read_header(files_of(path.removeprefix("file://"))[0])
     return spark.createDataFrame([(n, length, i) for i, (n, length) in enumerate(references)], REFERENCES)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LCA_RANKS
 from ..schema import LENGTHS
+from ..session import cut
 
 
 def _dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -43,23 +43,42 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return x.select("reference", F.col("n_reads").cast("bigint").alias("n_reads"), F.col("n_reads_tad").cast("bigint").alias("n_reads_tad"), F.col("coverage_mean_trunc_len").cast("double").alias("coverage_mean_trunc_len"))
 
 
-def lineages(taxids: DataFrame, nodes: DataFrame, names: DataFrame, most: int = 64) -> DataFrame:
-    """taxid, lineage (map of rank to name) of the given taxids, walking up one level for all of them at a time."""
+def lineages(taxids: DataFrame, nodes: DataFrame, names: DataFrame, most: int = 1000) -> DataFrame:
+    """taxid, lineage (map of rank to name, from the taxid up) of the given taxids.
+
+    All taxids walk up one level at a time, until none is left; a walk of more than ``most`` levels is an error, as only
+    a taxonomy with a cycle has one. Where a rank occurs more than once (as ``clade`` does), it stands at its lowest
+    place with its highest name.
+    """
     tree = nodes.join(names, "taxid").select(F.col("taxid").alias("at"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("up"), "rank", "name")
     now = taxids.select("taxid", F.col("taxid").alias("at")).distinct()
-    levels = []
-    for depth in range(most):
-        now = now.join(tree, "at").select("taxid", F.col("up").alias("at"), "rank", "name", F.lit(depth).alias("depth"))
-        levels.append(now)
-        if depth % 8 == 7 and not now.filter("at is not null").limit(1).count():
+    parts = []
+    depth = 0
+    while True:
+        # Eight levels in one plan, then a cut: no level is walked twice and the plan stays short.
+        levels = []
+        for depth in range(depth, depth + 8):  # noqa: B020
+            now = now.join(tree, "at").select("taxid", F.col("up").alias("at"), "rank", "name", F.lit(depth).alias("depth"))
+            levels.append(now)
+            now = now.filter("at is not null").select("taxid", "at")
+        depth += 1
+        part = levels[0]
+        for level in levels[1:]:
+            part = part.unionByName(level)
+        part = cut(part)
+        parts.append(part)
+        now = part.filter((F.col("depth") == depth - 1) & F.col("at").isNotNull()).select("taxid", "at")
+        if not now.limit(1).count():
             break
-        now = now.filter("at is not null").select("taxid", "at")
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    known = every.filter(F.col("rank").isin(*LCA_RANKS))
-    # A lineage is as long as the taxonomy is deep.
-    ordered = known.groupBy("taxid").agg(F.sort_array(F.collect_list(F.struct("depth", "rank", "name"))).alias("x"))
+        if depth >= most:
+            raise ValueError(f"a lineage has more than {depth} levels: is there a cycle in the taxonomy?")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    known = every.filter("rank <> 'no rank'")
+    once = known.groupBy("taxid", "rank").agg(F.min("depth").alias("depth"), F.max_by("name", "depth").alias("name"))
+    # A lineage has at most as many ranks as there are.
+    ordered = once.groupBy("taxid").agg(F.sort_array(F.collect_list(F.struct("depth", "rank", "name"))).alias("x"))
     return ordered.select("taxid", F.map_from_entries(F.transform("x", lambda s: F.struct(s["rank"], s["name"]))).alias("lineage"))
 
 
@@ -68,9 +87,11 @@ def reference_lineages(references: DataFrame, accessions: DataFrame, nodes: Data
     wanted = references.join(accessions, "reference").select("reference", "header_order", "taxid")
     x = wanted.join(lineages(wanted.select("taxid"), nodes, names), "taxid")
     if custom:
-        # The reference itself is a subspecies, listed after the other ranks unless the lineage has that rank.
-        own = F.map_from_arrays(F.array(F.lit("subspecies")), F.array(F.concat(F.lit("S__"), "reference")))
-        x = x.withColumn("lineage", F.when(F.map_contains_key("lineage", "subspecies"), F.map_concat(F.map_filter("lineage", lambda k, v: k != "subspecies"), own)).otherwise(F.map_concat("lineage", own)))
+        # The reference itself is a subspecies: in the place of that rank, or after the others where there is none.
+        own = F.concat(F.lit("S__"), "reference")
+        renamed = F.transform_values("lineage", lambda k, v: F.when(k == "subspecies", own).otherwise(v))
+        added = F.map_concat("lineage", F.map_from_arrays(F.array(F.lit("subspecies")), F.array(own)))
+        x = x.withColumn("lineage", F.when(F.map_contains_key("lineage", "subspecies"), renamed).otherwise(added))
     return x.select("reference", "header_order", "lineage")
 
 

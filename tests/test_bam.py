@@ -70,6 +70,30 @@ def test_write_back_with_fewer_references(spark, file, tmp_path):
     assert references == [("c2", 4000)] and "SO:coordinate" in text and "SN:c1" not in text
 
 
+def test_folder_of_files(spark, file, tmp_path):
+    path, records = file
+    bam.register(spark)
+    out = str(tmp_path / "parts")
+    df = spark.read.format("bam").option("splitBytes", 4000).load(str(path))
+    for _ in range(2):
+        df.write.format("bam").mode("overwrite").option("header", str(path)).option("layout", "files").save(out)
+    assert len(bam.files_of(out)) == df.rdd.getNumPartitions() > 4
+    back = spark.read.format("bam").option("splitBytes", 2000).load(out)
+    assert sorted(bytes(r.raw) for r in back.collect()) == sorted(records)
+    assert bam.read_references(spark, out).count() == 2 and bam.read_binary(spark, out + "/*.bam").count() == len(records)
+    assert spark.read.format("bam").option("raw", "false").load(out).filter("raw is not null").count() == 0
+
+
+def test_next_block(tmp_path):
+    data = bam.pack_blocks(bytes(range(256)) * 40 + b"\x1f\x8b\x08\x04" * 50, 700) + bam.END_BLOCK
+    (tmp_path / "b").write_bytes(data)
+    with open(tmp_path / "b", "rb") as f:
+        starts = [at for at, _ in bam.read_blocks(f, 0)]
+        for at in range(0, len(data), 97):
+            assert bam.next_block(f, at, len(data)) == next((x for x in starts if x >= at), None)
+        assert bam.next_block(f, starts[3] + 1, starts[4]) is None
+
+
 def test_not_a_bam(tmp_path):
     (tmp_path / "x.bam").write_bytes(b"nothing here at all")
     with pytest.raises(bam.BamError):
@@ -87,5 +111,6 @@ def test_command_line(spark, file, tmp_path):
     assert (tmp_path / "f.bam").exists() and spark.read.text(str(tmp_path / "l.json")).count() == 2
     assert cli.main(["reassign", "--bam", str(path), "-o", out("r.bam"), "-A", "80"]) == 0
     assert bam.read_header(str(tmp_path / "r.bam"))[1] == [("c1", 5000), ("c2", 4000)]
-    with pytest.raises(SystemExit):
-        cli.main(["filter"])
+    for wrong in (["filter"], [], ["--version"]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong)

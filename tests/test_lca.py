@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from fixtures import aln, frame, refs
 
 from readloom.config import ConfigError, LcaConfig
@@ -83,3 +84,39 @@ def test_name_collision_merges_by_name(spark):
     weights = lca.unique_weights(counts, refs(spark, ("a", 10), ("b", 10)), 10)
     got = {r.node: r.n_reads for r in lca.roll_up(weights).collect()}
     assert got == {"root": 2, "X": 2, "Y": 1}
+
+
+def _taxonomy(spark, rows):
+    nodes = spark.createDataFrame([(i, p, r) for i, p, r, _ in rows], "taxid long, parent long, rank string")
+    return nodes, spark.createDataFrame([(i, n) for i, _, _, n in rows], "taxid long, name string")
+
+
+def test_repeated_ranks_and_deep_lineages(spark):
+    from readloom.sources import taxonomy
+
+    chain = [(1, 1, "no rank", "root"), (2, 1, "superkingdom", "K"), (3, 2, "clade", "C1"), (4, 3, "clade", "C2"), (5, 4, "genus", "G"), (6, 5, "clade", "C3")]
+    chain += [(i, i - 1, "no rank" if i % 7 else f"rank{i}", f"n{i}") for i in range(7, 107)]
+    nodes, names = _taxonomy(spark, chain)
+    found = taxonomy.lineages(spark.createDataFrame([(6,), (5,), (106,), (1,)], "taxid long"), nodes, names)
+    got = {r.taxid: [tuple(e) for e in r.e] for r in found.select("taxid", F.map_entries("lineage").alias("e")).collect()}
+    # a repeated rank stands at its lowest place with its highest name
+    assert got[6] == [("clade", "C1"), ("genus", "G"), ("superkingdom", "K")]
+    assert got[5] == [("genus", "G"), ("clade", "C1"), ("superkingdom", "K")]
+    assert got[106][0] == ("rank105", "n105") and got[106][-1] == ("superkingdom", "K") and len(got[106]) == 3 + 15
+    assert 1 not in got
+    ring = spark.createDataFrame([(1, 2, "genus"), (2, 1, "family")], "taxid long, parent long, rank string")
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.lineages(spark.createDataFrame([(1,)], "taxid long"), ring, spark.createDataFrame([(1, "a"), (2, "b")], "taxid long, name string"), most=16)
+
+
+def test_custom_subspecies_keeps_its_place(spark):
+    from readloom.sources import taxonomy
+
+    nodes, names = _taxonomy(spark, [(1, 1, "no rank", "root"), (2, 1, "genus", "G"), (3, 2, "species", "S"), (4, 3, "subspecies", "T")])
+    references = spark.createDataFrame([("a", 0), ("b", 1)], "reference string, header_order int")
+    accessions = spark.createDataFrame([("a", 4), ("b", 3)], "reference string, taxid long")
+    found = taxonomy.reference_lineages(references, accessions, nodes, names, custom=True)
+    assert taxonomy.rank_template(found) == ["genus", "species", "subspecies"]
+    got = {r.reference: [tuple(e) for e in r.e] for r in found.select("reference", F.map_entries("lineage").alias("e")).collect()}
+    assert got["a"] == [("subspecies", "S__a"), ("species", "S"), ("genus", "G")]
+    assert got["b"] == [("species", "S"), ("genus", "G"), ("subspecies", "S__b")]
