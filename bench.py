@@ -1,9 +1,10 @@
-"""Times the headline queries; prints one JSON line. BENCH_SF_DIR and BENCH_CPUS choose data and cores."""
+"""Times the headline queries; prints one JSON line (each time as it comes goes to stderr). BENCH_SF_DIR and BENCH_CPUS choose data and cores."""
 
 from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -30,6 +31,7 @@ def main() -> None:
         began = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
 
 

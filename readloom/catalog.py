@@ -367,6 +367,14 @@ def em_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(em.resolve(_em_start(spark, sf_dir)).select("query", "reference", "prob", "iter", "n_aln"), 9)
 
 
+@_query(f"""WITH RECURSIVE {_resolve_sql(INIT_SQL)}, sized AS (SELECT pass, query, count(*) AS n FROM em GROUP BY pass, query),
+per AS (SELECT pass, sum(n) AS alignments, coalesce(sum(n) FILTER (n > 1), 0) AS shared, count(*) FILTER (n = 1) AS alone FROM sized GROUP BY pass)
+SELECT pass, alignments::bigint AS alignments, (CASE WHEN pass = 0 THEN shared ELSE lag(shared) OVER w END)::bigint AS multi,
+  (CASE WHEN pass = 0 THEN 0 ELSE lag(alignments) OVER w - alignments END)::bigint AS removed, (alone - coalesce(lag(alone) OVER w, 0))::bigint AS settled FROM per WINDOW w AS (ORDER BY pass)""")
+def em_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return em.resolve_passes(_em_start(spark, sf_dir)).tallies
+
+
 _FREQUENT = ReassignConfig().min_read_count
 SURVIVE_SQL = _resolve_sql(INIT_SQL.replace("FROM aln WHERE ani >= 90", f"FROM aln SEMI JOIN (SELECT reference FROM aln GROUP BY reference HAVING count(*) >= {_FREQUENT}) f USING (reference) WHERE ani >= 90"))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..iteration import Iteration
 
 #: Tables of one row per reference are broadcast up to this number of rows.
 BROADCAST_ROWS = 1_000_000
@@ -33,7 +34,7 @@ def step(state: DataFrame) -> DataFrame:
     return weighed.select("query", "reference", "slen", (F.col("new") / F.sum("new").over(_by_query())).alias("prob"), "iter", F.count(F.lit(1)).over(_by_query()).alias("n_aln"))
 
 
-def with_verdict(state: DataFrame, scale: float, number: int) -> DataFrame:
+def with_verdict(state: DataFrame, scale: float, number: int | Column) -> DataFrame:
     """stays: whether the alignment is its query's only one or near enough to the most probable."""
     near = F.col("prob") >= F.max("prob").over(_by_query()) * scale
     stays = (F.col("n_aln") == 1) | near
@@ -47,57 +48,91 @@ def unroll(state: DataFrame, passes: int, scale: float) -> DataFrame:
     return state
 
 
+@dataclass
+class Resolved:
+    """state: query, reference, slen, prob, iter, n_aln. tallies: pass, alignments (left after it), multi (looked at),
+    removed, settled (queries that it left one alignment)."""
+
+    state: DataFrame
+    tallies: DataFrame
+
+
 def _weights(rows: DataFrame, before: DataFrame | None) -> DataFrame:
-    """reference, slen, weight for the next pass, and the counts of the pass that rows come from.
+    """reference, slen, weight for the next pass.
 
     Alignments that this pass settles weigh as much as they have (fresh counts them); scaled by the next pass they have
     a mass of 1 each, which is in fixed from then on.
     """
-    per = rows.groupBy("reference").agg(
-        F.first("slen").alias("slen"), F.sum(F.when(F.col("stays"), F.col("prob")).otherwise(0.0)).alias("active"), F.lit(0.0).alias("fixed"),
-        F.count(F.when(F.col("stays") & (F.col("n_stay") == 1), 1)).cast("double").alias("fresh"),
-        F.count(F.when(F.col("n_aln") > 1, 1)).alias("multi"), F.count(F.when(~F.col("stays"), 1)).alias("removed"),
-    )
+    settles = F.col("stays") & (F.col("n_stay") == 1)
+    zero = F.lit(0.0)
+    mass = F.when(F.col("stays"), F.col("prob")).otherwise(zero)
+    parts = rows.select("reference", "slen", mass.alias("active"), zero.alias("fixed"), F.when(settles, 1.0).otherwise(zero).alias("fresh"))
     if before is not None:
-        none, zero = F.lit(0).cast("bigint"), F.lit(0.0)
-        old = before.select("reference", "slen", zero.alias("active"), (F.col("fixed") + F.col("fresh")).alias("fixed"), zero.alias("fresh"), none.alias("multi"), none.alias("removed"))
-        per = per.unionByName(old).groupBy("reference").agg(F.first("slen").alias("slen"), *[F.sum(c).alias(c) for c in ("active", "fixed", "fresh", "multi", "removed")])
-    return cut(per.withColumn("weight", (F.col("active") + F.col("fixed")) / F.col("slen")))
+        parts = parts.unionByName(before.select("reference", "slen", zero.alias("active"), (F.col("fixed") + F.col("fresh")).alias("fixed"), zero.alias("fresh")))
+    per = parts.groupBy("reference").agg(F.first("slen").alias("slen"), *[F.sum(c).alias(c) for c in ("active", "fixed", "fresh")])
+    return per.withColumn("weight", (F.col("active") + F.col("fixed")) / F.col("slen"))
 
 
 def resolve(state: DataFrame, iters: int = 25, scale: float = 0.9, report: Callable[[int, int], None] | None = None) -> DataFrame:
+    """The state that resolve_passes ends with."""
+    return resolve_passes(state, iters, scale, report).state
+
+
+def resolve_passes(state: DataFrame, iters: int = 25, scale: float = 0.9, report: Callable[[int, int], None] | None = None, folder: str | None = None) -> Resolved:
     """Passes until nothing is removed, all queries are unique, or ``iters`` passes are done (0: no limit).
 
     A pass that finds every query unique ends the loop before any removal. Alignments that are their query's only one
-    are settled: they leave the loop, and their mass stays in the weights. What is left stays partitioned by query;
-    the weights, one row per reference, are broadcast if they are few and joined by a shuffle if not. Each pass is
-    checkpointed: the plan does not grow and a lost executor costs no more than the pass under way.
+    are settled: they leave the loop, and their mass stays in the weights. What is left rests in buckets by query, so a
+    pass exchanges nothing but the weights, one row per reference; these are broadcast if they are few and joined by a
+    shuffle if not. Each pass is a table that knows nothing of the passes before it (``Iteration``), and its tallies are
+    observed while it is written. With a ``folder`` a run that was cut short goes on from its last pass.
     """
+    spark = state.sparkSession
+    work = Iteration(spark, folder, "em")
     n_stay = F.count(F.when(F.col("stays"), 1)).over(_by_query())
-    now = cut(state.withColumn("stays", F.lit(True)).withColumn("n_stay", n_stay))
-    done = [now.filter("n_stay = 1")]
-    weights = _weights(now, None)
-    small = weights.count() <= BROADCAST_ROWS
-    number = 0
-    while True:
+    settles = F.col("stays") & (F.col("n_stay") == 1)
+    columns = ["query", "reference", "slen", "prob", "iter", F.col("n_stay").alias("n_aln")]
+
+    def run(rows: DataFrame, number: int, buckets: int, weights: DataFrame | None, left: int) -> tuple[DataFrame, DataFrame, Row]:
+        seen, known = Observation(), Observation()
+        count = lambda condition: F.count(F.when(condition, 1))
+        observed = rows.observe(seen, count(F.col("n_aln") > 1).alias("multi"), count(~F.col("stays")).alias("removed"), count(settles).alias("settled"), F.count(F.lit(1)).alias("rows"))
+        now = work.write_bucketed(observed, "rows", number, "query", buckets)
+        tally = seen.get
+        left = left - tally["removed"] if number else tally["rows"]
+        ended = number > 0 and (not tally["multi"] or not tally["removed"] or 0 < iters <= number)
+        if not ended and (tally["settled"] or not number):  # another pass would scale what a query has left to 1
+            work.write(now.filter(settles).select(*columns).withColumn("prob", F.lit(1.0)), "settled", number)
+        weights = work.write(_weights(now, weights).observe(known, F.count(F.lit(1)).alias("references")), "weights", number)
+        row = {"alignments": left, "multi": tally["multi"], "removed": tally["removed"], "settled": tally["settled"], "ended": ended, "references": known.get["references"], "buckets": buckets, "columns": ", ".join(f"`{c}` {t}" for c, t in now.dtypes)}
+        work.commit(number, **row)
+        for table in ("rows", "weights"):
+            work.retire(table, number - 2)
+        if report and number:
+            report(number, tally["removed"])
+        return now, weights, Row(**row)
+
+    number = work.last()
+    if number is None:
+        number = 0
+        first = state.withColumn("stays", F.lit(True)).withColumn("n_stay", n_stay)
+        now, weights, tally = run(first, 0, int(spark.conf.get("spark.sql.shuffle.partitions")), None, 0)
+    else:
+        tally = work.tally(number)
+        now, weights = work.read_bucketed("rows", number, tally["columns"], "query", tally["buckets"]), work.read("weights", number)
+    while not tally["ended"]:
         number += 1
-        active = now.filter("stays and n_stay > 1").select("query", "reference", "slen", "prob", "iter", F.col("n_stay").alias("n_aln"))
+        active = now.filter("stays and n_stay > 1").select(*columns)
         known = weights.select("reference", "weight")
+        small = tally["references"] <= BROADCAST_ROWS
         weighed = active.join(F.broadcast(known) if small else known, "reference").withColumn("new", F.col("prob") * F.col("weight"))
         stepped = weighed.select("query", "reference", "slen", (F.col("new") / F.sum("new").over(_by_query())).alias("prob"), "iter", "n_aln")
-        now = cut(with_verdict(stepped, scale, number).withColumn("n_stay", n_stay))
-        weights = _weights(now, weights)
-        multi, removed = weights.agg(F.sum("multi"), F.sum("removed")).first()
-        if report:
-            report(number, removed or 0)
-        if not multi or not removed or 0 < iters <= number:
-            break
-        # Another pass would scale what a query has left to 1.
-        done.append(now.filter("stays and n_stay = 1").withColumn("prob", F.lit(1.0)))
-    out = now.filter("stays")
-    for part in done:
-        out = out.unionByName(part)
-    return out.select("query", "reference", "slen", "prob", "iter", F.col("n_stay").alias("n_aln"))
+        # What is active has stayed in every pass; counted on, the code of all passes is the same and compiled once.
+        now, weights, tally = run(with_verdict(stepped, scale, F.col("iter") + 1).withColumn("n_stay", n_stay), number, tally["buckets"], weights, tally["alignments"])
+    last = now.filter("stays").select(*columns)
+    settled = spark.read.schema(last.schema).parquet(*[work.path("settled", k) for k in range(number) if not k or work.tally(k)["settled"]])
+    tallies = work.tallies().select("pass", "alignments", "multi", "removed", "settled")
+    return Resolved(last.unionByName(settled), tallies)
 
 
 def frequent_survivors(state: DataFrame, min_read_count: int) -> DataFrame:

@@ -1,4 +1,7 @@
+import math
 import random
+import statistics
+import time
 from collections import defaultdict
 
 import pytest
@@ -86,3 +89,49 @@ def test_all_records_of_a_pair_survive(spark):
 def test_empty(spark):
     out = pipelines.reassign(frame(spark, []), refs(spark, ("x", 100)).drop("reference_length"))
     assert out.pairs.count() == 0 and out.alignments.count() == 0
+
+
+def doubling(passes):
+    """Queries of two references each, on their own: the log odds double in each pass, so one query is settled a pass."""
+    scores, lengths = {}, {}
+    for k in range(passes):
+        odds = math.exp(-math.log(0.9) * 1.5 / 2 ** (k + 1))
+        for side, score in (("a", odds), ("b", 1.0)):
+            scores[f"q{k}", f"{side}{k}"], lengths[f"{side}{k}"] = score, 100
+    return scores, lengths
+
+
+def test_25_passes_in_bounded_time(spark):
+    """State tables carry no estimate of earlier passes, so a late pass takes no longer than an early one."""
+    times, began = [], [time.perf_counter()]
+
+    def report(number, removed):
+        times.append(time.perf_counter() - began[0])
+        began[0] = time.perf_counter()
+        assert removed == 1
+
+    scores, lengths = doubling(30)
+    out = em.resolve_passes(state(spark, scores, lengths), 25, 0.9, report)
+    assert len(times) == 25 and out.state.count() == 60 - 25
+    assert sum(times) < 120 and statistics.median(times[-5:]) < 2 * statistics.median(times[2:8])
+    got = [tuple(r) for r in out.tallies.orderBy("pass").collect()]
+    assert got[0] == (0, 60, 60, 0, 0) and got[1:] == [(k, 60 - k, 62 - 2 * k, 1, 1) for k in range(1, 26)]
+
+
+def test_goes_on_after_a_lost_driver(spark, tmp_path):
+    scores, lengths = doubling(7)
+    whole = sorted(tuple(r) for r in em.resolve(state(spark, scores, lengths), 25, 0.9).collect())
+    folder = f"file://{tmp_path}/run"
+
+    def lost(number, removed):
+        if number == 4:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        em.resolve_passes(state(spark, scores, lengths), 25, 0.9, lost, folder)
+    later = []
+    for _ in range(2):  # the second run finds the loop ended
+        out = em.resolve_passes(state(spark, scores, lengths), 25, 0.9, lambda number, removed: later.append(number), folder)
+        assert sorted(tuple(r) for r in out.state.collect()) == whole
+    assert later == [5, 6, 7, 8]
+    assert sorted(p.name for p in (tmp_path / "run/rows").iterdir()) == ["pass=7", "pass=8"]
