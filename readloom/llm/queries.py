@@ -88,13 +88,19 @@ def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordruns import run_reports
+
+    return run_reports(table(spark, sf_dir, "documents"), plant=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mpeg_ts, op2_quality_rules, op3_ngram_jaccard, op4_secret_scan, op5_suffix_dedup, op6_byte_bpe, op7_language_id, op8_line_dedup, op9_warc, op10_mix_sources, op11_toxicity, op12_dialogue_repair, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mpeg_ts, op2_quality_rules, op3_ngram_jaccard, op4_secret_scan, op5_suffix_dedup, op6_byte_bpe, op7_language_id, op8_line_dedup, op9_warc, op10_mix_sources, op11_toxicity, op12_dialogue_repair, op13_word_runs, pipeline)}
 #: Near-duplicates by all pairs that share an n-gram; classes by following links.
 NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
