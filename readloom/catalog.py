@@ -409,7 +409,7 @@ def _lca_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lca.path_counts(lca.classify(lca.read_lca(*_lca_inputs(spark, sf_dir)), RANK_INDEX))
+    return lca.lca_counts(*_lca_inputs(spark, sf_dir), RANK_INDEX)
 
 
 def _weights(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:

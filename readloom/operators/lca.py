@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, ratio
+from .tree import TreeIndex, tree_index
 
 ROOT = "root"
 
@@ -28,12 +29,49 @@ def edges(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(pairs).alias("e")).select("e.source", "e.target").filter("source <> target").distinct()
 
 
-def read_lca(alignments: DataFrame, paths: DataFrame) -> DataFrame:
-    """read, n_paths, path: the names that all paths of a read share, in the order of its first path."""
-    hits = alignments.select(F.col("query_name").alias("read"), "reference").distinct().join(paths, "reference")
+def read_nodes(alignments: DataFrame, index: TreeIndex) -> DataFrame:
+    """read, n_paths, node: the lowest node above all references of a read.
+
+    What is exchanged for a read are numbers: how many leaves it has, the first and the last. Their ancestor is looked up
+    once for each pair of leaves that occurs.
+    """
+    found = alignments.select(F.col("query_name").alias("read"), "reference").join(index.leaves.select("reference", "leaf"), "reference").select("read", "leaf").distinct()
+    ends = found.groupBy("read").agg(F.count(F.lit(1)).alias("n_paths"), F.min("leaf").alias("lo"), F.max("leaf").alias("hi"))
+    return ends.join(index.common(ends.select("lo", "hi").distinct()), ["lo", "hi"]).select("read", "n_paths", "node")
+
+
+def tangled_lca(alignments: DataFrame, paths: DataFrame, index: TreeIndex) -> DataFrame:
+    """read, n_paths, path of the reads all of whose references have a name that stands at several nodes.
+
+    Nodes are known by name, so what such paths share is the set of their names, in the order of the first path; only
+    these reads need the paths themselves.
+    """
+    marked = alignments.select(F.col("query_name").alias("read"), "reference").distinct().join(index.leaves.select("reference", "tangled"), "reference")
+    caught = marked.groupBy("read").agg(F.min("tangled").alias("all")).filter("all").select("read")
+    hits = marked.select("read", "reference").join(caught, "read", "left_semi").join(paths, "reference")
     grouped = hits.groupBy("read").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     shared = F.aggregate(F.slice("paths", F.lit(2), F.greatest(F.size("paths"), F.lit(1))), F.col("paths")[0], F.array_intersect)
-    return grouped.select("read", F.size("paths").alias("n_paths"), shared.alias("path"))
+    return grouped.select("read", F.size("paths").cast("bigint").alias("n_paths"), shared.alias("path"))
+
+
+def read_lca(alignments: DataFrame, paths: DataFrame, index: TreeIndex | None = None) -> DataFrame:
+    """read, n_paths, path: the names that all paths of a read share, in the order of its first path."""
+    index = index or tree_index(paths)
+    plain = read_nodes(alignments, index).join(index.nodes.select("node", "path"), "node").select("read", "n_paths", "path")
+    if not index.tangled:
+        return plain
+    knots = tangled_lca(alignments, paths, index)
+    return plain.join(knots, "read", "left_anti").unionByName(knots)
+
+
+def lca_counts(alignments: DataFrame, paths: DataFrame, rank_index: int) -> DataFrame:
+    """kind, path, reads of the reads that are unique or have a deep enough ancestor: path_counts(classify(read_lca)),
+    but counted by node, so that a path is joined to a count and not to a read."""
+    index = tree_index(paths)
+    if index.tangled:
+        return path_counts(classify(read_lca(alignments, paths, index), rank_index))
+    counts = read_nodes(alignments, index).groupBy("node", F.least("n_paths", F.lit(2)).alias("n_paths")).agg(F.count(F.lit(1)).alias("reads"))
+    return classify(counts.join(index.nodes.select("node", "path"), "node"), rank_index).filter("kind <> 'discarded'").select("kind", "path", "reads")
 
 
 def classify(lcas: DataFrame, rank_index: int) -> DataFrame:

@@ -71,6 +71,6 @@ def lca_summary(
 
 def lca_from_paths(alignments: DataFrame, paths: DataFrame, lengths: DataFrame, rank_index: int, scale: float = 1e6, stats: DataFrame | None = None) -> DataFrame:
     """name, n_reads, abundance, tax_path. lengths: reference, reference_length."""
-    counts = cut(lca.path_counts(lca.classify(lca.read_lca(alignments, paths), rank_index)))
+    counts = cut(lca.lca_counts(alignments, paths, rank_index))
     weights = lca.unique_weights(counts, lengths, scale, stats)
     return lca.summarise(weights, lca.lca_weights(counts, weights, lengths, rank_index, scale))

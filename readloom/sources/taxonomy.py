@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LENGTHS
-from ..session import cut
+from ..operators.tree import doubled, walks
 
 
 def _dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -46,35 +46,13 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 def lineages(taxids: DataFrame, nodes: DataFrame, names: DataFrame, most: int = 1000) -> DataFrame:
     """taxid, lineage (map of rank to name, from the taxid up) of the given taxids.
 
-    All taxids walk up one level at a time, until none is left; a walk of more than ``most`` levels is an error, as only
-    a taxonomy with a cycle has one. Where a rank occurs more than once (as ``clade`` does), it stands at its lowest
-    place with its highest name.
+    Ancestors come by pointer doubling; a taxid with more than ``most`` of them is an error, as only a taxonomy with a
+    cycle has one. Where a rank occurs more than once (as ``clade`` does), it stands at its lowest place with its
+    highest name.
     """
-    tree = nodes.join(names, "taxid").select(F.col("taxid").alias("at"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("up"), "rank", "name")
-    now = taxids.select("taxid", F.col("taxid").alias("at")).distinct()
-    parts = []
-    depth = 0
-    while True:
-        # Eight levels in one plan, then a cut: no level is walked twice and the plan stays short.
-        levels = []
-        for depth in range(depth, depth + 8):  # noqa: B020
-            now = now.join(tree, "at").select("taxid", F.col("up").alias("at"), "rank", "name", F.lit(depth).alias("depth"))
-            levels.append(now)
-            now = now.filter("at is not null").select("taxid", "at")
-        depth += 1
-        part = levels[0]
-        for level in levels[1:]:
-            part = part.unionByName(level)
-        part = cut(part)
-        parts.append(part)
-        now = part.filter((F.col("depth") == depth - 1) & F.col("at").isNotNull()).select("taxid", "at")
-        if not now.limit(1).count():
-            break
-        if depth >= most:
-            raise ValueError(f"a lineage has more than {depth} levels: is there a cycle in the taxonomy?")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    named = nodes.join(names, "taxid").select(F.col("taxid").alias("at"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("up"), "rank", "name")
+    ways = walks(taxids.select(F.col("taxid").alias("start")), doubled(named.select(F.col("at").alias("node"), "up"), most))
+    every = ways.join(named, "at").select(F.col("start").alias("taxid"), "rank", "name", "depth")
     known = every.filter("rank <> 'no rank'")
     once = known.groupBy("taxid", "rank").agg(F.min("depth").alias("depth"), F.max_by("name", "depth").alias("name"))
     # A lineage has at most as many ranks as there are.
