@@ -1,11 +1,13 @@
 """Toxicity by two Kneser-Ney models of letters within words, one of toxic texts and one of ordinary ones.
 
 An expression is a word (a run of letters, lower case, with a mark at both ends). Both models predict each letter from
-up to five before it. In the ``OWN`` longest contexts a class has counts of its own; below them both classes back off to
-the same counts, those of both taken together, so an expression that is rare in both scores alike and cancels out. All
-counts but those of the longest grams, and of grams at the start of a word, are Kneser-Ney's: how many letters a gram
-follows. A text's evidence is the difference of its two log-likelihoods divided by its number of words; a logistic
-regression on other labelled texts turns evidence and number of distinct words into a score.
+up to five before it, with counts of its own class, and back off in the end to the same counts, those of both classes
+taken together: where neither class knows an expression it is alike in both and cancels out. All counts but those of the
+longest grams, and of grams at the start of a word, are Kneser-Ney's: how many letters a gram follows. As only the ratio
+of the two likelihoods counts, the model that is shipped has one number for each gram, the logarithm of the ratio, and
+one for each context, what the ratio changes by when it backs off. A text's evidence is the difference of its two
+log-likelihoods divided by its number of words; a logistic regression on other labelled texts turns evidence and number
+of distinct words into a score.
 
 The counts are Spark aggregates over the drawn labelled texts; the driver gets the grams of at most about ``CHARS``
 characters a class. Both classes are drawn to the same size: the larger one would know more rare words, and every
@@ -32,9 +34,8 @@ from pyspark.sql import functions as F
 
 from .runtime import prepare
 
-#: Letters of a gram, and how many of its longest contexts are counted by class.
+#: Letters of a gram.
 ORDER = 6
-OWN = 5
 #: Taken off each count; what it takes off is the mass that backs off.
 DISCOUNT = 0.75
 #: Labelled texts drawn from a class (about): characters to count grams in, texts to fit the regression on.
@@ -52,13 +53,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass
 class Model:
-    """grams: (toxic, ordinary, shared) discounted counts; contexts: total and backed-off mass of each of the three;
-    letters: probabilities at the bottom."""
+    """ratios: log P(letter | context, toxic) - log P(letter | context, ordinary) of the grams that occur; backoffs: the
+    same of the mass that each context leaves to shorter ones."""
 
-    grams: dict[str, tuple[float, float, float]]
-    contexts: dict[str, tuple[float, ...]]
-    letters: dict[str, float]
-    unseen: float
+    ratios: dict[str, float]
+    backoffs: dict[str, float]
     prior: float
     weights: tuple[float, ...] | None = None
     _known: dict[str, float] = field(default_factory=dict)
@@ -69,26 +68,14 @@ class Model:
     def word(self, word: str) -> float:
         """log P(word | toxic) - log P(word | ordinary)."""
         s, out = f"{START}{word}{END}", 0.0
-        for i in range(1, len(s)):
-            shared = self.letters.get(s[i], self.unseen)
-            top = min(ORDER, i + 1)
-            toxic = ordinary = None
-            for k in range(2, top + 1):
-                here = self.contexts.get(s[i - k + 1 : i])
-                if here is None:
-                    break  # longer contexts are unknown too
-                gram = self.grams.get(s[i - k + 1 : i + 1], (0.0, 0.0, 0.0))
-                if k > top - OWN:
-                    if toxic is None:
-                        toxic = ordinary = shared
-                    if here[0]:
-                        toxic = gram[0] / here[0] + here[1] * toxic
-                    if here[2]:
-                        ordinary = gram[1] / here[2] + here[3] * ordinary
-                else:
-                    shared = gram[2] / here[4] + here[5] * shared
-            if toxic is not None:
-                out += math.log(toxic / ordinary)
+        ratios, backoffs = self.ratios, self.backoffs
+        for i in range(2, len(s) + 1):
+            for begin in range(max(0, i - ORDER), i - 1):
+                value = ratios.get(s[begin:i])
+                if value is not None:
+                    out += value
+                    break
+                out += backoffs.get(s[begin : i - 1], 0.0)
         return out
 
     def evidence(self, text: str | None) -> tuple[float, int]:
@@ -187,19 +174,22 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 def assemble(rows: list[tuple[str, int, int, int]], prior: float, discount: float = DISCOUNT) -> Model:
     """The model of gram counts. What the discount takes from the grams of a context is the mass that backs off."""
-    grams, totals, letters = {}, {}, {}
-    for gram, *counts in rows:
+    totals, probability = {}, {}
+    for gram, toxic, ordinary, _ in rows:
+        if len(gram) > 1:
+            entry = totals.setdefault(gram[:-1], [0.0] * 4)
+            for c, n in enumerate((toxic, ordinary)):
+                entry[2 * c] += n
+                entry[2 * c + 1] += min(n, discount)
+    left = {h: tuple(t[2 * c + 1] / t[2 * c] if t[2 * c] else 1.0 for c in (0, 1)) for h, t in totals.items()}
+    bottom = sum(r[3] for r in rows if len(r[0]) == 1)
+    for gram, toxic, ordinary, shared in sorted(rows, key=lambda r: len(r[0])):
         if len(gram) == 1:
-            letters[gram] = counts[2]
+            probability[gram] = (shared / bottom,) * 2
             continue
-        grams[gram] = tuple(max(0.0, n - discount) for n in counts)
-        entry = totals.setdefault(gram[:-1], [0.0] * 6)
-        for c, n in enumerate(counts):
-            entry[2 * c] += n
-            entry[2 * c + 1] += min(n, discount)
-    contexts = {h: tuple(v for c in range(3) for v in (float(t[2 * c]), t[2 * c + 1] / t[2 * c] if t[2 * c] else 1.0)) for h, t in totals.items()}
-    total = sum(letters.values()) + len(letters) + 1
-    return Model(grams, contexts, {a: (n + 1) / total for a, n in letters.items()}, 1 / total, prior)
+        below, total, mass = probability[gram[1:]], totals[gram[:-1]], left[gram[:-1]]
+        probability[gram] = tuple((max(0.0, n - discount) / total[2 * c] if total[2 * c] else 0.0) + mass[c] * below[c] for c, n in enumerate((toxic, ordinary)))
+    return Model({g: math.log(t / o) for g, (t, o) in probability.items() if len(g) > 1}, {h: math.log(t / o) for h, (t, o) in left.items()}, prior)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -207,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     texts, share, rows = draw(docs, labels)
     prior = rows.get(1, 0) / max(1, sum(rows.values()))
     if len(rows) < 2:
-        return Model({}, {}, {}, 1.0, prior)
+        return Model({}, {}, prior)
     counts = gram_counts(words_of(texts.filter("fitted"))).toPandas()  # bounded by CHARS
     model = assemble(sorted(counts.itertuples(index=False, name=None)), prior)
     seen = evidence(texts.filter("not fitted").select(F.col("toxic").alias("key"), "text"), model).toPandas().sort_values(["key", "ratio", "words"])
