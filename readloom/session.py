@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,22 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_readloom_sent", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="readloom-zip-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / "readloom-core.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._readloom_sent = True
+
+
 _mine: dict[str, SparkSession] = {}
 
 

@@ -1,18 +1,20 @@
 """Alignment files (BAM) as a Spark data source, after the public SAM/BAM specification. Needs no native library.
 
-``register(spark)`` makes ``spark.read.format("bam").load(path)`` and ``df.write.format("bam").save(path)`` work on
-folders that driver and executors share. ``read_binary`` reads files by Spark's own reader from any store, one file
-per task. A path may be one file or a folder of them, which is how large results are written (``layout`` ``files``).
+``register(spark)`` makes ``spark.read.format("bam").load(path)`` and ``df.write.format("bam").save(path)`` work on any
+store that ``store`` knows; tasks read ranges, never whole files. A path may be one file or a folder of them, which is
+how large results are written (``layout`` ``files``). ``read_binary`` takes whole files from Spark's own reader.
 
 A file is cut by bytes. Each task finds the first compressed block after its cut, and the first record by checking
-where a chain of plausible records begins, so no one reads the file in sequence.
+where a chain of plausible records begins, so no one reads the file in sequence. Where a file has an index (BAI or CSI),
+a filter on ``reference`` becomes the ranges of its blocks, and nothing else is opened. Files written in order of place
+get an index from the parts' own ones; ``build_index`` makes one for any file in that order.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -20,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..schema import ALIGNMENT, REFERENCES
+from ..session import ship
+from . import store
+from .bai import Index
 
 BLOCK_HEAD = 18
 SPLIT_BYTES = 32 << 20
@@ -49,7 +54,10 @@ def block_size(head: bytes) -> int:
 
 
 def unpack_block(block: bytes) -> bytes:
-    return zlib.decompress(block, 31)
+    try:
+        return zlib.decompress(block, 31)
+    except zlib.error as e:
+        raise BamError(f"a block doesn't unpack: {e}") from e
 
 
 def pack_blocks(data: bytes, size: int = 60_000) -> bytes:
@@ -68,9 +76,12 @@ def read_blocks(file, start: int) -> Iterator[tuple[int, bytes]]:
     """(offset, bytes) of the blocks from an offset on."""
     file.seek(start)
     while len(head := file.read(BLOCK_HEAD)) == BLOCK_HEAD:
-        rest = file.read(block_size(head) - BLOCK_HEAD)
-        yield start, unpack_block(head + rest)
-        start += len(head) + len(rest)
+        size = block_size(head)
+        block = head + file.read(size - BLOCK_HEAD)
+        if len(block) < size:
+            raise BamError(f"the block at {start} is cut short")
+        yield start, unpack_block(block)
+        start += size
 
 
 def next_block(file, start: int, end: int, chain: int = 3) -> int | None:
@@ -124,7 +135,7 @@ def parse_header(data: bytes) -> tuple[str, list[tuple[str, int]], int] | None:
 
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
     """(text, references, place of the first record as block offset and offset in the block)."""
-    with open(path, "rb") as f:
+    with store.open_in(path) as f:
         data, starts = b"", []
         for offset, block in read_blocks(f, 0):
             starts.append((offset, len(data)))
@@ -233,16 +244,19 @@ def first_record(data: bytes, n_refs: int, chain: int = 8) -> int | None:
     return None
 
 
-def records_of(file, start: int, inside: int | None, end: int, n_refs: int) -> Iterator[bytes]:
-    """Records that begin in blocks from ``start`` to before ``end``; inside: place of the first one, None to look."""
+def records_of(file, start: int, inside: int | None, end: int, n_refs: int) -> Iterator[tuple[int, bytes]]:
+    """(virtual offset, bytes) of the records that begin in blocks from ``start`` to before ``end``; inside: place of the
+    first one, None to look."""
     blocks = read_blocks(file, start)
     buffer, limit = b"", None  # limit: where in buffer the own blocks end, once known
+    marks: list[tuple[int, int]] = []  # where in buffer the own blocks begin
 
     def more() -> bool:
         nonlocal buffer, limit
         for offset, block in blocks:
             if offset >= end and limit is None:
                 limit = len(buffer)
+            marks.append((len(buffer), offset))
             buffer += block
             return True
         return False
@@ -253,20 +267,65 @@ def records_of(file, start: int, inside: int | None, end: int, n_refs: int) -> I
     at = first_record(buffer, n_refs) if inside is None else inside
     if at is None:
         return
+    mark = 0
     while limit is None or at < limit:
         while len(buffer) < at + 4:
             if not more():
+                if len(buffer) > at:
+                    raise BamError("the last record is cut short")
                 return
         if limit is not None and at >= limit:
             return
         (size,) = struct.unpack_from("<i", buffer, at)
         while len(buffer) < at + 4 + size:
             if not more():
-                return
-        yield buffer[at + 4 : at + 4 + size]
+                raise BamError("the last record is cut short")
+        while mark + 1 < len(marks) and marks[mark + 1][0] <= at:
+            mark += 1
+        yield marks[mark][1] << 16 | at - marks[mark][0], buffer[at + 4 : at + 4 + size]
         at += 4 + size
         if at > 1 << 20:
-            buffer, at, limit = buffer[at:], 0, None if limit is None else limit - at
+            buffer, limit = buffer[at:], None if limit is None else limit - at
+            marks[:] = [(a - at, o) for a, o in marks[mark:]]
+            at = mark = 0
+
+
+class BlockWriter:
+    """Records into compressed blocks, whole ones where they fit; knows the virtual offset of what comes next."""
+
+    SIZE = 60_000
+
+    def __init__(self, out):
+        self.out, self.offset, self.pending = out, 0, bytearray()
+
+    def tell(self) -> int:
+        return self.offset << 16 | len(self.pending)
+
+    def flush(self) -> None:
+        if self.pending:
+            data = pack_blocks(bytes(self.pending), self.SIZE)
+            self.out.write(data)
+            self.offset += len(data)
+            self.pending.clear()
+
+    def make_room(self, n: int) -> None:
+        if self.pending and len(self.pending) + n > self.SIZE:
+            self.flush()
+
+    def write(self, data: bytes) -> None:
+        """Data larger than a block is packed at once, so offsets stay those of block starts."""
+        self.make_room(len(data))
+        self.pending += data
+        if len(self.pending) > self.SIZE:
+            self.flush()
+
+
+def extent(raw: bytes) -> tuple[int, int, int, bool]:
+    """Reference number, begin, end and whether the record is mapped."""
+    ref, pos, n_name, _, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", raw)
+    at = 32 + n_name
+    span = sum(c >> 4 for c in struct.unpack_from(f"<{n_cigar}I", raw, at) if OPERATIONS[c & 15] in ON_REFERENCE)
+    return ref, pos, pos + max(1, span), not flag & 4
 
 
 # -- data source ------------------------------------------------------------------------------------------------------
@@ -274,15 +333,39 @@ def records_of(file, start: int, inside: int | None, end: int, n_refs: int) -> I
 
 def files_of(path: str) -> list[str]:
     """The alignment files of a path: the file itself, or those of a folder in the order of their names."""
-    if not os.path.isdir(path):
-        return [path]
-    return [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".bam")]
+    return store.listing(path, ".bam") if store.kind(path) == "folder" else [path]
+
+
+def index_of(path: str) -> Index | None:
+    """The index beside a file, if there is one."""
+    for suffix in (".bai", ".csi"):
+        if store.kind(path + suffix) == "file":
+            return Index.load(store.read(path + suffix))
+    return None
 
 
 class _Split(InputPartition):
-    def __init__(self, path: str, start: int, inside: int | None, end: int):
-        super().__init__((path, start, inside, end))
-        self.path, self.start, self.inside, self.end = path, start, inside, end
+    """Records that begin in blocks from start to before end, and before the virtual offset stop; inside: see records_of."""
+
+    def __init__(self, path: str, start: int, inside: int | None, end: int, stop: int = 1 << 63):
+        super().__init__((path, start, inside, end, stop))
+        self.path, self.start, self.inside, self.end, self.stop = path, start, inside, end, stop
+
+
+def splits_of(path: str, first: tuple[int, int], size: int, split_bytes: int) -> list[_Split]:
+    """A whole file cut by bytes; first: place of the first record."""
+    starts = [first[0], *range(first[0] + split_bytes, size, split_bytes)]
+    return [_Split(path, a, first[1] if i == 0 else None, b) for i, (a, b) in enumerate(zip(starts, [*starts[1:], size], strict=True))]
+
+
+def splits_of_places(path: str, places: list[tuple[int, int]], split_bytes: int) -> list[_Split]:
+    """Ranges of virtual offsets, long ones cut by bytes."""
+    out = []
+    for start, stop in places:
+        end = (stop >> 16) + (1 if stop & 0xFFFF else 0)
+        starts = [start >> 16, *range((start >> 16) + split_bytes, end, split_bytes)]
+        out += [_Split(path, a, start & 0xFFFF if i == 0 else None, b, stop) for i, (a, b) in enumerate(zip(starts, [*starts[1:], end], strict=True))]
+    return out
 
 
 class BamReader(DataSourceReader):
@@ -290,7 +373,17 @@ class BamReader(DataSourceReader):
     leaves out the encoded record, which only the writer needs)."""
 
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
+        # Read once, on the driver, and sent along: names (files of a folder share them), others, first records.
+        self.names: list[str] = []
+        self.others: dict[str, list[str]] = {}
+        self.first: dict[str, tuple[int, int]] = {}
+        for path in files_of(self.path):
+            _, references, self.first[path] = read_header(path)
+            names = [n for n, _ in references]
+            self.names = self.names or names
+            if names != self.names:
+                self.others[path] = names
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.mode = options.get("mode", "FAILFAST").upper()
         self.raw = options.get("raw", "true").lower() == "true"
@@ -306,10 +399,15 @@ class BamReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for path in files_of(self.path):
-            first, size = read_header(path)[2], os.path.getsize(path)
-            starts = [first[0], *range(first[0] + self.split_bytes, size, self.split_bytes)]
-            out += [_Split(path, a, first[1] if i == 0 else None, b) for i, (a, b) in enumerate(zip(starts, [*starts[1:], size], strict=True))]
+        for path, first in self.first.items():
+            names = self.others.get(path, self.names)
+            index = index_of(path) if self.wanted is not None else None
+            if index is None:
+                out += splits_of(path, first, store.size(path), self.split_bytes)
+            else:
+                for i, name in enumerate(names):
+                    if name in self.wanted:
+                        out += splits_of_places(path, index.places(i), self.split_bytes)
         return out
 
     def read(self, split: _Split) -> Iterator:
@@ -324,13 +422,15 @@ class BamReader(DataSourceReader):
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        with open(split.path, "rb") as f:
-            names = [n for n, _ in read_header(split.path)[1]]
+        names = self.others.get(split.path, self.names)
+        with store.open_in(split.path) as f:
             keep = None if self.wanted is None else {i for i, n in enumerate(names) if n in self.wanted}
             start = split.start if split.inside is not None else next_block(f, split.start, split.end)
             if start is None:
                 return
-            for raw in records_of(f, start, split.inside, split.end, len(names)):
+            for place, raw in records_of(f, start, split.inside, split.end, len(names)):
+                if place >= split.stop:
+                    break
                 if keep is not None and struct.unpack_from("<i", raw)[0] not in keep:
                     continue
                 row = parse_record(raw, names)
@@ -346,23 +446,36 @@ class BamReader(DataSourceReader):
 
 
 class _Part(WriterCommitMessage):
-    def __init__(self, number: int, path: str):
-        self.number, self.path = number, path
+    def __init__(self, number: int, path: str, size: int, index: Index | None):
+        self.number, self.path, self.size, self.index = number, path, size, index
 
 
 class BamWriter(DataSourceWriter):
-    """Writes the ``raw`` records under a header of the surviving references (option ``references``, JSON list), taken
-    from the file in option ``header``. With ``layout`` ``file`` parts are compressed blocks, which the commit strings
-    together in order; with ``files`` each task writes a whole file into the folder, and nothing passes the driver."""
+    """Writes the ``raw`` records under a header of the surviving references.
+
+    The header comes from the file in option ``header``, of which option ``references`` (JSON list) names those to keep,
+    or anew from option ``lengths`` (JSON list of names and lengths). Each task writes whole blocks into a file of its
+    attempt and, in order ``coordinate``, the index of its part. With ``layout`` ``files`` each file is whole and has its
+    index, and the commit gives it its name: only offsets pass the driver. With ``file`` the commit strings the parts
+    together in order, in one pass, and joins their indexes with shifted offsets.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"].removeprefix("file://")
-        if os.path.exists(self.path) and not overwrite:
+        self.path = options["path"]
+        if store.kind(self.path) != "nothing" and not overwrite:
             raise BamError(f"{self.path} exists")
         self.whole = options.get("layout", "file") == "files"
-        self.text, self.references, _ = read_header(files_of(options["header"].removeprefix("file://"))[0])
+        if "lengths" in options:
+            self.references = [(n, int(length)) for n, length in json.loads(options["lengths"])]
+            self.text = "".join(f"@SQ\tSN:{n}\tLN:{length}\n" for n, length in self.references)
+        else:
+            self.text, self.references, _ = read_header(files_of(options["header"])[0])
         self.keep = json.loads(options["references"]) if "references" in options else [n for n, _ in self.references]
         self.order = options.get("order", "unsorted")
+        self.drafts = f"{self.path.rstrip('/')}/_draft-{uuid.uuid4().hex}" if self.whole else f"{self.path}._draft-{uuid.uuid4().hex}"
+
+    def _index(self) -> Index:
+        return Index.deep_enough(max((n for _, n in self.references), default=0))
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -374,52 +487,73 @@ class BamWriter(DataSourceWriter):
             number[i] = -1
             if name in kept:
                 number[i], new = new, new + 1
-        attempt = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        path = f"{self.path}/.{attempt}" if self.whole else f"{self.path}.{attempt}"
-        if self.whole:
-            os.makedirs(self.path, exist_ok=True)
-        with open(path, "wb") as f:
+        # Attempts write apart from one another; what no commit names is deleted with the folder of drafts.
+        path = f"{self.drafts}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        index = self._index() if self.order == "coordinate" else None
+        with store.open_out(path) as f:
+            blocks = BlockWriter(f)
             if self.whole:
-                f.write(self._header())
-            pending, size = [], 0
+                blocks.write(self._header())
+                blocks.flush()
             for row in rows:
                 raw = bytearray(row["raw"])
                 for at in (0, 20):
                     struct.pack_into("<i", raw, at, number[struct.unpack_from("<i", raw, at)[0]])
-                pending.append(struct.pack("<i", len(raw)) + bytes(raw))
-                size += len(raw) + 4
-                if size > 1 << 20:
-                    f.write(pack_blocks(b"".join(pending)))
-                    pending, size = [], 0
-            f.write(pack_blocks(b"".join(pending)))
+                blocks.make_room(len(raw) + 4)
+                start = blocks.tell()
+                blocks.write(struct.pack("<i", len(raw)) + bytes(raw))
+                if index is not None:
+                    ref, begin, end, mapped = extent(raw)
+                    index.add(ref, begin, end, mapped, start, blocks.tell())
+            blocks.flush()
             if self.whole:
                 f.write(END_BLOCK)
-        return _Part(context.partitionId(), path)
+        if self.whole and index is not None:
+            store.write(f"{path}{index.suffix}", index.dump(len(kept)))
+            index = None
+        return _Part(context.partitionId(), path, blocks.offset, index)
 
     def _header(self) -> bytes:
+        """The header's bytes, unpacked."""
         kept = set(self.keep)
-        return pack_blocks(header_bytes(reduced_header(self.text, self.keep, self.order), [r for r in self.references if r[0] in kept]))
+        return header_bytes(reduced_header(self.text, self.keep, self.order), [r for r in self.references if r[0] in kept])
 
     def commit(self, messages: list) -> None:
+        parts = sorted((m for m in messages if m), key=lambda m: m.number)
+        suffixes = (".bai", ".csi")
         if self.whole:  # parts get their names only now, so a failed attempt leaves no file that counts
-            for old in files_of(self.path) if os.path.isdir(self.path) else []:
-                os.unlink(old)
-            for part in (m for m in messages if m):
-                os.replace(part.path, f"{self.path}/part-{part.number:06d}.bam")
-            return
-        with open(self.path, "wb") as out:
-            out.write(self._header())
-            for part in sorted((m for m in messages if m), key=lambda m: m.number):
-                with open(part.path, "rb") as f:
-                    while chunk := f.read(8 << 20):
-                        out.write(chunk)
-                os.unlink(part.path)
-            out.write(END_BLOCK)
+            for old in [f for s in (".bam", *suffixes) for f in store.listing(self.path, s)] if store.kind(self.path) == "folder" else []:
+                store.delete(old)
+            for part in parts:
+                name = f"{self.path.rstrip('/')}/part-{part.number:06d}.bam"
+                for suffix in suffixes:
+                    if store.kind(part.path + suffix) == "file":
+                        store.move(part.path + suffix, name + suffix)
+                store.move(part.path, name)
+            if not parts:
+                store.write(f"{self.path.rstrip('/')}/part-000000.bam", pack_blocks(self._header()) + END_BLOCK)
+        else:
+            index = self._index()
+            for suffix in suffixes:
+                store.delete(self.path + suffix)
+            with store.open_out(self.path) as out:
+                header = pack_blocks(self._header())
+                out.write(header)
+                place = len(header)
+                for part in parts:
+                    with store.open_in(part.path) as f:
+                        while chunk := f.read(8 << 20):
+                            out.write(chunk)
+                    if part.index is not None:
+                        index.absorb(part.index, place)
+                    place += part.size
+                out.write(END_BLOCK)
+            if self.order == "coordinate":
+                store.write(f"{self.path}{index.suffix}", index.dump(len(self.keep)))
+        store.delete(self.drafts)
 
     def abort(self, messages: list) -> None:
-        for part in messages:
-            if part and os.path.exists(part.path):
-                os.unlink(part.path)
+        store.delete(self.drafts)
 
 
 class BamDataSource(DataSource):
@@ -439,16 +573,130 @@ class BamDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the format known and let filters on ``reference`` reach the reader."""
+    ship(spark)
     spark.dataSource.register(BamDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """The header's references."""
-    _, references, _ = read_header(files_of(path.removeprefix("file://"))[0])
+    _, references, _ = read_header(files_of(path)[0])
     return spark.createDataFrame([(n, length, i) for i, (n, length) in enumerate(references)], REFERENCES)
 
 
+def index_counts(spark: SparkSession, path: str) -> DataFrame:
+    """reference, n_mapped, n_unmapped of the references with records, from the indexes beside the files: no record is
+    read. Files without an index are an error."""
+    files = files_of(path)
+    _, references, _ = read_header(files[0])
+    counts: dict[int, list[int]] = {}
+    for file in files:
+        index = index_of(file)
+        if index is None:
+            raise BamError(f"{file} has no index")
+        for ref, r in index.references.items():
+            have = counts.setdefault(ref, [0, 0])
+            have[0] += r.mapped
+            have[1] += r.unmapped
+    return spark.createDataFrame([(references[i][0], *n) for i, n in sorted(counts.items())], "reference string, n_mapped bigint, n_unmapped bigint")
+
+
+def inspect(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """file, start, records, first, last (places as [reference number, position]), ordered, error, index (its bytes) of
+    every split of every file that has a header; all of it is found in tasks."""
+    ship(spark)
+    splits = []
+    for file in files_of(path):
+        try:
+            _, references, first = read_header(file)
+        except (BamError, struct.error):
+            continue
+        longest = max((n for _, n in references), default=0)
+        splits += [(file, s.start, s.inside, s.end, len(references), longest) for s in splits_of(file, first, store.size(file), split_bytes)]
+    columns = "file string, start bigint, inside bigint, end bigint, n_refs bigint, longest bigint"
+    out = "file string, start bigint, records bigint, first array<bigint>, last array<bigint>, ordered boolean, error string, index binary"
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("records", pa.int64()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("ordered", pa.bool_()), ("error", pa.string()), ("index", pa.binary())])
+        for batch in batches:
+            for s in batch.to_pylist():
+                index, n, first, last, ordered, error, open_ = Index.deep_enough(s["longest"]), 0, None, None, True, None, None
+                try:
+                    with store.open_in(s["file"]) as f:
+                        start = s["start"] if s["inside"] is not None else next_block(f, s["start"], s["end"])
+                        found = records_of(f, start, s["inside"], s["end"], s["n_refs"]) if start is not None else ()
+                        for place, raw in found:
+                            if open_:
+                                index.add(*open_[0], open_[1], place)
+                            ref, begin, end, mapped = extent(raw)
+                            key = [ref if ref >= 0 else s["n_refs"], begin]
+                            ordered = ordered and (last is None or last <= key)
+                            first, last, n = first or key, key, n + 1
+                            open_ = ((ref, begin, end, mapped), place)
+                        if open_:
+                            # The last record ends where the next split's blocks begin, or before.
+                            index.add(*open_[0], open_[1], max(s["end"] << 16, open_[1] + 1))
+                except (BamError, struct.error) as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_pylist([{"file": s["file"], "start": s["start"], "records": n, "first": first, "last": last, "ordered": ordered, "error": error, "index": index.dump(s["n_refs"])}], schema)
+
+    if not splits:
+        return spark.createDataFrame([], out)
+    return spark.createDataFrame(splits, columns).repartition(len(splits), "file", "start").mapInArrow(run, out)
+
+
+def check_input(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[str, str]]:
+    """(file, state) of each file: ok, or the first of
+
+    ``empty`` (no byte), ``no header`` (not such a file, or cut within its header), ``no references``, ``truncated`` (a
+    block or record is cut, or the empty block at the end is missing), ``no records``, ``unsorted`` (the header says
+    coordinate, the records don't), ``other order`` (the header doesn't say coordinate: an index can't be built).
+    """
+    found: dict[str, list] = {}
+    for r in inspect(spark, path, split_bytes).drop("index").orderBy("file", "start").collect():  # a row per split
+        found.setdefault(r["file"], []).append(r)
+    out = []
+    for file in files_of(path):
+        size = store.size(file)
+        if not size:
+            out.append((file, "empty"))
+            continue
+        try:
+            text, references, _ = read_header(file)
+        except (BamError, struct.error):
+            out.append((file, "no header"))
+            continue
+        with store.open_in(file) as f:
+            f.seek(max(0, size - len(END_BLOCK)))
+            closed = f.read(len(END_BLOCK)) == END_BLOCK
+        rows = [r for r in found.get(file, []) if r["records"] or r["error"]]
+        full = [r for r in rows if r["records"]]
+        ordered = all(r["ordered"] for r in full) and all(list(a["last"]) <= list(b["first"]) for a, b in zip(full, full[1:], strict=False))
+        says = any(line.startswith("@HD") and "SO:coordinate" in line.split("\t") for line in text.splitlines())
+        state = "no references" if not references else "truncated" if not closed or any(r["error"] for r in rows) else "no records" if not full else "unsorted" if says and not ordered else "other order" if not says else "ok"
+        out.append((file, state))
+    return out
+
+
+def build_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> None:
+    """Write the index of each file of the path: tasks index their splits, only offsets pass the driver."""
+    found: dict[str, list] = {}
+    for r in inspect(spark, path, split_bytes).orderBy("file", "start").collect():
+        if r["error"]:
+            raise BamError(f"{r['file']}: {r['error']}")
+        if not r["ordered"]:
+            raise BamError(f"{r['file']} is not in the order of places")
+        found.setdefault(r["file"], []).append(r)
+    for file, rows in found.items():
+        _, references, _ = read_header(file)
+        index = Index.deep_enough(max((n for _, n in references), default=0))
+        for r in rows:
+            index.absorb(Index.load(bytes(r["index"])))
+        store.write(f"{file}{index.suffix}", index.dump(len(references)))
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of the files that Spark's own reader finds under path (each file is one task)."""
 
@@ -497,3 +745,28 @@ def encode_record(name: str, ref: int, pos: int, cigar: list[tuple[int, str]], s
     fields = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(cigar), flag, len(sequence), mate[0], mate[1], 0)
     extra = b"".join(k.encode() + b"i" + struct.pack("<i", v) for k, v in tags.items())
     return fields + name.encode() + b"\0" + ops + packed + b"\xff" * len(sequence) + extra
+
+
+def encode_alignments(alignments: DataFrame, references: DataFrame) -> DataFrame:
+    """query_name, reference, reference_start and raw: records of alignments that have no encoded form yet.
+
+    alignments: query_name, reference, reference_start, query_alignment_length, is_reverse, mapping_quality, nm, as_score,
+    xo, xg; references: reference, header_order. A record is one stretch of matches without a sequence.
+    """
+    ship(alignments.sparkSession)
+    tags = {"nm": "NM", "as_score": "AS", "xo": "XO", "xg": "XG"}
+    columns = ["query_name", "reference", "header_order", "reference_start", "query_alignment_length", "is_reverse", "mapping_quality", *tags]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raws = []
+            for r in batch.to_pylist():
+                present = {t: r[c] for c, t in tags.items() if r[c] is not None}
+                ref = -1 if r["header_order"] is None else r["header_order"]
+                raws.append(encode_record(r["query_name"], ref, -1 if r["reference_start"] is None else r["reference_start"], [(r["query_alignment_length"], "M")], "", present, 16 if r["is_reverse"] else 0, r["mapping_quality"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(raws, pa.binary())], ["query_name", "reference", "header_order", "reference_start", "raw"])
+
+    joined = alignments.join(references.select("reference", "header_order"), "reference", "left").select(*columns)
+    return joined.mapInArrow(run, "query_name string, reference string, header_order int, reference_start bigint, raw binary")

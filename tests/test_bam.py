@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql.datasource import In
 
 from readloom.sources import bam
 
@@ -114,3 +115,138 @@ def test_command_line(spark, file, tmp_path):
     for wrong in (["filter"], [], ["--version"]):
         with pytest.raises(SystemExit):
             cli.main(wrong)
+
+
+# -- index ------------------------------------------------------------------------------------------------------------
+
+
+def written(spark, path, tmp_path, name, **options):
+    bam.register(spark)
+    out = f"file://{tmp_path}/{name}"
+    df = spark.read.format("bam").load(str(path))
+    ordered = bam.sort_alignments(df, bam.read_references(spark, str(path)))
+    writer = ordered.write.format("bam").mode("overwrite").option("header", str(path)).option("order", "coordinate")
+    writer.options(**options).save(out)
+    return out
+
+
+def reader(path, *names, **options):
+    r = bam.BamReader({"path": path, **options})
+    if names:
+        assert list(r.pushFilters([In(("reference",), names)])) == []
+    return r
+
+
+def rows_of(r):
+    return [x for split in r.partitions() for batch in r.read(split) for x in batch.column("raw").to_pylist()]
+
+
+@pytest.mark.parametrize("layout", ["file", "files"])
+def test_filter_opens_only_its_blocks(spark, file, tmp_path, layout):
+    path, records = file
+    out = written(spark, path, tmp_path, f"{layout}.bam", layout=layout)
+    every = reader(out)
+    assert sorted(rows_of(every)) == sorted(records)
+    one = reader(out, "c1")
+    splits = one.partitions()
+    total = sum(s.end - s.start for s in every.partitions())
+    assert 0 < sum(s.end - s.start for s in splits) < 0.8 * total
+    want = sorted(r for r in records if r[:4] == b"\0\0\0\0")
+    assert sorted(rows_of(one)) == want
+    # every record within the ranges but for the last block of each belongs to the reference
+    opened = [raw for s in splits for place, raw in bam.records_of(bam.store.open_in(s.path), s.start, s.inside, s.end, 2) if place < s.stop]
+    assert sorted(opened) == want
+    assert reader(out, "c9").partitions() == []
+    assert spark.read.format("bam").load(out).filter("reference = 'c2'").count() == sum(r[:4] == b"\1\0\0\0" for r in records)
+    counts = {r.reference: (r.n_mapped, r.n_unmapped) for r in bam.index_counts(spark, out).collect()}
+    assert counts == {"c1": (len(want), 0), "c2": (sum(r[:4] == b"\1\0\0\0" for r in records), 0)}
+
+
+def test_regions_against_all_records(spark, file, tmp_path):
+    path, _ = file
+    out = written(spark, path, tmp_path, "r.bam")
+    index = bam.index_of(out)
+    assert index.suffix == ".bai" and bam.Index.load(index.dump(2)).dump(2) == index.dump(2)
+    with bam.store.open_in(out) as f:
+        records = list(bam.records_of(f, *bam.read_header(out)[2], bam.store.size(out), 2))
+    rng = random.Random(1)
+    for ref in (0, 1):
+        for _ in range(20):
+            a = rng.randrange(3000)
+            b = a + rng.randrange(1, 400)
+            places = index.places(ref, a, b)
+            for place, raw in records:
+                r, start, end, _ = bam.extent(raw)
+                if r == ref and start < b and end > a:
+                    assert any(x <= place < y for x, y in places)
+
+
+def test_index_of_parts_equals_index_of_the_file(spark, file, tmp_path):
+    """Built anew from small splits, the index leads to the same records; long references get the deeper form."""
+    path, records = file
+    out = written(spark, path, tmp_path, "p.bam")
+    before = bam.index_of(out)
+    bam.store.delete(out + ".bai")
+    with pytest.raises(bam.BamError):
+        bam.index_counts(spark, out)
+    bam.build_index(spark, out, 3000)
+    after = bam.index_of(out)
+    assert {i: (r.mapped, r.unmapped, r.windows) for i, r in before.references.items()} == {i: (r.mapped, r.unmapped, r.windows) for i, r in after.references.items()}
+    assert before.placeless == after.placeless == sum(r[:4] == b"\xff\xff\xff\xff" for r in records)
+    assert sorted(rows_of(reader(out, "c2", splitBytes=2000))) == sorted(r for r in records if r[:4] == b"\1\0\0\0")
+    deep = bam.Index.deep_enough(1 << 31)
+    deep.add(0, (1 << 30) + 5, (1 << 30) + 50, True, 1 << 16, 2 << 16)
+    back = bam.Index.load(deep.dump(1))
+    assert deep.suffix == ".csi" and back.depth == 6 and back.places(0) == [(1 << 16, 2 << 16)] and back.places(0, 1 << 30, (1 << 30) + 9) == [(1 << 16, 2 << 16)] and back.places(0, 0, 9) == []
+
+
+def test_bins():
+    from readloom.sources.bai import bin_of, bins_of
+
+    assert bin_of(0, 1) == 4681 and bin_of(0, 1 << 29) == 0 and bin_of((1 << 14) - 1, (1 << 14) + 1) == 585
+    rng = random.Random(3)
+    for _ in range(200):
+        a, c = rng.randrange(1 << 20), rng.randrange(1 << 20)
+        b, d = a + rng.randrange(1, 1 << 15), c + rng.randrange(1, 1 << 15)
+        assert not (a < d and c < b) or bin_of(a, b) in bins_of(c, d)
+
+
+def test_states_of_files(spark, file, tmp_path):
+    path, records = file
+    whole = written(spark, path, tmp_path, "ok.bam")
+    data = bam.store.read(whole)
+    header = bam.pack_blocks(bam.header_bytes("@HD\tVN:1.6\tSO:coordinate\n", [("c1", 5000)]))
+    body = lambda rs: bam.pack_blocks(b"".join(len(r).to_bytes(4, "little") + r for r in rs))
+    backwards = [bam.encode_record("x", 0, p, [(5, "M")], "", {}) for p in (9, 3)]
+    cases = {
+        "a-ok.bam": (data, "ok"), "b-empty.bam": (b"", "empty"), "c-text.bam": (b"hello, this is no alignment file", "no header"), "d-cut.bam": (data[:-28], "truncated"),
+        "e-block.bam": (data[: len(data) // 2], "truncated"), "f-none.bam": (bam.pack_blocks(bam.header_bytes("", [])) + bam.END_BLOCK, "no references"),
+        "g-norecords.bam": (header + bam.END_BLOCK, "no records"), "h-unsorted.bam": (header + body(backwards) + bam.END_BLOCK, "unsorted"),
+        "i-other.bam": (path.read_bytes(), "other order"), "j-header.bam": (header[: len(header) // 2], "no header"),
+    }
+    folder = tmp_path / "states"
+    folder.mkdir()
+    for name, (content, _) in cases.items():
+        (folder / name).write_bytes(content)
+    for split in (1 << 25, 3000):
+        got = dict(bam.check_input(spark, str(folder), split))
+        assert {k.rsplit("/", 1)[1]: v for k, v in got.items()} == {k: v for k, (_, v) in cases.items()}
+    with pytest.raises(bam.BamError):
+        bam.build_index(spark, str(folder / "h-unsorted.bam"))
+
+
+def test_encode(spark, tmp_path):
+    from fixtures import aln, frame, refs
+
+    bam.register(spark)
+    rows = [aln("a", "x", 5, 45, nm=2, xo=1), aln("b", "y", 0, 30), aln("c", "x", 7, 50, score=None)]
+    alns, references = frame(spark, rows), refs(spark, ("x", 100), ("y", 200))
+    out = f"file://{tmp_path}/e"
+    lengths = json.dumps([["x", 100], ["y", 200]])
+    encoded = bam.encode_alignments(alns, references).orderBy("header_order", "reference_start")
+    encoded.write.format("bam").mode("overwrite").option("lengths", lengths).option("order", "coordinate").option("layout", "files").save(out)
+    back = spark.read.format("bam").load(out)
+    pick = ["query_name", "reference", "reference_start", "reference_end", "is_reverse", "mapping_quality", "query_alignment_length", "nm", "as_score", "xo", "xg"]
+    assert sorted(map(str, back.select(pick).collect())) == sorted(map(str, alns.select(pick).collect()))
+    assert bam.read_references(spark, out).count() == 2
+    assert {s for _, s in bam.check_input(spark, out)} <= {"ok", "no records"}
