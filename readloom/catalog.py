@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from .functions import scalar as S
 from .operators import align, coverage, em, inequality, lca, refilter, refstats
 from .plans import pipelines
 from .schema import REF_STATS
-from .session import cut
-from .sources import taxonomy
+from .session import cut, scratch_folder
+from .sources import bam, taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,6 +387,37 @@ def em_survivor_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.alignments.select("query_name", "reference", "reference_start", "reference_end", "nm")
 
 
+# -- files of alignments ----------------------------------------------------------------------------------------------
+
+#: Days before the first one that a start is counted from; a file has no places below 0.
+SHIFT = 2000
+
+
+def _bam_file(spark: SparkSession, sf_dir: str) -> str:
+    """All order lines as a folder of alignment files in order of place, each with its index."""
+    key = bridge.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("reference"))
+    names = sorted(r[0] for r in key.collect())  # a header's worth of names
+    references = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "reference string, header_order int")
+    alns = bridge.alignments(spark, sf_dir, "l_suppkey").withColumn("reference_start", F.col("reference_start") + SHIFT)
+    ordered = bam.encode_alignments(alns, references).orderBy("header_order", "reference_start")
+    bam.register(spark)
+    path = f"{scratch_folder(spark, 'bam')}/lines"
+    ordered.write.format("bam").mode("overwrite").option("lengths", json.dumps([[n, 1 << 20] for n in names])).option("order", "coordinate").option("layout", "files").save(path)
+    return path
+
+
+@_query(f"""WITH {SUPPLIERS} SELECT query_name, reference, reference_start + {SHIFT} AS reference_start, reference_end + {SHIFT} AS reference_end,
+  CASE WHEN mapping_quality % 10 = 0 THEN '-' ELSE '+' END AS strand, mapping_quality, len AS query_alignment_length, nm, as_score, xo, xg, len || 'M' AS cigar FROM aln""")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = spark.read.format("bam").load(_bam_file(spark, sf_dir))
+    return back.select("query_name", "reference", "reference_start", "reference_end", S.strand().alias("strand"), "mapping_quality", "query_alignment_length", "nm", "as_score", "xo", "xg", "cigar")
+
+
+@_query(f"WITH {SUPPLIERS} SELECT reference, count(*) AS n_mapped, 0::bigint AS n_unmapped FROM aln GROUP BY reference")
+def bam_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bam.index_counts(spark, _bam_file(spark, sf_dir))
+
+
 # -- last common ancestors --------------------------------------------------------------------------------------------
 
 HITS_SQL = f"""{SUPPLIERS}, {SQL_PATHS}, {SQL_SUPPLIERS}, hits AS (SELECT DISTINCT query_name AS read, p.* FROM aln JOIN paths p USING (reference)),

@@ -16,6 +16,11 @@ def read_ani() -> Column:
     return (1 - ratio(F.col("nm"), F.col("inferred_query_length"))) * 100
 
 
+def strand() -> Column:
+    """+ or -, NULL where the orientation isn't known."""
+    return F.when(F.col("is_reverse"), "-").when(~F.col("is_reverse"), "+")
+
+
 def effective_length() -> Column:
     """Length of the stored sequence, or of the CIGAR where none is stored."""
     return F.coalesce(F.nullif(F.col("query_length"), F.lit(0)), F.col("inferred_query_length"))

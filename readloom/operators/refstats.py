@@ -13,14 +13,18 @@ from . import coverage, inequality
 
 
 def read_stats(alignments: DataFrame) -> DataFrame:
-    """Counts, lengths, scores and identities of the alignments (with ``ani``) of each reference."""
+    """Counts, lengths, scores and identities of the alignments (with ``ani``) of each reference.
+
+    Distinct reads are counted on two columns apart. In one aggregate with the others, every record would be exchanged
+    with the partial results of all of them; like this, tasks send one row for each reference they saw, and the pairs.
+    """
     scored = F.col("as_score").isNotNull()
     length = F.col("inferred_read_length")
     score, nm, ani = (F.when(scored, F.col(c)).cast("double") for c in ("as_score", "nm", "ani"))
     mapq = F.when(F.col("mapping_quality") != 255, F.col("mapping_quality")).cast("double")
     complete = F.count(F.when(scored, 1)) == F.count(F.lit(1))
-    return alignments.groupBy("reference").agg(
-        F.countDistinct("query_name").alias("n_reads"),
+    pairs = alignments.select("reference", "query_name").distinct().groupBy("reference").agg(F.count("query_name").alias("n_reads"))
+    measures = alignments.groupBy("reference").agg(
         F.count(F.lit(1)).alias("n_alns"),
         F.avg(length).alias("read_length_mean"),
         F.stddev_samp(length).alias("read_length_std"),
@@ -37,6 +41,7 @@ def read_stats(alignments: DataFrame) -> DataFrame:
         F.when(complete, F.stddev_samp(ani)).alias("read_ani_std"),
         F.when(complete, F.median(ani)).alias("read_ani_median"),
     )
+    return measures.join(pairs, "reference")
 
 
 def coverage_stats(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:

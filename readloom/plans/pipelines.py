@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ConfigError, FilterConfig, LcaConfig, ReassignConfig
-from ..operators import align, em, lca, refilter, refstats
+from ..operators import align, coverage, em, lca, refilter, refstats
 from ..session import cut
 from ..sources import taxonomy
 
@@ -23,14 +23,30 @@ class Filtered:
     read_length_freqs: DataFrame | None = None
 
 
-def filter_references(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig(), lengths: DataFrame | None = None) -> Filtered:
-    """Statistics of all references with enough mapped records, those that pass, and their alignments."""
+def by_place(alignments: DataFrame) -> DataFrame:
+    """The records as a table in the shared folder, exchanged once: those of a reference and tile together, in order.
+
+    Aggregates by reference or place then find their groups whole within a task, so what they exchange are results, and
+    row groups of references that a join leaves out are skipped by their least and greatest name. A reference with most
+    of the records is spread over its tiles.
+    """
+    tile = F.floor(F.col("reference_start") / coverage.TILE)
+    return cut(alignments.withColumn("tile", tile).repartition("reference", "tile").sortWithinPartitions("reference", "tile", "reference_start").drop("tile"))
+
+
+def filter_references(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig(), lengths: DataFrame | None = None, stored: bool = False) -> Filtered:
+    """Statistics of all references with enough mapped records, those that pass, and their alignments.
+
+    stored: the records of these references are written once (``by_place``), and every measure reads that table.
+    """
     sized = align.with_lengths(references, lengths)
     frequent = align.keep_frequent_references(alignments, config.min_read_count)
+    if stored:
+        frequent = by_place(frequent)
     stats = cut(refstats.reference_stats(frequent, sized, config))
     limits = refilter.thresholds(stats, config)
     good = refilter.passing(stats, config, limits)
-    kept = align.filter_by_ani(alignments.join(good.select("reference"), "reference", "left_semi"), config.min_read_ani).drop("ani")
+    kept = align.filter_by_ani((frequent if stored else alignments).join(good.select("reference"), "reference", "left_semi"), config.min_read_ani).drop("ani")
     usable = align.filter_by_ani(frequent, config.min_read_ani)
     hits = align.read_hits(usable) if config.read_hits_count else None
     freqs = align.read_length_frequencies(usable) if config.read_length_freqs else None
