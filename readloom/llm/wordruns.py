@@ -70,10 +70,11 @@ def re_pair(ids: np.ndarray, ends: np.ndarray) -> tuple[Symbols, np.ndarray]:
         often = np.bincount(code)
         if not len(code) or often.max() < 2:
             break
-        # A pair goes where it is more frequent than both pairs that it overlaps.
+        # A pair goes where it is more frequent than both pairs that it overlaps. Equal ones are ordered by scattered
+        # numbers: in order of appearance, a repeated passage would lose one pair a round.
         rank = np.full(len(symbol) + 1, -1)
         twice = often[code] >= 2
-        rank[at[twice] + 1] = often[code[twice]] * (len(often) + 1) + code[twice]
+        rank[at[twice] + 1] = often[code[twice]] << 32 | code[twice] * 2654435761 & 0xFFFFFFFF
         here = rank[at + 1]
         chosen = twice & (here > rank[at]) & (here > np.append(rank, -1)[at + 2])
         kept = np.bincount(code[chosen], minlength=len(often)) >= 2
