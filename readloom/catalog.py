@@ -413,6 +413,28 @@ def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("query_name", "reference", "reference_start", "reference_end", S.strand().alias("strand"), "mapping_quality", "query_alignment_length", "nm", "as_score", "xo", "xg", "cigar")
 
 
+#: Covered bases as the sum of merged intervals.
+CLI_SQL = f"""WITH {SUPPLIERS}, often AS (SELECT reference FROM aln GROUP BY reference HAVING count(*) >= 3),
+kept AS (SELECT * FROM aln SEMI JOIN often USING (reference) WHERE ani >= 90),
+iv AS (SELECT reference, reference_start AS s, reference_end AS e, max(reference_end) OVER (PARTITION BY reference ORDER BY reference_start, reference_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM kept),
+num AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY reference ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM iv),
+cov AS (SELECT reference, sum(n)::bigint AS bases_covered, max(n)::bigint AS max_covered_bases FROM (SELECT reference, max(e) - min(s) AS n FROM num GROUP BY reference, island) GROUP BY reference)
+SELECT reference, count(DISTINCT query_name) AS n_reads, count(*) AS n_alns, any_value(bases_covered) AS bases_covered, any_value(max_covered_bases) AS max_covered_bases,
+  1048576::bigint AS reference_length, round(sum(len) / 1048576.0, 6) AS coverage_mean FROM kept JOIN cov USING (reference) GROUP BY reference"""
+
+
+@_query(CLI_SQL)
+def cli_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line over a folder of alignment files, and its table of statistics read back."""
+    from . import cli
+
+    table = f"{scratch_folder(spark, 'cli')}/stats.tsv.gz"
+    assert cli.main(["filter", "--bam", _bam_file(spark, sf_dir), "--stats", table, "--low-memory"]) == 0
+    x = spark.read.option("header", True).option("sep", "\t").csv(table)
+    whole = ("n_reads", "n_alns", "bases_covered", "max_covered_bases", "reference_length")
+    return x.select("reference", *[F.col(c).cast("bigint").alias(c) for c in whole], F.round(F.col("coverage_mean").cast("double"), 6).alias("coverage_mean"))
+
+
 @_query(f"WITH {SUPPLIERS} SELECT reference, count(*) AS n_mapped, 0::bigint AS n_unmapped FROM aln GROUP BY reference")
 def bam_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bam.index_counts(spark, _bam_file(spark, sf_dir))
@@ -464,6 +486,27 @@ def tax_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("taxid", F.array_join(F.transform(F.map_entries("lineage"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("lineage"))
 
 
+def _dump_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The taxonomy as text: nodes and names between TAB | TAB, with a synonym for each name, and an accession table."""
+    accessions, nodes, names = bridge.taxonomy_dump(spark, sf_dir)
+    folder = scratch_folder(spark, "dump")
+    line = lambda *fields: F.concat(F.concat_ws("\t|\t", *[F.col(f).cast("string") if isinstance(f, str) else f for f in fields]), F.lit("\t|")).alias("value")
+    nodes.select(line("taxid", "parent", "rank")).write.text(f"{folder}/nodes")
+    synonyms = names.select("taxid", F.concat(F.lit("other "), "name").alias("name"), F.lit("synonym").alias("class"))
+    both = names.withColumn("class", F.lit("scientific name")).unionByName(synonyms)
+    both.select(line("taxid", "name", F.lit(""), "class")).write.text(f"{folder}/names")
+    accessions.select(F.col("reference").alias("accession"), F.col("reference").alias("accession.version"), "taxid", F.lit(0).alias("gi")).write.option("sep", "\t").option("header", True).csv(f"{folder}/accessions")
+    return {k: f"{folder}/{k}" for k in ("nodes", "names", "accessions")}
+
+
+@_query(f"WITH RECURSIVE {DUMP_SQL} SELECT (taxid - 10000)::varchar AS reference, string_agg(rank || '=' || name, ';' ORDER BY depth) AS lineage FROM rk GROUP BY taxid")
+def tax_lineage_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _dump_files(spark, sf_dir)
+    accessions, nodes, names = taxonomy.read_accessions(spark, files["accessions"]), taxonomy.read_nodes(spark, files["nodes"]), taxonomy.read_names(spark, files["names"])
+    x = taxonomy.reference_lineages(bridge.ordered_suppliers(spark, sf_dir), accessions, nodes, names)
+    return x.select("reference", F.array_join(F.transform(F.map_entries("lineage"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("lineage"))
+
+
 @_query(f"""WITH RECURSIVE {DUMP_SQL} SELECT (taxid - 10000)::varchar AS reference, 'root;' || max(name) FILTER (rank = 'superkingdom') || ';' || max(name) FILTER (rank = 'clade') || ';' || max(name) FILTER (rank = 'genus') || ';'
   || max(name) FILTER (rank = 'species') || ';' || (taxid - 10000) AS tax_path FROM rk GROUP BY taxid""")
 def tax_paths_from_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
