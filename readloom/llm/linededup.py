@@ -100,7 +100,8 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     prefix = F.transform(F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda k: F.hash(k))
     quarter = lambda j: _parity(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == j))
     bits = [F.when(n >= WIDE, quarter(0)).otherwise(_parity(F.col("keys"))).alias("b0"), *[F.when(n >= WIDE, quarter(j)).otherwise(F.lit(0).cast("long")).alias(f"b{j}") for j in (1, 2, 3)]]
-    signed = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64("keys", F.lit(1)).alias("h2"), F.struct(*PLACE).alias("place"), n.alias("n"), *bits, prefix.alias("prefix"))
+    signed = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.struct(*PLACE).alias("place"), n.alias("n"), *bits, prefix.alias("prefix"))
+    # Both hashes go over the keys, from unlike beginnings: sets that agree in one of them still differ in the other.
     # Equal sets agree in all but the place, so partial aggregation leaves one row for each of them in a task.
     firsts = signed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", *BITS, "prefix")])
     return firsts.select(F.monotonically_increasing_id().alias("lid"), "place.*", "n", *BITS, "prefix")

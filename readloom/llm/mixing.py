@@ -51,10 +51,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return leveled.select("source", "source_size", "weight", target.alias("target"), "budget")
 
 
-def _queue(docs: DataFrame, weights: tuple[float, ...], max_repeats: int, budget_share: float, seed: int) -> tuple[DataFrame, str, tuple | None]:
+def _queue(docs: DataFrame, weights: tuple[float, ...], max_repeats: int, budget_share: float, seed: int, texts: bool = True) -> tuple[DataFrame, str, tuple | None]:
     """All columns of docs and, under a prefix of their own, each document's place in its source's queue; that prefix;
     the first item (virtual finish time, shuffle key, pass) that the budget has no room for, or None.
 
+    Without ``texts`` sizes and keys are made once and the texts stay where they are.
+
     No task holds a whole source: running counts are made within buckets of the shuffle order, and a second running
     count goes over the buckets' sums, of which there are about as many as rows in a bucket.
     """
@@ -64,7 +66,12 @@ def _queue(docs: DataFrame, weights: tuple[float, ...], max_repeats: int, budget
     shuffle = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     keyed = docs.select("*", size.alias(f"{own}size"), shuffle.alias(f"{own}h"), key.alias(f"{own}key"))
-    sizes = Scratch.table(keyed.select(F.col("source"), c("size").alias("size"), c("key").alias("key"), c("h").alias("h")), "mix-sizes")
+    columns = [x for x in docs.columns if texts or x != "text"]
+    if not texts:
+        keyed = Scratch.table(keyed.drop("text"), "mix-keyed")
+    sizes = keyed.select(F.col("source"), c("size").alias("size"), c("key").alias("key"), c("h").alias("h"))
+    if texts:
+        sizes = Scratch.table(sizes, "mix-sizes")
     n = buckets_for(sizes.count())
     # Buckets are equal ranges of the shuffle key, so the queue's order is that of the key, whatever their number.
     bucket = lambda h: F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * n, 32)
@@ -78,7 +85,7 @@ def _queue(docs: DataFrame, weights: tuple[float, ...], max_repeats: int, budget
     within = Window.partitionBy(f"{own}key", f"{own}bucket").orderBy(f"{own}h").rowsBetween(Window.unboundedPreceding, 0)
     queued = keyed.withColumn(f"{own}run", F.sum(f"{own}size").over(within)).join(known, [f"{own}key", f"{own}bucket"])
     queued = queued.withColumn(f"{own}finish", c("start") + c("run"))
-    queued = Scratch.table(queued.select(*[F.col(f"`{x}`") for x in docs.columns], *[f"{own}{x}" for x in ("size", "h", "finish", "source_size", "weight", "target")]), "mix-queue")
+    queued = Scratch.table(queued.select(*[F.col(f"`{x}`") for x in columns], *[f"{own}{x}" for x in ("size", "h", "finish", "source_size", "weight", "target")]), "mix-queue")
 
     # One item for each pass: its virtual finish time, in one global order.
     items = queued.filter(c("size") > 0).select(c("h").alias("h"), c("size").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("pass"), c("finish").alias("finish"), c("source_size").alias("source_size"), c("weight").alias("weight"))
@@ -121,7 +128,7 @@ def _passes(own: str, cut: tuple | None, max_repeats: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, budget_share: float = 1.0, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, finish_time (virtual, of the first pass), passes (times the document
     is taken), taken (tokens taken)."""
-    queued, own, cut = _queue(docs.select("doc_id", "source", "text"), weights, max_repeats, budget_share, seed)
+    queued, own, cut = _queue(docs.select("doc_id", "source", "text"), weights, max_repeats, budget_share, seed, texts=False)
     c = lambda name: F.col(f"{own}{name}")
     out = queued.withColumn(f"{own}passes", _passes(own, cut, max_repeats))
     return out.select("doc_id", c("size").alias("size"), "source", c("source_size").alias("source_size"), c("target").cast("double").alias("target"), _virtual(own, 0).alias("finish_time"), c("passes").alias("passes"), (c("passes") * c("size")).cast("long").alias("taken"))

@@ -248,3 +248,18 @@ def test_lines_awkward(spark):
     assert out.columns == docs.columns and out.filter("doc_id is null and text is null").count() == 1
     assert ld.line_verdicts(docs).count() == docs.count() and ld.line_verdicts(docs.limit(0)).count() == 0
     assert ld.dedup_documents(docs.limit(0)).count() == 0
+
+
+def test_sets_have_two_hashes_of_their_own(spark):
+    """The second hash of a set of words is no function of the first, so that one collision merges no unlike lines."""
+    from pyspark.sql import functions as F
+
+    from readloom.llm import linededup
+
+    source = __import__("inspect").getsource(linededup.line_signatures)
+    assert 'F.xxhash64(F.lit(1), "keys")' in source
+    keys = spark.range(200).select(F.array("id", F.col("id") + 1, F.col("id") * 7).alias("keys"))
+    hashes = keys.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"))
+    # hashing a constant on top of h1 is what h2 must not be
+    chained = keys.select(F.xxhash64("keys", F.lit(1)).alias("h"))
+    assert hashes.select("h2").intersect(chained.select(F.col("h").alias("h2"))).count() == 0 and hashes.distinct().count() == 200
