@@ -1,7 +1,10 @@
 """WARC captures (9) and the pipeline."""
 
+import gzip
 import hashlib
+import io
 import random
+import zlib
 from collections import Counter
 
 import corpus
@@ -11,6 +14,7 @@ from test_models import base_counts, naive_posteriors
 
 from readloom.llm import linededup, lshforest, mixing, quality, warc
 from readloom.llm.queries import QUERIES
+from readloom.sources import store
 
 SCHEMA = "page_id long, url string, html string, type string, data string"
 
@@ -21,6 +25,22 @@ def pages(spark):
     return spark.createDataFrame([(*r, "t", "d") for r in rows], SCHEMA)
 
 
+def archive_bytes(spark, folder):
+    paths = sorted(r.path for r in warc.read_archives(spark, folder).collect())
+    assert all(p.endswith(".warc.gz") for p in paths)
+    return [store.read(p) for p in paths]
+
+
+def members(data):
+    """The plain bytes of each gzip member, by the standard library alone."""
+    out = []
+    while data:
+        unpacker = zlib.decompressobj(31)
+        out.append(unpacker.decompress(data))
+        data = unpacker.unused_data
+    return out
+
+
 def test_captures(spark):
     df = pages(spark)
     got = {r.page_id: r for r in warc.page_captures(df).collect()}
@@ -36,14 +56,15 @@ def test_captures(spark):
 
 
 def test_records_and_transactions(spark, monkeypatch):
-    monkeypatch.setattr(warc, "CAPTURES", 4)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1)
+    monkeypatch.setattr(warc, "BUNDLES", 4)
     folder = warc.write_archives(pages(spark).coalesce(1))
-    files = warc.read_archives(spark, folder)
-    archives = [bytes(r.data) for r in files.collect()]
+    archives = archive_bytes(spark, folder)
     assert len(archives) == 3
     for data in archives:
         kinds = [h["warc-type"] for h, _ in warc.parse_records(data)]
         assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1 and len(kinds) in (13, 10)
+        assert len(members(data)) == len(kinds)
     whole = b"".join(archives)
     plain = list(warc.parse_records(whole))
     assert len(plain) == 36 and {h["warc-type"] for h, _ in plain} == {"warcinfo", "request", "response", "revisit", "metadata"}
@@ -52,7 +73,7 @@ def test_records_and_transactions(spark, monkeypatch):
     assert all(h["warc-refers-to"] in ids for h, _ in plain if h["warc-type"] == "revisit")
     # damage: a cut file loses its last record, a broken length only its own record
     assert len(list(warc.parse_records(whole[:-20]))) >= 23
-    bare = b"\r\n\r\n".join(warc.capture_records(k, None, b"z", "d")[1] for k in (1, 2, 3))
+    bare = warc.END.join(warc.capture_records(k, None, b"z", "d")[1] for k in (1, 2, 3))
     assert [h["x-capture-key"] for h, _ in warc.parse_records(bare.replace(b"Content-Length", b"Content-Lengtt", 1))] == ["2", "3"]
     made = spark.createDataFrame([(whole,), (None,), (b"junk",), (bare,)], "data binary")
     captures = warc.assemble(warc.read_records(made))
@@ -76,7 +97,7 @@ def test_one_key_for_two_payloads_and_no_key(spark):
     df = spark.createDataFrame([(*r, "t", "d") for r in rows], SCHEMA)
     got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.page_captures(df).collect()))
     assert got == [(0, 1, "response", 0), (0, 1, "response", 0), (0, 1300, "revisit", 5), (5, 1200, "revisit", 9), (5, 1300, "response", 0), (9, 1200, "response", 0)]
-    stored = [b for data in warc.read_archives(spark, warc.write_archives(df)).collect() for h, b in warc.parse_records(bytes(data.data)) if h["warc-type"] == "response"]
+    stored = [b for data in archive_bytes(spark, warc.write_archives(df)) for h, b in warc.parse_records(data) if h["warc-type"] == "response"]
     assert {warc.http_payload(b).decode() for b in stored} == {one, two, "x"}
 
 
@@ -87,6 +108,52 @@ def test_any_bytes(spark):
     assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
 
 
+def test_streams_of_any_cut(monkeypatch):
+    """One member a record, one a file, members that cut records, plain files: the same records at any size of reads."""
+    rng = random.Random(4)
+    blocks = [b"GET /%d" % k + bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 40, 3000]))) for k in range(30)]
+    records = [warc.record("request", {"WARC-Record-ID": str(k)}, b) + warc.END for k, b in enumerate(blocks)]
+    plain = b"".join(records)
+    single = [warc.member(r) for r in records]
+    cut = b"".join(warc.member(plain[i : i + 700]) for i in range(0, len(plain), 700))
+    forms = [plain, b"".join(single), gzip.compress(plain), cut, bytes(40).join(single) + warc.NOTHING]
+    for chunk, feed in ((1 << 20, 1 << 14), (64, 16), (7, 5)):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        monkeypatch.setattr(warc, "FEED", feed)
+        for form in forms:
+            assert [b for _, b in warc.parse_records(form)] == blocks
+        # a broken member and a broken length take only their own record with them
+        hurt = bytearray(single[3])
+        hurt[len(hurt) // 2 :] = bytes(len(hurt) - len(hurt) // 2)
+        long = warc.member(records[5].replace(b"Content-Length: ", b"Content-Length: 9"))
+        got = [b for _, b in warc.parse_records(b"".join([*single[:3], bytes(hurt), single[4], long, *single[6:]]))]
+        assert got == blocks[:3] + blocks[4:5] + blocks[6:]
+        assert [b for _, b in warc.parse_records(b"".join(single)[:-9])][:29] == blocks[:29]
+    assert list(warc.parse_records(b"")) == [] == list(warc.parse_records(b"\x1f\x8b\x08junk"))
+
+
+def test_memory_is_that_of_a_record(spark, monkeypatch):
+    """Many captures to a file: what a reader holds at once stays near one record's size."""
+    import tracemalloc
+
+    monkeypatch.setattr(warc, "CHUNK", 1 << 14)
+    body = bytes(range(256)) * 400
+    whole = b"".join(warc.member(r + warc.END) for k in range(300) for r in warc.capture_records(k, "u", body + b"%d" % k, "d"))
+    file = io.BytesIO(whole)
+    tracemalloc.start()
+    n = sum(len(b) for _, b in warc.records_of(warc.plain_pieces(file.read)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 300 * len(body) and peak < 12 * len(body)
+
+
+def test_members_over_16_mb(spark, monkeypatch):
+    """A record whose member does not end in a zero byte is followed by the member of nothing."""
+    df = spark.createDataFrame([(1, "u", "ab" * (9 << 20)), (2, "v", "x")], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.page_captures(df).collect()) == [(1, 18 << 20), (2, 1)]
+
+
 def test_stages_against_operators(spark):
     """Each stage on what its predecessor kept, compared with the operators' own verdicts."""
     import corpus_pipeline as cp
