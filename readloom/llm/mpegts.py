@@ -9,7 +9,8 @@ Defined cases: null counts as empty; an empty text is padded to 64 zero bytes, s
 very long payloads become more access units; bytes out of sync are skipped and counted; duplicate packets are dropped;
 a gap in a continuity counter is counted and ends the packet under way, unless the stream announces it; tables may
 span packets and follow one another, those with a bad CRC or a gap are ignored and counted, and those that do not hold
-yet are passed over; extra columns are kept out of the result.
+yet are passed over; a newer version of a program map ends the streams that it leaves out; extra columns are kept out
+of the result.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .runtime import prepare
+from .runtime import Scratch, prepare
 
 PACKET = 188
 SYNC = 0x47
@@ -37,6 +39,8 @@ UNIT = 8192
 CLOCK = 90_000
 UNIT_TICKS = CLOCK // 25
 ALIGN = 64
+#: Media bytes behind one batch of rows.
+OUT_BYTES = 4 << 20
 
 
 def _crc_table() -> list[int]:
@@ -155,8 +159,9 @@ class TransportStream:
 
 
 @lru_cache(4096)
-def _parse_section(section: bytes) -> tuple[int, bool, tuple[tuple[int, int], ...]] | None:
-    """Table, whether it holds now, and (program, PMT PID) of an association table or (PID, type) of a map table.
+def _parse_section(section: bytes) -> tuple[int, bool, tuple[tuple[int, int], ...], int, int] | None:
+    """Table, whether it holds now, (program, PMT PID) of an association table or (PID, type) of a map table, the number
+    of the stream or program that it is about, and its version.
 
     None if damaged; other tables have no entries.
     """
@@ -174,7 +179,7 @@ def _parse_section(section: bytes) -> tuple[int, bool, tuple[tuple[int, int], ..
             kind, pid, info = struct.unpack_from(">BHH", section, at)
             out.append((pid & 0x1FFF, kind))
             at += 5 + (info & 0xFFF)
-    return table, bool(section[5] & 1), tuple(out)
+    return table, bool(section[5] & 1), tuple(out), section[3] << 8 | section[4], section[5] >> 1 & 31
 
 
 @dataclass
@@ -256,6 +261,7 @@ def demux(media: bytes) -> TransportStream:
     open_streams: dict[int, _Stream] = {}
     maps: set[int] = set()
     tables: dict[int, _Sections] = {}
+    versions: dict[tuple[int, int], tuple[int, set[int]]] = {}
     at, end = 0, len(media)
     while at < end:
         if end - at < PACKET or media[at] != SYNC or (at + PACKET < end and media[at + PACKET] != SYNC):
@@ -295,6 +301,15 @@ def demux(media: bytes) -> TransportStream:
                     ts.programs.update((n, p) for n, p in found[2] if n)
                     maps.update(p for n, p in found[2] if n)
                 else:
+                    named = {p for p, _ in found[2]}
+                    version, known = versions.get((pid, found[3]), (found[4], set()))
+                    if version == found[4]:
+                        named |= known
+                    for p in known - named:  # streams that a newer version leaves out
+                        ts.streams.pop(p, None)
+                        if (gone := open_streams.pop(p, None)) is not None:
+                            _finish(ts, p, gone)
+                    versions[pid, found[3]] = found[4], named
                     ts.streams.update(found[2])
                     for p, _ in found[2]:
                         open_streams.setdefault(p, _Stream())
@@ -323,30 +338,77 @@ def demux(media: bytes) -> TransportStream:
 
 # -- columns ----------------------------------------------------------------------------------------------------------
 
+I32, I64 = pa.int32(), pa.int64()
+COUNTERS = ("n_packets", "continuity_errors", "duplicates", "skipped_bytes", "bad_tables")
 #: Of ``index_media``: one nested row per media value.
 INDEX = (
-    "n_packets bigint, continuity_errors bigint, duplicates bigint, skipped_bytes bigint, bad_tables bigint, "
-    "programs array<struct<program: int, pmt_pid: int>>, streams array<struct<pid: int, stream_type: int>>, "
-    "units array<struct<pid: int, stream_id: int, pts: bigint, dts: bigint, random_access: boolean, offset: bigint, size: bigint>>"
+    *((c, I64) for c in COUNTERS),
+    ("programs", pa.list_(pa.struct([("program", I32), ("pmt_pid", I32)]))),
+    ("streams", pa.list_(pa.struct([("pid", I32), ("stream_type", I32)]))),
+    ("units", pa.list_(pa.struct([("pid", I32), ("stream_id", I32), ("pts", I64), ("dts", I64), ("random_access", pa.bool_()), ("offset", I64), ("size", I64)]))),
 )
+#: Of ``media_report``, besides the key, the bytes of the text and INDEX.
+DIGEST = (("payload_bytes", I64), ("payload_sha256", pa.string()), ("tail_crc32", I64), ("media_bytes", I64), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_units", I64))
+
+
+def index_row(ts: TransportStream) -> dict[str, object]:
+    """The values of INDEX."""
+    units = [{"pid": p.pid, "stream_id": p.stream_id, "pts": p.pts, "dts": p.dts, "random_access": p.random_access, "offset": p.offset, "size": len(p.data)} for p in ts.packets]
+    programs = [{"program": a, "pmt_pid": b} for a, b in sorted(ts.programs.items())]
+    streams = [{"pid": a, "stream_type": b} for a, b in sorted(ts.streams.items())]
+    return {**{c: getattr(ts, c) for c in COUNTERS}, "programs": programs, "streams": streams, "units": units}
+
+
+def digest_row(media: bytes, ts: TransportStream) -> dict[str, object]:
+    """The values of DIGEST."""
+    payload = ts.payload(DATA_PID)
+    access = [p.pts for p in ts.packets if p.random_access]
+    feature = {
+        "programs": ts.programs, "streams": ts.streams, "packets": ts.n_packets, "units": len(ts.packets), "random_access": len(access),
+        "first_pts": access[0] if access else None, "last_pts": access[-1] if access else None, "clocks": ts.clocks, "continuity_errors": ts.continuity_errors,
+        "index_crc32": zlib.crc32(struct.pack(f">{2 * len(ts.packets)}Q", *(x for p in ts.packets for x in (p.pts or 0, p.offset)))),
+    }
+    return {
+        "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-ALIGN:]), "media_bytes": len(media),
+        "media_sha256": hashlib.sha256(media).hexdigest(), "feature": json.dumps(feature, separators=(",", ":")), "n_units": len(ts.packets),
+    }
+
+
+def _each(table: DataFrame, kept: list[str], column: str, fields: tuple, row_of: Callable[[bytes], dict[str, object]]) -> DataFrame:
+    """The kept columns (whole numbers) of table and the fields that row_of makes of each value of a binary column (null:
+    empty). Rows go out in batches of so many media bytes."""
+    prepare(table.sparkSession)
+    schema = pa.schema([*((c, I64) for c in kept), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for *own, media in zip(*batch.columns, strict=True):
+                media = media.as_py() or b""
+                rows.append({**{c: v.as_py() for c, v in zip(kept, own, strict=True)}, **row_of(media)})
+                size += len(media)
+                if size >= OUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    shape = from_arrow_schema(schema)
+    return table.select(*[F.col(c).cast("long").alias(c) for c in kept], F.col(column).cast("binary").alias(column)).mapInArrow(run, shape)
 
 
 def index_media(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """key and the tables, counters, timestamps and random-access points of each transport stream (null: empty)."""
-    prepare(media.sparkSession)
+    return _each(media, [key], column, INDEX, lambda m: index_row(demux(m)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ts = demux(m or b"")
-                units = [{"pid": p.pid, "stream_id": p.stream_id, "pts": p.pts, "dts": p.dts, "random_access": p.random_access, "offset": p.offset, "size": len(p.data)} for p in ts.packets]
-                rows.append({key: k, "n_packets": ts.n_packets, "continuity_errors": ts.continuity_errors, "duplicates": ts.duplicates, "skipped_bytes": ts.skipped_bytes, "bad_tables": ts.bad_tables, "programs": [{"program": a, "pmt_pid": b} for a, b in sorted(ts.programs.items())], "streams": [{"pid": a, "stream_type": b} for a, b in sorted(ts.streams.items())], "units": units})
-            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    i32, i64 = pa.int32(), pa.int64()
-    schema = pa.schema([(key, i64), *((n, i64) for n in ("n_packets", "continuity_errors", "duplicates", "skipped_bytes", "bad_tables")), ("programs", pa.list_(pa.struct([("program", i32), ("pmt_pid", i32)]))), ("streams", pa.list_(pa.struct([("pid", i32), ("stream_type", i32)]))), ("units", pa.list_(pa.struct([("pid", i32), ("stream_id", i32), ("pts", i64), ("dts", i64), ("random_access", pa.bool_()), ("offset", i64), ("size", i64)])))])
-    return media.select(F.col(key).cast("long").alias(key), F.col(column).cast("binary").alias(column)).mapInArrow(run, f"`{key}` bigint, {INDEX}")
+def media_report(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the digests of a stored text's stream and of what it holds, and its index (nested)."""
+
+    def row_of(m: bytes) -> dict[str, object]:
+        ts = demux(m)
+        return {**digest_row(m, ts), **index_row(ts)}
+
+    return _each(media, ["doc_id", "n_bytes"], "media", (*DIGEST, *INDEX), row_of)
 
 
 def padded(data: bytes) -> bytes:
@@ -355,38 +417,15 @@ def padded(data: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the transport stream (media) that holds each text's bytes."""
-    prepare(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([mux(padded(t or b"")) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, media binary")
-
-
-DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_units bigint, continuity_errors bigint"
+    """doc_id, n_bytes (of the text) and the transport stream (media) that holds each text's bytes."""
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    texts = docs.select("doc_id", F.octet_length(data).alias("n_bytes"), data.alias("data"))
+    return _each(texts, ["doc_id", "n_bytes"], "data", (("media", pa.binary()),), lambda t: {"media": mux(padded(t))})
 
 
 def text_round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as a transport stream, read the stored bytes back and describe what was found."""
-    prepare(docs.sparkSession)
-    names = [c.split()[0] for c in DIGEST.split(", ")]
-    types = [pa.string() if c.endswith("string") else pa.int64() for c in DIGEST.split(", ")]
+    """Store every text in a table with a media column, read the stored bytes back, and describe what was found.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or b""
-                media = mux(padded(text))
-                ts = demux(media)
-                payload = ts.payload(DATA_PID)
-                access = [p.pts for p in ts.packets if p.random_access]
-                feature = json.dumps({"programs": ts.programs, "streams": ts.streams, "packets": ts.n_packets, "units": len(ts.packets), "random_access": len(access), "first_pts": access[0] if access else None, "last_pts": access[-1] if access else None, "clocks": ts.clocks, "continuity_errors": ts.continuity_errors, "index_crc32": zlib.crc32(struct.pack(f">{2 * len(ts.packets)}Q", *(x for p in ts.packets for x in (p.pts or 0, p.offset))))}, separators=(",", ":"))
-                rows.append((doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(ts.packets), ts.continuity_errors))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), types, strict=True)], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, DIGEST)
+    The table lies in the shared folder until the driver ends.
+    """
+    return media_report(Scratch.table(store_texts(docs), "media"))

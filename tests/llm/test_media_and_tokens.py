@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import corpus
@@ -79,6 +80,24 @@ def test_announced_discontinuity():
     assert mpegts.demux(bytes(jumped)).continuity_errors == 0
 
 
+def test_newer_map_ends_streams():
+    """A map of a newer version replaces the one before; packets of streams that it leaves out are no longer followed."""
+    media = mpegts.mux(b"q" * 9000)
+    pat, pmt, data = media[:188], media[188:376], media[376:]
+    other = mpegts._section(0x02, mpegts.PROGRAM, struct.pack(">HH", 0xE101, 0xF000) + struct.pack(">BHH", 6, 0xE101, 0xF000))
+    newer = other[:5] + bytes([other[5] + 2]) + other[6:-4]
+    newer = bytearray(mpegts._table_packet(mpegts.PMT_PID, newer + struct.pack(">I", mpegts.crc32_mpeg(newer))))
+    newer[3] = newer[3] & 0xF0 | 1
+    half = len(data) // 188 // 2 * 188
+    ts = mpegts.demux(pat + pmt + data[:half] + bytes(newer) + data[half:])
+    assert ts.streams == {0x101: 6} and not ts.bad_tables
+    whole = mpegts.demux(media)
+    assert len(whole.packets) == 2 and len(ts.packets) == 1 and len(ts.packets[0].data) < 8192
+    again = bytearray(pmt)
+    again[3] = again[3] & 0xF0 | 1
+    assert mpegts.demux(pat + pmt + data[:half] + bytes(again) + data[half:]).payload(mpegts.DATA_PID) == whole.payload(mpegts.DATA_PID)
+
+
 def test_text_columns(spark):
     docs = corpus.awkward(spark)
     rows = mpegts.text_round_trip(docs).collect()
@@ -90,8 +109,20 @@ def test_text_columns(spark):
         raw = (texts[r.doc_id] or "").encode()
         stored = mpegts.padded(raw)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]))
-    index = mpegts.index_media(mpegts.store_texts(docs))
-    assert index.filter("doc_id = 0").first().units[0].random_access
+        access = range(0, len(stored), mpegts.UNIT)
+        assert [(u.pts, u.random_access, u.size) for u in r.units] == [(i * mpegts.UNIT_TICKS, True, len(stored[b : b + mpegts.UNIT])) for i, b in enumerate(access)]
+        assert [tuple(x) for x in r.streams] == [(mpegts.DATA_PID, mpegts.PRIVATE_TYPE)] and r.continuity_errors == 0
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(texts.get(r.doc_id), set()).add((r.media_sha256, r.feature))
+    assert all(len(v) == 1 for k, v in by_text.items() if k)
+    index = mpegts.index_media(mpegts.store_texts(docs).withColumnsRenamed({"doc_id": "k", "media": "m"}), "k", "m")
+    first = index.filter("k = 0").first()
+    assert first.units == next(r for r in rows if r.doc_id == 0).units and first.units[0].random_access
+    # any seek lands on a stored offset: the packet there carries the unit's start
+    media = bytes(mpegts.store_texts(docs).filter("n_bytes > 100000").first().media)
+    units = mpegts.demux(media).packets
+    assert len(units) > 12 and all(media[u.offset] == mpegts.SYNC and media[u.offset + 1] & 0x40 for u in units)
     assert mpegts.text_round_trip(docs.limit(0)).count() == 0
 
 
