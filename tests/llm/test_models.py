@@ -157,7 +157,7 @@ def test_rejection_by_distance():
 def test_secrets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = secretscan.scan(docs)
-    held = secretscan.silver_labels(found).filter(secretscan.held_out()).select("label", "is_secret").collect()
+    held = secretscan.silver_labels(found, secretscan.dictionary(docs)).filter(secretscan.held_out()).select("label", "is_secret").collect()
     assert len(held) > 20 and sum(bool(r.label) == r.is_secret for r in held) / len(held) > 0.95
     keys = docs.filter(F.col("text").rlike("AKIA[0-9A-Z]{16}")).select("doc_id").distinct().count()
     assert found.filter(F.col("candidate").startswith("AKIA") & F.col("is_secret")).select("doc_id").distinct().count() == keys
@@ -186,7 +186,7 @@ def test_forest_on_independent_labels(spark):
     rows, truth = planted_findings(11)
     docs = corpus.frame(spark, rows)
     known = spark.createDataFrame([(i, c, y) for (i, c), y in truth.items()], "known_id long, known string, label double")
-    found = secretscan.findings(docs, secretscan.frequent_words(docs))
+    found = secretscan.findings(docs, secretscan.dictionary(docs))
     labelled = found.join(known, (F.col("doc_id") == F.col("known_id")) & (F.col("candidate") == F.col("known"))).drop("known_id", "known")
     assert labelled.count() >= 0.95 * len(truth)
     scored = secretscan.scan(docs, labelled).filter(secretscan.held_out()).collect()
@@ -210,7 +210,7 @@ def test_secret_cases(spark):
     rows = secretscan.scan(docs).collect()
     assert rows and not any(r.is_secret for r in rows if r.candidate.startswith("xxxx"))
     text = 'call x(1) password="a8f3k2j9d7s6h4g5" and /usr/lib/python3/something/else.py then Thisisaverylongword'
-    got = {r.candidate: r for r in secretscan.findings(corpus.frame(spark, [(1, text), (2, None)]), ["this", "long"]).collect()}
+    got = {r.candidate: r for r in secretscan.findings(corpus.frame(spark, [(1, text), (2, None)]), spark.createDataFrame([("this",), ("long",)], "w string")).collect()}
     assert set(got) == {"a8f3k2j9d7s6h4g5", "/usr/lib/python3/something/else", "Thisisaverylongword"}
     secret = got["a8f3k2j9d7s6h4g5"]
     assert secret.hint_inside == 1 and secret.assigned == 1 and secret.quoted == 1 and secret.slashes == 0
@@ -218,6 +218,43 @@ def test_secret_cases(spark):
     assert got["Thisisaverylongword"].dictionary_share == pytest.approx(8 / 19)
 
 
+def test_secret_coverage_brute_force(spark):
+    """Covered letters against all substrings, one by one; candidates longer than a piece and without any word."""
+    rng = random.Random(8)
+    words = ["this", "long", "longer", "path", "ngerp", "underscore", "abcdefghijklmnopqrst"]
+    texts = ["".join(rng.choice([*words, "Q7", "-", "x9z", "THIS", "on"]) for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["x" * 5000, "longerpath" * 300, "7" * 70, ""]
+    got = {r.candidate: r.covered for r in secretscan.coverage(spark.createDataFrame([(t,) for t in texts], "candidate string"), spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    for t in texts:
+        low, places = t.lower(), set()
+        for w in words:
+            for i in range(len(low)):
+                if low.startswith(w, i):
+                    places |= set(range(i, i + len(w)))
+        assert got.get(t, 0) == len(places)
+
+
+def test_secret_dictionary_and_short_values(spark):
+    rows = [(k, "größe des größten hauses préférée fort 'the' zugang") for k in range(6)] + [(9, 'x password = hunter22! then passwort: Sommer-2024 token="ab12cd34" author Mustermann plain99word pass: mypass99')]
+    docs = corpus.frame(spark, rows)
+    assert {r.w for r in secretscan.dictionary(docs).collect()} == {"hauses", "preferee", "fort", "zugang"}
+    assert secretscan.dictionary(docs.limit(0)).count() == 0 == secretscan.dictionary(docs, share=0.5).count()
+    found = {r.candidate for r in secretscan.candidates(docs).collect()}
+    assert found == {"hunter22!", "Sommer-2024", "ab12cd34", "Mustermann", "plain99word", "mypass99"}
+
+
+def test_secret_marks(spark):
+    """Marks for labels: bits of words lie below those of random values; decoded headers; digests are no secrets."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ren", "sta"]) for _ in range(4)) for _ in range(200)]
+    given = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    signed = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.c2lnbmF0dXJlLW9mLWl0"
+    texts = [" ".join(words)] * 6 + [f"token = '{given}' and", f"commit {given} and", f"see {signed} and", "id 123e4567-e89b-12d3-a456-426614174000 and", "ref kalomirensta/kalostamiren/loka and", "no 1234567890123456789 and"]
+    docs = corpus.frame(spark, list(enumerate(texts)))
+    dictionary = secretscan.dictionary(docs)
+    labels = {(r.doc_id, r.candidate): r.label for r in secretscan.silver_labels(secretscan.findings(docs, dictionary), dictionary).collect() if r.doc_id >= 6}
+    assert labels == {(6, given): 1.0, (7, given): 0.0, (8, signed): 1.0, (9, "123e4567-e89b-12d3-a456-426614174000"): 0.0, (10, "kalomirensta/kalostamiren/loka"): 0.0, (11, "1234567890123456789"): 0.0}
+
+
 def water_fill(sizes, weights, budget):
     target, full = {}, set()
     while True:
