@@ -2,9 +2,9 @@
 
 A candidate is a run of 16 or more letters, digits and ``+ / _ ~ -`` inside a word, with any dotted parts of eight or
 more that follow (as in signed tokens); beside or behind a word that points to a secret also a run of eight or more of
-these and ``! @ # $ % ^ & * ?`` (less than 16 letters that hold such a word are a name, no value). Its features are its length, the transitions between classes of its characters, how
-much of it words of the dictionary cover, path marks around it and the neighbouring words. A random forest, trained on
-labelled findings, says how probable a secret is.
+these and ``! @ # $ % ^ & * ?`` (less than 16 letters that hold such a word are a name, no value). Its features are its
+length, the transitions between classes of its characters, how much of it words of the dictionary cover, path marks
+around it and the neighbouring words. A random forest, trained on labelled findings, says how probable a secret is.
 
 The dictionary holds every word of 4 to 20 letters (accents off) that makes up at least WORD_SHARE of all words of the
 corpus and occurs LEAST_COUNT times, so it has at most 1 / WORD_SHARE words whatever the corpus; coverage counts the
