@@ -11,8 +11,9 @@ A document is the set of its word 5-grams (of all its words, if it has fewer). I
 * Labels that share the prefix of that level are a node. Each member of a node is compared by signature with the
   node's least member, and those unlike it with all members, in blocks. Only pairs whose signatures leave the threshold
   possible chain into clusters, so chance meetings in a node don't.
-* Inside a cluster every pair is verified exactly, in blocks bounded by members and by n-grams. Tasks return counts
-  and a spanning forest, never the pairs.
+* Inside a cluster pairs are verified exactly, in blocks bounded by members and by n-grams. Blocks are cut along the
+  sizes of the sets; two blocks meet only if sets of their sizes can reach the threshold. Tasks return counts and a
+  spanning forest, never the pairs.
 
 Documents with equal sets count as copies: one of them stands for all.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,7 +44,7 @@ DEPTH = 8
 #: Of the pairs at hand, and of a pair right at the threshold.
 RECALL = 0.998
 GUARANTEE = 0.99
-#: Shared prefixes shorter than this are no candidates at any target in use.
+#: Labels that share a shorter prefix with both neighbours are left out where no target can ask for it (``least_level``).
 LEAST = 2
 #: Standard deviations by which the signatures of a pair at the threshold may fall short.
 SLACK = 4.5
@@ -74,6 +75,14 @@ def matched_level(agreements: dict[int, int], trees: int, depth: int, threshold:
     return level
 
 
+def least_level(trees: int, threshold: float, recall: float, guarantee: float) -> int:
+    """The shortest prefix that ``matched_level`` can answer: labels that share less are not kept."""
+    target = max(recall, guarantee)
+    if found_at(threshold, 1, trees) < guarantee:
+        raise ValueError(f"{trees} trees find a pair at {threshold} with less than {guarantee}")
+    return LEAST if found_at(threshold, LEAST, trees) >= target else 1
+
+
 def plausible(trees: int, depth: int, threshold: float) -> int:
     """Values in which two signatures must agree for the pair to stay a candidate."""
     n = trees * depth
@@ -124,7 +133,7 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 LEAF = [("id", pa.int64()), ("tree", pa.int32()), ("label", pa.binary()), ("matched", pa.int32()), ("other", pa.int64()), ("edge", pa.int32())]
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
     """Longest prefix that each label shares with one of its neighbours; batches come sorted by tree and label.
 
     Kept are labels with a match and the first (edge 1) and last one (edge 2, or 3 if it is the first too).
@@ -138,7 +147,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
         for i in range(upto):
             after = int(shared[i]) if i < len(shared) else 0
             last = 2 if i == len(ids) - 1 else 0
-            if max(before, after) >= LEAST or first or last:
+            if max(before, after) >= least or first or last:
                 other = before_id if before >= after else int(ids[i + 1])
                 rows.append((int(ids[i]), int(trees[i]), labels[i].tobytes(), max(before, after), other, first | last))
             before, before_id, first = after, int(ids[i]), 0
@@ -159,13 +168,13 @@ def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     yield _batch(rows, LEAF)
 
 
-def trie_leaves(sets: DataFrame, trees: int, depth: int) -> DataFrame:
-    """id, tree, label, matched (longest prefix shared with a neighbour) and other (that neighbour), matches only."""
+def trie_leaves(sets: DataFrame, trees: int, depth: int, least: int = LEAST) -> DataFrame:
+    """id, tree, label, matched (longest prefix shared with a neighbour) and other (that neighbour), matches of ``least`` only."""
     spark = sets.sparkSession
     each = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig")
     labels = each.select("id", "tree", F.expr(f"substring(sig, tree * {2 * depth} + 1, {2 * depth})").alias("label"))
     ordered = labels.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    leaves = Scratch.table(ordered.mapInArrow(lambda b: _leaves(b, depth), "id bigint, tree int, label binary, matched int, other bigint, edge int"), "forest-leaves")
+    leaves = Scratch.table(ordered.mapInArrow(lambda b: _leaves(b, depth, least), "id bigint, tree int, label binary, matched int, other bigint, edge int"), "forest-leaves")
     # Where one partition ends and the next begins: two rows of each partition, whatever the number of labels.
     ends = sorted(((r.tree, bytes(r.label), r.id, r.matched, r.other) for r in leaves.filter("edge > 0").collect()), key=lambda r: r[:3])
     fixed = [list(r) for r in ends]
@@ -181,7 +190,7 @@ def trie_leaves(sets: DataFrame, trees: int, depth: int) -> DataFrame:
     if not fixed:
         return inner
     outer = spark.createDataFrame([(r[2], r[0], bytearray(r[1]), r[3], r[4]) for r in fixed], "id bigint, tree int, label binary, matched int, other bigint")
-    return inner.unionByName(outer.filter(F.col("matched") >= LEAST))
+    return inner.unionByName(outer.filter(F.col("matched") >= least))
 
 
 def _agreements(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -359,6 +368,29 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def block_tasks(mass: DataFrame, threshold: float) -> DataFrame:
+    """mass (cluster, id, n and more) with tasks: the pairs of blocks (one, two) that a member takes part in, and its side.
+
+    The members of a cluster are laid out by size of set, those of one size in any order, and cut into blocks. Only
+    numbers by cluster and size are ordered, never the members of a cluster.
+    """
+    weight = F.greatest(F.lit(max(1, GRAMS // SETS)), "n")
+    sizes = mass.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("often")).withColumn("weight", weight)
+    up = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum(F.col("often") * F.col("weight")).over(up), F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("id"), F.col("often")) * F.col("weight")
+    dealt = mass.join(sizes, ["cluster", "n"]).withColumn("block", F.floor(place / GRAMS)).drop("often", "weight", "before")
+    dealt = Scratch.table(dealt, "forest-dealt")
+    blocks = dealt.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    meet = (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * threshold <= F.col("a.high") + 1e-6)
+    pairs = a.join(b, meet).select("a.cluster", F.col("a.block").alias("one"), F.col("b.block").alias("two"))
+    part = lambda block, side: F.struct(F.col(block).alias("block"), F.col("one"), F.col("two"), F.lit(side).alias("side"))
+    parts = F.when(F.col("one") == F.col("two"), F.array(part("one", 0))).otherwise(F.array(part("one", 1), part("two", 2)))
+    tasks = pairs.select("cluster", F.inline(parts)).groupBy("cluster", "block").agg(F.collect_list(F.struct("one", "two", "side")).alias("tasks"))
+    return dealt.join(tasks, ["cluster", "block"]).drop("block")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, guarantee: float = GUARANTEE
 ) -> DataFrame:
@@ -369,21 +401,18 @@ def near_duplicates(
     # Of documents with equal sets one stands for all.
     sets = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = Scratch.table(sets, "forest-sets")
-    leaves = trie_leaves(sets, trees, depth)
+    leaves = trie_leaves(sets, trees, depth, least_level(trees, threshold, recall, guarantee))
     seen = leaves.filter("id <> other").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
     agreements = {r[0]: r[1] for r in _agreements(seen, sets).groupBy("agree").count().collect()}
     level = matched_level(agreements, trees, depth, threshold, recall, guarantee)
     edges = candidate_edges(leaves, sets, level, plausible(trees, depth, threshold))
     clusters = components(edges)
     mass = clusters.join(sets.select(F.col("id").alias("node"), "d1", "d2", "copies", "n"), "node")
-    blocks = F.ceil(F.greatest(F.sum("n") / GRAMS, F.count(F.lit(1)) / SETS)).cast("int")
-    members = mass.join(mass.groupBy("component").agg(blocks.alias("blocks")), "component").select(F.col("component").alias("cluster"), F.col("node").alias("id"), "d1", "d2", "copies", "blocks")
-    members = Scratch.table(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "forest-members")
-    texts = docs.join(_small(members), docs["doc_id"] == members["id"]).select("cluster", "id", "d1", "d2", "copies", "block", "blocks", F.col("text").cast("binary").alias("text")).filter("text is not null")
-    # Each pair of blocks of a cluster is one task.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    tasks = texts.withColumn("other", other).select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "d1", "d2", "copies", side.alias("side"), "text")
+    mass = mass.select(F.col("component").alias("cluster"), F.col("node").alias("id"), "d1", "d2", "copies", "n")
+    members = Scratch.table(block_tasks(mass, threshold), "forest-members")
+    texts = docs.join(_small(members), docs["doc_id"] == members["id"]).select("cluster", "id", "d1", "d2", "copies", "tasks", F.col("text").cast("binary").alias("text")).filter("text is not null")
+    # Each pair of blocks that meet is one task.
+    tasks = texts.select("cluster", F.inline("tasks"), "id", "d1", "d2", "copies", "text")
     verified = tasks.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "id").mapInArrow(lambda b: _verified(b, shingle, threshold), "id bigint, root bigint, links bigint, set_links bigint")
     verified = Scratch.table(verified, "forest-links")
     classes = components(verified.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
