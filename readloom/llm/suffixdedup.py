@@ -41,6 +41,9 @@ HOT_HASHES = 1_000_000
 #: Text in a bucket, and strings expected in a range.
 BUCKET_BYTES = 8 << 20
 RANGE_STRINGS = 150_000
+#: Ranges that hashes are dealt to in one exchange, and entries that a task between two exchanges holds.
+STEP = 1024
+RELAYED = 2_000_000
 #: Runs merged at once.
 FANIN = 256
 #: Windows looked at together within one hash; more are handled in several passes.
@@ -82,9 +85,11 @@ def _unpack(blob: bytes, *types: str | None) -> list:
 
 # -- which hashes occur more than once --------------------------------------------------------------------------------
 
+DEALT = "range bigint, blob binary"
 
-def _occurrences(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Rows (range, blob): low hash bits, buckets and counts of a batch's gram hashes, by hash range.
+
+def _occurrences(batches: Iterator[pa.RecordBatch], ranges: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (range, blob): low hash bits, buckets and counts of a batch's gram hashes, by ``width`` hash ranges.
 
     A hash found in several buckets of the batch is already known to repeat: one of its entries goes to its range, the
     others (count 0: pass on) to ranges by bucket, so a hot hash takes one entry per batch in its range.
@@ -98,20 +103,69 @@ def _occurrences(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
         if not hashes or not sum(map(len, hashes)):
             continue
         h, owner = np.concatenate(hashes), np.concatenate(owners)
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        new_hash = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_hash | np.concatenate([[True], owner[1:] != owner[:-1]])
-        total = np.diff(np.append(np.flatnonzero(new_hash), len(h)))
-        h, owner, first = h[new], owner[new], new_hash[new]
-        count = np.where(first, total[np.cumsum(first) - 1], 0).astype(np.uint32)
-        to = np.where(first, _range_of(h, ranges), owner % ranges)
-        order = np.argsort(to, kind="stable")
-        to, h, owner, count = to[order], h[order], owner[order], count[order]
-        at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        ends = np.append(at[1:], len(to))
-        blobs = [_pack(h[a:b], owner[a:b].astype(np.uint32), count[a:b]) for a, b in zip(at, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(to[at], pa.int64()), pa.array(blobs, pa.binary())], ["range", "blob"])
+        h, owner, count = _counted(h, owner, np.ones(len(h), np.int64))
+        yield _dealt(h, owner, count, np.where(count > 0, _range_of(h, ranges), owner % ranges), width)
+
+
+def _counted(h: np.ndarray, owner: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per hash and bucket: the hash's first one has all its counts, the others 0."""
+    order = np.lexsort((owner, h))
+    h, owner, count = h[order], owner[order], count[order]
+    new_hash = np.concatenate([[True], h[1:] != h[:-1]])
+    new = new_hash | np.concatenate([[True], owner[1:] != owner[:-1]])
+    total = np.minimum(np.add.reduceat(count, np.flatnonzero(new_hash)), 0xFFFFFFFF)
+    h, owner, first = h[new], owner[new], new_hash[new]
+    return h, owner, np.where(first, total[np.cumsum(first) - 1], 0)
+
+
+def _dealt(h: np.ndarray, owner: np.ndarray, count: np.ndarray, to: np.ndarray, width: int) -> pa.RecordBatch:
+    to = to // width
+    order = np.argsort(to, kind="stable")
+    to, h, owner, count = to[order], h[order], owner[order], count[order]
+    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    ends = np.append(at[1:], len(to))
+    blobs = [_pack(h[a:b], owner[a:b].astype(np.uint32), count[a:b].astype(np.uint32)) for a, b in zip(at, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(to[at], pa.int64()), pa.array(blobs, pa.binary())], ["range", "blob"])
+
+
+def _relayed(batches: Iterator[pa.RecordBatch], ranges: int, wide: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Entries of ``wide`` ranges at a time, come sorted by those, dealt again by ``width`` of them.
+
+    Entries of many batches meet here, so that blobs stay large, and a hot hash goes on as one counted entry in place of
+    one per batch. Entries that need no count (0) go to any range of their group.
+    """
+    key, parts, held = None, [], 0
+
+    def cut() -> pa.RecordBatch:
+        h, owner, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        owner, count, known = owner.astype(np.int64), count.astype(np.int64), count == 0
+        passed = h[known], owner[known]
+        h, owner, count = _counted(h[~known], owner[~known], count[~known]) if not known.all() else (h[:0], owner[:0], count[:0])
+        h, owner, count = np.concatenate([h, passed[0]]), np.concatenate([owner, passed[1]]), np.concatenate([count, np.zeros(len(passed[0]), np.int64)])
+        to = np.where(count > 0, _range_of(h, ranges), np.minimum(key * wide + owner % wide, ranges - 1))
+        return _dealt(h, owner, count, to, width)
+
+    for batch in batches:
+        for group, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if parts and (group != key or held >= RELAYED):
+                yield cut()
+                parts, held = [], 0
+            key = group
+            parts.append(_unpack(blob, "u8", "u4", "u4"))
+            held += len(parts[-1][0])
+    if parts:
+        yield cut()
+
+
+def _steps(ranges: int) -> list[int]:
+    """Ranges per group in each exchange: as few exchanges as deal to no more than STEP groups each, the last to ranges."""
+    levels = 1
+    while STEP**levels < ranges:
+        levels += 1
+    each = 1
+    while each**levels < ranges:
+        each += 1
+    return [each**k for k in range(levels - 1, -1, -1)]
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -462,8 +516,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
     buckets = max(8, -(-total // BUCKET_BYTES))
     ranges = max(8, -(-(total // 34) // RANGE_STRINGS))
     hot = max(hot, total // HOT_HASHES)
+    steps = _steps(ranges)
     ready = ready.withColumn("th", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("id", "th"), F.lit(buckets)))
-    found = ready.filter(F.octet_length("text") >= LENGTH).select("bucket", "text").mapInArrow(lambda b: _occurrences(b, ranges), "range bigint, blob binary")
+    found = ready.filter(F.octet_length("text") >= LENGTH).select("bucket", "text").mapInArrow(lambda b: _occurrences(b, ranges, steps[0]), DEALT)
+    for wide, width in zip(steps, steps[1:], strict=False):
+        found = found.repartition("range").sortWithinPartitions("range").mapInArrow(lambda b, wide=wide, width=width: _relayed(b, ranges, wide, width), DEALT)
     flags = Scratch.table(found.groupBy("range").applyInArrow(lambda t: _repeated(t, hot), "bucket bigint, flags binary"), "suffix-flags")
     # No more than HOT_HASHES hashes can occur so often: the list is bounded.
     many = [_unpack(bytes(r[0]), "u8")[0] for r in flags.filter("bucket < 0").select("flags").collect()]
