@@ -40,19 +40,19 @@ PLACE = ("doc_id", "th", "line_no")
 BITS = ("b0", "b1", "b2", "b3")
 
 
-def _bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def word_classes(docs: DataFrame, text: str = "text") -> Column:
-    """Array literal: for each hash bucket of words, a logarithmic class of how often they occur in all texts.
+    """Array literal: for each hash bucket of words, a logarithmic class (in the highest byte) of how often they occur in all texts.
 
     Texts are cut at blanks only, which is quick; words beside another kind of white space count as one with it.
     """
-    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
+    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     classes = words.select("b", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("c"))
     rows = {r[0]: r[1] for r in classes.collect()}  # at most BUCKETS rows
-    return F.split(F.lit(",".join(str(rows.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(rows.get(b, 0) << 56) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -90,10 +90,10 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     # Lines without a word are left out before the keys are made: a filter on the keys would make them twice.
     lines = _lines(docs, text).filter(_has_word(F.col("line")))
     words = F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split("line", SPACES)).otherwise(F.split("line", " "))
-    # A key begins with the word's class and goes on with 56 bits of its hash. None is null, so they sort as plain numbers.
-    rarity = lambda w: F.coalesce(F.get(classes, _bucket(w)), F.lit(0)).cast("long")
-    key = lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    keys = F.array_remove(F.array_distinct(F.transform(words, key)), key(F.lit("")))
+    # Each word is hashed once. A key begins with the word's class and goes on with 56 bits of its hash. None is null, so
+    # they sort as plain numbers.
+    hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    keys = F.transform(hashes, lambda h: F.coalesce(F.get(classes, _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
     lines = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
     n = F.size("keys")
     # hash() of the key is an even 32-bit name for the word; a shared name of unlike words only adds a candidate.
@@ -135,29 +135,37 @@ def head_pairs(signatures: DataFrame, percent: int) -> DataFrame:
 def candidate_pairs(signatures: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """lid1, lid2: pairs of lines, the later one not settled, that share a prefix word and pass all filters.
 
-    Lines of one doc_id stay in either order here; the full place orders them.
+    Open lines meet open ones and settled ones; settled lines never meet one another, so a large group of variants costs
+    its size for each line of it that is still open. Lines of one doc_id stay in either order here; the full place
+    orders them.
     """
-    known = signatures.join(settled.withColumn("known", F.lit(True)), "lid", "left")
-    entries = known.select("lid", "doc_id", *BITS, F.col("n").cast("long").alias("n"), F.col("known").isNull().cast("long").alias("open"), F.posexplode("prefix").alias("pos", "w"))
-    # Of the smaller set a shorter prefix is enough, as the larger one's need is at least its own size's.
-    inner = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - F.lit(1e-9))
-    entries = entries.select("w", "lid", "doc_id", *BITS, (F.shiftleft("n", 32) + F.col("pos") * 4 + inner.cast("long") * 2 + F.col("open")).alias("meta"))
+    whole = F.posexplode("prefix").alias("pos", "w")
+
+    def entries(lines: DataFrame) -> DataFrame:
+        each = lines.select("lid", "doc_id", *BITS, F.col("n").cast("long").alias("n"), whole)
+        # Of the smaller set a shorter prefix is enough, as the larger one's need is at least its own size's.
+        inner = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - F.lit(1e-9))
+        return each.select("w", "lid", "doc_id", *BITS, (F.shiftleft("n", 32) + F.col("pos") * 2 + inner.cast("long")).alias("meta"))
+
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     n = lambda x: F.shiftright(x("meta"), 32)
-    pos = lambda x: F.shiftright(x("meta"), 2).bitwiseAND(F.lit((1 << 30) - 1))
-    flag = lambda x, bit: x("meta").bitwiseAND(F.lit(bit)) != 0
+    pos = lambda x: F.shiftright(x("meta"), 1).bitwiseAND(F.lit((1 << 31) - 1))
+    inner = lambda x: x("meta").bitwiseAND(F.lit(1)) != 0
     n1, n2 = n(a), n(b)
-    # The cheapest and the most selective conditions come first.
     shared = (
-        (a("lid") < b("lid"))
-        & _close(n1, n2, a, b, percent)
-        & (((n1 <= n2) & flag(a, 2)) | ((n2 <= n1) & flag(b, 2)))
+        _close(n1, n2, a, b, percent)
+        & (((n1 <= n2) & inner(a)) | ((n2 <= n1) & inner(b)))
         # what may be shared before this word, and from it on
         & ((F.least(pos(a), pos(b)) + F.least(n1 - pos(a), n2 - pos(b))) * (100 + percent) >= (n1 + n2) * percent)
-        & ((flag(b, 1) & F.coalesce(a("doc_id") <= b("doc_id"), F.lit(True))) | (flag(a, 1) & F.coalesce(b("doc_id") <= a("doc_id"), F.lit(True))))
     )
-    found = entries.alias("a").join(entries.alias("b"), (a("w") == b("w")) & shared)
-    return found.select(a("lid").alias("lid1"), b("lid").alias("lid2")).distinct()
+    # Both joins use the same exchange of the open lines' entries.
+    some = entries(signatures.join(settled, "lid", "left_anti"))
+    rest = entries(signatures.join(settled, "lid", "left_semi"))
+    # The cheapest and the most selective conditions come first.
+    both = some.alias("a").join(some.alias("b"), (a("w") == b("w")) & (a("lid") < b("lid")) & shared)
+    one = some.alias("a").join(rest.alias("b"), (a("w") == b("w")) & F.coalesce(b("doc_id") <= a("doc_id"), F.lit(True)) & shared)
+    ids = [F.least(a("lid"), b("lid")).alias("lid1"), F.greatest(a("lid"), b("lid")).alias("lid2")]
+    return both.select(*ids).unionByName(one.select(*ids)).distinct()
 
 
 def _settled(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, percent: int, text: str, known: DataFrame | None = None) -> DataFrame:
@@ -213,9 +221,9 @@ def line_verdicts(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, kept_lines_sha256 (of the kept lines' numbers, by commas)."""
     small = docs.select("doc_id", "text")
     kept = kept_lines(small, percent).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.size("lines").alias("n_kept"), F.sha2(F.array_join(F.col("lines").cast("array<string>"), ","), 256).alias("sha"))
-    with_word = F.size(F.filter(F.split("text", "\n"), _has_word))
-    rows = small.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(with_word, F.lit(0)).alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    # From a line's first word to its end: one match a line with a word.
+    with_word = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*"))
+    rows = small.select("doc_id", F.xxhash64("text").alias("th"), F.greatest(F.coalesce(with_word, F.lit(0)), F.lit(0)).alias("n_lines"))
     out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
     n_kept = F.coalesce("n_kept", F.lit(0))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - n_kept).cast("long").alias("n_removed"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("kept_lines_sha256"))

@@ -263,3 +263,94 @@ def test_sets_have_two_hashes_of_their_own(spark):
     # hashing a constant on top of h1 is what h2 must not be
     chained = keys.select(F.xxhash64("keys", F.lit(1)).alias("h"))
     assert hashes.select("h2").intersect(chained.select(F.col("h").alias("h2"))).count() == 0 and hashes.distinct().count() == 200
+
+
+@pytest.mark.parametrize("limits", [{"STEP": 3, "RELAYED": 50, "RANGE_STRINGS": 20}, {"STEP": 2, "RELAYED": 10**6, "RANGE_STRINGS": 50}])
+def test_repeats_by_several_exchanges(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffixdedup, name, value)
+    rows = corpus.documents()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(corpus.frame(spark, rows)).collect()}
+    assert got == repeats_brute(rows)
+
+
+def test_relayed_entries(monkeypatch):
+    """Whatever the exchanges, each range ends up with the same repeated hashes; a hot hash arrives as few entries."""
+    rng = np.random.default_rng(8)
+    ranges, hot = 90, int(rng.integers(0, 2**63, dtype=np.uint64))
+    first = []
+    for batch in range(40):
+        h = np.concatenate([rng.integers(0, 2**64, 300, dtype=np.uint64), np.array([hot, hot], np.uint64)])
+        h[:5] = np.arange(5, dtype=np.uint64) << np.uint64(60)
+        h, owner, count = suffixdedup._counted(h, np.full(len(h), batch % 7, np.int64), np.ones(len(h), np.int64))
+        first.append((h, owner, count))
+
+    def flags(steps):
+        batches = [suffixdedup._dealt(h, o, c, np.where(c > 0, suffixdedup._range_of(h, ranges), o % ranges), steps[0]) for h, o, c in first]
+        for wide, width in zip(steps, steps[1:], strict=False):
+            rows = sorted((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), key=lambda x: x[0])
+            table = suffixdedup.pa.table({"range": [r for r, _ in rows], "blob": suffixdedup.pa.array([b for _, b in rows], suffixdedup.pa.binary())})
+            batches = list(suffixdedup._relayed(iter(table.to_batches(max_chunksize=7)), ranges, wide, width))
+        by_range = defaultdict(list)
+        for b in batches:
+            for r, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by_range[r].append(blob)
+        out, entries = set(), 0
+        for r, blobs in by_range.items():
+            entries += sum(int((suffixdedup._unpack(x, "u8", "u4", "u4")[0] == hot).sum()) for x in blobs if r == int(suffixdedup._range_of(np.array([hot], np.uint64), ranges)[0]))
+            got = suffixdedup._repeated(suffixdedup.pa.table({"blob": suffixdedup.pa.array(blobs, suffixdedup.pa.binary())}), 10**9)
+            for bucket, blob in zip(got.column("bucket").to_pylist(), got.column("flags").to_pylist(), strict=True):
+                out |= {(bucket, int(x)) for x in suffixdedup._unpack(blob, "u8")[0]}
+        return out, entries
+
+    monkeypatch.setattr(suffixdedup, "RELAYED", 5000)
+    want, many = flags([1])
+    got, few = flags([10, 1])
+    assert got == want and len({h for _, h in want}) == 6
+    assert many == 40 and few < 15
+    assert suffixdedup._steps(90) == [1] and suffixdedup._steps(5000) == [71, 1] and suffixdedup._steps(8) == [1]
+
+
+def test_blocks_by_size(spark, monkeypatch):
+    """Every pair of members that sizes allow meets in exactly one task; pairs of unlike sizes are not all tried."""
+    monkeypatch.setattr(lshforest, "SETS", 4)
+    monkeypatch.setattr(lshforest, "GRAMS", 400)
+    rng = np.random.default_rng(5)
+    sizes = {i: int(n) for i, n in enumerate(rng.choice([3, 10, 11, 40, 90, 95, 150, 700, 900], 120))}
+    rows = [(i % 2, i, n) for i, n in sizes.items()]
+    got = lshforest.block_tasks(spark.createDataFrame(rows, "cluster long, id long, n long"), 0.8).collect()
+    assert sorted(r.id for r in got) == sorted(sizes)
+    met = defaultdict(int)
+    tasks = defaultdict(list)
+    for r in got:
+        for one, two, side in r.tasks:
+            tasks[r.cluster, one, two].append((r.id, side))
+    for members in tasks.values():
+        for (i, a), (j, b) in combinations(members, 2):
+            if a == b == 0 or {a, b} == {1, 2}:
+                met[min(i, j), max(i, j)] += 1
+    assert set(met.values()) == {1}
+    for i, j in combinations(sizes, 2):
+        if i % 2 == j % 2 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]):
+            assert (i, j) in met
+    assert len(met) < 0.6 * sum(1 for i, j in combinations(sizes, 2) if i % 2 == j % 2)
+
+
+def test_low_thresholds_keep_short_prefixes(spark):
+    assert lshforest.least_level(16, 0.8, 0.998, 0.99) == 2 and lshforest.least_level(16, 0.4, 0.998, 0.99) == 1
+    with pytest.raises(ValueError, match="trees"):
+        lshforest.least_level(16, 0.2, 0.998, 0.99)
+
+
+def test_settled_lines_do_not_meet(spark):
+    """Only pairs with an open later line are candidates."""
+    base = [f"w{k}" for k in range(20)]
+    rows = [(i, " ".join([*base[:19], f"x{i}"])) for i in range(30)]
+    signatures = ld.Scratch.table(ld.line_signatures(corpus.frame(spark, rows), 80), "test-lines")
+    lids = {r.doc_id: r.lid for r in signatures.collect()}
+    settled = spark.createDataFrame([(lids[i],) for i in range(1, 28)], "lid long")
+    pairs = {(r.lid1, r.lid2) for r in ld.candidate_pairs(signatures, settled, 80).collect()}
+    open_lines = {lids[0], lids[28], lids[29]}
+    assert pairs and all({a, b} & open_lines for a, b in pairs)
+    want = {(min(lids[i], lids[j]), max(lids[i], lids[j])) for j in (28, 29) for i in range(j)}
+    assert want <= pairs
