@@ -162,7 +162,9 @@ def candidate_pairs(signatures: DataFrame, settled: DataFrame, percent: int) ->
     some = entries(signatures.join(settled, "lid", "left_anti"))
     rest = entries(signatures.join(settled, "lid", "left_semi"))
     # The cheapest and the most selective conditions come first.
-    both = some.alias("a").join(some.alias("b"), (a("w") == b("w")) & (a("lid") < b("lid")) & shared)
+    # Each pair once; both joins ask for doc_id, or their exchanges would have unlike columns and not be shared.
+    once = F.when(F.coalesce(a("doc_id") == b("doc_id"), F.lit(True)), a("lid") < b("lid")).otherwise(a("doc_id") < b("doc_id"))
+    both = some.alias("a").join(some.alias("b"), (a("w") == b("w")) & once & shared)
     one = some.alias("a").join(rest.alias("b"), (a("w") == b("w")) & F.coalesce(b("doc_id") <= a("doc_id"), F.lit(True)) & shared)
     ids = [F.least(a("lid"), b("lid")).alias("lid1"), F.greatest(a("lid"), b("lid")).alias("lid2")]
     return both.select(*ids).unionByName(one.select(*ids)).distinct()
