@@ -45,14 +45,14 @@ def _bucket(hashed: Column) -> Column:
 
 
 def word_classes(docs: DataFrame, text: str = "text") -> Column:
-    """Array literal: for each hash bucket of words, a logarithmic class (in the highest byte) of how often they occur in all texts.
+    """Array literal: for each hash bucket of words, a logarithmic class of how often they occur in all texts.
 
     Texts are cut at blanks only, which is quick; words beside another kind of white space count as one with it.
     """
     words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     classes = words.select("b", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("c"))
     rows = {r[0]: r[1] for r in classes.collect()}  # at most BUCKETS rows
-    return F.split(F.lit(",".join(str(rows.get(b, 0) << 56) for b in range(BUCKETS))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(rows.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -93,7 +93,7 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     # Each word is hashed once. A key begins with the word's class and goes on with 56 bits of its hash. None is null, so
     # they sort as plain numbers.
     hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    keys = F.transform(hashes, lambda h: F.coalesce(F.get(classes, _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    keys = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(classes, _bucket(h)), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     lines = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
     n = F.size("keys")
     # hash() of the key is an even 32-bit name for the word; a shared name of unlike words only adds a candidate.
