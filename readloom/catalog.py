@@ -217,7 +217,8 @@ HIST_SQL = f"{SEGMENTS_SQL}, {HIST_PART}"
 
 def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     refs = bridge.part_references(spark, sf_dir)
-    isles = coverage.clip_islands(coverage.islands(_segments(spark, sf_dir, clipped=False)), refs)
+    # Written once: bins and histogram read them four times.
+    isles = cut(coverage.clip_islands(coverage.sized_islands(_segments(spark, sf_dir, clipped=False)), refs))
     bins = coverage.bin_counts(isles, refs)
     return coverage.position_histogram(isles, bins), bins
 

@@ -15,37 +15,44 @@ TILE = 1 << 18
 
 
 def segments(alignments: DataFrame, references: DataFrame, tile: int = TILE) -> DataFrame:
-    """reference, tile, seg_start, seg_end, depth, edge: stretches of equal depth from 0 to the end of the reference (or
-    of the last alignment past it). A stretch may be cut in equal parts where tiles meet; edge: it reaches such a place."""
-    ends = alignments.select("reference", F.greatest(F.col("reference_start"), F.lit(0)).alias("s"), F.greatest(F.col("reference_end"), F.lit(0)).alias("e")).filter("e > s")
-    steps = ends.select("reference", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("x")).select("reference", "x.*")
-    # Tiles have to begin and end somewhere even where no alignment does.
+    """reference, tile, seg_start, seg_end, depth, edge, bam_reference_length: stretches of equal depth from 0 to the end
+    of the reference (or of the last alignment past it). A stretch may be cut in equal parts where tiles meet; edge: it
+    reaches such a place. The length is NULL for references that the table lacks.
+
+    Alignments are cut where tiles meet, so every tile is swept by itself, once, and no depth has to be carried into it.
+    Ends at one place are added up before they are exchanged, so a popular place is one row of each task.
+    """
+    size = F.lit(tile).cast("bigint")
+    ends = alignments.select("reference", F.greatest(F.col("reference_start"), F.lit(0)).cast("bigint").alias("s"), F.greatest(F.col("reference_end"), F.lit(0)).cast("bigint").alias("e")).filter("e > s")
+    # Tiles have to begin and end somewhere even where no alignment does: marks are alignments of weight 0.
+    length = F.col("bam_reference_length").cast("bigint")
     extent = ends.groupBy("reference").agg(F.max("e").alias("last")).join(references.select("reference", "bam_reference_length"), "reference")
-    extent = extent.select("reference", F.greatest("last", "bam_reference_length").alias("end"), "bam_reference_length")
-    marks = extent.select("reference", F.explode(F.array_union(F.sequence(F.lit(0).cast("bigint"), F.col("end"), F.lit(tile).cast("bigint")), F.array("end", "bam_reference_length"))).alias("pos"), F.lit(0).alias("d"))
-    deltas = steps.unionByName(marks).groupBy("reference", "pos").agg(F.sum("d").alias("delta")).withColumn("tile", F.floor(F.col("pos") / tile))
-    sums = deltas.groupBy("reference", "tile").agg(F.sum("delta").alias("s"))
-    before = Window.partitionBy("reference").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("reference").orderBy("tile")
-    carried = sums.select("reference", "tile", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carry"), F.lead("tile").over(after).alias("next_tile"))
+    whole = F.struct(F.lit(0).cast("bigint").alias("s"), F.greatest("last", length).alias("e"))
+    marks = extent.select("reference", F.explode(F.array(whole, F.struct(length.alias("s"), length.alias("e")))).alias("x"), length.alias("length"))
+    weighed = ends.withColumns({"w": F.lit(1), "length": F.lit(None).cast("bigint")}).unionByName(marks.select("reference", "x.s", "x.e", F.lit(0).alias("w"), "length"))
+    first = F.expr(f"s div {tile}")
+    cut_up = weighed.withColumn("tile", F.explode(F.sequence(first, F.greatest(first, F.expr(f"(e - 1) div {tile}")))))
+    a, b = F.greatest(F.col("s"), F.col("tile") * size), F.least(F.col("e"), (F.col("tile") + 1) * size)
+    steps = cut_up.select("reference", "tile", "length", F.explode(F.array(F.struct(a.alias("pos"), F.col("w").alias("d")), F.struct(b.alias("pos"), (-F.col("w")).alias("d")))).alias("x"))
+    deltas = steps.select("reference", "tile", "length", "x.*").groupBy("reference", "tile", "pos").agg(F.sum("d").alias("delta"), F.max("length").alias("length"))
     within = Window.partitionBy("reference", "tile").orderBy("pos")
-    swept = deltas.join(carried, ["reference", "tile"]).select(
-        "reference",
-        "tile",
-        F.col("pos").alias("seg_start"),
-        F.coalesce(F.lead("pos").over(within), F.col("next_tile") * tile).alias("seg_end"),
-        (F.sum("delta").over(within) + F.col("carry")).alias("depth"),
-    )
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    swept = deltas.select(
+        "reference", "tile", F.col("pos").alias("seg_start"), F.lead("pos").over(within).alias("seg_end"), F.sum("delta").over(upto).alias("depth"),
+        F.max("length").over(upto).alias("bam_reference_length"),  # a mark is at every tile's beginning
+    )
     edge = (F.col("seg_start") % tile == 0) | (F.col("seg_end") % tile == 0)
-    return swept.filter("seg_end is not null and seg_end > seg_start").withColumn("edge", edge)
+    return swept.filter("seg_end > seg_start").select("reference", "tile", "seg_start", "seg_end", "depth", edge.alias("edge"), "bam_reference_length")
 
 
 def clip(segs: DataFrame, references: DataFrame, trim: int = 0) -> DataFrame:
     """Segments within the reference less ``trim`` bases at both ends (no trim where it would leave nothing)."""
     length = F.col("bam_reference_length")
     t = F.when((F.lit(trim) > length) | (F.lit(2 * trim) > length), 0).otherwise(trim)
-    inside = segs.join(references.select("reference", "bam_reference_length"), "reference").withColumn("t", t)
-    inside = inside.withColumn("a", F.greatest("seg_start", "t")).withColumn("b", F.least("seg_end", length - F.col("t"))).filter("b > a")
+    # Segments of a sweep know the length already.
+    sized = segs if "bam_reference_length" in segs.columns else segs.join(references.select("reference", "bam_reference_length"), "reference")
+    inside = sized.withColumn("t", t)
+    inside = inside.withColumn("a", F.greatest("seg_start", "t")).withColumn("b", F.least("seg_end", length - F.col("t"))).filter(length.isNotNull() & F.expr("b > a"))
     return inside.select("reference", F.col("a").alias("seg_start"), F.col("b").alias("seg_end"), "depth")
 
 
@@ -55,19 +62,27 @@ def depth_histogram(segs: DataFrame) -> DataFrame:
 
 
 def islands(segs: DataFrame) -> DataFrame:
-    """reference, start, end of the maximal covered stretches: the alignments' intervals merged, book-ended ones too.
+    """reference, start, end of the maximal covered stretches: the alignments' intervals merged, book-ended ones too."""
+    return sized_islands(segs).select("reference", "start", "end")
+
+
+def sized_islands(segs: DataFrame) -> DataFrame:
+    """Islands with the bam_reference_length of their reference.
 
     Covered stretches that touch are joined within a tile, where the sweep has them together already. Only stretches
-    that reach an edge of their tile, two for each tile at most, are then ordered by reference.
+    that reach an edge of their tile, two for each tile at most, are then ordered by reference; the others stay with
+    their tile, where they touch nothing. So the sweep is read once.
     """
-    parts = _joined(segs.filter("depth > 0"), ["reference", "tile"], "seg_start", "seg_end", F.bool_or("edge").alias("edge"))
-    across = _joined(parts.filter("edge"), ["reference"], "start", "end")
-    return parts.filter("not edge").select("reference", "start", "end").unionByName(across.select("reference", "start", "end"))
+    length = F.max("bam_reference_length").alias("bam_reference_length")
+    parts = _joined(segs.filter("depth > 0"), ["reference", "tile"], "seg_start", "seg_end", F.bool_or("edge").alias("edge"), length)
+    placed = parts.withColumn("place", F.when(F.col("edge"), -1).otherwise(F.col("tile")))
+    return _joined(placed, ["reference", "place"], "start", "end", length).select("reference", "start", "end", "bam_reference_length")
 
 
 def clip_islands(isles: DataFrame, references: DataFrame, trim: int = 0) -> DataFrame:
     """The parts of islands within the reference less ``trim`` bases at both ends, as ``clip`` cuts segments."""
-    cut = clip(isles.select("reference", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.lit(1).alias("depth")), references, trim)
+    known = [c for c in isles.columns if c == "bam_reference_length"]
+    cut = clip(isles.select("reference", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.lit(1).alias("depth"), *known), references, trim)
     return cut.select("reference", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
 
 

@@ -46,11 +46,11 @@ def read_stats(alignments: DataFrame) -> DataFrame:
 
 def coverage_stats(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
     """Depth, intervals, bins and inequality of each reference (bam_reference_length known) that has alignments."""
-    # One sweep serves depth, intervals and bins.
+    # One sweep serves depth, intervals and bins; islands are read by four aggregates.
     raw = cut(coverage.segments(alignments, references))
     segs = coverage.clip(raw, references, config.trim_ends)
     depth = coverage.depth_stats(coverage.depth_histogram(segs), config.trim_min, config.trim_max)
-    whole = coverage.islands(raw)
+    whole = cut(coverage.sized_islands(raw))
     merged = coverage.merged_interval_stats(whole)
     isles = coverage.clip_islands(whole, references, config.trim_ends)
     bins = coverage.bin_counts(isles, references, config.bin_rule)

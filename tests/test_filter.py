@@ -131,3 +131,17 @@ def test_half_even(spark):
 
     x = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double").select(half_even(F.col("x"))).collect()
     assert [r[0] for r in x] == [0, 2, 2]
+
+
+def test_the_sweep_reads_alignments_twice_and_joins_no_segments(spark, tmp_path):
+    """Once for the ends, once for the last place of each reference; tiles and clipping need no join of their own."""
+    frame(spark, [aln("a", "r", 0, 20), aln("b", "r", 0, 20), aln("c", "r", 90, 130)]).write.parquet(str(tmp_path / "a"))
+    refs(spark, ("r", 100), ("s", 15)).write.parquet(str(tmp_path / "r"))
+    alns, references = (spark.read.parquet(str(tmp_path / t)) for t in "ar")
+    isles = coverage.islands(coverage.segments(alns, references, 16))
+    assert sorted(map(tuple, isles.collect())) == [("r", 0, 20), ("r", 90, 130)]
+    segs = coverage.clip(coverage.segments(alns, references, 16), references)
+    assert sum(r.seg_end - r.seg_start for r in segs.collect()) == 100
+    for df in (isles, segs):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 3 and plan.count("Join ") == 1
