@@ -400,7 +400,7 @@ def _bam_file(spark: SparkSession, sf_dir: str) -> str:
     names = sorted(r[0] for r in key.collect())  # a header's worth of names
     references = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "reference string, header_order int")
     alns = bridge.alignments(spark, sf_dir, "l_suppkey").withColumn("reference_start", F.col("reference_start") + SHIFT)
-    ordered = bam.encode_alignments(alns, references).orderBy("header_order", "reference_start")
+    ordered = bam.encode_alignments(alns, references, by_place=True)
     bam.register(spark)
     path = f"{scratch_folder(spark, 'bam')}/lines"
     ordered.write.format("bam").mode("overwrite").option("lengths", json.dumps([[n, 1 << 20] for n in names])).option("order", "coordinate").option("layout", "files").save(path)

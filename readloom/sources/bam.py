@@ -19,7 +19,8 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..schema import ALIGNMENT, REFERENCES
 from ..session import ship
@@ -136,17 +137,40 @@ def parse_header(data: bytes) -> tuple[str, list[tuple[str, int]], int] | None:
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
     """(text, references, place of the first record as block offset and offset in the block)."""
     with store.open_in(path) as f:
-        data, starts = b"", []
+        data, starts, enough = bytearray(), [], 0
         for offset, block in read_blocks(f, 0):
             starts.append((offset, len(data)))
             data += block
-            if (found := parse_header(data)) is not None:
+            if len(data) < enough:
+                continue
+            enough = 2 * len(data)  # a long header is not parsed again with each block of it
+            if (found := parse_header(bytes(data))) is not None:
                 used = found[2]
                 offset, before = max(s for s in starts if s[1] <= used)
                 return found[0], found[1], (offset, used - before)
+        if (found := parse_header(bytes(data))) is not None:
+            offset, before = max(s for s in starts if s[1] <= found[2])
+            return found[0], found[1], (offset, found[2] - before)
     raise BamError("the header is cut short")
 
 
+class Headers:
+    """``read_header`` of many files. Files written together begin with the same bytes: those are compared, not parsed."""
+
+    def __init__(self):
+        self.same, self.last = b"", None
+
+    def of(self, path: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
+        if self.same:
+            with store.open_in(path) as f:
+                if f.read(len(self.same)) == self.same:
+                    return self.last
+        self.last = read_header(path)
+        with store.open_in(path) as f:  # only a header that ends with its block can be told by its bytes
+            self.same = f.read(self.last[2][0]) if self.last[2][1] == 0 else b""
+        return self.last
+
+
 def header_bytes(text: str, references: Sequence[tuple[str, int]]) -> bytes:
     raw = text.encode()
     out = [b"BAM\1", struct.pack("<i", len(raw)), raw, struct.pack("<i", len(references))]
@@ -290,6 +314,61 @@ def records_of(file, start: int, inside: int | None, end: int, n_refs: int) -> I
             at = mark = 0
 
 
+def chunks_of(file, start: int, inside: int | None, end: int, n_refs: int, blocks_at_once: int = 64):
+    """The records of ``records_of``, many at a time: (bytes, where in them each begins, their sizes, their virtual offsets)."""
+    import numpy as np
+
+    blocks = read_blocks(file, start)
+    buffer, limit, at = b"", None, inside
+    marks: list[tuple[int, int]] = []
+    while True:
+        parts, size, more = [buffer], len(buffer), False
+        for offset, block in blocks:
+            more = True
+            if offset >= end and limit is None:
+                limit = size
+            marks.append((size, offset))
+            parts.append(block)
+            size += len(block)
+            if limit is not None or len(parts) > blocks_at_once:
+                break
+        buffer = b"".join(parts)
+        if at is None:
+            if limit is not None and not size:
+                return
+            # As far as a chain of records needs; past the own blocks too.
+            while len(marks) < 8 and (got := next(blocks, None)):
+                if got[0] >= end and limit is None:
+                    limit = len(buffer)
+                marks.append((len(buffer), got[0]))
+                buffer += got[1]
+            if (at := first_record(buffer, n_refs)) is None:
+                return
+        starts, n, unpack = [], len(buffer), struct.Struct("<i").unpack_from
+        stop = n if limit is None else min(n, limit)
+        while at < stop and at + 4 <= n:
+            to = at + 4 + unpack(buffer, at)[0]
+            if to > n:
+                break
+            starts.append(at)
+            at = to
+        if starts:
+            begins = np.array(starts, np.int64)
+            places, offsets = np.array(marks, np.int64).T
+            mine = np.searchsorted(places, begins, "right") - 1
+            yield np.frombuffer(buffer, np.uint8), begins + 4, np.diff(np.append(begins, at)) - 4, (offsets[mine] << 16) | (begins - places[mine])
+        if limit is not None and at >= limit:
+            return
+        if not more:
+            if at < n:
+                raise BamError("the last record is cut short")
+            return
+        keep = max((i for i, m in enumerate(marks) if m[0] <= at), default=0)
+        buffer, limit = buffer[at:], None if limit is None else limit - at
+        marks = [(a - at, o) for a, o in marks[keep:]]
+        at = 0
+
+
 class BlockWriter:
     """Records into compressed blocks, whole ones where they fit; knows the virtual offset of what comes next."""
 
@@ -319,6 +398,28 @@ class BlockWriter:
         if len(self.pending) > self.SIZE:
             self.flush()
 
+    def write_records(self, data, ends):
+        """Records that end at these places of data, as ``make_room`` and ``write`` place them; the virtual offsets at
+        which each begins and ends."""
+        import numpy as np
+
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        starts, stops = np.empty(len(ends), np.int64), np.empty(len(ends), np.int64)
+        i = 0
+        while i < len(ends):
+            if self.pending and len(self.pending) + ends[i] - begins[i] > self.SIZE:
+                self.flush()
+            # At least one record: one larger than a block is packed at once.
+            j = max(i + 1, int(np.searchsorted(ends, begins[i] + self.SIZE - len(self.pending), "right")))
+            here = self.tell()
+            starts[i:j], stops[i:j] = here + begins[i:j] - begins[i], here + ends[i:j] - begins[i]
+            self.pending += data[begins[i] : ends[j - 1]].tobytes()
+            if len(self.pending) > self.SIZE:
+                self.flush()
+                stops[j - 1] = self.tell()
+            i = j
+        return starts, stops
+
 
 def extent(raw: bytes) -> tuple[int, int, int, bool]:
     """Reference number, begin, end and whether the record is mapped."""
@@ -378,11 +479,13 @@ class BamReader(DataSourceReader):
         self.names: list[str] = []
         self.others: dict[str, list[str]] = {}
         self.first: dict[str, tuple[int, int]] = {}
+        headers, last = Headers(), None
         for path in files_of(self.path):
-            _, references, self.first[path] = read_header(path)
-            names = [n for n, _ in references]
+            _, references, self.first[path] = headers.of(path)
+            if references is not last:
+                names, last = [n for n, _ in references], references
             self.names = self.names or names
-            if names != self.names:
+            if names is not self.names and names != self.names:
                 self.others[path] = names
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.mode = options.get("mode", "FAILFAST").upper()
@@ -411,38 +514,36 @@ class BamReader(DataSourceReader):
         return out
 
     def read(self, split: _Split) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from . import batches
 
         kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
         schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ALIGNMENT.split(", "))])
-        rows: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
         names = self.others.get(split.path, self.names)
+        named = pa.array(names, pa.string())
         with store.open_in(split.path) as f:
-            keep = None if self.wanted is None else {i for i, n in enumerate(names) if n in self.wanted}
+            keep = None if self.wanted is None else np.array([i for i, n in enumerate(names) if n in self.wanted], np.int64)
             start = split.start if split.inside is not None else next_block(f, split.start, split.end)
             if start is None:
                 return
-            for place, raw in records_of(f, start, split.inside, split.end, len(names)):
-                if place >= split.stop:
-                    break
-                if keep is not None and struct.unpack_from("<i", raw)[0] not in keep:
-                    continue
-                row = parse_record(raw, names)
-                if row[11] is None and row[1] is not None:
-                    if self.mode == "FAILFAST":
-                        raise BamError(f"record {row[0]} has no NM tag; option mode DROP leaves such records out")
-                    if self.mode == "DROP":
-                        continue
-                rows.append(row if self.raw else (*row[:-1], None))
-                if len(rows) == 5000:
-                    yield batch()
-        yield batch()
+            for data, starts, sizes, places in chunks_of(f, start, split.inside, split.end, len(names)):
+                mine = places < split.stop
+                if keep is not None:
+                    mine &= np.isin(batches.field(data, starts, "<i4"), keep)
+                rows = batches.columns(data, starts[mine], sizes[mine], named, self.raw, schema)
+                if self.mode in ("FAILFAST", "DROP"):
+                    bare = pc.and_(rows["nm"].is_null(), rows["reference"].is_valid())
+                    if pc.any(bare).as_py():
+                        if self.mode == "FAILFAST":
+                            raise BamError(f"record {rows.filter(bare)['query_name'][0]} has no NM tag; option mode DROP leaves such records out")
+                        rows = rows.filter(pc.invert(bare))
+                for at in range(0, rows.num_rows, 5000):
+                    yield rows.slice(at, 5000)
+                if places[-1] >= split.stop:
+                    return
 
 
 class _Part(WriterCommitMessage):
@@ -450,7 +551,7 @@ class _Part(WriterCommitMessage):
         self.number, self.path, self.size, self.index = number, path, size, index
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     """Writes the ``raw`` records under a header of the surviving references.
 
     The header comes from the file in option ``header``, of which option ``references`` (JSON list) names those to keep,
@@ -478,15 +579,15 @@ class BamWriter(DataSourceWriter):
         return Index.deep_enough(max((n for _, n in self.references), default=0))
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
+        import numpy as np
         from pyspark import TaskContext
 
+        from . import batches
+
         context = TaskContext.get()
         kept = set(self.keep)
-        number, new = {-1: -1}, 0
-        for i, (name, _) in enumerate(self.references):
-            number[i] = -1
-            if name in kept:
-                number[i], new = new, new + 1
+        stays = np.array([name in kept for name, _ in self.references], bool)
+        number = np.append(np.where(stays, np.cumsum(stays) - 1, -1), -1).astype("<i4")  # the last one: of no reference
         # Attempts write apart from one another; what no commit names is deleted with the folder of drafts.
         path = f"{self.drafts}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
         index = self._index() if self.order == "coordinate" else None
@@ -495,16 +596,16 @@ class BamWriter(DataSourceWriter):
             if self.whole:
                 blocks.write(self._header())
                 blocks.flush()
-            for row in rows:
-                raw = bytearray(row["raw"])
+            for batch in rows:
+                data, ends = batches.with_sizes(batch.column(batch.schema.get_field_index("raw")))
+                if not len(ends):
+                    continue
+                begins = np.append(0, ends[:-1]) + 4
                 for at in (0, 20):
-                    struct.pack_into("<i", raw, at, number[struct.unpack_from("<i", raw, at)[0]])
-                blocks.make_room(len(raw) + 4)
-                start = blocks.tell()
-                blocks.write(struct.pack("<i", len(raw)) + bytes(raw))
+                    batches.put(data, begins + at, number[batches.field(data, begins + at, "<i4")])
+                starts, stops = blocks.write_records(data, ends)
                 if index is not None:
-                    ref, begin, end, mapped = extent(raw)
-                    index.add(ref, begin, end, mapped, start, blocks.tell())
+                    index.add_all(*batches.extents(data, begins), starts, stops)
             blocks.flush()
             if self.whole:
                 f.write(END_BLOCK)
@@ -587,60 +688,77 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
 def index_counts(spark: SparkSession, path: str) -> DataFrame:
     """reference, n_mapped, n_unmapped of the references with records, from the indexes beside the files: no record is
     read. Files without an index are an error."""
+    ship(spark)
     files = files_of(path)
-    _, references, _ = read_header(files[0])
-    counts: dict[int, list[int]] = {}
     for file in files:
-        index = index_of(file)
-        if index is None:
+        if not any(store.kind(file + suffix) == "file" for suffix in (".bai", ".csi")):
             raise BamError(f"{file} has no index")
-        for ref, r in index.references.items():
-            have = counts.setdefault(ref, [0, 0])
-            have[0] += r.mapped
-            have[1] += r.unmapped
-    return spark.createDataFrame([(references[i][0], *n) for i, n in sorted(counts.items())], "reference string, n_mapped bigint, n_unmapped bigint")
+    _, references, _ = read_header(files[0])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                index = index_of(file)
+                rows = [(ref, r.mapped, r.unmapped) for ref, r in index.references.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], ["number", "mapped", "unmapped"])
+
+    # Each index is read in a task; a row for each reference and file is summed.
+    counts = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file").mapInArrow(run, "number bigint, mapped bigint, unmapped bigint")
+    names = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(references)], "number bigint, reference string")
+    summed = counts.groupBy("number").agg(F.sum("mapped").alias("n_mapped"), F.sum("unmapped").alias("n_unmapped"))
+    return summed.join(names, "number").select("reference", "n_mapped", "n_unmapped")
 
 
-def inspect(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def inspect(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_index: bool = True) -> DataFrame:
     """file, start, records, first, last (places as [reference number, position]), ordered, error, index (its bytes) of
-    every split of every file that has a header; all of it is found in tasks."""
+    every split of every file that has a header; all of it is found in tasks. index is NULL if it isn't asked for."""
     ship(spark)
     splits = []
+    headers, last = Headers(), None
     for file in files_of(path):
         try:
-            _, references, first = read_header(file)
+            _, references, first = headers.of(file)
         except (BamError, struct.error):
             continue
-        longest = max((n for _, n in references), default=0)
+        if references is not last:
+            longest, last = max((n for _, n in references), default=0), references
         splits += [(file, s.start, s.inside, s.end, len(references), longest) for s in splits_of(file, first, store.size(file), split_bytes)]
     columns = "file string, start bigint, inside bigint, end bigint, n_refs bigint, longest bigint"
     out = "file string, start bigint, records bigint, first array<bigint>, last array<bigint>, ordered boolean, error string, index binary"
 
-    def run(batches):
+    def run(rows):
+        import numpy as np
         import pyarrow as pa
 
+        from . import batches
+
         schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("records", pa.int64()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("ordered", pa.bool_()), ("error", pa.string()), ("index", pa.binary())])
-        for batch in batches:
+        for batch in rows:
             for s in batch.to_pylist():
                 index, n, first, last, ordered, error, open_ = Index.deep_enough(s["longest"]), 0, None, None, True, None, None
                 try:
                     with store.open_in(s["file"]) as f:
                         start = s["start"] if s["inside"] is not None else next_block(f, s["start"], s["end"])
-                        found = records_of(f, start, s["inside"], s["end"], s["n_refs"]) if start is not None else ()
-                        for place, raw in found:
-                            if open_:
-                                index.add(*open_[0], open_[1], place)
-                            ref, begin, end, mapped = extent(raw)
-                            key = [ref if ref >= 0 else s["n_refs"], begin]
-                            ordered = ordered and (last is None or last <= key)
-                            first, last, n = first or key, key, n + 1
-                            open_ = ((ref, begin, end, mapped), place)
+                        for data, starts, _, places in chunks_of(f, start, s["inside"], s["end"], s["n_refs"]) if start is not None else ():
+                            where = batches.extents(data, starts)
+                            refs, begins = np.where(where[0] >= 0, where[0], s["n_refs"]), where[1]
+                            up = (refs[1:] > refs[:-1]) | ((refs[1:] == refs[:-1]) & (begins[1:] >= begins[:-1]))
+                            key = [int(refs[0]), int(begins[0])]
+                            ordered = bool(ordered and up.all() and (last is None or last <= key))
+                            first, last, n = first or key, [int(refs[-1]), int(begins[-1])], n + len(starts)
+                            if with_index:  # a record ends where the next one begins
+                                if open_:
+                                    index.add_all(*open_[0], open_[1], places[:1])
+                                index.add_all(*(x[:-1] for x in where), places[:-1], places[1:])
+                                open_ = [x[-1:] for x in where], places[-1:]
                         if open_:
                             # The last record ends where the next split's blocks begin, or before.
-                            index.add(*open_[0], open_[1], max(s["end"] << 16, open_[1] + 1))
-                except (BamError, struct.error) as e:
+                            index.add_all(*open_[0], open_[1], np.maximum(s["end"] << 16, open_[1] + 1))
+                except (BamError, struct.error, ValueError, IndexError) as e:
                     error = str(e)
-                yield pa.RecordBatch.from_pylist([{"file": s["file"], "start": s["start"], "records": n, "first": first, "last": last, "ordered": ordered, "error": error, "index": index.dump(s["n_refs"])}], schema)
+                yield pa.RecordBatch.from_pylist([{"file": s["file"], "start": s["start"], "records": n, "first": first, "last": last, "ordered": ordered, "error": error, "index": index.dump(s["n_refs"]) if with_index else None}], schema)
 
     if not splits:
         return spark.createDataFrame([], out)
@@ -655,16 +773,16 @@ def check_input(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     coordinate, the records don't), ``other order`` (the header doesn't say coordinate: an index can't be built).
     """
     found: dict[str, list] = {}
-    for r in inspect(spark, path, split_bytes).drop("index").orderBy("file", "start").collect():  # a row per split
+    for r in inspect(spark, path, split_bytes, False).drop("index").orderBy("file", "start").collect():  # a row per split
         found.setdefault(r["file"], []).append(r)
-    out = []
+    out, headers = [], Headers()
     for file in files_of(path):
         size = store.size(file)
         if not size:
             out.append((file, "empty"))
             continue
         try:
-            text, references, _ = read_header(file)
+            text, references, _ = headers.of(file)
         except (BamError, struct.error):
             out.append((file, "no header"))
             continue
@@ -747,26 +865,34 @@ def encode_record(name: str, ref: int, pos: int, cigar: list[tuple[int, str]], s
     return fields + name.encode() + b"\0" + ops + packed + b"\xff" * len(sequence) + extra
 
 
-def encode_alignments(alignments: DataFrame, references: DataFrame) -> DataFrame:
+def encode_alignments(alignments: DataFrame, references: DataFrame, by_place: bool = False) -> DataFrame:
     """query_name, reference, reference_start and raw: records of alignments that have no encoded form yet.
 
     alignments: query_name, reference, reference_start, query_alignment_length, is_reverse, mapping_quality, nm, as_score,
     xo, xg; references: reference, header_order. A record is one stretch of matches without a sequence.
+    by_place: in the order of references and starts.
     """
     ship(alignments.sparkSession)
     tags = {"nm": "NM", "as_score": "AS", "xo": "XO", "xg": "XG"}
     columns = ["query_name", "reference", "header_order", "reference_start", "query_alignment_length", "is_reverse", "mapping_quality", *tags]
 
-    def run(batches):
+    def run(rows):
+        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            raws = []
-            for r in batch.to_pylist():
-                present = {t: r[c] for c, t in tags.items() if r[c] is not None}
-                ref = -1 if r["header_order"] is None else r["header_order"]
-                raws.append(encode_record(r["query_name"], ref, -1 if r["reference_start"] is None else r["reference_start"], [(r["query_alignment_length"], "M")], "", present, 16 if r["is_reverse"] else 0, r["mapping_quality"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(raws, pa.binary())], ["query_name", "reference", "header_order", "reference_start", "raw"])
+        from . import batches
+
+        for batch in rows:
+            c = dict(zip(columns, batch.columns, strict=True))
+            whole = lambda name, null: np.asarray(c[name].fill_null(null)).astype(np.int64)  # noqa: B023, E731
+            missing = [k for k in ("query_name", "query_alignment_length", "mapping_quality") if c[k].null_count]
+            if missing:
+                raise BamError(f"records without {', '.join(missing)}")
+            reverse = np.asarray(c["is_reverse"].fill_null(False)).astype(bool)
+            raws = batches.encode(c["query_name"], whole("header_order", -1), whole("reference_start", -1), whole("query_alignment_length", 0), reverse, whole("mapping_quality", 0), {t: c[k] for k, t in tags.items()})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), raws], ["query_name", "reference", "header_order", "reference_start", "raw"])
 
     joined = alignments.join(references.select("reference", "header_order"), "reference", "left").select(*columns)
+    if by_place:  # plain columns are sorted, and encoded once: sorting looks at its input twice
+        joined = joined.orderBy("header_order", "reference_start")
     return joined.mapInArrow(run, "query_name string, reference string, header_order int, reference_start bigint, raw binary")

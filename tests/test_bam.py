@@ -250,3 +250,53 @@ def test_encode(spark, tmp_path):
     assert sorted(map(str, back.select(pick).collect())) == sorted(map(str, alns.select(pick).collect()))
     assert bam.read_references(spark, out).count() == 2
     assert {s for _, s in bam.check_input(spark, out)} <= {"ok", "no records"}
+
+
+def test_long_headers_are_parsed_once(tmp_path, monkeypatch):
+    """Not again for each of their blocks, nor for each file of a folder."""
+    data = bam.header_bytes("@HD\tVN:1.6\n", [(f"reference{i}", 100) for i in range(2000)])
+    (tmp_path / "lines").mkdir()
+    for i in range(5):
+        (tmp_path / "lines" / f"part-{i}.bam").write_bytes(bam.pack_blocks(data, 500) + bam.END_BLOCK)
+    calls, parse = [], bam.parse_header
+    monkeypatch.setattr(bam, "parse_header", lambda d: calls.append(len(d)) or parse(d))
+    reader = bam.BamReader({"path": str(tmp_path / "lines")})
+    assert reader.names[-1] == "reference1999" and len(reader.first) == 5
+    assert len(calls) < 15
+
+
+def test_columns_equal_single_records(file):
+    """Batches of records against the functions for one: rows, extents, index, places."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    from readloom.sources import bai, batches
+
+    path, records = file
+    extra = b"XZZsome text\0" + b"XBBs\2\0\0\0\1\0\2\0" + b"NMC\7" + b"ASs\xfe\xff" + b"XAAx"
+    full = [r + extra if i % 3 == 0 else r for i, r in enumerate(records)]
+    data, ends = batches.with_sizes(pa.array(full, pa.binary()))
+    sizes = np.diff(np.append(0, ends)) - 4
+    starts = ends - sizes
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in bam.ALIGNMENT.split(", "))])
+    rows = batches.columns(data, starts, sizes, pa.array(["c1", "c2"]), True, schema).to_pylist()
+    assert [tuple(r.values()) for r in rows] == [bam.parse_record(r, ["c1", "c2"]) for r in full]
+    where = batches.extents(data, starts)
+    assert list(zip(*(x.tolist() for x in where), strict=True)) == [bam.extent(r) for r in full]
+    one, many = bam.BlockWriter(io.BytesIO()), bam.BlockWriter(io.BytesIO())
+    one.SIZE = many.SIZE = 900
+    a, b = bai.Index(), bai.Index()
+    for r in full:
+        one.make_room(len(r) + 4)
+        start = one.tell()
+        one.write(len(r).to_bytes(4, "little") + r)
+        a.add(*bam.extent(r), start, one.tell())
+    for i in range(0, len(full), 70):
+        base = ends[i - 1] if i else 0
+        part = slice(i, i + 70)
+        b.add_all(*(x[part] for x in where), *many.write_records(data[base : ends[part][-1]], ends[part] - base))
+    one.flush(), many.flush()
+    assert one.out.getvalue() == many.out.getvalue() and a.dump(2) == b.dump(2) and a.placeless == b.placeless
