@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from ..session import cut
 
 TILE = 1 << 18
 
@@ -82,8 +83,8 @@ def sized_islands(segs: DataFrame) -> DataFrame:
 def clip_islands(isles: DataFrame, references: DataFrame, trim: int = 0) -> DataFrame:
     """The parts of islands within the reference less ``trim`` bases at both ends, as ``clip`` cuts segments."""
     known = [c for c in isles.columns if c == "bam_reference_length"]
-    cut = clip(isles.select("reference", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.lit(1).alias("depth"), *known), references, trim)
-    return cut.select("reference", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+    clipped = clip(isles.select("reference", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.lit(1).alias("depth"), *known), references, trim)
+    return clipped.select("reference", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
 
 
 def _joined(rows: DataFrame, keys: list[str], start: str, end: str, *more: Column) -> DataFrame:
@@ -101,6 +102,7 @@ def merged_interval_stats(isles: DataFrame) -> DataFrame:
 
 def depth_stats(hist: DataFrame, trim_min: int = 10, trim_max: int = 90) -> DataFrame:
     """Per reference from its depth histogram: length, sums, covered spread, truncated mean depth and evenness."""
+    hist = cut(hist)  # read twice, the sweep behind it once
     d, n = F.col("depth").cast("double"), F.col("n")
     total = hist.groupBy("reference").agg(
         F.sum("n").alias("vector_length"),

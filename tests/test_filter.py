@@ -145,3 +145,6 @@ def test_the_sweep_reads_alignments_twice_and_joins_no_segments(spark, tmp_path)
     for df in (isles, segs):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") == 3 and plan.count("Join ") == 1
+    stats = coverage.depth_stats(coverage.depth_histogram(segs))
+    assert [r.bases_covered for r in stats.collect()] == [30]
+    assert str(tmp_path) not in " ".join(stats.inputFiles())  # the sweep isn't done again for the second reading
