@@ -38,6 +38,8 @@ ON_REFERENCE, ON_QUERY = frozenset("MDN=X"), frozenset("MIS=X")
 TAG_SIZE = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 TAG_CODE = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I"}
 TAGS = {b"NM": "nm", b"AS": "as_score", b"XO": "xo", b"XG": "xg"}
+#: Columns that no statistic of references is made of.
+UNMEASURED = ("raw", "cigar", "flag", "is_reverse", "query_length", "xo", "xg")
 
 
 class BamError(ValueError):
@@ -61,12 +63,12 @@ def unpack_block(block: bytes) -> bytes:
         raise BamError(f"a block doesn't unpack: {e}") from e
 
 
-def pack_blocks(data: bytes, size: int = 60_000) -> bytes:
+def pack_blocks(data: bytes, size: int = 60_000, level: int = 6) -> bytes:
     """data as compressed blocks, without the end block."""
     out = []
     for at in range(0, len(data), size):
         part = data[at : at + size]
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packer = zlib.compressobj(level, zlib.DEFLATED, -15)
         body = packer.compress(part) + packer.flush()
         head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
         out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
@@ -374,15 +376,15 @@ class BlockWriter:
 
     SIZE = 60_000
 
-    def __init__(self, out):
-        self.out, self.offset, self.pending = out, 0, bytearray()
+    def __init__(self, out, level: int = 6):
+        self.out, self.level, self.offset, self.pending = out, level, 0, bytearray()
 
     def tell(self) -> int:
         return self.offset << 16 | len(self.pending)
 
     def flush(self) -> None:
         if self.pending:
-            data = pack_blocks(bytes(self.pending), self.SIZE)
+            data = pack_blocks(bytes(self.pending), self.SIZE, self.level)
             self.out.write(data)
             self.offset += len(data)
             self.pending.clear()
@@ -552,13 +554,15 @@ class _Part(WriterCommitMessage):
 
 
 class BamWriter(DataSourceArrowWriter):
-    """Writes the ``raw`` records under a header of the surviving references.
+    """Writes the ``raw`` records under a header of the surviving references. Rows without ``raw`` are encoded as
+    ``encode_alignments`` does, in the task that writes them: records then cross to Python once, as plain columns.
 
     The header comes from the file in option ``header``, of which option ``references`` (JSON list) names those to keep,
     or anew from option ``lengths`` (JSON list of names and lengths). Each task writes whole blocks into a file of its
     attempt and, in order ``coordinate``, the index of its part. With ``layout`` ``files`` each file is whole and has its
     index, and the commit gives it its name: only offsets pass the driver. With ``file`` the commit strings the parts
-    together in order, in one pass, and joins their indexes with shifted offsets.
+    together in order, in one pass, and joins their indexes with shifted offsets. Option ``level`` is that of the
+    compression (6; 1 is quickest).
     """
 
     def __init__(self, options: dict, overwrite: bool):
@@ -573,6 +577,9 @@ class BamWriter(DataSourceArrowWriter):
             self.text, self.references, _ = read_header(files_of(options["header"])[0])
         self.keep = json.loads(options["references"]) if "references" in options else [n for n, _ in self.references]
         self.order = options.get("order", "unsorted")
+        self.level = int(options.get("level", 6))
+        self.head = pack_blocks(self._header())  # the same in all files, so made once
+        self.text = ""
         self.drafts = f"{self.path.rstrip('/')}/_draft-{uuid.uuid4().hex}" if self.whole else f"{self.path}._draft-{uuid.uuid4().hex}"
 
     def _index(self) -> Index:
@@ -580,11 +587,13 @@ class BamWriter(DataSourceArrowWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         from . import batches
 
-        context = TaskContext.get()
+        context, names = TaskContext.get(), None
         kept = set(self.keep)
         stays = np.array([name in kept for name, _ in self.references], bool)
         number = np.append(np.where(stays, np.cumsum(stays) - 1, -1), -1).astype("<i4")  # the last one: of no reference
@@ -592,12 +601,18 @@ class BamWriter(DataSourceArrowWriter):
         path = f"{self.drafts}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
         index = self._index() if self.order == "coordinate" else None
         with store.open_out(path) as f:
-            blocks = BlockWriter(f)
+            blocks = BlockWriter(f, self.level)
             if self.whole:
-                blocks.write(self._header())
-                blocks.flush()
+                f.write(self.head)
+                blocks.offset = len(self.head)
             for batch in rows:
-                data, ends = batches.with_sizes(batch.column(batch.schema.get_field_index("raw")))
+                raw = batch.schema.get_field_index("raw")
+                if raw >= 0:
+                    data, ends = batches.with_sizes(batch.column(raw))
+                else:
+                    names = pa.array([n for n, _ in self.references], pa.string()) if names is None else names
+                    found = pc.index_in(batch.column(batch.schema.get_field_index("reference")), names).fill_null(-1)
+                    data, ends = batches.encode_with_sizes(*plain_record(batch, np.asarray(found).astype(np.int64)))
                 if not len(ends):
                     continue
                 begins = np.append(0, ends[:-1]) + 4
@@ -632,15 +647,14 @@ class BamWriter(DataSourceArrowWriter):
                         store.move(part.path + suffix, name + suffix)
                 store.move(part.path, name)
             if not parts:
-                store.write(f"{self.path.rstrip('/')}/part-000000.bam", pack_blocks(self._header()) + END_BLOCK)
+                store.write(f"{self.path.rstrip('/')}/part-000000.bam", self.head + END_BLOCK)
         else:
             index = self._index()
             for suffix in suffixes:
                 store.delete(self.path + suffix)
             with store.open_out(self.path) as out:
-                header = pack_blocks(self._header())
-                out.write(header)
-                place = len(header)
+                out.write(self.head)
+                place = len(self.head)
                 for part in parts:
                     with store.open_in(part.path) as f:
                         while chunk := f.read(8 << 20):
@@ -685,6 +699,11 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(n, length, i) for i, (n, length) in enumerate(references)], REFERENCES)
 
 
+def has_indexes(path: str) -> bool:
+    """Whether every file of the path has its index beside it."""
+    return all(any(store.kind(file + suffix) == "file" for suffix in (".bai", ".csi")) for file in files_of(path))
+
+
 def index_counts(spark: SparkSession, path: str) -> DataFrame:
     """reference, n_mapped, n_unmapped of the references with records, from the indexes beside the files: no record is
     read. Files without an index are an error."""
@@ -705,7 +724,7 @@ def index_counts(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], ["number", "mapped", "unmapped"])
 
     # Each index is read in a task; a row for each reference and file is summed.
-    counts = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file").mapInArrow(run, "number bigint, mapped bigint, unmapped bigint")
+    counts = spark.createDataFrame([(f,) for f in files], "file string").repartitionByRange(len(files), "file").mapInArrow(run, "number bigint, mapped bigint, unmapped bigint")
     names = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(references)], "number bigint, reference string")
     summed = counts.groupBy("number").agg(F.sum("mapped").alias("n_mapped"), F.sum("unmapped").alias("n_unmapped"))
     return summed.join(names, "number").select("reference", "n_mapped", "n_unmapped")
@@ -762,7 +781,7 @@ def inspect(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with
 
     if not splits:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(splits, columns).repartition(len(splits), "file", "start").mapInArrow(run, out)
+    return spark.createDataFrame(splits, columns).repartitionByRange(len(splits), "file", "start").mapInArrow(run, out)
 
 
 def check_input(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[str, str]]:
@@ -865,6 +884,24 @@ def encode_record(name: str, ref: int, pos: int, cigar: list[tuple[int, str]], s
     return fields + name.encode() + b"\0" + ops + packed + b"\xff" * len(sequence) + extra
 
 
+#: Columns of alignments that have no encoded form yet.
+PLAIN = ("query_name", "reference", "reference_start", "query_alignment_length", "is_reverse", "mapping_quality", "nm", "as_score", "xo", "xg")
+
+
+def plain_record(batch, numbers) -> tuple:
+    """The arguments of ``batches.encode`` for a batch with the columns ``PLAIN``; numbers: of the references."""
+    import numpy as np
+
+    c = {k: batch.column(batch.schema.get_field_index(k)) for k in PLAIN}
+    whole = lambda name, null: np.asarray(c[name].fill_null(null)).astype(np.int64)
+    missing = [k for k in ("query_name", "query_alignment_length", "mapping_quality") if c[k].null_count]
+    if missing:
+        raise BamError(f"records without {', '.join(missing)}")
+    reverse = np.asarray(c["is_reverse"].fill_null(False)).astype(bool)
+    tags = {tag.decode(): c[k] for tag, k in TAGS.items()}
+    return c["query_name"], numbers, whole("reference_start", -1), whole("query_alignment_length", 0), reverse, whole("mapping_quality", 0), tags
+
+
 def encode_alignments(alignments: DataFrame, references: DataFrame, by_place: bool = False) -> DataFrame:
     """query_name, reference, reference_start and raw: records of alignments that have no encoded form yet.
 
@@ -873,8 +910,7 @@ def encode_alignments(alignments: DataFrame, references: DataFrame, by_place: bo
     by_place: in the order of references and starts.
     """
     ship(alignments.sparkSession)
-    tags = {"nm": "NM", "as_score": "AS", "xo": "XO", "xg": "XG"}
-    columns = ["query_name", "reference", "header_order", "reference_start", "query_alignment_length", "is_reverse", "mapping_quality", *tags]
+    columns = ["query_name", "reference", "header_order", "reference_start", *PLAIN[3:]]
 
     def run(rows):
         import numpy as np
@@ -883,13 +919,7 @@ def encode_alignments(alignments: DataFrame, references: DataFrame, by_place: bo
         from . import batches
 
         for batch in rows:
-            c = dict(zip(columns, batch.columns, strict=True))
-            whole = lambda name, null: np.asarray(c[name].fill_null(null)).astype(np.int64)  # noqa: B023, E731
-            missing = [k for k in ("query_name", "query_alignment_length", "mapping_quality") if c[k].null_count]
-            if missing:
-                raise BamError(f"records without {', '.join(missing)}")
-            reverse = np.asarray(c["is_reverse"].fill_null(False)).astype(bool)
-            raws = batches.encode(c["query_name"], whole("header_order", -1), whole("reference_start", -1), whole("query_alignment_length", 0), reverse, whole("mapping_quality", 0), {t: c[k] for k, t in tags.items()})
+            raws = batches.encode(*plain_record(batch, np.asarray(batch.column(2).fill_null(-1)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), raws], ["query_name", "reference", "header_order", "reference_start", "raw"])
 
     joined = alignments.join(references.select("reference", "header_order"), "reference", "left").select(*columns)

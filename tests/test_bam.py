@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import In
 
 from readloom.sources import bam
@@ -300,3 +301,18 @@ def test_columns_equal_single_records(file):
         b.add_all(*(x[part] for x in where), *many.write_records(data[base : ends[part][-1]], ends[part] - base))
     one.flush(), many.flush()
     assert one.out.getvalue() == many.out.getvalue() and a.dump(2) == b.dump(2) and a.placeless == b.placeless
+
+
+@pytest.mark.parametrize("level", [1, 6])
+def test_plain_columns_are_encoded_by_the_writer(spark, tmp_path, level):
+    rows = [(f"q{i}", ("b", "a", None)[i % 3], 7 * i if i % 3 < 2 else None, 30 + i, i % 2 == 0, i, i % 5, None if i % 4 else 9, 1, None) for i in range(90)]
+    kinds = "query_name string, reference string, reference_start bigint, query_alignment_length int, is_reverse boolean, mapping_quality int, nm int, as_score int, xo int, xg int"
+    alns = spark.createDataFrame(rows, kinds)
+    references = spark.createDataFrame([("b", 0), ("a", 1)], "reference string, header_order int")
+    bam.register(spark)
+    held = []
+    for name, form in (("plain", alns.orderBy(F.col("reference").desc_nulls_last(), "reference_start")), ("raw", bam.encode_alignments(alns, references, by_place=True).orderBy(F.col("header_order").asc_nulls_last(), "reference_start"))):
+        path = str(tmp_path / name)
+        form.coalesce(1).write.format("bam").mode("overwrite").option("lengths", json.dumps([["b", 9000], ["a", 9000]])).option("order", "coordinate").option("layout", "files").option("level", level).save(path)
+        held.append((sorted(bytes(r.raw) for r in spark.read.format("bam").load(path).select("raw").collect()), sorted(map(tuple, bam.index_counts(spark, path).collect()))))
+    assert held[0] == held[1] and len(held[0][0]) == 90
