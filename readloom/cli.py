@@ -109,7 +109,10 @@ def main(argv: list[str] | None = None) -> int:
         if args.bam_filtered is not None and args.stats_filtered is None:
             parser().error("--bam-filtered needs --stats-filtered")
         needs_records = args.bam_filtered is not None
-        result = pipelines.filter_references(alignments if needs_records else lean, references, config, lengths, args.low_memory)
+        # Only statistics: columns that none of them reads are not stored.
+        records = alignments if needs_records else lean.drop(*bam.UNMEASURED)
+        counts = bam.index_counts(spark, args.bam) if bam.has_indexes(args.bam) else None
+        result = pipelines.filter_references(records, references, config, lengths, args.low_memory, counts)
         sinks.write_tsv(result.stats, pick(args.stats, "stats"), ("reference",))
         if args.stats_filtered is not None:
             sinks.write_tsv(result.passing, pick(args.stats_filtered, "stats_filtered"), ("reference",), blank=True)

@@ -22,10 +22,17 @@ def index_stats(alignments: DataFrame) -> DataFrame:
     return alignments.filter(F.col("reference").isNotNull()).groupBy("reference").agg(F.count(F.lit(1)).alias("n_mapped"))
 
 
-def keep_frequent_references(alignments: DataFrame, min_read_count: int) -> DataFrame:
-    """Alignments of the references with enough mapped records."""
-    frequent = index_stats(alignments).filter(F.col("n_mapped") >= min_read_count)
-    return alignments.join(frequent.select("reference"), "reference", "left_semi")
+def keep_frequent_references(alignments: DataFrame, min_read_count: int, counts: DataFrame | None = None) -> DataFrame:
+    """Alignments of the references with enough mapped records.
+
+    counts: reference, n_mapped, n_unmapped of the placed records, if an index of the file tells them; the records are not
+    read for that then, nor exchanged, as what an index names is no more than a header does.
+    """
+    if counts is None:
+        frequent = index_stats(alignments).filter(F.col("n_mapped") >= min_read_count)
+        return alignments.join(frequent.select("reference"), "reference", "left_semi")
+    frequent = counts.filter(F.col("n_mapped") + F.col("n_unmapped") >= min_read_count)
+    return alignments.join(F.broadcast(frequent.select("reference")), "reference", "left_semi")
 
 
 def missing_lengths(references: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -34,13 +34,14 @@ def by_place(alignments: DataFrame) -> DataFrame:
     return cut(alignments.withColumn("tile", tile).repartition("reference", "tile").sortWithinPartitions("reference", "tile", "reference_start").drop("tile"))
 
 
-def filter_references(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig(), lengths: DataFrame | None = None, stored: bool = False) -> Filtered:
+def filter_references(alignments: DataFrame, references: DataFrame, config: FilterConfig = FilterConfig(), lengths: DataFrame | None = None, stored: bool = False, counts: DataFrame | None = None) -> Filtered:
     """Statistics of all references with enough mapped records, those that pass, and their alignments.
 
     stored: the records of these references are written once (``by_place``), and every measure reads that table.
+    counts: what an index says of the records of each reference (``bam.index_counts``).
     """
     sized = align.with_lengths(references, lengths)
-    frequent = align.keep_frequent_references(alignments, config.min_read_count)
+    frequent = align.keep_frequent_references(alignments, config.min_read_count, counts)
     if stored:
         frequent = by_place(frequent)
     stats = cut(refstats.reference_stats(frequent, sized, config))

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import In
 
+from readloom import cli
+from readloom.operators import align
 from readloom.sources import bam
 
 
@@ -316,3 +318,24 @@ def test_plain_columns_are_encoded_by_the_writer(spark, tmp_path, level):
         form.coalesce(1).write.format("bam").mode("overwrite").option("lengths", json.dumps([["b", 9000], ["a", 9000]])).option("order", "coordinate").option("layout", "files").option("level", level).save(path)
         held.append((sorted(bytes(r.raw) for r in spark.read.format("bam").load(path).select("raw").collect()), sorted(map(tuple, bam.index_counts(spark, path).collect()))))
     assert held[0] == held[1] and len(held[0][0]) == 90
+    # What an index counts selects the same records as counting them.
+    read = spark.read.format("bam").option("raw", "false").load(path)
+    for least in (1, 30, 31):
+        a, b = (align.keep_frequent_references(read, least, c).select("query_name") for c in (None, bam.index_counts(spark, path)))
+        assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_statistics_count_by_the_index(spark, tmp_path, monkeypatch):
+    """Where files have indexes, records are not read to count them."""
+    kinds = "query_name string, reference string, reference_start bigint, query_alignment_length int, is_reverse boolean, mapping_quality int, nm int, as_score int, xo int, xg int"
+    alns = spark.createDataFrame([(f"q{i}", "rs"[i % 10 == 0], 7 * i, 40, False, 30, 1, 9, 0, 0) for i in range(50)], kinds).orderBy("reference", "reference_start")
+    bam.register(spark)
+    path, table = str(tmp_path / "in"), str(tmp_path / "stats.tsv")
+    alns.coalesce(1).write.format("bam").mode("overwrite").option("lengths", json.dumps([["r", 9000], ["s", 9000]])).option("order", "coordinate").option("layout", "files").save(path)
+
+    def fail(alignments):
+        raise AssertionError("records were counted")
+
+    monkeypatch.setattr(align, "index_stats", fail)
+    assert cli.main(["filter", "--bam", path, "--stats", table, "-n", "6", "--low-memory"]) == 0
+    assert [line.split("\t")[0] for line in open(table)] == ["reference", "r"]
