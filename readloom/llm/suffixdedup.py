@@ -525,7 +525,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
     # No more than HOT_HASHES hashes can occur so often: the list is bounded.
     many = [_unpack(bytes(r[0]), "u8")[0] for r in flags.filter("bucket < 0").select("flags").collect()]
     many = np.unique(np.concatenate(many)) if many else np.empty(0, U)
-    flags = flags.filter("bucket >= 0")
+    repeated = flags.filter("bucket >= 0")
     bucketed = ready.select("bucket", "id", "th", "text").groupBy("bucket")
     # Fan-in is bounded: where there are more units than that, groups of them are merged first, in coarser ranges, so a
     # task always sees about as many strings and a run is never cut into crumbs.
@@ -534,16 +534,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
         units, levels = -(-units // FANIN), levels + 1
     now = max(1, -(-ranges // FANIN**levels))
     coarse = now
-    runs = Scratch.table(bucketed.cogroup(flags.groupBy("bucket")).applyInArrow(lambda d, f: _bucket_run(d, f, coarse, many), RUNS), "suffix-runs")
-    settled = [runs.filter("range < 0")]
+    runs = Scratch.table(bucketed.cogroup(repeated.groupBy("bucket")).applyInArrow(lambda d, f: _bucket_run(d, f, coarse, many), RUNS), "suffix-runs")
+    Scratch.drop(flags)
+    # Removals are few: written by themselves, they let a level's runs and exchanges go before the texts are exchanged again.
+    own = lambda rows: Scratch.table(rows.select(F.col("unit").alias("bucket"), "blob"), "suffix-removals")
+    removals = own(runs.filter("range < 0"))
     for _ in range(levels):
         now *= FANIN
-        runs = Scratch.table(_level(runs, now), "suffix-runs")
-        settled.append(runs.filter("range < 0"))
-    settled.append(runs.filter("range >= 0").groupBy("range").applyInArrow(_merged, RUNS))
-    removals = settled[0]
-    for more in settled[1:]:
-        removals = removals.unionByName(more)
-    removals = removals.select(F.col("unit").alias("bucket"), "blob")
+        before, runs = runs, Scratch.table(_level(runs, now), "suffix-runs")
+        Scratch.drop(before)
+        removals = removals.unionByName(own(runs.filter("range < 0")))
+    removals = removals.unionByName(own(runs.filter("range >= 0").groupBy("range").applyInArrow(_merged, RUNS)))
+    Scratch.drop(runs)
     out = ready.groupBy("bucket").cogroup(removals.groupBy("bucket")).applyInArrow(lambda d, r: _final(d, r, with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")

@@ -13,6 +13,7 @@ from readloom.llm import lshforest, suffixdedup
 from readloom.llm import linededup as ld
 from readloom.llm.components import components
 from readloom.llm.kernels import gram_hashes, shingle_hashes, sliding_min, word_hashes
+from readloom.llm.runtime import Scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -354,3 +355,17 @@ def test_settled_lines_do_not_meet(spark):
     assert pairs and all({a, b} & open_lines for a, b in pairs)
     want = {(min(lids[i], lids[j]), max(lids[i], lids[j])) for j in (28, 29) for i in range(j)}
     assert want <= pairs
+
+
+def test_runs_go_before_the_texts_are_exchanged_again(spark, monkeypatch):
+    """Of the tables between, only the removals are left when the result is made, with levels of merges and without."""
+    text = "".join(f"word{i} " for i in range(40))
+    docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(12)], "doc_id long, text string")
+    found = []
+    for fanin in (256, 2):
+        monkeypatch.setattr(suffixdedup, "FANIN", fanin)
+        before = set(Scratch._alive)
+        out = suffixdedup.remove_repeats(docs)
+        assert {p.split("readloom-")[-1].rsplit("-", 1)[0] for p in set(Scratch._alive) - before} == {"suffix-removals"}
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] and [r[2] > 0 for r in found[0]] == [False] + [True] * 11
