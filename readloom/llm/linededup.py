@@ -31,13 +31,14 @@ from .runtime import Scratch, free_prefix
 BUCKETS = 1 << 18
 #: Prefix words of a line under which it is compared with the earliest line first.
 HEADS = 3
-#: From this many words on a line's bitmap has 256 bits in place of 64.
-WIDE = 48
+#: From this many words on a line's bitmap has 128 bits in place of 64: each word of it is carried by every entry of the
+#: join, and cutting the keys in parts costs more than all other work on them.
+WIDE = 96
 #: Small tables of line numbers and places are broadcast up to this number of rows, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 PLACE = ("doc_id", "th", "line_no")
-BITS = ("b0", "b1", "b2", "b3")
+BITS = ("b0", "b1")
 
 
 def _bucket(hashed: Column) -> Column:
@@ -82,9 +83,9 @@ def _parity(keys: Column) -> Column:
 
 
 def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
-    """One row per distinct set of words: its first place, number of words n, bitmap b0 to b3, rarest words as hashes.
+    """One row per distinct set of words: its first place, number of words n, bitmap b0 and b1, rarest words as hashes.
 
-    The 256 bits of long lines fold (by exclusive or of the four) into the 64 bits that short lines have in b0.
+    The 128 bits of long lines fold (by exclusive or of the two) into the 64 bits that short lines have in b0.
     """
     classes = word_classes(docs, text)
     # Lines without a word are left out before the keys are made: a filter on the keys would make them twice.
@@ -93,13 +94,13 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
     # Each word is hashed once. A key begins with the word's class and goes on with 56 bits of its hash. None is null, so
     # they sort as plain numbers.
     hashes = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(classes, _bucket(h)), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    keys = F.transform(hashes, lambda h: F.shiftleft(F.get(classes, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     lines = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
     n = F.size("keys")
     # hash() of the key is an even 32-bit name for the word; a shared name of unlike words only adds a candidate.
     prefix = F.transform(F.slice("keys", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda k: F.hash(k))
-    quarter = lambda j: _parity(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == j))
-    bits = [F.when(n >= WIDE, quarter(0)).otherwise(_parity(F.col("keys"))).alias("b0"), *[F.when(n >= WIDE, quarter(j)).otherwise(F.lit(0).cast("long")).alias(f"b{j}") for j in (1, 2, 3)]]
+    half = lambda j: _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == j))
+    bits = [F.when(n >= WIDE, half(0)).otherwise(_parity(F.col("keys"))).alias("b0"), F.when(n >= WIDE, half(64)).otherwise(F.lit(0).cast("long")).alias("b1")]
     signed = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.struct(*PLACE).alias("place"), n.alias("n"), *bits, prefix.alias("prefix"))
     # Both hashes go over the keys, from unlike beginnings: sets that agree in one of them still differ in the other.
     # Equal sets agree in all but the place, so partial aggregation leaves one row for each of them in a task.
@@ -108,7 +109,7 @@ def line_signatures(docs: DataFrame, percent: int, text: str = "text") -> DataFr
 
 
 def _close(n1: Column, n2: Column, a, b, percent: int) -> Column:
-    """Length and bitmap filters for two lines of n1 and n2 words; a and b give the columns b0 to b3 of each.
+    """Length and bitmap filters for two lines of n1 and n2 words; a and b give the columns b0 and b1 of each.
 
     Sets of similarity t differ in at most (n1 + n2)(1 - t)/(1 + t) words, and bitmaps in no more bits than words.
     """

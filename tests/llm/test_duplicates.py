@@ -243,6 +243,23 @@ def test_lines(spark, monkeypatch, broadcast):
             assert out[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone)
 
 
+def test_bitmaps_are_small_and_lose_no_pair(spark):
+    """Two numbers a line, the second only for long lines; pairs at the threshold pass, folded or not."""
+    from pyspark.sql import functions as F
+
+    sizes = [40, 88, 95, 96, 104, 130, 300, 700]
+    rows = [(2 * i + j, " ".join([f"s{i}x{k}" for k in range(n - n // 9)] + [f"d{i}x{j}x{k}" for k in range(n // 9)])) for i, n in enumerate(sizes) for j in (0, 1)]
+    rows += [(100, " ".join(f"t{k}" for k in range(90))), (101, " ".join(f"t{k}" for k in range(110)))]  # of 64 and of 128 bits
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = ld.Scratch.table(ld.line_signatures(docs, 80), "test-signatures")
+    assert [c for c in signed.columns if c.startswith("b")] == ["b0", "b1"]
+    assert all((r.b1 != 0) == (r.n >= ld.WIDE) for r in signed.collect())
+    pairs = ld.candidate_pairs(signed, signed.select("lid").limit(0), 80)
+    ids = signed.select(F.col("lid").alias("lid2"), "doc_id")
+    assert sorted(r.doc_id // 2 for r in pairs.join(ids, "lid2").collect()) == [*range(len(sizes)), 50]
+    assert sorted(r.doc_id for r in ld.line_verdicts(docs).filter("n_removed > 0").collect()) == [*range(1, 2 * len(sizes), 2), 101]
+
+
 def test_lines_awkward(spark):
     docs = corpus.awkward(spark)
     out = ld.dedup_documents(docs)
