@@ -31,8 +31,8 @@ from .runtime import Scratch, free_prefix
 BUCKETS = 1 << 18
 #: Prefix words of a line under which it is compared with the earliest line first.
 HEADS = 3
-#: From this many words on a line's bitmap has 128 bits in place of 64: each word of it is carried by every entry of the
-#: join, and cutting the keys in parts costs more than all other work on them.
+#: From this many words on a line's bitmap has 128 bits in place of 64: each part is carried by every entry of the
+#: join, and takes a pass over the keys of its own.
 WIDE = 96
 #: Small tables of line numbers and places are broadcast up to this number of rows, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
